@@ -608,14 +608,14 @@ def _flags(c):
 
 
 _CHANGED = {
-    "customer_id": "0", "full_name": f"count(*) FILTER ({S.strip('full_name')} <> "
+    "customer_id": "count(*) FILTER (false)", "full_name": f"count(*) FILTER ({S.strip('full_name')} <> "
                                      f"{S.title(S.strip('full_name'))})",
     "age": f"count(*) FILTER (age IS NOT NULL AND coalesce({S.money('age')}, {S.word('age')}) IS NULL)",
     "gender": "count(*) - count(gender)", "email": f"count(*) FILTER ({_VALID})",
     "annual_income": f"count(*) FILTER (annual_income IS NOT NULL AND {S.money('annual_income')} "
                      "IS NULL)",
-    "account_created": f"count({S.day('account_created')})", "loyalty_score": "0",
-    "credit_score": "0", "is_active": f"count({S.bit('is_active')})",
+    "account_created": f"count({S.day('account_created')})", "loyalty_score": "count(*) FILTER (false)",
+    "credit_score": "count(*) FILTER (false)", "is_active": f"count({S.bit('is_active')})",
     "segment": "count(*) - count(segment)", "notes": "count(*) - count(notes)",
 }
 _FLAGGING = ("age", "email", "annual_income", "account_created", "loyalty_score", "credit_score",
@@ -717,10 +717,13 @@ def problem_cells(spark, sf_dir):
 # -- insights --------------------------------------------------------------------------
 
 
+_LABELS = ("top_category", "top_a", "top_b", "trend")
+
+
 def _metrics(spark, rows, *fields):
     """Two column names, the given metrics and labels, strength."""
     schema = "column_a string, column_b string, strength string, " + ", ".join(
-        f"{f} {'string' if f.startswith('top_') or f == 'trend' else 'double'}" for f in fields)
+        f"{f} {'string' if f in _LABELS else 'double'}" for f in fields)
     data = []
     for r in rows:
         pool = r["metrics"] | r["labels"] | {"trend": r["labels"].get("trend_direction")}
@@ -810,7 +813,7 @@ def _cat_cat_sql(a, b, t):
       FROM v, n, top WHERE v >= 0.1)"""
 
 
-_DOCS = ("SELECT d.lang, d.source, CAST(l.quality AS VARCHAR) AS quality, CAST(l.toxic AS VARCHAR) "
+_DOCS = ("SELECT d.lang, d.source, CAST(l.quality AS VARCHAR(20)) AS quality, CAST(l.toxic AS VARCHAR(20)) "
          "AS toxic, CASE WHEN d.n_chars > 1000 THEN 'long' ELSE 'short' END AS size, CASE WHEN "
          "d.n_chars > 2000 THEN 'big' WHEN d.n_chars > 500 THEN 'mid' ELSE 'small' END AS grade "
          "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -1044,10 +1047,10 @@ def filtered_rows(spark, sf_dir):
         f"SELECT '{c}' AS column_name, {S.refined(c, 'dirty', 'r.action')} AS action, "
         f"{template} AS template_action FROM (SELECT action FROM ruled WHERE column_name = '{c}') r"
         for (c, _, _), template in zip(S.DIRTY_COLUMNS, (
-            "CAST(NULL AS VARCHAR)", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL",
-            "NULL", "NULL", "NULL")))))
+            "CAST(NULL AS VARCHAR)", "NULL", "NULL", "NULL", "NULL", "NULL", "'fill_mode'", "NULL",
+            "'impute_median'", "NULL", "NULL", "NULL")))))
 def template_predictions(spark, sf_dir):
-    found = cw.predict_with_template("customers", dirty(spark, sf_dir))
+    found = cw.predict_with_template("customers", dirty(spark, sf_dir), split_names=True)
     return found.select("column_name", "action", "template_action")
 
 

@@ -95,9 +95,8 @@ def to_money(c: Column, kind: str) -> Column:
 def word_to_number(s: Column) -> Column:
     """Spelled-out number, else the first number inside the text."""
     words = strip(F.regexp_replace(F.lower(strip(s)), r"[-_\s]+", " "))
-    table = F.create_map(
-        *[F.lit(x) for pair in fixed.WORD_NUMBERS.items() for x in (pair[0], float(pair[1]))]
-    )
+    pairs = ", ".join(f"'{word}', {value}D" for word, value in fixed.WORD_NUMBERS.items())
+    table = F.expr(f"map({pairs})")
     first = F.regexp_extract(words, r"(\d+\.?\d*)", 1)
     return F.coalesce(F.try_element_at(table, words), first.try_cast("double"))
 

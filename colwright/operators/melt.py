@@ -20,11 +20,14 @@ def melt(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.select(F.inline(cells)).where(F.col("v").isNotNull())
 
 
-def by_column(df: DataFrame, values: dict[str, Column], **metrics: Column) -> dict[str, dict]:
-    """Aggregates of ``v`` for every column: ``{name: {metric: value}}``."""
+def by_column(df: DataFrame, values: dict, prepare=("k", "v"), **metrics: Column) -> dict:
+    """Aggregates of ``v`` for every column: ``{name: {metric: value}}``.
+
+    ``prepare`` selects from the melted cells first, to unpack cells that are structs.
+    """
     if not values:
         return {}
-    grouped = melt(df, values).groupBy("k").agg(*[m.alias(n) for n, m in metrics.items()])
+    grouped = melt(df, values).select(*prepare).groupBy("k").agg(*[m.alias(n) for n, m in metrics.items()])
     names = list(values)
     found = {names[row["k"]]: row.asDict() for row in grouped.collect()}
     return {name: found.get(name, {}) for name in names}

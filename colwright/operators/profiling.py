@@ -34,7 +34,8 @@ PROFILE_SCHEMA = T.StructType(
      T.StructField("extreme_upper", _D), T.StructField("extreme_count", _L),
      T.StructField("range_violations", _L), T.StructField("age_violations", _L),
      T.StructField("actual_skewness", _D), T.StructField("actual_outliers", _L),
-     T.StructField("is_integer_column", T.BooleanType()), T.StructField("mode_dominance", _D)]
+     T.StructField("is_integer_column", T.BooleanType()), T.StructField("mode_dominance", _D),
+     T.StructField("mode_text", _S)]
 )
 
 
@@ -212,39 +213,20 @@ def profile_rows(
     of_kind = X.kinds(df)
     total, missing = missing_counts(df, columns)
     flat = [c for c in columns if of_kind[c] != "nested"]
-    unique = distinct_counts(df, flat, approximate_distinct)
+    modes, unique = {}, distinct_counts(df, flat, True) if approximate_distinct else {}
+    if not approximate_distinct:
+        modes = frequency_summary(df, {c: distinct_key(c, of_kind[c]) for c in flat})
+        unique = {c: m["distinct"] for c, m in modes.items()}
     types = infer_cleaning_types(df, columns, unique, missing, total)
 
-    numeric = [c for c in flat if types[c] in fixed.NUMERIC_TYPES]
-    loose = {c: X.to_profile_number(X.ref(c), of_kind[c]) for c in numeric}
-    shape = moments(df, loose)
-    counts = {c: shape[c]["n"] for c in numeric}
-    quartiles = exact_quantiles(df, loose, counts=counts)
-    outliers = count_outside(df, loose, fences(quartiles, counts))
-
-    dates = [c for c in flat if types[c] == "date" and of_kind[c] != "datetime"]
-    bad_dates = by_column(
-        df, {c: X.text(X.ref(c)) for c in dates},
-        bad=F.count_if(X.to_datetime(F.col("v"), "string").isNull()),
-    )
-    emails = [c for c in flat if types[c] == "email"]
-    bad_emails = by_column(
-        df, {c: X.lower_strip(X.ref(c)) for c in emails}, bad=F.count_if(~X.is_email(F.col("v")))
-    )
-    booleans = [c for c in flat if types[c] == "boolean"]
-    truth = by_column(
-        df, {c: X.lower_strip(X.ref(c)) for c in booleans},
-        true=F.count_if(F.col("v").isin(*fixed.TRUE_TOKENS)),
-        false=F.count_if(F.col("v").isin(*fixed.FALSE_TOKENS)), n=F.count("v"),
-        unread=F.count_if(X.to_bit(F.col("v")).isNull()),
-    )
+    numbers = _number_measures(df, flat, of_kind, types, evidence)
+    texts = _text_measures(df, flat, of_kind, types, evidence)
     words = [c for c in flat if types[c] in ("text", "category")]
     top: dict[str, list] = {}
     if words:
         for r in top_values(df, words, 5).collect():
             top.setdefault(r["column_name"], []).append((r["rank"], r["value"], r["count"]))
 
-    extra = _evidence(df, flat, of_kind, types, loose, shape, quartiles, outliers) if evidence else {}
     rows = []
     for position, c in enumerate(columns):
         row = dict.fromkeys(PROFILE_SCHEMA.names)
@@ -256,90 +238,132 @@ def profile_rows(
             "outlier_count_iqr": 0, "invalid_date_count": 0, "invalid_email_count": 0,
             "skewness": 0.0,
         }
-        if c in shape:
-            m = shape[c]
-            row |= {
-                "invalid_numeric_count": total - missing[c] - m["n"],
-                "outlier_count_iqr": outliers.get(c, 0),
-                "skewness": _round(sample_skewness(m["skew"], m["n"]) or 0.0),
-                "min_value": m["low"], "max_value": m["high"], "mean": m["mean"],
-                "median": quartiles[c][1] if quartiles[c] else None, "std": m["std"],
-            }
-        elif c in bad_dates:
-            row["invalid_date_count"] = bad_dates[c].get("bad", 0)
-        elif c in bad_emails:
-            row["invalid_email_count"] = bad_emails[c].get("bad", 0)
-        elif c in truth:
-            yes, no, n = (truth[c].get(x, 0) for x in ("true", "false", "n"))
-            row |= {
-                "bool_true_count": yes, "bool_false_count": no, "bool_invalid_count": n - yes - no,
-                "bool_unrecognised_count": truth[c].get("unread", 0),
-                "invalid_numeric_count": n - yes - no,
-                "most_common": "true" if yes >= no else "false",
-            }
-        elif c in top:
+        row |= texts.get(c, {}) | numbers.get(c, {})
+        if "valid_count" in row:
+            row["invalid_numeric_count"] = total - missing[c] - row.pop("valid_count")
+        if c in top:
             row["top_values"] = [(v, n) for _, v, n in sorted(top[c])]
             row["most_common"] = row["top_values"][0][0]
-        row |= extra.get(c, {})
+        if c in modes:
+            row["mode_text"] = modes[c]["mode"]
+            if c in words and evidence:
+                m = modes[c]
+                row["mode_dominance"] = m["mode_count"] / m["total"] if m["total"] else 0.0
         rows.append(row)
     return rows
 
 
-def _evidence(df, columns, of_kind, types, loose, loose_shape, loose_quartiles, loose_outliers):
-    """Measures that confirm or overrule a predicted action, on plainly parsed numbers."""
-    out: dict[str, dict] = {c: {} for c in columns}
-    titled = [c for c in columns if named(fixed.TITLE_NAME, c)]
-    wrong = by_column(
-        df, {c: X.strip(X.text(X.ref(c))) for c in titled},
-        bad=F.count_if(F.col("v") != X.title_case(F.col("v"))),
-    )
-    for c in titled:
-        out[c]["wrong_case_count"] = wrong[c].get("bad", 0)
-
-    # Typed numbers parse the same either way, so their measures are reused.
-    wanted = [
-        c for c in columns
-        if types[c] in fixed.NUMERIC_TYPES or named(fixed.MONEY_NAME, c)
-        or named(fixed.COUNTED_NAME, c) or named(fixed.SCORE_NAME, c)
+def _number_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
+    """Numeric part of the profile and the evidence for refinement.
+
+    A column is measured under up to two readings: ``loose`` drops currency signs and
+    codes, ``plain`` does not. Typed numbers read the same either way. All columns and
+    readings share one pass for the moments, one search for the quartiles and one pass
+    for the cells outside fences and limits.
+    """
+    numeric = [c for c in columns if types[c] in fixed.NUMERIC_TYPES]
+    checked = [
+        c for c in columns if evidence and (
+            types[c] in fixed.NUMERIC_TYPES or named(fixed.MONEY_NAME, c)
+            or named(fixed.COUNTED_NAME, c) or named(fixed.SCORE_NAME, c))
     ]
-    plain = {c: X.to_number(X.ref(c), of_kind[c]) for c in wanted}
-    fresh = {c: e for c, e in plain.items() if of_kind[c] != "number" or c not in loose}
-    shape = {c: m for c, m in loose_shape.items() if c in plain} | moments(df, fresh)
-    counts = {c: shape[c]["n"] for c in wanted}
-    fresh_quartiles = exact_quantiles(df, fresh, (0.25, 0.75), counts)
-    outliers = loose_outliers | count_outside(df, fresh, fences(fresh_quartiles, counts))
-
-    money = [c for c in wanted if named(fixed.MONEY_NAME, c) and not shape[c]["negatives"]]
-    quartiles = fresh_quartiles | {
-        c: [q[0], q[-1]] for c, q in loose_quartiles.items() if c not in fresh and q
-    }
-    upper = {
-        c: high for c, (_, high) in
-        fences({c: quartiles.get(c) for c in money}, counts, 3.0).items()
-    }
-    extreme = count_outside(df, plain, {c: (float("-inf"), hi) for c, hi in upper.items()})
-    limits, ages = {}, {}
-    for c in wanted:
+    values, plain = {}, {}
+    for c in numeric:
+        values[c, "loose"] = X.to_profile_number(X.ref(c), of_kind[c])
+    for c in checked:
+        same = of_kind[c] == "number" and c in numeric
+        plain[c] = (c, "loose") if same else (c, "plain")
+        if not same:
+            values[plain[c]] = X.to_number(X.ref(c), of_kind[c])
+    shape = moments(df, values)
+    counts = {key: m["n"] for key, m in shape.items()}
+    quartiles = exact_quantiles(df, values, counts=counts)
+
+    ranges = {(key, "iqr"): bounds for key, bounds in fences(quartiles, counts).items()}
+    money = [c for c in checked if named(fixed.MONEY_NAME, c) and not shape[plain[c]]["negatives"]]
+    far = fences({plain[c]: quartiles[plain[c]] for c in money}, counts, 3.0)
+    upper = {c: far[plain[c]][1] for c in money if plain[c] in far}
+    for c in checked:
+        if c in upper:
+            ranges[plain[c], "extreme"] = (float("-inf"), upper[c])
         if types[c] == "credit_score" or named(fixed.CREDIT_NAME, c):
-            limits[c] = (300.0, 850.0)
+            ranges[plain[c], "limit"] = (300.0, 850.0)
         elif types[c] == "score" or named(fixed.SCORE_NAME, c):
-            limits[c] = (0.0, 100.0)
+            ranges[plain[c], "limit"] = (0.0, 100.0)
         if types[c] == "age" or named(fixed.AGE_NAME, c):
-            ages[c] = (0.0, 120.0)
-    beyond, unaged = count_outside(df, plain, limits), count_outside(df, plain, ages)
-    for c in wanted:
-        m = shape[c]
+            ranges[plain[c], "age"] = (0.0, 120.0)
+    outside = count_outside(df, {r: values[r[0]] for r in ranges}, ranges)
+
+    out: dict[str, dict] = {c: {} for c in numeric + checked}
+    for c in numeric:
+        key = (c, "loose")
+        m, q = shape[key], quartiles[key]
+        out[c] |= {
+            "valid_count": m["n"], "outlier_count_iqr": outside.get((key, "iqr"), 0),
+            "skewness": _round(sample_skewness(m["skew"], m["n"]) or 0.0),
+            "min_value": m["low"], "max_value": m["high"], "mean": m["mean"],
+            "median": q[1] if q else None, "std": m["std"],
+        }
+    for c in checked:
+        key = plain[c]
+        m = shape[key]
         out[c] |= {
             "negative_count": m["negatives"], "extreme_upper": upper.get(c),
-            "extreme_count": extreme.get(c, 0), "range_violations": beyond.get(c, 0),
-            "age_violations": unaged.get(c, 0),
+            "extreme_count": outside.get((key, "extreme"), 0),
+            "range_violations": outside.get((key, "limit"), 0),
+            "age_violations": outside.get((key, "age"), 0),
             "actual_skewness": sample_skewness(m["skew"], m["n"]) if m["n"] >= 4 else 0.0,
-            "actual_outliers": outliers.get(c, 0), "is_integer_column": bool(m["whole"]),
+            "actual_outliers": outside.get((key, "iqr"), 0), "is_integer_column": bool(m["whole"]),
         }
-    words = [c for c in columns if types[c] in ("text", "category")]
-    modes = frequency_summary(df, {c: X.text(X.ref(c)) for c in words})
-    for c, m in modes.items():
-        out[c]["mode_dominance"] = m["mode_count"] / m["total"] if m["total"] else 0.0
+    return out
+
+
+def _text_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
+    """Unreadable dates, emails and booleans, and wrong case, in one pass.
+
+    Each cell carries the test it is due, so no cell is parsed for another type.
+    """
+    due = {}
+    for c in columns:
+        if types[c] == "date" and of_kind[c] != "datetime":
+            due[c, "date"] = X.text(X.ref(c))
+        elif types[c] in ("email", "boolean"):
+            due[c, types[c]] = X.lower_strip(X.ref(c))
+        if evidence and named(fixed.TITLE_NAME, c):
+            due[c, "title"] = X.strip(X.text(X.ref(c)))
+    v, test = F.col("v"), F.col("test")
+    cells = {
+        key: F.when(value.isNotNull(), F.struct(value.alias("v"), F.lit(key[1]).alias("test")))
+        for key, value in due.items()
+    }
+    out: dict[str, dict] = {c: {} for c, _ in due}
+    if not cells:
+        return out
+    truth = test == "boolean"
+    found = by_column(
+        df, cells, prepare=("k", "v.*"), n=F.count("v"),
+        bad=F.count_if(
+            F.when(test == "date", X.to_datetime(v, "string").isNull())
+            .when(test == "email", ~X.is_email(v)).when(test == "title", v != X.title_case(v))
+            .otherwise(X.to_bit(v).isNull())),
+        true=F.count_if(truth & v.isin(*fixed.TRUE_TOKENS)),
+        false=F.count_if(truth & v.isin(*fixed.FALSE_TOKENS)),
+    )
+    for (c, kind), m in found.items():
+        bad, yes, no = (m.get(x, 0) for x in ("bad", "true", "false"))
+        if kind == "date":
+            out[c]["invalid_date_count"] = bad
+        elif kind == "email":
+            out[c]["invalid_email_count"] = bad
+        elif kind == "title":
+            out[c]["wrong_case_count"] = bad
+        else:
+            odd = m.get("n", 0) - yes - no
+            out[c] |= {
+                "bool_true_count": yes, "bool_false_count": no, "bool_invalid_count": odd,
+                "bool_unrecognised_count": bad, "invalid_numeric_count": odd,
+                "most_common": "true" if yes >= no else "false",
+            }
     return out
 
 

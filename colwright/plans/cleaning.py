@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import exprs as X, fixed
-from ..operators.melt import by_column, frequency_summary, wide
+from ..operators.melt import by_column, wide
 from ..operators.profiling import (
     PROFILE_SCHEMA, fences, moments, named, profile, rows_to_df, sample_skewness,
 )
 from ..operators.quantiles import exact_quantiles
 from ..sources.staging import stage
-from ..sources.tables import check_columns, preflight
+from ..sources.tables import blanks_to_null, check_columns, drop_empty
 from .decide import decide
 
 FLAGGING = (
@@ -68,8 +68,9 @@ class CleaningPlan:
         if preflighted:
             source, rows = df, {}
         else:
-            source = stage(preflight(df), "preflight")
-            rows = _row_counts(df, source)
+            staged = stage(blanks_to_null(df.dropDuplicates()), "preflight")
+            source = drop_empty(staged)
+            rows = _row_counts(df, staged, source)
         of_kind = X.kinds(source)
         wanted = [c for c in wanted if of_kind[c] != "nested"]
         profiled = profile(source, wanted, evidence=any(c not in overrides for c in wanted))
@@ -195,47 +196,50 @@ def clean(df: DataFrame, columns=None, **options):
     return plan.cleaned(), plan
 
 
-def _row_counts(df: DataFrame, source: DataFrame) -> dict:
+def _row_counts(df: DataFrame, distinct: DataFrame, source: DataFrame) -> dict:
     """Rows before and after, split into dropped duplicates and dropped empty rows."""
-    of_kind = X.kinds(df)
-    filled = X.any_of(
-        (X.blank_to_null(X.ref(c)) if of_kind[c] == "string" else X.ref(c)).isNotNull()
-        for c in df.columns
-    )
-    before, empty = df.agg(F.count("*"), F.count_if(~filled)).first()
-    after = source.count()
-    # Empty rows that repeat each other go as duplicates first; blank and null
-    # spellings of emptiness stay apart until blanks are nulled.
-    distinct_empty = df.where(~filled).dropDuplicates().count() if empty else 0
-    return {"before": before, "after": after, "empty": distinct_empty,
-            "duplicates": before - after - distinct_empty}
+    before, unique, after = df.count(), distinct.count(), source.count()
+    return {"before": before, "after": after, "duplicates": before - unique,
+            "empty": unique - after}
 
 
 # -- per-action fitting --------------------------------------------------------
 
 
 def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
-    """Measure everything the chosen actions need, all columns per pass."""
+    """Measure everything the chosen actions need, all columns and actions per pass."""
     chosen = {d["column_name"]: d["action"] for d in decisions}
     with_action = lambda *actions: [c for c, a in chosen.items() if a in actions]
     imputed = with_action("impute_mean", "impute_median")
     fenced = with_action("flag_outliers")
-    converted = with_action("convert_and_flag")
+    fixes = _conversion_steps(source, of_kind, with_action("convert_and_flag"))
+
     cells = {c: X.to_money(X.ref(c), of_kind[c]) for c in imputed + fenced}
-    measured = moments(source, cells)
-    medians = exact_quantiles(
-        source, {c: cells[c] for c in imputed if chosen[c] == "impute_median"}, (0.5,),
-        {c: measured[c]["n"] for c in imputed})
-    counts = {c: measured[c]["n"] for c in fenced}
-    bounds = fences(
-        exact_quantiles(source, {c: cells[c] for c in fenced}, (0.25, 0.75), counts), counts)
-    whole = _whole_numbered(source, of_kind, imputed)
-    fixes = _fit_conversions(source, of_kind, converted)
-    modes = frequency_summary(source, {c: X.text(X.ref(c)) for c in with_action("fill_mode")})
-    booleans = with_action("normalize_boolean")
-    bits = by_column(
-        source, {c: X.to_bit(X.ref(c)) for c in booleans},
-        ones=F.count_if(F.col("v") == 1), zeros=F.count_if(F.col("v") == 0))
+    values = dict(cells) | {c: s["kept"] for c, s in fixes.items()}
+    # Whether plainly parsed numbers are whole, and the share of ones among booleans.
+    extra = {(c, "plain"): X.to_number(X.ref(c), of_kind[c]) for c in imputed}
+    extra |= {
+        (c, "plain"): F.when(~s["invalid"], X.to_number(X.ref(c), of_kind[c]))
+        for c, s in fixes.items()
+    }
+    extra |= {
+        (c, "bit"): X.to_bit(X.ref(c)).cast("double") for c in with_action("normalize_boolean")
+    }
+    shape = moments(source, values | extra)
+    skew = {
+        c: sample_skewness(shape[c]["skew"], shape[c]["n"]) if shape[c]["n"] >= 4 else 0.0
+        for c in fixes
+    }
+    ranked = fenced + with_action("impute_median") + [c for c in fixes if abs(skew[c]) >= 0.5]
+    counts = {c: shape[c]["n"] for c in ranked}
+    quartiles = exact_quantiles(source, {c: values[c] for c in ranked}, counts=counts)
+    bounds = fences({c: quartiles[c] for c in fenced}, counts)
+    median = {c: q[1] if q else None for c, q in quartiles.items()}
+    whole = {c: bool(shape[c, "plain"]["whole"]) for c in imputed + list(fixes)}
+    for c, s in fixes.items():
+        s["method"] = "median" if c in median else "mean"
+        s["fill"] = median[c] if c in median else shape[c]["mean"]
+        s["whole"], s["filled"] = whole[c], shape[c]["n"]
 
     out = []
     for d in decisions:
@@ -243,7 +247,7 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
         kind, raw, action = of_kind[c], X.ref(c), chosen[c]
         plan = ColumnPlan(c, kind, d, raw)
         if action in ("impute_mean", "impute_median"):
-            fill = measured[c]["mean"] if action == "impute_mean" else (medians[c] or [None])[0]
+            fill = shape[c]["mean"] if action == "impute_mean" else median[c]
             plan.cell = F.coalesce(cells[c], F.lit(fill).cast("double"))
             plan.details["fill_value"] = None if fill is None else round(fill, 4)
             if whole[c] and fill is not None:
@@ -269,7 +273,7 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
                            f"IQR outlier [bounds {lo:.2f}–{hi:.2f}]")]
             plan.details |= {"iqr_lower": round(lo, 4), "iqr_upper": round(hi, 4)}
         elif action == "fill_mode":
-            mode = modes[c]["mode"]
+            mode = d["mode_text"]
             fill = F.lit("Unknown" if mode is None else mode)
             plan.cell = F.coalesce(raw, fill.cast(source.schema[c].dataType) if mode else fill)
             plan.changed = raw.isNull()
@@ -280,7 +284,7 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
             plan.details["fill_value"] = "Unknown"
         elif action == "normalize_boolean":
             bit = X.to_bit(raw)
-            mode = int(bits[c].get("ones", 0) > bits[c].get("zeros", 0))
+            mode = int((shape[c, "bit"]["mean"] or 0.0) > 0.5)
             plan.cell = F.coalesce(bit, F.lit(mode)).cast("bigint")
             plan.notes = [(bit.isNull() & raw.isNotNull(), "unrecognised boolean value")]
             plan.changed = bit.isNotNull()
@@ -294,18 +298,11 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
     return out
 
 
-def _whole_numbered(source, of_kind, columns, values=None) -> dict[str, bool]:
-    """Columns whose plainly parsed numbers are all whole (and that have any)."""
-    values = values or {c: X.to_number(X.ref(c), of_kind[c]) for c in columns}
-    found = by_column(source, values, whole=F.bool_and(F.col("v") % 1 == 0))
-    return {c: bool(m.get("whole")) for c, m in found.items()}
+def _conversion_steps(source, of_kind, columns) -> dict[str, dict]:
+    """Number conversion up to the fill: parse, range rules, extremes.
 
-
-def _fit_conversions(source, of_kind, columns) -> dict[str, dict]:
-    """Stages of number conversion: parse, range rules, extremes, fill value.
-
-    Each later stage depends on the values the earlier ones keep, so there are three
-    passes in all, whatever the number of columns.
+    Extremes are judged on the values the range rules keep, the fill value on those
+    the extremes leave.
     """
     steps = {}
     for c in columns:
@@ -338,20 +335,6 @@ def _fit_conversions(source, of_kind, columns) -> dict[str, dict]:
         steps[c]["notes"].append((kept > upper, f"extreme outlier removed (> {upper:.0f})"))
         steps[c]["kept"] = F.when(kept <= upper, kept)
 
-    final = {c: s["kept"] for c, s in steps.items()}
-    shape = moments(source, final)
-    skew = {
-        c: (sample_skewness(m["skew"], m["n"]) if m["n"] >= 4 else 0.0) for c, m in shape.items()
-    }
-    by_median = {c: final[c] for c in final if abs(skew[c]) >= 0.5}
-    medians = exact_quantiles(source, by_median, (0.5,), {c: shape[c]["n"] for c in by_median})
-    whole = _whole_numbered(source, of_kind, columns, {
-        c: F.when(~s["invalid"], X.to_number(X.ref(c), of_kind[c])) for c, s in steps.items()})
-    for c, s in steps.items():
-        s["method"] = "median" if c in by_median else "mean"
-        s["fill"] = (medians[c] or [None])[0] if c in by_median else shape[c]["mean"]
-        s["whole"] = whole[c]
-        s["filled"] = shape[c]["n"]
     return steps
 
 
