@@ -947,12 +947,12 @@ def chart_grouped(spark, sf_dir):
     return rounded(found, "value", digits=1)
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, round(avg(o_totalprice), 4) AS value "
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, round(avg(o_totalprice), 6) AS value "
        "FROM orders GROUP BY o_orderdate")
 def chart_line(spark, sf_dir):
     found = cw.chart_data(table(spark, sf_dir, "orders"), "line", "o_orderdate", "o_totalprice",
                           aggregation="mean")
-    return rounded(found, "value")
+    return rounded(found, "value", digits=6)
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS series, "
