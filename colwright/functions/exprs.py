@@ -51,12 +51,12 @@ def lower_strip(c: Column) -> Column:
 def finite(c: Column) -> Column:
     """NaN and the infinities count as missing numbers."""
     value = c.cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def parse_number(s: Column) -> Column:
     """Text to number; anything but a plain decimal literal gives null."""
-    return finite(F.when(s.rlike(fixed.NUMBER), s.try_cast("double")))
+    return finite(F.regexp_extract(s, fixed.NUMBER, 1).try_cast("double"))
 
 
 def to_number(c: Column, kind: str) -> Column:
@@ -70,7 +70,7 @@ def to_number(c: Column, kind: str) -> Column:
 
 
 def strip_symbols(s: Column) -> Column:
-    return F.regexp_replace(s, r"[£$€,\s]", "")
+    return F.translate(s, "£$€," + _SPACES, "")
 
 
 def to_profile_number(c: Column, kind: str) -> Column:
@@ -81,8 +81,7 @@ def to_profile_number(c: Column, kind: str) -> Column:
 
 
 def strip_currency(s: Column) -> Column:
-    bare = F.regexp_replace(s, r"(?i)[£$€]|gbp|usd|eur|inr", "")
-    return strip(F.replace(bare, F.lit(","), F.lit("")))
+    return strip(F.regexp_replace(F.translate(s, "£$€,", ""), "(?i)gbp|usd|eur|inr", ""))
 
 
 def to_money(c: Column, kind: str) -> Column:
@@ -131,8 +130,9 @@ def day_number(ts: Column) -> Column:
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
 
 
-def matches_any(s: Column, patterns) -> Column:
-    return s.rlike("|".join(f"(?:{p})" for p in patterns))
+def has_date_shape(s: Column, shapes) -> Column:
+    """Every date shape takes 8 characters or more, so short text needs no pattern."""
+    return (F.length(s) >= 8) & s.rlike("|".join(f"(?:{p})" for p in shapes))
 
 
 def normalize_email(c: Column) -> Column:
@@ -141,7 +141,7 @@ def normalize_email(c: Column) -> Column:
 
 
 def is_email(s: Column) -> Column:
-    return s.rlike(fixed.EMAIL)
+    return F.contains(s, F.lit("@")) & s.rlike(fixed.EMAIL)
 
 
 def truth_token(c: Column) -> Column:

@@ -12,22 +12,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def melt(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Non-null cells of the given expressions as ``(k int, v)``."""
-    cells = F.array(
-        *[F.struct(F.lit(k).alias("k"), value.alias("v")) for k, value in enumerate(values.values())]
-    )
-    return df.select(F.inline(cells)).where(F.col("v").isNotNull())
-
-
-def by_column(df: DataFrame, values: dict, prepare=("k", "v"), **metrics: Column) -> dict:
-    """Aggregates of ``v`` for every column: ``{name: {metric: value}}``.
+def melt(df: DataFrame, values: dict, **riders: dict) -> DataFrame:
+    """Usable cells of the given expressions as ``(k int, v, riders...)``.
 
-    ``prepare`` selects from the melted cells first, to unpack cells that are structs.
+    Nulls, NaN and infinities are left out. ``riders`` are per-column literals (a
+    bound, a test name) that travel with the cells, so that one short expression over
+    ``v`` serves every column. The expressions are projected first and therefore
+    evaluated once per row, however often ``v`` is used later.
     """
+    flat = df.select(*[value.alias(f"c{k}") for k, value in enumerate(values.values())])
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("v"),
+                 *[F.lit(rider[name]).alias(field) for field, rider in riders.items()])
+        for k, name in enumerate(values)
+    ])
+    usable = F.col("v").isNotNull()
+    if flat.schema[0].dataType.typeName() == "double":
+        usable = F.abs("v") < float("inf")
+    return flat.select(F.inline(cells)).where(usable)
+
+
+def by_column(df: DataFrame, values: dict, riders: dict | None = None, **metrics: Column) -> dict:
+    """Aggregates of ``v`` for every column: ``{name: {metric: value}}``."""
     if not values:
         return {}
-    grouped = melt(df, values).select(*prepare).groupBy("k").agg(*[m.alias(n) for n, m in metrics.items()])
+    long = melt(df, values, **(riders or {}))
+    grouped = long.groupBy("k").agg(*[m.alias(n) for n, m in metrics.items()])
     names = list(values)
     found = {names[row["k"]]: row.asDict() for row in grouped.collect()}
     return {name: found.get(name, {}) for name in names}

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import exprs as X, fixed
-from .melt import by_column, frequencies, frequency_summary, melt, wide
+from .melt import by_column, frequencies, frequency_summary, wide
 from .quantiles import exact_quantiles
 
 _D, _L, _S = T.DoubleType(), T.LongType(), T.StringType()
@@ -80,19 +80,35 @@ def cell_text(name: str, kind: str):
     return X.text(present(name, kind) if kind == "number" else X.ref(name))
 
 
-def distinct_key(name: str, kind: str):
-    """Text form used to count distinct cells."""
-    return X.text(X.ref(name))
+def cell_frequencies(df: DataFrame, columns) -> dict[str, dict]:
+    """Distinct count, mode (as text) and mode count of the raw cells of each column.
+
+    Columns are melted per storage family: whole numbers, other numbers and text, so
+    that numbers are not printed to be counted.
+    """
+    families: dict[str, dict] = {}
+    for field in df.schema.fields:
+        if field.name not in columns:
+            continue
+        kind = field.dataType.typeName()
+        family = {"byte": "bigint", "short": "bigint", "integer": "bigint", "long": "bigint",
+                  "float": "double", "double": "double"}.get(kind, "string")
+        families.setdefault(family, {})[field.name] = X.ref(field.name).cast(family)
+    out: dict[str, dict] = {}
+    for values in families.values():
+        out |= frequency_summary(df, values)
+    for m in out.values():
+        m["mode"] = None if m["mode"] is None else str(m["mode"])
+    return out
 
 
 def distinct_counts(df: DataFrame, columns, approximate: bool = False) -> dict[str, int]:
     """Distinct non-null cells per column; ``approximate`` avoids the shuffle of values."""
-    of_kind = X.kinds(df)
-    keys = {c: distinct_key(c, of_kind[c]) for c in columns}
     if approximate:
-        found = by_column(df, keys, u=F.approx_count_distinct("v", 0.02))
+        texts = {c: X.text(X.ref(c)) for c in columns}
+        found = by_column(df, texts, u=F.approx_count_distinct("v", 0.02))
         return {c: found[c].get("u", 0) for c in columns}
-    return {c: m["distinct"] for c, m in frequency_summary(df, keys).items()}
+    return {c: m["distinct"] for c, m in cell_frequencies(df, columns).items()}
 
 
 def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, total: int):
@@ -148,24 +164,13 @@ def moments(df: DataFrame, values) -> dict[str, dict]:
     return {c: m or empty for c, m in found.items()}
 
 
-def count_outside(df: DataFrame, values, ranges: dict[str, tuple[float, float]]) -> dict[str, int]:
-    """Cells outside ``[lo, hi]`` per column. The bounds ride along as columns."""
-    cells = {
-        c: F.when(
-            values[c].isNotNull(),
-            F.struct(values[c].alias("v"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")),
-        )
-        for c, (lo, hi) in ranges.items()
-    }
-    if not cells:
-        return {}
-    names = list(cells)
-    rows = (
-        melt(df, cells).select("k", "v.*").groupBy("k")
-        .agg(F.expr("count_if(v < lo or v > hi)").alias("n")).collect()
-    )
-    found = {names[r["k"]]: r["n"] for r in rows}
-    return {c: found.get(c, 0) for c in names}
+def count_outside(df: DataFrame, values: dict, ranges: dict) -> dict:
+    """Cells outside ``[lo, hi]`` per column."""
+    found = by_column(
+        df, {c: values[c] for c in ranges},
+        {"lo": {c: lo for c, (lo, _) in ranges.items()}, "hi": {c: hi for c, (_, hi) in ranges.items()}},
+        n=F.expr("count_if(v < lo or v > hi)"))
+    return {c: m.get("n", 0) for c, m in found.items()}
 
 
 def fences(quartiles: dict, counts: dict[str, int], reach: float = 1.5):
@@ -215,7 +220,7 @@ def profile_rows(
     flat = [c for c in columns if of_kind[c] != "nested"]
     modes, unique = {}, distinct_counts(df, flat, True) if approximate_distinct else {}
     if not approximate_distinct:
-        modes = frequency_summary(df, {c: distinct_key(c, of_kind[c]) for c in flat})
+        modes = cell_frequencies(df, flat)
         unique = {c: m["distinct"] for c, m in modes.items()}
     types = infer_cleaning_types(df, columns, unique, missing, total)
 
@@ -332,16 +337,10 @@ def _text_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
         if evidence and named(fixed.TITLE_NAME, c):
             due[c, "title"] = X.strip(X.text(X.ref(c)))
     v, test = F.col("v"), F.col("test")
-    cells = {
-        key: F.when(value.isNotNull(), F.struct(value.alias("v"), F.lit(key[1]).alias("test")))
-        for key, value in due.items()
-    }
     out: dict[str, dict] = {c: {} for c, _ in due}
-    if not cells:
-        return out
     truth = test == "boolean"
     found = by_column(
-        df, cells, prepare=("k", "v.*"), n=F.count("v"),
+        df, due, {"test": {key: key[1] for key in due}}, n=F.count("v"),
         bad=F.count_if(
             F.when(test == "date", X.to_datetime(v, "string").isNull())
             .when(test == "email", ~X.is_email(v)).when(test == "title", v != X.title_case(v))
@@ -385,12 +384,15 @@ TYPE_SCHEMA = T.StructType(
 )
 
 
-def type_rows(df: DataFrame, mode: str = "insight") -> list[dict]:
-    """Semantic type per column for ``cleaning``, ``statistics`` or ``insight`` use."""
+def type_rows(df: DataFrame, mode: str = "insight", count_distinct: bool = True) -> list[dict]:
+    """Semantic type per column for ``cleaning``, ``statistics`` or ``insight`` use.
+
+    Only the ``statistics`` types can do without distinct counts.
+    """
     of_kind = X.kinds(df)
     columns = [c for c in df.columns if of_kind[c] != "nested"]
     total, missing = missing_counts(df, columns)
-    unique = distinct_counts(df, columns)
+    unique = distinct_counts(df, columns) if count_distinct or mode != "statistics" else {}
     if mode == "cleaning":
         types = infer_cleaning_types(df, columns, unique, missing, total)
     elif mode in ("statistics", "insight"):
@@ -399,7 +401,7 @@ def type_rows(df: DataFrame, mode: str = "insight") -> list[dict]:
         raise ValueError(f"Unknown typing mode '{mode}'.")
     return [
         {"column_name": c, "position": i, "semantic_type": types[c],
-         "missing_pct": round(missing[c] / max(total, 1) * 100, 1), "unique_count": unique[c],
+         "missing_pct": round(missing[c] / max(total, 1) * 100, 1), "unique_count": unique.get(c),
          "missing_count": missing[c], "total_rows": total, "kind": of_kind[c]}
         for i, c in enumerate(columns)
     ]
@@ -410,7 +412,7 @@ def _shape_types(df, columns, of_kind, total, missing, unique, mode):
     v = F.col("v")
     strings = [c for c in columns if of_kind[c] == "string"]
     metrics = {
-        "date": F.avg(X.matches_any(X.strip(v), shapes).cast("int")),
+        "date": F.avg(X.has_date_shape(X.strip(v), shapes).cast("int")),
         "number": F.avg(X.parse_number(v).isNotNull().cast("int")),
     }
     if mode == "insight":
@@ -424,8 +426,9 @@ def _shape_types(df, columns, of_kind, total, missing, unique, mode):
         elif of_kind[c] == "boolean":
             types[c] = "categorical"
         elif of_kind[c] == "number":
-            unique_enough = n < 5 or unique[c] / n > 0.95
-            is_id = mode == "insight" and named(fixed.INSIGHT_ID_NAME, c) and unique_enough
+            is_id = (
+                mode == "insight" and named(fixed.INSIGHT_ID_NAME, c)
+                and (n < 5 or unique[c] / n > 0.95))
             types[c] = "id" if is_id else "numerical"
         elif n == 0:
             types[c] = "categorical"

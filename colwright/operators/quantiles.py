@@ -94,22 +94,13 @@ def _narrow(df, values, targets, limit) -> None:
 
 
 def _in_ranges(df, values, keys) -> DataFrame:
-    """Melted ``(k, v, lo, hi)`` for ``keys`` of ``(name, lo, hi)``.
-
-    The bounds travel as columns, so one short expression serves every column.
-    """
-    cells = {
-        key: F.when(
-            values[key[0]].isNotNull(),
-            F.struct(values[key[0]].alias("v"), F.lit(key[1]).alias("lo"), F.lit(key[2]).alias("hi")),
-        )
-        for key in keys
-    }
-    return melt(df, cells).select("k", "v.*")
+    """Melted ``(k, v, lo, hi)`` for ``keys`` of ``(name, lo, hi)``."""
+    return melt(df, {key: values[key[0]] for key in keys}, lo={key: key[1] for key in keys},
+                hi={key: key[2] for key in keys})
 
 
 def _sketch(df, values, targets) -> None:
-    keys = sorted({(t.name, t.lo, t.hi) for t in targets})
+    keys = list(dict.fromkeys((t.name, t.lo, t.hi) for t in targets))
     wanted = {}
     for t in targets:
         centre = (t.rank - t.below) / max(t.inside - 1, 1)
@@ -138,7 +129,7 @@ def _count(df, values, targets) -> None:
     A rank on a bracket end is settled there, however often that value repeats; a
     rank inside loses the ends; a missed rank moves its bracket.
     """
-    keys = sorted({(t.name, t.lo, t.hi) for t in targets})
+    keys = list(dict.fromkeys((t.name, t.lo, t.hi) for t in targets))
     rows = _in_ranges(df, values, keys).groupBy("k").agg(
         F.expr("count_if(v < lo)"), F.expr("count_if(v = lo)"),
         F.expr("count_if(v > lo and v < hi)"), F.expr("count_if(v = hi and lo < hi)"),
@@ -186,20 +177,17 @@ def _resolve(df, values, targets) -> None:
     names = list(by_name)
     brackets = {name: _union((t.lo, t.hi) for t in by_name[name]) for name in names}
     width = max(map(len, brackets.values()))
-    cells = {}
-    for name in names:
-        padded = brackets[name] + [(math.inf, math.inf)] * (width - len(brackets[name]))
-        bounds = [
-            F.lit(bound).alias(f"{end}{i}")
-            for i, pair in enumerate(padded) for end, bound in zip(("lo", "hi"), pair)
-        ]
-        v = values[name]
-        cells[name] = F.when(v.isNotNull(), F.struct(v.alias("v"), *bounds))
+    riders = {}
+    for i in range(width):
+        # Columns with fewer brackets get one that no value reaches.
+        pair = {n: (b + [(math.inf, math.inf)] * width)[i] for n, b in brackets.items()}
+        riders |= {f"lo{i}": {n: lo for n, (lo, _) in pair.items()},
+                   f"hi{i}": {n: hi for n, (_, hi) in pair.items()}}
     # Number of bracket ends passed: one number per segment of the line.
     passed = " + ".join(f"int(v >= lo{i}) + int(v > hi{i})" for i in range(width))
     inside = " or ".join(f"v between lo{i} and hi{i}" for i in range(width))
     table = (
-        melt(df, cells).select("k", "v.*")
+        melt(df, {name: values[name] for name in names}, **riders)
         .select("k", F.expr(passed).alias("segment"), F.expr(f"if({inside}, v, null)").alias("key"))
         .groupBy("k", "segment", "key").agg(F.count("*").alias("n"))
     )

@@ -35,10 +35,15 @@ class ColumnPlan:
     kind: str
     decision: dict
     cell: Column                                    # cleaned value
+    parsed: Column | None = None                    # parsed cell, projected ahead of the rest
     notes: list[tuple[Column, str]] = field(default_factory=list)
     changed: Column | None = None                   # cell counted as changed
     details: dict = field(default_factory=dict)
 
+    @property
+    def parsed_name(self) -> str:
+        return parsed_name(self.name)
+
     @property
     def flagged(self) -> Column:
         return X.any_of(F.coalesce(condition, F.lit(False)) for condition, _ in self.notes)
@@ -98,7 +103,11 @@ class CleaningPlan:
     # -- use -----------------------------------------------------------------
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Cleaned columns, with ``review_required`` and ``review_notes`` if any action flags."""
+        """Cleaned columns, with ``review_required`` and ``review_notes`` if any action flags.
+
+        Cells are parsed in a first projection, so that value, notes and bounds all use
+        the result of one parse.
+        """
         cells = [
             self.columns[c].cell.alias(c) if c in self.columns else X.ref(c) for c in df.columns
         ]
@@ -108,7 +117,11 @@ class CleaningPlan:
                 (F.size(notes) > 0).alias("review_required"),
                 F.array_join(notes, "; ").alias("review_notes"),
             ]
-        return df.select(*cells)
+        return self.with_parsed(df).select(*cells)
+
+    def with_parsed(self, df: DataFrame) -> DataFrame:
+        parsed = {p.parsed_name: p.parsed for p in self.columns.values() if p.parsed is not None}
+        return df.withColumns(parsed) if parsed else df
 
     def review_notes(self) -> Column:
         notes = [
@@ -128,7 +141,7 @@ class CleaningPlan:
         pairs = {
             c: (X.ref(c), self.columns[c].cell if c in self.columns else X.ref(c)) for c in names
         }
-        return change_rows(self.source, X.ref(key).alias(key), pairs)
+        return change_rows(self.with_parsed(self.source), X.ref(key).alias(key), pairs)
 
     def counters(self) -> dict[str, tuple[int, int]]:
         """Cells changed and flagged per column, one pass."""
@@ -138,7 +151,7 @@ class CleaningPlan:
                 metrics[name, "changed"] = F.count_if(plan.changed)
             if plan.notes:
                 metrics[name, "flagged"] = F.count_if(plan.flagged)
-        found = wide(self.source, metrics, 60) if metrics else {}
+        found = wide(self.with_parsed(self.source), metrics, 60) if metrics else {}
         return {
             n: (found.get((n, "changed"), 0), found.get((n, "flagged"), 0)) for n in self.columns
         }
@@ -206,33 +219,58 @@ def _row_counts(df: DataFrame, distinct: DataFrame, source: DataFrame) -> dict:
 # -- per-action fitting --------------------------------------------------------
 
 
+def parsed_name(column: str) -> str:
+    return f"__parsed_{column}"
+
+
+def _parser(action: str, name: str, raw: Column, kind: str) -> Column | None:
+    """The parse an action rests on."""
+    if action in ("impute_mean", "impute_median", "flag_outliers"):
+        return X.to_money(raw, kind)
+    if action == "convert_and_flag":
+        value = X.to_money(raw, kind)
+        if named(fixed.WORD_NUMBER_NAME, name) and kind != "number":
+            value = F.coalesce(value, X.word_to_number(X.text(raw)))
+        return value
+    if action == "parse_and_flag":
+        return X.to_datetime(raw, kind)
+    if action == "normalize_and_flag":
+        return X.normalize_email(raw)
+    if action == "normalize_boolean":
+        return X.to_bit(raw)
+    if action == "title_case":
+        return X.title_cell(raw)
+    return None
+
+
 def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
     """Measure everything the chosen actions need, all columns and actions per pass."""
     chosen = {d["column_name"]: d["action"] for d in decisions}
     with_action = lambda *actions: [c for c, a in chosen.items() if a in actions]
+    parsers = {c: _parser(a, c.lower(), X.ref(c), of_kind[c]) for c, a in chosen.items()}
+    parsers = {c: p for c, p in parsers.items() if p is not None}
+    work = source.withColumns({parsed_name(c): p for c, p in parsers.items()}) if parsers else source
+    parsed = {c: X.ref(parsed_name(c)) for c in parsers}
+
     imputed = with_action("impute_mean", "impute_median")
     fenced = with_action("flag_outliers")
-    fixes = _conversion_steps(source, of_kind, with_action("convert_and_flag"))
-
-    cells = {c: X.to_money(X.ref(c), of_kind[c]) for c in imputed + fenced}
-    values = dict(cells) | {c: s["kept"] for c, s in fixes.items()}
+    fixes = _conversion_steps(work, {c: parsed[c] for c in with_action("convert_and_flag")})
+    values = {c: parsed[c] for c in imputed + fenced} | {c: s["kept"] for c, s in fixes.items()}
     # Whether plainly parsed numbers are whole, and the share of ones among booleans.
     extra = {(c, "plain"): X.to_number(X.ref(c), of_kind[c]) for c in imputed}
     extra |= {
-        (c, "plain"): F.when(~s["invalid"], X.to_number(X.ref(c), of_kind[c]))
-        for c, s in fixes.items()
-    }
-    extra |= {
-        (c, "bit"): X.to_bit(X.ref(c)).cast("double") for c in with_action("normalize_boolean")
+        (c, "plain"): F.when(parsed[c].isNotNull(), X.to_number(X.ref(c), of_kind[c]))
+        for c in fixes
     }
-    shape = moments(source, values | extra)
+    extra |= {(c, "bit"): parsed[c].cast("double") for c in with_action("normalize_boolean")}
+    shape = moments(work, values | extra)
     skew = {
         c: sample_skewness(shape[c]["skew"], shape[c]["n"]) if shape[c]["n"] >= 4 else 0.0
         for c in fixes
     }
     ranked = fenced + with_action("impute_median") + [c for c in fixes if abs(skew[c]) >= 0.5]
     counts = {c: shape[c]["n"] for c in ranked}
-    quartiles = exact_quantiles(source, {c: values[c] for c in ranked}, counts=counts)
+    quartiles = exact_quantiles(work, {c: values[c] for c in ranked}, counts=counts)
     bounds = fences({c: quartiles[c] for c in fenced}, counts)
     median = {c: q[1] if q else None for c, q in quartiles.items()}
     whole = {c: bool(shape[c, "plain"]["whole"]) for c in imputed + list(fixes)}
@@ -244,11 +282,11 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
     out = []
     for d in decisions:
         c = d["column_name"]
-        kind, raw, action = of_kind[c], X.ref(c), chosen[c]
-        plan = ColumnPlan(c, kind, d, raw)
+        raw, action, cell = X.ref(c), chosen[c], parsed.get(c)
+        plan = ColumnPlan(c, of_kind[c], d, raw, parsers.get(c))
         if action in ("impute_mean", "impute_median"):
             fill = shape[c]["mean"] if action == "impute_mean" else median[c]
-            plan.cell = F.coalesce(cells[c], F.lit(fill).cast("double"))
+            plan.cell = F.coalesce(cell, F.lit(fill).cast("double"))
             plan.details["fill_value"] = None if fill is None else round(fill, 4)
             if whole[c] and fill is not None:
                 plan.cell = F.bround(plan.cell).cast("bigint")
@@ -257,25 +295,24 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
         elif action == "convert_and_flag":
             _apply_conversion(plan, raw, fixes[c])
         elif action == "parse_and_flag":
-            day = X.to_datetime(raw, kind)
-            plan.cell = X.iso_date(day)
-            plan.notes = [(day.isNull() & raw.isNotNull(), "unparseable date")]
-            plan.changed = day.isNotNull()
+            plan.cell = X.iso_date(cell)
+            plan.notes = [(cell.isNull() & raw.isNotNull(), "unparseable date")]
+            plan.changed = cell.isNotNull()
         elif action == "normalize_and_flag":
-            email = X.normalize_email(raw)
-            valid = F.coalesce(X.is_email(email), F.lit(False))
-            plan.cell = F.when(valid, email)
+            valid = F.coalesce(X.is_email(cell), F.lit(False))
+            plan.cell = F.when(valid, cell)
             plan.notes = [(~valid & raw.isNotNull(), "invalid email")]
             plan.changed = valid
         elif action == "flag_outliers" and c in bounds:
             lo, hi = bounds[c]
-            plan.notes = [((cells[c] < lo) | (cells[c] > hi),
+            plan.notes = [((cell < lo) | (cell > hi),
                            f"IQR outlier [bounds {lo:.2f}–{hi:.2f}]")]
             plan.details |= {"iqr_lower": round(lo, 4), "iqr_upper": round(hi, 4)}
         elif action == "fill_mode":
             mode = d["mode_text"]
-            fill = F.lit("Unknown" if mode is None else mode)
-            plan.cell = F.coalesce(raw, fill.cast(source.schema[c].dataType) if mode else fill)
+            data_type = "string" if mode is None else source.schema[c].dataType
+            fill = F.lit("Unknown" if mode is None else mode).cast(data_type)
+            plan.cell = F.coalesce(raw.cast(data_type), fill)
             plan.changed = raw.isNull()
             plan.details["fill_value"] = mode if mode is not None else "Unknown"
         elif action == "fill_unknown":
@@ -283,34 +320,30 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
             plan.changed = raw.isNull()
             plan.details["fill_value"] = "Unknown"
         elif action == "normalize_boolean":
-            bit = X.to_bit(raw)
             mode = int((shape[c, "bit"]["mean"] or 0.0) > 0.5)
-            plan.cell = F.coalesce(bit, F.lit(mode)).cast("bigint")
-            plan.notes = [(bit.isNull() & raw.isNotNull(), "unrecognised boolean value")]
-            plan.changed = bit.isNotNull()
+            plan.cell = F.coalesce(cell, F.lit(mode)).cast("bigint")
+            plan.notes = [(cell.isNull() & raw.isNotNull(), "unrecognised boolean value")]
+            plan.changed = cell.isNotNull()
             plan.details |= {"fill_value": mode, "null_filled": d["missing_count"]}
         elif action == "title_case":
-            plan.cell = X.title_cell(raw)
-            plan.changed = X.strip(X.text(raw)) != X.strip(plan.cell)
+            plan.cell = cell
+            plan.changed = X.strip(X.text(raw)) != X.strip(cell)
         elif action not in fixed.ACTIONS and action != "skipped":
             plan.details["warning"] = f"Unknown action '{action}', no change applied"
         out.append(plan)
     return out
 
 
-def _conversion_steps(source, of_kind, columns) -> dict[str, dict]:
-    """Number conversion up to the fill: parse, range rules, extremes.
+def _conversion_steps(work, parsed: dict[str, Column]) -> dict[str, dict]:
+    """Number conversion up to the fill: range rules, then extremes.
 
     Extremes are judged on the values the range rules keep, the fill value on those
     the extremes leave.
     """
     steps = {}
-    for c in columns:
-        name, kind, raw = c.lower(), of_kind[c], X.ref(c)
-        value = X.to_money(raw, kind)
-        if named(fixed.WORD_NUMBER_NAME, name) and kind != "number":
-            value = F.coalesce(value, X.word_to_number(X.text(raw)))
-        invalid = value.isNull() & raw.isNotNull()
+    for c, value in parsed.items():
+        name = c.lower()
+        invalid = value.isNull() & X.ref(c).isNotNull()
         notes, kept = [(invalid, "could not convert to numeric")], value
         if named(fixed.CONVERT_AGE_NAME, name):
             notes.append((value < 0, "negative age removed"))
@@ -325,16 +358,15 @@ def _conversion_steps(source, of_kind, columns) -> dict[str, dict]:
         if money:
             notes.append((value < 0, "negative value removed (impossible for this column)"))
             kept = F.when(value >= 0, kept)
-        steps[c] = {"value": value, "kept": kept, "notes": notes, "invalid": invalid, "money": money}
+        steps[c] = {"kept": kept, "notes": notes, "invalid": invalid, "money": money}
 
     money = {c: s["kept"] for c, s in steps.items() if s["money"]}
-    counts = {c: m.get("n", 0) for c, m in by_column(source, money, n=F.count("v")).items()}
-    quartiles = exact_quantiles(source, money, (0.25, 0.75), counts)
+    counts = {c: m.get("n", 0) for c, m in by_column(work, money, n=F.count("v")).items()}
+    quartiles = exact_quantiles(work, money, (0.25, 0.75), counts)
     for c, (_, upper) in fences(quartiles, counts, 3.0).items():
         kept = steps[c]["kept"]
         steps[c]["notes"].append((kept > upper, f"extreme outlier removed (> {upper:.0f})"))
         steps[c]["kept"] = F.when(kept <= upper, kept)
-
     return steps
 
 
