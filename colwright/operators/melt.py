@@ -64,19 +64,28 @@ def frequencies(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return melt(df, values).groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
-def frequency_summary(df: DataFrame, values: dict[str, Column]) -> dict[str, dict]:
-    """Distinct count, mode and its count per column; ties go to the smallest value."""
+def frequency_summary(df: DataFrame, values: dict, counts: dict | None = None) -> dict[str, dict]:
+    """Distinct count, mode and its count per column; ties go to the smallest value.
+
+    With the cell ``counts`` known beforehand, also the Shannon entropy in bits.
+    """
     if not values:
         return {}
+    names = list(values)
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v")))
+    entropy = F.lit(None).cast("double")
+    if counts is not None:
+        total = F.element_at(F.array(*[F.lit(max(counts[c], 1)) for c in names]), F.col("k") + 1)
+        share = F.col("n") / total
+        entropy = F.sum(-share * F.log2(share + 1e-12))
     rows = (
         frequencies(df, values).groupBy("k")
-        .agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), best.alias("best"))
+        .agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), best.alias("best"),
+             entropy.alias("entropy"))
         .select("k", "distinct", "total", F.col("best.v").alias("mode"),
-                (-F.col("best.neg")).alias("mode_count"))
+                (-F.col("best.neg")).alias("mode_count"), "entropy")
         .collect()
     )
-    names = list(values)
     found = {names[row["k"]]: row.asDict() for row in rows}
-    empty = {"distinct": 0, "total": 0, "mode": None, "mode_count": 0}
+    empty = {"distinct": 0, "total": 0, "mode": None, "mode_count": 0, "entropy": None}
     return {name: found.get(name, empty) for name in names}

@@ -114,8 +114,7 @@ class CleaningPlan:
         if any(p.decision["action"] in FLAGGING for p in self.columns.values()):
             notes = self.review_notes()
             cells += [
-                (F.size(notes) > 0).alias("review_required"),
-                F.array_join(notes, "; ").alias("review_notes"),
+                (notes != "").alias("review_required"), notes.alias("review_notes"),
             ]
         return self.with_parsed(df).select(*cells)
 
@@ -128,7 +127,8 @@ class CleaningPlan:
             F.when(condition, F.lit(f"{plan.name}: {words}"))
             for plan in self.columns.values() for condition, words in plan.notes
         ]
-        return F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>")
+        # Absent notes are null and left out, so no note starts with a separator.
+        return F.concat_ws("; ", *notes)
 
     def cleaned(self) -> DataFrame:
         return self.transform(self.source)
