@@ -154,13 +154,12 @@ def moments(df: DataFrame, values) -> dict[str, dict]:
     """Count, mean, spread, shape and extremes of numeric expressions, one pass."""
     found = by_column(
         df, values, n=F.count("v"), mean=F.avg("v"), std=F.stddev_samp("v"),
-        variance=F.var_samp("v"), skew=F.skewness("v"), kurt=F.kurtosis("v"),
-        low=F.min("v"), high=F.max("v"), zeros=F.count_if(F.col("v") == 0),
-        negatives=F.count_if(F.col("v") < 0), whole=F.bool_and(F.col("v") % 1 == 0),
+        skew=F.skewness("v"), kurt=F.kurtosis("v"), low=F.min("v"), high=F.max("v"),
+        zeros=F.count_if(F.col("v") == 0), negatives=F.count_if(F.col("v") < 0),
+        whole=F.bool_and(F.rint("v") == F.col("v")),
     )
-    empty = dict.fromkeys(
-        ("mean", "std", "variance", "skew", "kurt", "low", "high"), None
-    ) | {"n": 0, "zeros": 0, "negatives": 0, "whole": False}
+    empty = dict.fromkeys(("mean", "std", "skew", "kurt", "low", "high"), None) | {
+        "n": 0, "zeros": 0, "negatives": 0, "whole": False}
     return {c: m or empty for c, m in found.items()}
 
 
