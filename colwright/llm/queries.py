@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import chat
 from .common import table
 from .jaccard_join import near_duplicates
 
@@ -22,3 +25,52 @@ def query(sql: str | None = None):
 def op3_ngram_jaccard_join(spark, sf_dir):
     """Components of documents whose 4-word shingle sets have a similarity of 85 % or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+ECHO = "</s>[INST] ok [/INST]"
+
+
+def _op9_sql() -> str:
+    """Turns and digests in SQL; the formatted length counts marks and escapes."""
+    def escaped(text):
+        out = f"replace({text}, '\\', '\\\\')"
+        for c in chat.TEMPLATE.controls:
+            out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+        return out
+    marks = " ".join(f"WHEN '{r}' THEN {len(t.opening) + len(t.closing)}" for r, t in chat.TEMPLATE.turns.items())
+    before, after = chat.TEMPLATE.other.opening.split("{}")
+    other = f"{len(before + after) + len(chat.TEMPLATE.other.closing)} + 2 * strlen(role)"
+    allowed = " OR ".join(f"(prev = '{a}' AND role IN ({', '.join(repr(b) for b in after_)}))"
+                          for a, after_ in chat.TEMPLATE.moves.items())
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{ECHO}'), (-1, 1, 'assistant', '{ECHO}'))),
+o AS (SELECT *, coalesce(lag(role) OVER w, '') AS prev, row_number() OVER w AS k,
+             count(*) OVER (PARTITION BY conv_id) AS m,
+             (CASE role {marks} ELSE {other} END) + length({escaped('text')}) AS width
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(width)::BIGINT AS formatted_chars,
+       bool_and({allowed}) AND max(CASE WHEN k = m THEN role END) = 'assistant' AS valid
+FROM o GROUP BY conv_id"""
+
+
+@query(_op9_sql())
+def op9_chat_formatting(spark, sf_dir):
+    """Conversations formatted, then read back from the formatted text and its loss mask."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    echo = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(ECHO).alias("text"))
+    made = chat.format_chats(rows.unionByName(echo)).select(
+        "conv_id", "formatted", "valid", chat.read_chats(F.col("formatted")).alias("back"),
+        F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: chat.unescaped(s.text)),
+                     "").alias("learned"))
+    spoken = F.array_join(F.transform("back", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return made.select(
+        "conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
