@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import table
 from .jaccard_join import near_duplicates
+from .quality import quality_rules
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,3 +75,9 @@ def op9_chat_formatting(spark, sf_dir):
         "conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
+
+
+@query()
+def op5_quality_rules(spark, sf_dir):
+    """Base measures of every document and the verdict of the log-likelihood ratio."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
