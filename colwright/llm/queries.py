@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import table
 from .jaccard_join import near_duplicates
+from .licenses import default_rules, scan_licenses
 from .quality import quality_rules
 
 QUERIES: dict = {}
@@ -81,3 +82,41 @@ def op9_chat_formatting(spark, sf_dir):
 def op5_quality_rules(spark, sf_dir):
     """Base measures of every document and the verdict of the log-likelihood ratio."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op2_sql() -> str:
+    """The same rules, intervals and suppression in SQL."""
+    rules = ", ".join(f"({r.rule_id}, '{r.label}', '{r.keyword}', '{r.pattern}', {r.tier}, {r.score}, {r.base})"
+                      for r in default_rules())
+    return f"""
+WITH rules(rule_id, label, keyword, pattern, tier, rule_score, base) AS (VALUES {rules}),
+t AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS n_words,
+        CASE WHEN w = '' THEN '' ELSE '|' || replace(w, ' ', ' |') || ' ' END AS seq FROM t),
+hit AS (SELECT doc_id, rule_id, label, tier, rule_score, base,
+          string_split(regexp_replace(seq, '(' || pattern || ')', chr(1) || '\1' || chr(2), 'g'), '|') AS parts
+        FROM s JOIN rules ON contains(seq, '|' || keyword || ' ') AND regexp_matches(seq, pattern)),
+spans AS (SELECT doc_id, rule_id, label, tier, rule_score, base,
+            unnest(list_filter(list_transform(parts, lambda p, i: CASE WHEN contains(p, chr(1)) THEN i - 1 END),
+                               lambda x: x IS NOT NULL)) AS first,
+            unnest(list_filter(list_transform(parts, lambda p, i: CASE WHEN contains(p, chr(2)) THEN i - 2 END),
+                               lambda x: x IS NOT NULL)) AS last FROM hit),
+judged AS (SELECT *, coalesce(CASE tier
+    {' '.join(f"WHEN {k} THEN max(CASE WHEN tier <= {k} THEN last END) OVER o" for k in sorted({r.tier for r in default_rules()}))}
+    END >= last, FALSE) AS suppressed FROM spans
+  WINDOW o AS (PARTITION BY doc_id ORDER BY first, last DESC, tier, rule_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
+    max(first) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR NOT suppressed) AS labels,
+    max(rule_score) FILTER (base OR NOT suppressed) AS score FROM judged GROUP BY doc_id)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM s LEFT JOIN found USING (doc_id)"""
+
+
+@query(_op2_sql())
+def op2_license_scan(spark, sf_dir):
+    """License phrases and labels of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
