@@ -91,11 +91,11 @@ def _op2_sql() -> str:
     return f"""
 WITH rules(rule_id, label, keyword, pattern, tier, rule_score, base) AS (VALUES {rules}),
 t AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS w FROM documents),
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' ') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS n_words,
         CASE WHEN w = '' THEN '' ELSE '|' || replace(w, ' ', ' |') || ' ' END AS seq FROM t),
 hit AS (SELECT doc_id, rule_id, label, tier, rule_score, base,
-          string_split(regexp_replace(seq, '(' || pattern || ')', chr(1) || '\1' || chr(2), 'g'), '|') AS parts
+          string_split(regexp_replace(seq, '(' || pattern || ')', chr(1) || '\\1' || chr(2), 'g'), '|') AS parts
         FROM s JOIN rules ON contains(seq, '|' || keyword || ' ') AND regexp_matches(seq, pattern)),
 spans AS (SELECT doc_id, rule_id, label, tier, rule_score, base,
             unnest(list_filter(list_transform(parts, lambda p, i: CASE WHEN contains(p, chr(1)) THEN i - 1 END),
