@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import ascii_lower, text_of
 
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # what stands between words of either case
-WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 class Rule(NamedTuple):
     rule_id: int
     label: str
-    keyword: str  # a word that every match holds
+    gate: str  # words of which every match holds one: texts without any gate word are not scanned
+    keyword: str  # a word that every match holds: the rule is tried on texts that have it
     pattern: str  # regular expression over |word sequences
     tier: int  # 1 is the best
     score: float
@@ -34,9 +34,9 @@ class Rule(NamedTuple):
 
 # Phrases whose places and labels are always reported (fixed values).
 BASE = (
-    ("under the mit license", "mit", "mit"),
-    ("apache license version 2", "apache-2", "apache"),
-    ("cc by nc", "cc-by-nc", "nc"),
+    ("under the mit license", "mit", "under", "mit"),
+    ("apache license version 2", "apache-2", "license", "apache"),
+    ("cc by nc", "cc-by-nc", "cc", "cc"),
 )
 
 # label, keyword, name tokens (all that a notice or a reference uses for the license).
@@ -67,12 +67,12 @@ FAMILIES = (
     ("epl-1", "eclipse", "eclipse public license version? 1|v1 0?"),
     ("cddl-1", "cddl", "cddl version? 1 0?"),
     ("eupl-1.2", "eupl", "eupl version? 1 2"),
-    ("cc-by-nc", "nc", "cc by nc 1|2|3|4 0|5"),
-    ("cc-by-nc-sa", "nc", "cc by nc sa 1|2|3|4? 0|5?"),
-    ("cc-by-nc-nd", "nc", "cc by nc nd 1|2|3|4? 0|5?"),
-    ("cc-by-sa", "sa", "cc by sa 1|2|3|4? 0|5?"),
-    ("cc-by-nd", "nd", "cc by nd 1|2|3|4? 0|5?"),
-    ("cc-by", "by", "cc by 1|2|3|4 0|5"),
+    ("cc-by-nc", "cc", "cc by nc 1|2|3|4 0|5"),
+    ("cc-by-nc-sa", "cc", "cc by nc sa 1|2|3|4? 0|5?"),
+    ("cc-by-nc-nd", "cc", "cc by nc nd 1|2|3|4? 0|5?"),
+    ("cc-by-sa", "cc", "cc by sa 1|2|3|4? 0|5?"),
+    ("cc-by-nd", "cc", "cc by nd 1|2|3|4? 0|5?"),
+    ("cc-by", "cc", "cc by 1|2|3|4 0|5"),
     ("cc0", "cc0", "cc0 1? 0?"),
     ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
     ("cc-by-sa", "sharealike", "creative commons attribution sharealike"),
@@ -91,13 +91,15 @@ FAMILIES = (
     ("afl-3", "academic", "academic free license version? 3"),
 )
 
-# Forms that notices take, from the most explicit to the loosest: tokens before and after the name.
+# Forms that notices take, from the most explicit to the loosest: tier, score, gate words, tokens
+# before and after the name.
 FORMS = (
-    (1, 1.0, "spdx license identifier", ""),
-    (1, 0.95, "licensed|released|distributed|available|published|redistributed under the? terms? of? the?", "license|licence?"),
-    (2, 0.8, "license|licence is|are?", "license|licence?"),
-    (2, 0.8, "covered|governed|bound by the?", "license|licence?"),
-    (3, 0.7, "the?", "license|licence"),
+    (1, 1.0, "spdx", "spdx license identifier", ""),
+    (1, 0.95, "under", "licensed|released|distributed|available|published|redistributed under the? terms? of? the?",
+     "license|licence?"),
+    (2, 0.8, "license|licence", "license|licence is|are?", "license|licence?"),
+    (2, 0.8, "covered|governed|bound", "covered|governed|bound by the?", "license|licence?"),
+    (3, 0.7, "license|licence", "the?", "license|licence"),
 )
 
 # Notices without a family name.
@@ -127,12 +129,12 @@ def compiled(pattern: str) -> str:
 @lru_cache(maxsize=1)
 def default_rules() -> tuple[Rule, ...]:
     """Base phrases, then every family in every form, then the general notices."""
-    rows = [(label, word, phrase, 1, 1.0, True) for phrase, label, word in BASE]
-    for tier, score, before, after in FORMS:
-        rows += [(label, word, f"{before} {name} {after}", tier, score, False) for label, word, name in FAMILIES]
-    rows += [(label, word, pattern, tier, score, False) for label, word, pattern, tier, score in GENERAL]
-    return tuple(Rule(i, label, word, compiled(pattern), tier, score, base)
-                 for i, (label, word, pattern, tier, score, base) in enumerate(rows))
+    rows = [(label, gate, word, phrase, 1, 1.0, True) for phrase, label, gate, word in BASE]
+    for tier, score, gate, before, after in FORMS:
+        rows += [(label, gate, word, f"{before} {name} {after}", tier, score, False) for label, word, name in FAMILIES]
+    rows += [(label, word, word, pattern, tier, score, False) for label, word, pattern, tier, score in GENERAL]
+    return tuple(Rule(i, label, gate, word, compiled(pattern), tier, score, base)
+                 for i, (label, gate, word, pattern, tier, score, base) in enumerate(rows))
 
 
 def sequence(text: Column) -> Column:
@@ -145,13 +147,14 @@ def sequence(text: Column) -> Column:
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return spark.createDataFrame(
         [tuple(r) for r in rules],
-        "rule_id int, label string, keyword string, pattern string, tier int, rule_score double, base boolean")
+        "rule_id int, label string, gate string, keyword string, pattern string, tier int, rule_score double, base boolean")
 
 
 def _keyed(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id, sequence and a digest of the text, for texts that hold a keyword."""
-    words = sorted({r.keyword for r in rules})
-    gate = text_of().rlike(f"(?i){'|'.join(words)}")
+    words = sorted({w for r in rules for w in r.gate.split("|")})
+    # Cheaper than whole words and never stricter: no ASCII letter or digit on either side.
+    gate = text_of().rlike(f"(?i)(?<![0-9A-Za-z])(?:{'|'.join(words)})(?![0-9A-Za-z])")
     return docs.where(gate).select("doc_id", F.md5(text_of()).alias("digest"), sequence(text_of()).alias("seq"))
 
 
@@ -202,7 +205,7 @@ def scan_licenses(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> Dat
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"),
         F.max(F.when(base, F.col("first"))).alias("last_word"), names(base).alias("base_labels"),
         names(live).alias("labels"), F.max(F.when(live, F.col("score"))).alias("score"))
-    counted = docs.select(F.col("doc_id").alias("id"), F.regexp_count(text_of(), F.lit(WORDS)).cast("bigint").alias("n_words"),
+    counted = docs.select(F.col("doc_id").alias("id"), F.size(F.array_remove(F.split(text_of(), BREAKS), "")).cast("bigint").alias("n_words"),
                           F.md5(text_of()).alias("text_digest"))
     return counted.join(found, counted.id.eqNullSafe(found.doc_id) & (counted.text_digest == found.digest), "left").select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"),
