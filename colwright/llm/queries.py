@@ -9,6 +9,7 @@ from .common import table
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
 from .quality import quality_rules
+from .url_filters import RULES, filter_urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -120,3 +121,41 @@ FROM s LEFT JOIN found USING (doc_id)"""
 def op2_license_scan(spark, sf_dir):
     """License phrases and labels of every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    """Rules in SQL, and blocks carried over canonical links and refresh targets by recursion."""
+    key = "CASE WHEN contains({0}, '://') THEN lower(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's')) || " \
+          "regexp_extract({0}, '^.*?://[^/?#]*([^#]*)', 1, 's') END"
+    fits = " UNION ALL ".join(
+        f"SELECT * FROM (VALUES ('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}'))" for r, v in RULES)
+    tags = {"CANON": r"""<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>""",
+            "REFRESH": r"""<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>"""}
+    return f"""
+WITH RECURSIVE rules(rule, rhost, rpath, rverdict) AS ({fits}),
+p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) AS host,
+             regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {key.format('url')} AS key FROM p),
+link AS (SELECT url, unnest([
+    regexp_extract(regexp_extract(html, '{tags["CANON"]}', 0, 'is'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
+    regexp_extract(regexp_extract(html, '{tags["REFRESH"]}', 0, 'is'), '\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1, 'is')]) AS dst
+  FROM p WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
+target AS (SELECT {key.format('url')} AS a, CASE WHEN starts_with(dst, '/') THEN
+             {key.format("url")} ELSE {key.format('dst')} END AS b FROM link WHERE dst <> ''),
+edge AS (SELECT a, b FROM target UNION SELECT b, a FROM target),
+node AS (SELECT key FROM h UNION SELECT a FROM edge),
+judged AS (SELECT key, arg_max(rverdict, length(rule)) AS verdict FROM node JOIN rules ON
+    (split_part(split_part(key, '/', 1), '?', 1) = rhost OR ends_with(split_part(split_part(key, '/', 1), '?', 1), '.' || rhost))
+    AND starts_with(regexp_extract(key, '^[^/?]*([^?]*)', 1, 's'), rpath) GROUP BY key),
+reach(key) AS (SELECT key FROM judged WHERE verdict = 'block' AND key IN (SELECT a FROM edge)
+               UNION SELECT b FROM reach JOIN edge ON edge.a = reach.key),
+own AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rverdict, length(rule)) AS rverdict
+        FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN key IN (SELECT key FROM reach) THEN 'block' END,
+       'allow') AS verdict FROM h LEFT JOIN own USING (page_id)"""
+
+
+@query(_op6_sql())
+def op6_url_filter(spark, sf_dir):
+    """Verdicts on every page's url, blocks carried to its aliases."""
+    return filter_urls(table(spark, sf_dir, "pages"))
