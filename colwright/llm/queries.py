@@ -8,6 +8,7 @@ from . import chat
 from .common import table
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
+from .mixing import mix_sources, mix_sql
 from .quality import quality_rules
 from .url_filters import RULES, filter_urls
 
@@ -159,3 +160,9 @@ SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN key IN (SELECT ke
 def op6_url_filter(spark, sf_dir):
     """Verdicts on every page's url, blocks carried to its aliases."""
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query(mix_sql())
+def op7_mix_sources(spark, sf_dir):
+    """The documents of the mix, with whole epochs and the tokens of the last one."""
+    return mix_sources(table(spark, sf_dir, "documents"))
