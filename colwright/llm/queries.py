@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .common import table
+from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
 from .mixing import mix_sources, mix_sql
@@ -166,3 +167,9 @@ def op6_url_filter(spark, sf_dir):
 def op7_mix_sources(spark, sf_dir):
     """The documents of the mix, with whole epochs and the tokens of the last one."""
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item and the similarity."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
