@@ -12,6 +12,7 @@ from .licenses import default_rules, scan_licenses
 from .mixing import mix_sources, mix_sql
 from .quality import quality_rules
 from .url_filters import RULES, filter_urls
+from .warc import round_trip
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -173,3 +174,16 @@ def op7_mix_sources(spark, sf_dir):
 def op8_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, with the item and the similarity."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+SELECT DISTINCT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM k""")
+def op1_warc_segments(spark, sf_dir):
+    """Pages written as WARC records with segments and chunked framing, and read back."""
+    return round_trip(table(spark, sf_dir, "pages"))
