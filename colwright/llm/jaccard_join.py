@@ -312,6 +312,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) without those near duplicates that have a
+    smaller doc_id in their group; rows that repeat a kept doc_id are reduced to one, the text that
+    sorts first. Rows with a null doc_id stay as they are."""
+    found = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
+    gone = written(found.distinct(), "gone")
+    again = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = (kept.join(again, "doc_id", "left_semi").groupBy("doc_id")
+             .agg(F.min(F.struct("text", *rest)).alias("first")).select("doc_id", "first.*"))
+    return once.select(*names).unionByName(first.select(*names))
+
+
 def settings_for_rows(spark):
     """Arrow batches of many narrow rows."""
     return small_batches(spark, 50_000)

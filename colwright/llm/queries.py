@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import chat
+from .class_lm import class_lm_scores
 from .common import table
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
 from .mixing import mix_sources, mix_sql
 from .quality import quality_rules
+from .token_counts import count_tokens
 from .url_filters import RULES, filter_urls
 from .warc import round_trip
 
@@ -187,3 +189,15 @@ SELECT DISTINCT page_id, payload_bytes, payload_digest,
 def op1_warc_segments(spark, sf_dir):
     """Pages written as WARC records with segments and chunked framing, and read back."""
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_token_counts(spark, sf_dir):
+    """Tokens of every line of every document, a crossing token going to the line it begins in."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_class_lm(spark, sf_dir):
+    """Log probabilities of every document under unigrams and the class model."""
+    return class_lm_scores(table(spark, sf_dir, "documents"))

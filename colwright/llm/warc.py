@@ -149,41 +149,47 @@ def read_warc(spark: SparkSession, path: str, segmented: bool | None = None) ->
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def run(batches):
-        file, open_, rows, size = None, None, [], 0
-        def closed(raw):
+        file, parts, held, need = None, [], 0, None  # the open record and the bytes that it must have
+        rows, size = [], 0
+
+        def close():
+            raw = b"".join(parts)
             found = row(*_parsed(raw), raw)
-            return [] if found is None else [found]
+            if found is not None:
+                rows.append(found)
+
         for batch in batches:
             for name, value in zip(batch.column("file"), batch.column("value")):
                 name, value = name.as_py(), value.as_py()
                 if name != file:
-                    if open_ is not None:
-                        rows += closed(open_)
-                    file, open_ = name, None
+                    if parts:
+                        close()
+                    file, parts = name, []
                     if not value:
                         continue  # what stands before the first version line
-                # A separator inside a payload: the open record still lacks bytes.
-                if open_ is not None and _parsed(open_)[1] is None and _lacks(open_):
-                    open_ = open_ + VERSION + value
+                elif parts and need is not None and held < need:
+                    parts += [VERSION, value]  # the separator was part of the payload
+                    held += len(VERSION) + len(value)
                     continue
-                if open_ is not None:
-                    rows += closed(open_)
-                    size += len(open_)
-                open_ = value
+                elif parts:
+                    close()
+                    size += held
+                parts, held, need = [value], len(value), _needed(value)
                 if size > BATCH_BYTES and rows:
                     yield packed(rows)
                     rows, size = [], 0
-        if open_ is not None:
-            rows += closed(open_)
+        if parts:
+            close()
         if rows:
             yield packed(rows)
 
     return lines.mapInArrow(run, RECORD)
 
 
-def _lacks(raw: bytes) -> bool:
-    fields, block = _parsed(raw)
-    return block is None and (fields is None or fields.get("content-length", "").isdigit())
+def _needed(raw: bytes) -> int | None:
+    """Bytes of the record that begins here, up to the end of its block; None if it doesn't say."""
+    size = (_parsed(raw)[0] or {}).get("content-length", "")
+    return raw.find(END) + 4 + int(size) if size.isdigit() else None
 
 
 def _payload(record: pa.Array) -> list[bytes | None]:

@@ -60,9 +60,11 @@ class Chunk(NamedTuple):
     last: int
     bounds: np.ndarray
     words: np.ndarray
+    tails: np.ndarray | None = None  # the last three bytes of each word, as a number
 
 
-def chunks(texts: pa.Array, fold: bool = True, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, fold: bool = True, size: int = CHUNK_BYTES,
+           tails: bool = False) -> Iterator[Chunk]:
     """Word digests chunk by chunk; nulls count as empty texts. Memory is bounded by the chunk
     size, or by the longest single text."""
     texts = texts.cast(pa.large_string())
@@ -77,13 +79,13 @@ def chunks(texts: pa.Array, fold: bool = True, size: int = CHUNK_BYTES) -> Itera
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         b, starts_of = data[at[i]:at[j]], at[i:j + 1] - at[i]
-        yield Chunk(i, j, *_digests(b, starts_of, fold))
+        yield Chunk(i, j, *_digests(b, starts_of, fold, tails))
         i = j
 
 
-def _digests(b: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def _digests(b: np.ndarray, at: np.ndarray, fold: bool, tails: bool):
     if not len(b):
-        return np.zeros(len(at), np.int64), np.zeros(0, _U)
+        return np.zeros(len(at), np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     word = _IS_WORD[b]
     edge = np.zeros(len(b) + 1, bool)
     edge[at] = True  # texts never share a word
@@ -96,7 +98,15 @@ def _digests(b: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.
         total = np.zeros(len(b) + 1, _U)
         np.cumsum(_byte_values(fold)[b] * powers[:len(b)], out=total[1:])
         words = mix((total[end] - total[start]) * inverse[start], 3)
-    return np.searchsorted(start, at), words
+    last = None
+    if tails:
+        last = np.zeros(len(start), np.int64)
+        for back in (1, 2, 3):
+            place = end - back
+            byte = b[np.maximum(place, 0)].astype(np.int64)
+            byte += 32 * ((byte >= 65) & (byte <= 90) & fold)
+            last += np.where(place >= start, byte << (8 * (back - 1)), 0)
+    return np.searchsorted(start, at), words, last
 
 
 def shingles(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,59 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a table
+that is written and read again as the docs of the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from colwright.llm.common import new_path, table
+from colwright.llm.decontaminate import remove_contaminated
+from colwright.llm.jaccard_join import one_of_each
+from colwright.llm.mixing import mix_sources
+from colwright.llm.quality import keep_good
+
+# Beyond SQL: the first stage hashes words with a digest that the SQL engine lacks, the second and
+# third find similar texts by digests of word runs. The tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least doc_id."""
+    return one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents with the epochs and tokens that the target weights give them."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            path = new_path(spark, name)
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
