@@ -6,11 +6,13 @@ no prefix token under any one of the orders is no link. The first order puts fre
 and makes the candidates by one shuffle of the prefixes; the others (plain mixed digests) test each
 candidate pair where its two sets meet, before the sets are intersected in full.
 
-No group is expanded into all its pairs. Texts with equal sets are one class. In the list of a
-prefix token every set is first compared with the list's least set; found links merge classes into
-components. A second turn compares, in lists that still span several components, only sets of
-different components. Every link between different sets thus has either been tested or lies within
-one component.
+No group is written out as pairs. Texts with equal sets are one class. The list of a prefix token is
+named by its least set, its hub; lists with one hub are one group, so two sets that share a prefix
+token share a group. A first turn compares every set with the hubs of its groups, and the links
+found merge classes into components. A second turn compares, in groups that still span several
+components, only sets of different components: the group is cut into blocks of bounded size, each
+pair of blocks meets in one task, and only links leave it. Every link between different sets thus
+has either been tested or lies within one component.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .words import chunks, distinct_sets, mix, shingles
 
 HEAVY_TOKENS = 1 << 18  # bound of the table of frequent tokens that tasks are sent
 ID_BITS = 1 << 23  # bits of the table that keeps texts without candidates from being read again
-LIST_BLOCK = 512  # sets of one list that are compared in one place
+BLOCK_SETS, BLOCK_ITEMS = 128, 1 << 19  # sets and tokens of one group that make a block
 OTHER_ORDERS = (5, 6)  # salts of the orders that test candidates
 FLUSH = 1 << 22
 
@@ -138,7 +140,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataF
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """Tokens with several sets: (token, doc_id, n, hub, hub_n), hub being the list's least set.
+    """Tokens with several sets: (hub, doc_id, n), hub being the list's least set.
     A stream over sorted rows: only the current list's hub is held between batches."""
 
     def run(batches):
@@ -158,12 +160,11 @@ def _lists(prefixes: DataFrame) -> DataFrame:
                 keep[0] = False
             last = (token[hub[-1]], doc[hub[-1]], n[hub[-1]], bool(length[-1] > 1))
             if keep.any():
-                yield _batch({"token": token[keep], "doc_id": doc[keep],
-                              "n": n[keep].astype(np.int32), "hub": doc[hub[keep]],
-                              "hub_n": n[hub[keep]].astype(np.int32)})
+                rows = np.unique(np.stack([doc[hub[keep]], doc[keep], n[keep]]), axis=1)
+                yield _batch({"hub": rows[0], "doc_id": rows[1], "n": rows[2].astype(np.int32)})
 
     by_token = prefixes.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return by_token.mapInArrow(run, "token bigint, doc_id bigint, n int, hub bigint, hub_n int")
+    return by_token.mapInArrow(run, "hub bigint, doc_id bigint, n int")
 
 
 def _id_bits(ids: DataFrame) -> np.ndarray:
@@ -181,7 +182,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, items): the sets of the documents named by ids, as packed ascending digests."""
     sent = docs.sparkSession.sparkContext.broadcast(_id_bits(ids))
 
-    def run(batches):
+    def run(batches):  # sets of other documents may pass too; the join that follows drops them
         bits = sent.value
         for batch in batches:
             at = np.asarray(batch.column("bit"))
@@ -197,75 +198,107 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "doc_id bigint, items binary")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two ascending digest sets link: prefix filters of all orders first, then in full."""
-    if not len(a) or not len(b):
-        return False
-    for salt in OTHER_ORDERS:
-        parts = []
-        for x in (a, b):
-            p = _prefix_size(len(x), percent)
-            y = mix(x, salt)
-            parts.append(np.partition(y, p - 1)[:p] if p < len(y) else y)
-        if not _common(*parts):
-            return False
-    shared = _common(a, b)
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.sort(np.concatenate([a, b]))
     return int((both[1:] == both[:-1]).sum())
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of the candidate pairs (a, b). Sets travel to their pairs; the side that
-    many pairs name is joined last, where adaptive execution splits a hot id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = _sets_of(docs, ids, k)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64),
-                           percent) for x, y in zip(batch.column("x"), batch.column("y"))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share, by products of the incidence matrix, some columns at a time."""
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    if len(sets) == 2:
+        out[0, 1] = out[1, 0] = _common(*sets)
+        return out
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(first) - 1
+    several = np.bincount(column)[column] > 1
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    for begin in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [begin, begin + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - begin] = 1
+        out += part @ part.T
+    return out
 
 
-def _across(lists: DataFrame, colours: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components within a list. A long list is cut into blocks by
-    digest and each pair of blocks is compared in a place of its own."""
-    coloured = (lists.select("token", "doc_id", "n")
-                .join(colours.withColumnsRenamed({"node": "doc_id", "component": "colour"}), "doc_id", "left")
+def linked(sets: list[np.ndarray], allowed: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The allowed pairs (i < j) of ascending digest sets that link: sizes, then the prefix filters of
+    the other orders, each on what the one before left, then the exact similarity."""
+    n = np.array([len(x) for x in sets])
+    allowed = np.triu(allowed & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)), 1)
+    if not len(n) or not n.all():
+        allowed = allowed & np.outer(n > 0, n > 0)
+    for salt in (*OTHER_ORDERS, None):
+        used = np.flatnonzero(allowed.any(axis=0) | allowed.any(axis=1))
+        if not len(used):
+            return []
+        if salt is None:
+            parts = [sets[i] for i in used]
+        else:
+            parts = []
+            for i in used:
+                mixed, p = mix(sets[i], salt), _prefix_size(len(sets[i]), percent)
+                parts.append(np.partition(mixed, p - 1)[:p] if p < len(mixed) else mixed)
+        shared, at = _shared(parts), np.ix_(used, used)
+        allowed[at] &= (shared > 0) if salt is not None else (
+            100 * shared >= percent * (n[used][:, None] + n[used][None, :] - shared))
+    return [tuple(map(int, x)) for x in np.argwhere(allowed)]
+
+
+def _compared(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among rows (hub, i, j, side, doc_id, colour): sets meet by (hub, i, j); those of
+    different sides are compared, or all where j is i, unless their colours are equal."""
+    sets = _sets_of(docs, rows.select("doc_id"), k)
+
+    def run(group):
+        doc, colour, side = (np.asarray(group.column(c)) for c in ("doc_id", "colour", "side"))
+        inside = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        allowed = (colour[:, None] != colour[None, :]) & (inside | (side[:, None] != side[None, :]))
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+        found = linked(items, allowed, percent)
+        return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()),
+                         "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
+
+    return rows.join(sets, "doc_id").groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _blocks(sets: str, items: str):
+    return F.expr(f"cast(greatest(ceil({sets} / {BLOCK_SETS}), ceil({items} / {BLOCK_ITEMS})) AS int)")
+
+
+def _with_hubs(groups: DataFrame) -> DataFrame:
+    """First turn: rows that bring every set of a group to a copy of the group's hub."""
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    rows = groups.join(sizes, "hub").withColumn("blocks", _blocks("sets", "items"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    is_hub = F.col("doc_id") == F.col("hub")
+    return rows.withColumn("i", F.explode(F.when(is_hub, every).otherwise(own))).select(
+        "hub", "i", F.lit(-1).alias("j"), is_hub.cast("int").alias("side"), "doc_id", F.col("doc_id").alias("colour"))
+
+
+def _across(groups: DataFrame, colours: DataFrame) -> DataFrame:
+    """Second turn: rows that bring together the blocks of each group that spans several components.
+    Sets of the hub's component are never compared with each other."""
+    coloured = (groups.join(colours.withColumnsRenamed({"node": "doc_id", "component": "colour"}), "doc_id", "left")
                 .withColumn("colour", F.coalesce("colour", "doc_id")))
-    mixed = (coloured.groupBy("token").agg(F.min("colour").alias("c0"), F.max("colour").alias("c1"),
-                                           F.count("*").alias("m"))
-             .where("c0 <> c1").select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks")))
-    cells = (coloured.join(mixed, "token")
-             .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "doc_id", "n", "colour"))
-
-    def run(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
-        own, doc, n, colour = (np.asarray(group.column(c)) for c in ("own", "doc_id", "n", "colour"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found_a, found_b = [], []
-        for x in left:
-            other = right[right > x] if i == j else right
-            fit = other[(colour[other] != colour[x]) & (100 * np.minimum(n[other], n[x]).astype(np.int64)
-                                                        >= percent * np.maximum(n[other], n[x]).astype(np.int64))]
-            found_a.append(np.minimum(doc[fit], doc[x]))
-            found_b.append(np.maximum(doc[fit], doc[x]))
-        cat = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": cat(found_a), "b": cat(found_b)})
-
-    return cells.groupBy("token", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    main = coloured.where("doc_id = hub").groupBy("hub").agg(F.min("colour").alias("hub_colour"))
+    rows = coloured.join(main, "hub").withColumn("main", F.expr("colour = hub_colour"))
+    sizes = rows.groupBy("hub").agg(
+        F.count_if("main").alias("s0"), F.sum(F.expr("if(main, n, 0)")).alias("n0"),
+        F.count_if(F.expr("NOT main")).alias("s1"), F.sum(F.expr("if(main, 0, n)")).alias("n1")).where("s1 > 0")
+    rows = (rows.join(sizes, "hub").withColumn("b0", _blocks("s0", "n0")).withColumn("b1", _blocks("s1", "n1"))
+            .withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), if(main, b0, b1)) AS int)")))
+    # Cells: (i, j) of two blocks outside the hub's component, (i, -1 - m) of such a block and one inside.
+    cells = F.expr("""if(main,
+        transform(sequence(0, b1 - 1), x -> struct(x AS i, -1 - own AS j, 1 AS side)),
+        concat(transform(sequence(0, b1 - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, if(x < own, 1, 0) AS side)),
+               transform(sequence(0, b0 - 1), m -> struct(own AS i, -1 - m AS j, 0 AS side))))""")
+    return rows.withColumn("cell", F.explode(cells)).select("hub", "cell.*", "doc_id", "colour")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -294,18 +327,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     with small_batches(spark, 2000):
         found = _prefixes(docs, k, percent, heavy)
-    with settings_for_rows(spark):
-        lists = written(_lists(found), "lists")
-    stars = (lists.where(f"hub <> doc_id AND 100L * hub_n >= {percent}L * n")
-             .select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    stars = written(_between_classes(stars, member), "pairs")
+    with small_batches(spark, 50_000):
+        lists = written(_lists(found).select("hub", "doc_id", "n").distinct(), "lists")
+    groups = written(_of_classes(lists, member), "groups")
     with small_batches(spark):
-        links = written(_verified(docs, stars, k, percent), "links")
+        links = written(_compared(docs, _with_hubs(groups), k, percent), "links")
     first = written(components(links.unionByName(same)), "components")
-    rest = written(_between_classes(_across(lists, first, percent), member)
-                   .join(stars, ["a", "b"], "left_anti"), "pairs")
     with small_batches(spark):
-        more = written(_verified(docs, rest, k, percent), "links")
+        more = written(_compared(docs, _across(groups, first), k, percent), "links")
     final = first if more.isEmpty() else written(
         components(links.unionByName(more).unionByName(same)), "components")
     return rows.join(final, rows.doc_id == final.node, "left").select(
@@ -328,14 +357,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return once.select(*names).unionByName(first.select(*names))
 
 
-def settings_for_rows(spark):
-    """Arrow batches of many narrow rows."""
-    return small_batches(spark, 50_000)
-
-
-def _between_classes(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of members as pairs of their classes' least ids, without pairs inside a class."""
-    a = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-    b = member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    return (pairs.join(a, "a").join(b, "b").where("ra <> rb")
-            .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
+def _of_classes(lists: DataFrame, member: DataFrame) -> DataFrame:
+    """(hub, doc_id, n) with classes' least ids, groups of one class left out."""
+    hubs = member.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep"))
+    groups = lists.join(member, "doc_id").join(hubs, "hub").select(
+        F.col("hub_rep").alias("hub"), F.col("rep").alias("doc_id"), "n").distinct()
+    several = groups.groupBy("hub").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+    return groups.join(several.select("hub"), "hub", "left_semi")
