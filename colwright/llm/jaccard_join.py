@@ -7,9 +7,10 @@ and makes the candidates by one shuffle of the prefixes; the others (plain mixed
 candidate pair where its two sets meet, before the sets are intersected in full.
 
 No group is written out as pairs. Texts with equal sets are one class. The list of a prefix token is
-named by its least set, its hub; lists with one hub are one group, so two sets that share a prefix
-token share a group. A first turn compares every set with the hubs of its groups, and the links
-found merge classes into components. A second turn compares, in groups that still span several
+named by its least set, its hub; lists with one hub are joined and cut into groups of neighbouring
+size bands, so two sets that share a prefix token and can link by their sizes share a group. A first
+turn compares every set with the centres of its groups, and the links found merge classes into
+components. A second turn compares, in groups that still span several
 components, only sets of different components: the group is cut into blocks of bounded size, each
 pair of blocks meets in one task, and only links leave it. Every link between different sets thus
 has either been tested or lies within one component.
@@ -17,6 +18,7 @@ has either been tested or lies within one component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,7 +252,7 @@ def linked(sets: list[np.ndarray], allowed: np.ndarray, percent: int) -> list[tu
 
 
 def _compared(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among rows (hub, i, j, side, doc_id, colour): sets meet by (hub, i, j); those of
+    """Links (a, b) among rows (hub, band, i, j, side, doc_id, colour): sets meet by the first four; those of
     different sides are compared, or all where j is i, unless their colours are equal."""
     sets = _sets_of(docs, rows.select("doc_id"), k)
 
@@ -263,42 +265,46 @@ def _compared(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
         return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()),
                          "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
 
-    return rows.join(sets, "doc_id").groupBy("hub", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.join(sets, "doc_id").groupBy("hub", "band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _blocks(sets: str, items: str):
     return F.expr(f"cast(greatest(ceil({sets} / {BLOCK_SETS}), ceil({items} / {BLOCK_ITEMS})) AS int)")
 
 
-def _with_hubs(groups: DataFrame) -> DataFrame:
-    """First turn: rows that bring every set of a group to a copy of the group's hub."""
-    sizes = groups.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
-    rows = groups.join(sizes, "hub").withColumn("blocks", _blocks("sets", "items"))
+def _with_centres(groups: DataFrame, percent: int) -> DataFrame:
+    """First turn: rows that bring every set of a group to a copy of the group's centre."""
+    fit = groups.where(f"100L * least(n, centre.n) >= {percent}L * greatest(n, centre.n)")
+    sizes = fit.groupBy("hub", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("items")).where("sets > 1")
+    rows = fit.join(sizes, ["hub", "band"]).withColumn("blocks", _blocks("sets", "items"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    is_hub = F.col("doc_id") == F.col("hub")
-    return rows.withColumn("i", F.explode(F.when(is_hub, every).otherwise(own))).select(
-        "hub", "i", F.lit(-1).alias("j"), is_hub.cast("int").alias("side"), "doc_id", F.col("doc_id").alias("colour"))
+    is_centre = F.col("doc_id") == F.col("centre.doc_id")
+    return rows.withColumn("i", F.explode(F.when(is_centre, every).otherwise(own))).select(
+        "hub", "band", "i", F.lit(-1).alias("j"), is_centre.cast("int").alias("side"), "doc_id",
+        F.col("doc_id").alias("colour"))
 
 
 def _across(groups: DataFrame, colours: DataFrame) -> DataFrame:
     """Second turn: rows that bring together the blocks of each group that spans several components.
-    Sets of the hub's component are never compared with each other."""
+    Sets of the centre's component are never compared with each other."""
     coloured = (groups.join(colours.withColumnsRenamed({"node": "doc_id", "component": "colour"}), "doc_id", "left")
                 .withColumn("colour", F.coalesce("colour", "doc_id")))
-    main = coloured.where("doc_id = hub").groupBy("hub").agg(F.min("colour").alias("hub_colour"))
-    rows = coloured.join(main, "hub").withColumn("main", F.expr("colour = hub_colour"))
-    sizes = rows.groupBy("hub").agg(
+    main = coloured.where("doc_id = centre.doc_id").groupBy("hub", "band").agg(F.min("colour").alias("centre_colour"))
+    rows = coloured.join(main, ["hub", "band"]).withColumn("main", F.expr("colour = centre_colour"))
+    sizes = rows.groupBy("hub", "band").agg(
         F.count_if("main").alias("s0"), F.sum(F.expr("if(main, n, 0)")).alias("n0"),
         F.count_if(F.expr("NOT main")).alias("s1"), F.sum(F.expr("if(main, 0, n)")).alias("n1")).where("s1 > 0")
-    rows = (rows.join(sizes, "hub").withColumn("b0", _blocks("s0", "n0")).withColumn("b1", _blocks("s1", "n1"))
+    # Two sets alone in a group have met in the first turn.
+    rows = (rows.join(sizes.where("s0 + s1 > 2"), ["hub", "band"])
+            .withColumn("b0", _blocks("s0", "n0")).withColumn("b1", _blocks("s1", "n1"))
             .withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), if(main, b0, b1)) AS int)")))
-    # Cells: (i, j) of two blocks outside the hub's component, (i, -1 - m) of such a block and one inside.
+    # Cells: (i, j) of two blocks outside the centre's component, (i, -1 - m) of such a block and one inside.
     cells = F.expr("""if(main,
         transform(sequence(0, b1 - 1), x -> struct(x AS i, -1 - own AS j, 1 AS side)),
         concat(transform(sequence(0, b1 - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, if(x < own, 1, 0) AS side)),
                transform(sequence(0, b0 - 1), m -> struct(own AS i, -1 - m AS j, 0 AS side))))""")
-    return rows.withColumn("cell", F.explode(cells)).select("hub", "cell.*", "doc_id", "colour")
+    return rows.withColumn("cell", F.explode(cells)).select("hub", "band", "cell.*", "doc_id", "colour")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -329,9 +335,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = _prefixes(docs, k, percent, heavy)
     with small_batches(spark, 50_000):
         lists = written(_lists(found).select("hub", "doc_id", "n").distinct(), "lists")
-    groups = written(_of_classes(lists, member), "groups")
+    groups = written(_groups(lists, member, percent), "groups")
     with small_batches(spark):
-        links = written(_compared(docs, _with_hubs(groups), k, percent), "links")
+        links = written(_compared(docs, _with_centres(groups, percent), k, percent), "links")
     first = written(components(links.unionByName(same)), "components")
     with small_batches(spark):
         more = written(_compared(docs, _across(groups, first), k, percent), "links")
@@ -357,10 +363,22 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return once.select(*names).unionByName(first.select(*names))
 
 
-def _of_classes(lists: DataFrame, member: DataFrame) -> DataFrame:
-    """(hub, doc_id, n) with classes' least ids, groups of one class left out."""
+def _groups(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(hub, band, doc_id, n, centre) with classes' least ids; groups of a single class are left out.
+
+    Sets whose sizes allow a link lie in the same size band or in neighbouring ones. A set goes to its
+    own band and to the next one, as far as the hub has sets there; centre is the least set's
+    struct (doc_id, n).
+    """
     hubs = member.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep"))
-    groups = lists.join(member, "doc_id").join(hubs, "hub").select(
-        F.col("hub_rep").alias("hub"), F.col("rep").alias("doc_id"), "n").distinct()
-    several = groups.groupBy("hub").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    return groups.join(several.select("hub"), "hub", "left_semi")
+    width = 1.0001 * math.log(100 / percent) if percent < 100 else 1e-9
+    rows = lists.join(member, "doc_id").join(hubs, "hub").select(
+        F.col("hub_rep").alias("hub"), F.col("rep").alias("doc_id"), "n").distinct().withColumn(
+        "own", F.floor(F.log(F.col("n")) / width))
+    bands = rows.groupBy("hub").agg(F.collect_set("own").alias("bands"))
+    up, down = (F.array_contains("bands", F.col("own") + d) for d in (1, -1))
+    placed = rows.join(bands, "hub").withColumn("band", F.explode(F.filter(F.array(
+        F.when(up, F.col("own") + 1), F.when(down | ~up, F.col("own"))), lambda x: x.isNotNull())))
+    several = (placed.groupBy("hub", "band").agg(F.min(F.struct("doc_id", F.col("n").cast("bigint").alias("n"))).alias("centre"),
+                                                 F.max("doc_id").alias("most")).where("centre.doc_id <> most"))
+    return placed.join(several.drop("most"), ["hub", "band"]).select("hub", "band", "doc_id", "n", "centre")
