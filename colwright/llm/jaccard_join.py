@@ -3,8 +3,9 @@
 Two sets with Jaccard similarity of at least t, of sizes n <= m, share a token among the first
 n - ceil(t n) + 1 tokens of each set, whatever total order sorts the tokens. So a pair that shares
 no prefix token under any one of the orders is no link. The first order puts frequent tokens last
-and makes the candidates by one shuffle of the prefixes; the others (plain mixed digests) test each
-candidate pair where its two sets meet, before the sets are intersected in full.
+and makes the candidates by one shuffle of the prefixes; the others (plain mixed digests) test them
+before sets are intersected in full: one by longer prefixes, of which linked sets must share many and
+which travel in place of the sets, the last one where two whole sets meet.
 
 No group is written out as pairs. Texts with equal sets are one class. The list of a prefix token is
 named by its least set, its hub; lists with one hub are joined and cut into groups of neighbouring
@@ -32,7 +33,7 @@ from .words import chunks, distinct_sets, mix, shingles
 HEAVY_TOKENS = 1 << 18  # bound of the table of frequent tokens that tasks are sent
 ID_BITS = 1 << 23  # bits of the table that keeps texts without candidates from being read again
 BLOCK_SETS, BLOCK_ITEMS = 128, 1 << 19  # sets and tokens of one group that make a block
-OTHER_ORDERS = (5, 6)  # salts of the orders that test candidates
+LIGHT_ORDER, LAST_ORDER = 5, 6  # salts of the orders that test candidates
 FLUSH = 1 << 22
 
 
@@ -180,8 +181,14 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items): the sets of the documents named by ids, as packed ascending digests."""
+def _light_size(n, percent: int):
+    """Tokens of a longer prefix, of which two linked sets must share many."""
+    return np.minimum(n, _prefix_size(n, percent) + n // 10)
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, light: int = 0) -> DataFrame:
+    """(doc_id, items): the sets of the documents named by ids, as packed ascending digests; with
+    light, a percentage, only their longer prefixes under the light order."""
     sent = docs.sparkSession.sparkContext.broadcast(_id_bits(ids))
 
     def run(batches):  # sets of other documents may pass too; the join that follows drops them
@@ -190,6 +197,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             at = np.asarray(batch.column("bit"))
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for first, values, bounds in _sets(batch, k):
+                if light:
+                    values, bounds = _longer_prefixes(values, bounds, light)
                 raw = values.tobytes()
                 known = batch.column("doc_id").slice(first, len(bounds) - 1)
                 items = pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
@@ -200,6 +209,14 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "doc_id bigint, items binary")
 
 
+def _longer_prefixes(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    parts, mixed = [], mix(values, LIGHT_ORDER)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        size = int(_light_size(b - a, percent))
+        parts.append(np.sort(np.partition(mixed[a:b], size - 1)[:size] if 0 < size < b - a else mixed[a:b]))
+    return (np.concatenate(parts) if parts else values), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.sort(np.concatenate([a, b]))
     return int((both[1:] == both[:-1]).sum())
@@ -227,45 +244,72 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fitting(n: np.ndarray, allowed: np.ndarray, percent: int) -> np.ndarray:
+    fits = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    return np.triu(allowed & fits & np.outer(n > 0, n > 0), 1)
+
+
+def light_pairs(prefixes: list[np.ndarray], n: np.ndarray, allowed: np.ndarray, percent: int) -> np.ndarray:
+    """The allowed pairs (matrix, i < j) that may link by their longer prefixes under the light order.
+
+    Linked sets of sizes x and y share at least o = ceil(t (x + y) / (1 + t)) tokens, hence of the
+    first p tokens of one and q of the other at least min(p - x, q - y) + o.
+    """
+    allowed = _fitting(n, allowed, percent)
+    if allowed.any():
+        slack = np.array([len(x) for x in prefixes]) - n
+        least = -(-percent * np.add.outer(n, n) // (100 + percent)) + np.minimum.outer(slack, slack)
+        allowed &= _shared(prefixes) >= np.maximum(least, 1)
+    return allowed
+
+
 def linked(sets: list[np.ndarray], allowed: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """The allowed pairs (i < j) of ascending digest sets that link: sizes, then the prefix filters of
-    the other orders, each on what the one before left, then the exact similarity."""
+    """The allowed pairs (i < j) of ascending digest sets that link: sizes, then the prefix filter of
+    the last order, then the exact similarity."""
     n = np.array([len(x) for x in sets])
-    allowed = np.triu(allowed & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)), 1)
-    if not len(n) or not n.all():
-        allowed = allowed & np.outer(n > 0, n > 0)
-    for salt in (*OTHER_ORDERS, None):
+    allowed = _fitting(n, allowed, percent)
+    for exact in (False, True):
         used = np.flatnonzero(allowed.any(axis=0) | allowed.any(axis=1))
         if not len(used):
             return []
-        if salt is None:
-            parts = [sets[i] for i in used]
-        else:
-            parts = []
-            for i in used:
-                mixed, p = mix(sets[i], salt), _prefix_size(len(sets[i]), percent)
-                parts.append(np.partition(mixed, p - 1)[:p] if p < len(mixed) else mixed)
+        parts = [sets[i] for i in used]
+        if not exact:
+            parts = [np.partition(mix(x, LAST_ORDER), p - 1)[:p] for x, p in zip(parts, _prefix_size(n[used], percent))]
         shared, at = _shared(parts), np.ix_(used, used)
-        allowed[at] &= (shared > 0) if salt is not None else (
-            100 * shared >= percent * (n[used][:, None] + n[used][None, :] - shared))
+        allowed[at] &= (100 * shared >= percent * (n[used][:, None] + n[used][None, :] - shared)) if exact else shared > 0
     return [tuple(map(int, x)) for x in np.argwhere(allowed)]
 
 
-def _compared(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among rows (hub, band, i, j, side, doc_id, colour): sets meet by the first four; those of
-    different sides are compared, or all where j is i, unless their colours are equal."""
-    sets = _sets_of(docs, rows.select("doc_id"), k)
+def _meeting(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among rows (hub, band, i, j, side, doc_id, n, colour): sets meet by the first four;
+    those of different sides are compared, or all where j is i, unless their colours are equal. Longer
+    prefixes meet first; only sets with a possible partner are sent whole."""
 
-    def run(group):
-        doc, colour, side = (np.asarray(group.column(c)) for c in ("doc_id", "colour", "side"))
+    def seen(group):
+        colour, side = (np.asarray(group.column(c)) for c in ("colour", "side"))
         inside = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        allowed = (colour[:, None] != colour[None, :]) & (inside | (side[:, None] != side[None, :]))
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
-        found = linked(items, allowed, percent)
+        return items, (colour[:, None] != colour[None, :]) & (inside | (side[:, None] != side[None, :]))
+
+    def light(group):
+        items, allowed = seen(group)
+        left = light_pairs(items, np.asarray(group.column("n")).astype(np.int64), allowed, percent)
+        return group.select(["hub", "band", "doc_id"]).filter(pa.array(left.any(axis=0) | left.any(axis=1)))
+
+    def exact(group):
+        doc = np.asarray(group.column("doc_id"))
+        found = linked(*seen(group), percent)
         return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()),
                          "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
 
-    return rows.join(sets, "doc_id").groupBy("hub", "band", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+    cell = ("hub", "band", "i", "j")
+    rows = written(rows, "cells")
+    near = rows.join(_sets_of(docs, rows.select("doc_id"), k, percent), "doc_id").groupBy(*cell).applyInArrow(
+        light, "hub bigint, band bigint, doc_id bigint").distinct()
+    near = written(near, "near")
+    rows = rows.join(near, ["hub", "band", "doc_id"], "left_semi")
+    return rows.join(_sets_of(docs, near.select("doc_id"), k), "doc_id").groupBy(*cell).applyInArrow(
+        exact, "a bigint, b bigint").distinct()
 
 
 def _blocks(sets: str, items: str):
@@ -281,7 +325,7 @@ def _with_centres(groups: DataFrame, percent: int) -> DataFrame:
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     is_centre = F.col("doc_id") == F.col("centre.doc_id")
     return rows.withColumn("i", F.explode(F.when(is_centre, every).otherwise(own))).select(
-        "hub", "band", "i", F.lit(-1).alias("j"), is_centre.cast("int").alias("side"), "doc_id",
+        "hub", "band", "i", F.lit(-1).alias("j"), is_centre.cast("int").alias("side"), "doc_id", "n",
         F.col("doc_id").alias("colour"))
 
 
@@ -304,7 +348,7 @@ def _across(groups: DataFrame, colours: DataFrame) -> DataFrame:
         transform(sequence(0, b1 - 1), x -> struct(x AS i, -1 - own AS j, 1 AS side)),
         concat(transform(sequence(0, b1 - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, if(x < own, 1, 0) AS side)),
                transform(sequence(0, b0 - 1), m -> struct(own AS i, -1 - m AS j, 0 AS side))))""")
-    return rows.withColumn("cell", F.explode(cells)).select("hub", "band", "cell.*", "doc_id", "colour")
+    return rows.withColumn("cell", F.explode(cells)).select("hub", "band", "cell.*", "doc_id", "n", "colour")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -337,10 +381,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         lists = written(_lists(found).select("hub", "doc_id", "n").distinct(), "lists")
     groups = written(_groups(lists, member, percent), "groups")
     with small_batches(spark):
-        links = written(_compared(docs, _with_centres(groups, percent), k, percent), "links")
+        links = written(_meeting(docs, _with_centres(groups, percent), k, percent), "links")
     first = written(components(links.unionByName(same)), "components")
     with small_batches(spark):
-        more = written(_compared(docs, _across(groups, first), k, percent), "links")
+        more = written(_meeting(docs, _across(groups, first), k, percent), "links")
     final = first if more.isEmpty() else written(
         components(links.unionByName(more).unionByName(same)), "components")
     return rows.join(final, rows.doc_id == final.node, "left").select(
