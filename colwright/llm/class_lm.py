@@ -154,7 +154,8 @@ def best_class(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: int,
     gain = (_g(rest + r) - _g(rest)).sum(axis=1) + (_g(rest.T + l) - _g(rest.T)).sum(axis=1)
     d = np.diag(rest)
     gain += _g(d + r + l + own) + _g(d) - _g(d + r) - _g(d + l)
-    for margin, n in ((rest.sum(axis=1), r.sum() + own), (rest.sum(axis=0), l.sum() + own)):
+    # The margins of the others' tokens don't depend on where the unit goes.
+    for margin, n in ((rest.sum(axis=1) + l, r.sum() + own), (rest.sum(axis=0) + r, l.sum() + own)):
         gain -= _g(margin + n) - _g(margin)
     gain[old] += 1e-9 * max(1.0, abs(gain[old]))
     return int(np.argmax(gain))

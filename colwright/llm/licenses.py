@@ -42,8 +42,8 @@ BASE = (
 # label, keyword, name tokens (all that a notice or a reference uses for the license).
 FAMILIES = (
     ("mit", "mit", "mit"),
-    ("apache-2", "apache", "apache version? 2|v2 0?"),
-    ("apache-1.1", "apache", "apache version? 1 1"),
+    ("apache-2", "apache", "apache license? version? 2|v2 0?"),
+    ("apache-1.1", "apache", "apache license? version? 1 1"),
     ("bsd-2-clause", "bsd", "bsd 2|two clause"),
     ("bsd-3-clause", "bsd", "bsd 3|three clause"),
     ("bsd-4-clause", "bsd", "bsd 4|four clause"),
