@@ -114,7 +114,7 @@ def to_datetime(c: Column, kind: str) -> Column:
     s = strip(text(c))
     parsed = [_shaped(s, shape, pattern) for shape, pattern in fixed.DATE_FORMATS]
     parsed.append(F.when(s.rlike(fixed.ISO_DATETIME), s.try_cast("timestamp_ntz")))
-    return F.when(F.length(s).between(6, 40), F.coalesce(*parsed))
+    return F.when(F.length(s) >= 6, F.coalesce(*parsed))
 
 
 def _shaped(s: Column, shape: str, pattern: str) -> Column:

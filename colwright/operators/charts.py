@@ -12,7 +12,7 @@ from .profiling import moments
 from .quantiles import exact_quantiles
 from .stats import grouped
 
-SCATTER_POINTS, BOX_OUTLIERS, LINE_ROWS, TEXT_BINS = 1000, 100, 200, 30
+BOX_OUTLIERS = 100
 
 
 def filter_rows(df: DataFrame, filters) -> DataFrame:
@@ -31,8 +31,12 @@ def filter_rows(df: DataFrame, filters) -> DataFrame:
 
 def _condition(c: Column, kind: str, operator: str, value) -> Column | None:
     if operator in ("==", "!="):
-        equal = c.eqNullSafe(F.lit(value)) if kind == "number" and _is_number(value) \
-            else X.text(c).eqNullSafe(F.lit(str(value)))
+        if kind == "number" and _is_number(value):
+            whole = str(value).strip().lstrip("+-").isdigit()
+            equal = c.eqNullSafe(F.lit(int(value))) if whole \
+                else X.to_number(c, kind).eqNullSafe(F.lit(float(value)))
+        else:
+            equal = X.text(c).eqNullSafe(F.lit(str(value)))
         return equal if operator == "==" else ~equal
     if operator == "contains":
         return X.text(c).rlike(f"(?i){value}")
@@ -51,8 +55,8 @@ def _is_number(value) -> bool:
     return True
 
 
-def scatter(df: DataFrame, x: str, y: str, group_by=None, key=None) -> DataFrame:
-    """``x, y[, group]`` points; a repeatable sample of 1,000 when there are more.
+def scatter(df: DataFrame, x: str, y: str, group_by=None, key=None, max_points=None) -> DataFrame:
+    """``x, y[, group]`` points: all, or a repeatable sample of ``max_points``.
 
     Rows are ranked by a digest of ``key`` (default: the point itself), so the sample
     does not depend on partitioning, and only the best rows of each task travel.
@@ -62,9 +66,12 @@ def scatter(df: DataFrame, x: str, y: str, group_by=None, key=None) -> DataFrame
     if group_by:
         columns.append(X.text(X.ref(group_by)).alias("group"))
     digest = F.md5(F.concat_ws("|", *[X.text(X.ref(c)) for c in names]))
-    points = df.where(X.ref(x).isNotNull() & X.ref(y).isNotNull()).select(
+    points = df.where(X.ref(x).isNotNull() & X.ref(y).isNotNull())
+    if max_points is None:
+        return points.select(*columns)
+    points = points.select(
         *columns, digest.alias("digest"), F.struct(*map(X.ref, names)).alias("tie"))
-    return points.orderBy("digest", "tie").limit(SCATTER_POINTS).drop("digest", "tie")
+    return points.orderBy("digest", "tie").limit(max_points).drop("digest", "tie")
 
 
 def bar(df: DataFrame, x: str, y=None, aggregation=None, sort_by=None, sort_asc=True, top_n=None):
@@ -109,10 +116,11 @@ def grouped_bar(df: DataFrame, x: str, group_by: str, y=None, aggregation=None,
         *[F.coalesce(X.ref(c), F.lit(0)).alias(c) for c in table.columns[1:]])
 
 
-def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: bool = True):
+def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: bool = True,
+         raw_points: bool = False):
     """``date, value`` in date order; one column per group with ``group_by``.
 
-    Up to 200 points are shown as they are, more are aggregated per date.
+    Values are aggregated per date, or shown point by point with ``raw_points``.
     """
     kind = X.kinds(df)
     stamp = X.to_datetime(X.ref(x), kind[x])
@@ -128,24 +136,25 @@ def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: b
             return cells.orderBy("stamp", "series").select(day, "series", "value")
         table = cells.groupBy("stamp").pivot("series").agg(F.first("value")).orderBy("stamp")
         return table.select(day, *[X.ref(c) for c in table.columns[1:]])
-    if points.limit(LINE_ROWS + 1).count() <= LINE_ROWS:
+    if raw_points:
         return points.orderBy("stamp", "y").select(day, F.col("y").alias("value"))
     return grouped(points, ["stamp"], "y", aggregation).orderBy("stamp").select(day, "value")
 
 
-def histogram(df: DataFrame, x: str) -> DataFrame:
+def histogram(df: DataFrame, x: str, max_values=None) -> DataFrame:
     """``bin, bin_from, bin_to, count``: equal-width bins, the last one closed.
 
-    A column without numbers gives its 30 most frequent values instead.
+    A column without numbers gives its values by frequency instead: all, or ``max_values``.
     """
     spark = df.sparkSession
     value = X.to_number(X.ref(x), X.kinds(df)[x])
     n, lo, hi = df.agg(F.count(value), F.min(value), F.max(value)).first()
     if not n:
         cell = F.coalesce(X.text(X.ref(x)), F.lit("nan"))
+        values = (df.groupBy(cell.alias("bin")).agg(F.count("*").alias("count"))
+                  .orderBy(F.desc("count"), "bin"))
         return (
-            df.groupBy(cell.alias("bin")).agg(F.count("*").alias("count"))
-            .orderBy(F.desc("count"), "bin").limit(TEXT_BINS)
+            (values if max_values is None else values.limit(max_values))
             .select("bin", F.lit(None).cast("double").alias("bin_from"),
                     F.lit(None).cast("double").alias("bin_to"), "count"))
     bins = min(30, max(5, n // 20))
@@ -209,7 +218,8 @@ def pie(df: DataFrame, x: str, y=None, aggregation=None, top_n=None) -> DataFram
 
 
 def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None, group_by=None,
-               filters=None, sort_by=None, sort_asc=True, top_n=None, key=None) -> DataFrame:
+               filters=None, sort_by=None, sort_asc=True, top_n=None, key=None, max_points=None,
+               max_values=None, raw_points=False) -> DataFrame:
     """Data set of one chart. Unknown columns and chart types are errors."""
     check_columns(df, [x] + ([y] if y and y != "count" else []))
     if group_by and group_by not in df.columns:
@@ -217,15 +227,15 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None,
     rows = filter_rows(df, filters)
     kind = chart_type.lower()
     if kind == "scatter":
-        return scatter(rows, x, y, group_by, key)
+        return scatter(rows, x, y, group_by, key, max_points)
     if kind in ("bar", "grouped_bar"):
         if group_by:
             return grouped_bar(rows, x, group_by, y, aggregation, top_n)
         return bar(rows, x, y, aggregation, sort_by, sort_asc, top_n)
     if kind == "line":
-        return line(rows, x, y, aggregation, group_by)
+        return line(rows, x, y, aggregation, group_by, raw_points=raw_points)
     if kind == "histogram":
-        return histogram(rows, x)
+        return histogram(rows, x, max_values)
     if kind == "box":
         return box(rows, x, y)
     if kind == "pie":

@@ -35,14 +35,22 @@ def change_rows(df: DataFrame, key: Column, pairs: dict[str, tuple[Column, Colum
 def compare(raw: DataFrame, clean: DataFrame, key: str, columns=None) -> DataFrame:
     """Cell diff of two tables matched on ``key``, a unique row key of both.
 
-    The rows are joined before the columns are melted, so each table is shuffled
+    Cells of rows that only one table holds are tagged REMOVED or ADDED; a null key
+    matches a null key. The rows are joined before the columns are melted, so each table is shuffled
     once at its own width.
     """
     names = [c for c in (columns or raw.columns) if c != key and c in clean.columns]
     left = raw.select(X.ref(key).alias("k"), F.struct(*[X.ref(c) for c in names]).alias("raw"))
     right = clean.select(X.ref(key).alias("k"), F.struct(*[X.ref(c) for c in names]).alias("clean"))
     pairs = {c: (F.col("raw").getField(c), F.col("clean").getField(c)) for c in names}
-    return change_rows(left.join(right, "k"), F.col("k").alias(key), pairs)
+    right = right.withColumnRenamed("k", "k2")
+    both = left.join(right, F.col("k").eqNullSafe(F.col("k2")), "full_outer")
+    both = both.withColumn("row_state", F.when(F.col("clean").isNull(), "REMOVED")
+                           .when(F.col("raw").isNull(), "ADDED"))
+    found = change_rows(both, F.struct(F.coalesce("k", "k2").alias(key), "row_state").alias("row"), pairs)
+    return found.select(
+        X.ref("row").getField(key).alias(key), "column_name", "raw_value", "clean_value",
+        F.coalesce(F.col("row.row_state"), "change_type").alias("change_type"))
 
 
 def change_log(changes: DataFrame) -> DataFrame:
@@ -76,14 +84,14 @@ def missing_scorecard(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def raw_snapshot(df: DataFrame) -> DataFrame:
-    """Missing count and share, and up to three known-bad tokens per column."""
+    """Missing count and share, and the known-bad tokens per column."""
     of_kind = X.kinds(df)
     names = [c for c in df.columns if of_kind[c] != "nested"]
     total, missing = missing_counts(df, names)
     bad = F.when(F.lower("v").isin(*fixed.BAD_TOKENS), F.col("v"))
     # The set holds spellings of a fixed token list only.
     found = by_column(df, {c: X.text(X.ref(c)) for c in names},
-                      bad=F.slice(F.array_sort(F.collect_set(bad)), 1, 3))
+                      bad=F.array_sort(F.collect_set(bad)))
     rows = [
         (c, total, missing[c], round(missing[c] / total * 100) if total else 0,
          ", ".join(found[c].get("bad") or []))

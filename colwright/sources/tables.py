@@ -17,8 +17,11 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
     A column is promoted to bigint, double or boolean only when every non-null cell
     of the whole file parses, which one aggregation finds out for all columns.
+    Quoted cells may hold line ends, so a file is read by one task; ``multiLine=False``
+    splits large files that hold none.
     """
-    raw = spark.read.options(header=True, escape='"', multiLine=False, **options).csv(path)
+    options = {"header": True, "escape": '"', "multiLine": True} | options
+    raw = spark.read.options(**options).csv(path)
     clean = raw.select(
         *[F.when(~X.ref(c).isin(*fixed.CSV_MISSING), X.ref(c)).alias(c) for c in raw.columns]
     )
@@ -106,11 +109,18 @@ def preflight(df: DataFrame) -> DataFrame:
 
 
 def blanks_to_null(df: DataFrame) -> DataFrame:
-    of_kind = X.kinds(df)
-    return df.select(
-        *[X.blank_to_null(X.ref(c)).alias(c) if of_kind[c] == "string" else X.ref(c)
-          for c in df.columns]
-    )
+    """Blank text, NaN and infinities to null."""
+    of_kind, of_type = X.kinds(df), dict(df.dtypes)
+
+    def cell(c):
+        if of_kind[c] == "string":
+            return X.blank_to_null(X.ref(c)).alias(c)
+        if of_type[c] in ("double", "float"):
+            finite = ~F.isnan(X.ref(c)) & (F.abs(X.ref(c)) != F.lit(float("inf")))
+            return F.when(finite, X.ref(c)).alias(c)
+        return X.ref(c)
+
+    return df.select(*map(cell, df.columns))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import colwright as cw
 from checks.registry import dirty
-from colwright.functions import fixed
-from colwright.operators import insights
+from colwright.functions import exprs as X, fixed
+from colwright.operators import charts, insights
 from colwright.plans import action_model as am
+from colwright.sources.tables import blanks_to_null
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,7 +122,7 @@ def test_grouped_bar_fills_gaps_with_zero(spark):
 def test_short_line_keeps_its_points(spark):
     df = spark.createDataFrame([("2020-01-02", 2.0), ("2020-01-01", 1.0), ("2020-01-02", 4.0)],
                                "d string, v double")
-    rows = [tuple(r) for r in cw.chart_data(df, "line", "d", "v").collect()]
+    rows = [tuple(r) for r in cw.chart_data(df, "line", "d", "v", raw_points=True).collect()]
     assert rows == [("2020-01-01", 1.0), ("2020-01-02", 2.0), ("2020-01-02", 4.0)]
 
 
@@ -161,3 +162,33 @@ def test_correlation_matrix_is_symmetric(spark):
     r = {(x["column_a"], x["column_b"]): x["r"] for x in cw.correlations(df).collect()}
     assert r["a", "d"] == -1.0 and r["a", "c"] is None and r["c", "c"] is None
     assert all(r[a, b] == r[b, a] for a, b in r) and math.isclose(r["a", "a"], 1.0)
+
+
+def test_nan_counts_as_missing_everywhere(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, float("inf")), (4, 2.0)], "k int, x double")
+    assert cw.dataset_summary(df).first()["complete_rows"] == 2
+    clean = blanks_to_null(df)
+    assert [r.x for r in clean.orderBy("k").collect()] == [None, 1.0, None, 2.0]
+
+
+def test_equality_filter_takes_numbers_as_text(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
+    rows = lambda v: [r.n for r in charts.filter_rows(df, [{"column": "n", "operator": "==", "value": v}]).collect()]
+    assert rows("1.0") == rows("1") == rows(1) == [1] and rows("1.5") == []
+
+
+def test_long_zoned_timestamp(spark):
+    df = spark.createDataFrame([("2020-01-05 10:20:30 America/Argentina/Buenos_Aires",)], "d string")
+    assert df.select(X.to_datetime(F.col("d"), "string").alias("d")).first()["d"] is not None
+
+
+def test_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert sorted(tuple(r) for r in cw.read_table(spark, str(tmp_path / "t.csv")).collect()) == [(1, "x\ny"), (2, "z")]
+
+
+def test_compare_keeps_unmatched_rows(spark):
+    raw = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    clean = spark.createDataFrame([(1, "A"), (None, "c"), (4, "d")], "k int, v string")
+    found = {r.k: r.change_type for r in cw.compare(raw, clean, "k").collect()}
+    assert found == {1: "FIXED", 2: "REMOVED", None: "OK", 4: "ADDED"}
