@@ -987,19 +987,30 @@ def chart_histogram_text(spark, sf_dir):
 @query("""WITH q AS (SELECT min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS q1,
     quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events),
   f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q),
-  o AS (SELECT round(value, 4) AS v FROM events, f WHERE value < lf OR value > uf
-    ORDER BY value LIMIT 100)
+  o AS (SELECT count(*) FILTER (value < lf) AS low, count(*) FILTER (value > uf) AS high FROM events, f)
   SELECT 'value' AS name, round(lo, 4) AS min_value, round(q1, 4) AS q1, round(q2, 4) AS median,
     round(q3, 4) AS q3, round(hi, 4) AS max_value, round(lf, 4) AS lower_fence,
-    round(uf, 4) AS upper_fence, (SELECT count(*) FROM o) AS outliers_shown,
-    (SELECT round(sum(v), 2) FROM o) AS outlier_sum FROM f""")
+    round(uf, 4) AS upper_fence, low AS low_outliers, high AS high_outliers FROM f, o""")
 def chart_box(spark, sf_dir):
     found = cw.chart_data(table(spark, sf_dir, "events"), "box", "value")
-    total = F.aggregate("outliers", F.lit(0.0), lambda a, v: a + v)
-    return rounded(
-        found.withColumn("outliers_shown", F.size("outliers")).withColumn(
-            "outlier_sum", F.when(F.size("outliers") > 0, F.round(total, 2))).drop("outliers"),
-        "min_value", "q1", "median", "q3", "max_value", "lower_fence", "upper_fence")
+    return rounded(found, "min_value", "q1", "median", "q3", "max_value", "lower_fence", "upper_fence")
+
+
+@query("""WITH f AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+  SELECT 'value' AS name, round(value, 4) AS value, CASE WHEN value < q1 THEN 'low' ELSE 'high' END AS side
+  FROM events, f WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def chart_box_outliers(spark, sf_dir):
+    return rounded(charts.box_outliers(table(spark, sf_dir, "events"), "value"), "value")
+
+
+@query("""SELECT o_orderstatus AS category, column_name, round(avg(v), 2) AS mean, count(*) AS rows,
+    o_orderstatus AS value FROM (UNPIVOT (SELECT o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+    CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders) ON o_totalprice, o_custkey
+    INTO NAME column_name VALUE v) GROUP BY ALL""".replace("o_orderstatus AS category", "'o_orderstatus' AS category"))
+def insight_group_means(spark, sf_dir):
+    scan = insights.TableScan(table(spark, sf_dir, "orders"))
+    found = insights.group_means(scan, ["o_orderstatus"], ["o_totalprice", "o_custkey"])
+    return rounded(found, "mean", digits=2)
 
 
 @query("""SELECT name, round(value, 2) AS value, round(value / sum(value) OVER () * 100, 1) AS pct FROM (

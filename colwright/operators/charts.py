@@ -12,8 +12,6 @@ from .profiling import moments
 from .quantiles import exact_quantiles
 from .stats import grouped
 
-BOX_OUTLIERS = 100
-
 
 def filter_rows(df: DataFrame, filters) -> DataFrame:
     """Rows that pass every filter; filters on unknown columns are ignored.
@@ -104,7 +102,7 @@ def grouped_bar(df: DataFrame, x: str, group_by: str, y=None, aggregation=None,
     if top_n:
         # The first names in sort order; the list is as long as the chart.
         first = cells.select(X.ref(x)).distinct().orderBy(X.ref(x)).limit(top_n)
-        cells = cells.join(F.broadcast(first), x, "left_semi")
+        cells = cells.join(first, x, "left_semi")
     cells = cells.select(
         X.ref(x).alias("name"), X.text(X.ref(group_by)).alias("series"), "value")
     if not wide:
@@ -183,25 +181,40 @@ def histogram(df: DataFrame, x: str, max_values=None) -> DataFrame:
 
 
 def box(df: DataFrame, x: str, y=None) -> DataFrame:
-    """One row: extremes, quartiles, fences and the 100 smallest outliers, in order."""
+    """One row: extremes, quartiles, fences, and how many values lie below and above the fences.
+
+    The values themselves, which can be many, are the rows of ``box_outliers``.
+    """
     column = y if y and y != "count" else x
     values = {column: X.to_number(X.ref(column), X.kinds(df)[column])}
     shape = moments(df, values)[column]
     schema = ("name string, min_value double, q1 double, median double, q3 double, "
-              "max_value double, lower_fence double, upper_fence double, outliers array<double>")
+              "max_value double, lower_fence double, upper_fence double, low_outliers long, high_outliers long")
     if shape["n"] < 5:
         return df.sparkSession.createDataFrame([], schema)
     q1, q2, q3 = exact_quantiles(df, values, counts={column: shape["n"]})[column]
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    outside = (
-        df.select(values[column].alias("v")).where((F.col("v") < lo) | (F.col("v") > hi))
-        .orderBy("v").limit(BOX_OUTLIERS)
-    )
-    points = [round(r["v"], 4) for r in outside.collect()]
-    row = (column, shape["low"], q1, q2, q3, shape["high"], lo, hi, points)
+    v = values[column]
+    below, above = df.agg(F.count_if(v < lo), F.count_if(v > hi)).first()
+    row = (column, shape["low"], q1, q2, q3, shape["high"], lo, hi, below, above)
     return df.sparkSession.createDataFrame([row], schema)
 
 
+def box_outliers(df: DataFrame, x: str, y=None, max_points=None) -> DataFrame:
+    """``name, value, side`` of every value outside the fences of ``box``, or of the ``max_points``
+    that lie farthest out."""
+    frame = box(df, x, y).first()
+    if frame is None:
+        return df.sparkSession.createDataFrame([], "name string, value double, side string")
+    column, lo, hi = frame["name"], frame["lower_fence"], frame["upper_fence"]
+    v = F.col("value")
+    rows = (df.select(F.lit(column).alias("name"), X.to_number(X.ref(column), X.kinds(df)[column]).alias("value"))
+            .where((v < lo) | (v > hi)).withColumn("side", F.when(v < lo, "low").otherwise("high")))
+    if max_points is None:
+        return rows
+    return rows.orderBy(F.greatest(lo - v, v - hi).desc(), "value").limit(max_points)
+
+
 def pie(df: DataFrame, x: str, y=None, aggregation=None, top_n=None) -> DataFrame:
     """``name, value, pct``: largest slices; shares are of the slices kept."""
     counting = not y or y == "count" or y not in df.columns
@@ -219,8 +232,11 @@ def pie(df: DataFrame, x: str, y=None, aggregation=None, top_n=None) -> DataFram
 
 def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None, group_by=None,
                filters=None, sort_by=None, sort_asc=True, top_n=None, key=None, max_points=None,
-               max_values=None, raw_points=False) -> DataFrame:
-    """Data set of one chart. Unknown columns and chart types are errors."""
+               max_values=None, raw_points=False, wide=True) -> DataFrame:
+    """Data set of one chart. Unknown columns and chart types are errors.
+
+    ``wide=False`` keeps grouped bars and lines in long form, for any number of groups.
+    """
     check_columns(df, [x] + ([y] if y and y != "count" else []))
     if group_by and group_by not in df.columns:
         group_by = None
@@ -230,10 +246,10 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None,
         return scatter(rows, x, y, group_by, key, max_points)
     if kind in ("bar", "grouped_bar"):
         if group_by:
-            return grouped_bar(rows, x, group_by, y, aggregation, top_n)
+            return grouped_bar(rows, x, group_by, y, aggregation, top_n, wide)
         return bar(rows, x, y, aggregation, sort_by, sort_asc, top_n)
     if kind == "line":
-        return line(rows, x, y, aggregation, group_by, raw_points=raw_points)
+        return line(rows, x, y, aggregation, group_by, wide, raw_points)
     if kind == "histogram":
         return histogram(rows, x, max_values)
     if kind == "box":

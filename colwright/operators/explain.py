@@ -1,177 +1,144 @@
-"""Explanation text and reliability notes as columns of the insight table."""
+"""Explanation text and reliability notes as columns of the insight table.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-
-def _metric(name: str) -> Column:
-    return F.try_element_at("metrics", F.lit(name))
-
-
-def _label(name: str) -> Column:
-    return F.try_element_at("labels", F.lit(name))
-
-
-def _say(pattern: str, *parts) -> Column:
-    return F.format_string(pattern, *parts)
-
-
-def _join(*paragraphs: Column) -> Column:
-    return F.array_join(F.array_compact(F.array(*paragraphs)), "\n\n")
+Texts are a table: for each insight type its paragraphs, for each paragraph its alternatives as
+(condition, sentence). In both, ``$name`` is a metric and ``@name`` a label; sentences print a field
+as ``{field}`` or ``{field:format}``.
+"""
 
+from __future__ import annotations
 
-def _significance(p: Column, yes: Column, no: Column) -> Column:
-    return F.when(p < 0.05, yes).when(p.isNotNull(), no)
+import re
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def _strength(**texts: Column) -> Column:
-    out = F.col("summary")
-    for name, words in texts.items():
-        out = F.when(F.col("strength") == name.replace("_", " "), words).otherwise(out)
-    return out
+TEXTS = {
+    "numerical_numerical": (
+        (
+            ("strength = 'strong'",
+             "Knowing {a} says a lot about {b}: the correlation is {$correlation:.2f} ({@direction})."),
+            ("strength = 'moderate'",
+             "{a} and {b} go together in part, with a {@direction} correlation of "
+             "{$correlation:.2f}; much of {b} varies on its own."),
+            ("strength = 'weak'",
+             "A slight {@direction} correlation, {$correlation:.2f}, links {a} and {b}. It leaves "
+             "nearly all variation open."),
+            ("true", "{a} and {b} vary apart from each other (correlation {$correlation:.2f})."),
+        ),
+        (
+            ("$p_value < 0.05", "Chance alone rarely gives this over {$sample_size:d} rows (p {$p_value:.4f})."),
+            ("$p_value >= 0.05", "Chance alone can give this (p {$p_value:.4f})."),
+        ),
+        (("true", "A correlation does not tell which column acts on which, if either does."),),
+    ),
+    "categorical_numerical": (
+        (("true",
+          "Split by {a}, mean {b} is greatest for '{@top_category}' ({$top_value:.2f}) and least for "
+          "'{@low_category}' ({$low_value:.2f}). Over all rows it is {$overall_mean:.2f}."),),
+        (("true", "Measured in standard deviations, the lead of the top one among {$group_count:d} groups is {strength}."),),
+        (
+            ("$anova_p_value < 0.05", "Analysis of variance tells the groups apart (p {$anova_p_value:.4f})."),
+            ("$anova_p_value >= 0.05",
+             "Analysis of variance cannot tell the groups apart (p {$anova_p_value:.4f})."),
+        ),
+    ),
+    "date_numerical": (
+        (
+            ("strength = 'very weak'", "{b} has no clear course along {a} (R² {$r_squared:.2f})."),
+            ("true",
+             "A straight line along {a} is {@trend_direction} and fits {b} with R² {$r_squared:.2f}, "
+             "which counts as {strength}."),
+        ),
+        (
+            ("$p_value < 0.05", "Chance alone rarely gives such a slope over {$sample_size:d} rows (p {$p_value:.4f})."),
+            ("$p_value >= 0.05", "The slope may be chance (p {$p_value:.4f})."),
+        ),
+    ),
+    "categorical_categorical": (
+        (("true",
+          "The values of {a} and {b} depend on each other: Cramér's V is {$cramers_v:.2f} of at most "
+          "1, which counts as {strength}."),),
+        (("true", "The largest cell holds '{@top_a}' of {a} and '{@top_b}' of {b}."),),
+        (
+            ("$p_value < 0.05", "The chi-square test rejects independence (p {$p_value:.4f}, {$sample_size:d} rows)."),
+            ("$p_value >= 0.05", "The chi-square test does not reject independence (p {$p_value:.4f})."),
+        ),
+    ),
+    "data_quality": (
+        (
+            ("$missing_pct > 60",
+             "Most of {a} is empty ({$missing_pct:.1f}%). Fill it from another source or leave it out."),
+            ("$missing_pct > 0",
+             "A large part of {a} is empty ({$missing_pct:.1f}%). Results with it hold for the filled "
+             "rows only."),
+            ("true", "{a} names single rows. Group and correlate by other columns."),
+        ),
+    ),
+    "distribution": (
+        (
+            ("$skewness > 0",
+             "A few large values stretch {a} upwards (skewness {$skewness:.2f}); its mean lies above "
+             "most rows. The median, or logarithms, describe it better."),
+            ("$skewness <= 0",
+             "A few small values stretch {a} downwards (skewness {$skewness:.2f}); its mean lies below "
+             "most rows. The median describes it better."),
+            ("$outlier_pct IS NOT NULL",
+             "{$outlier_pct:.1f}% of {a} lies more than one and a half quartile ranges outside "
+             "{$q1:.1f} to {$q3:.1f}. Find out whether these cells are errors before using means."),
+        ),
+    ),
+}
+
+NOTES = (
+    ("$sample_size < 30", "Fewer than 30 rows ({$sample_size:d})."),
+    ("$sample_size >= 30 AND $sample_size < 100", "Fewer than 100 rows ({$sample_size:d})."),
+    ("$p_value > 0.05", "May be chance (p {$p_value:.4f})."),
+    ("NOT coalesce($p_value > 0.05, false) AND $anova_p_value > 0.05", "May be chance (p {$anova_p_value:.4f})."),
+    ("$missing_pct > 20", "Many cells are empty ({$missing_pct:.1f}%)."),
+    ("type = 'numerical_numerical'", "Only straight-line relations are measured."),
+)
+NO_NOTES = "Nothing speaks against this finding."
+
+_FIELD = re.compile(r"\{([$@]?\w+)(?::([^}]+))?\}")
+
+
+def _sql(text: str) -> str:
+    text = re.sub(r"\$(\w+)", r"try_element_at(metrics, '\1')", text)
+    return re.sub(r"@(\w+)", r"try_element_at(labels, '\1')", text)
+
+
+def _field(name: str, form: str | None) -> Column:
+    if name in ("a", "b"):
+        return F.try_element_at("columns", F.lit(1 if name == "a" else 2))
+    value = F.expr(_sql(name))
+    return value.cast("long") if form == "d" else value
+
+
+def _sentence(text: str) -> Column:
+    pattern = _FIELD.sub(lambda m: "\0" + (m[2] or "s"), text).replace("%", "%%").replace("\0", "%")
+    fields = [_field(*m) for m in _FIELD.findall(text)]
+    return F.format_string(pattern, *fields) if fields else F.lit(text)
+
+
+def _first(options) -> Column:
+    """The sentence of the first alternative that holds, else null."""
+    return F.coalesce(*[F.when(F.expr(_sql(when)), _sentence(text)) for when, text in options])
 
 
 def explanation() -> Column:
-    """Plain-language explanation of an insight, by type."""
-    a, b, p = F.col("columns")[0], F.try_element_at("columns", F.lit(2)), _metric("p_value")
-    n = _metric("sample_size").cast("long")
-    chain = F.col("summary")
-    for kind, words in (
-        ("numerical_numerical", _num_num(a, b, p, n)), ("categorical_numerical", _cat_num(a, b)),
-        ("date_numerical", _date_num(a, b, p, n)), ("categorical_categorical", _cat_cat(a, b, p, n)),
-        ("data_quality", _quality(a)), ("distribution", _distribution(a)),
-    ):
-        chain = F.when(F.col("type") == kind, words).otherwise(chain)
-    return chain
-
-
-def _num_num(a, b, p, n):
-    r, way = _metric("correlation"), _label("direction")
-    verb = F.when(way == "positive", "increase").otherwise("decrease")
-    body = _strength(
-        strong=_say("There is a **strong %s relationship** between %s and %s (Pearson r = %.2f). "
-                    "As %s increases, %s tends to %s substantially.", way, a, b, r, a, b, verb),
-        moderate=_say("There is a **moderate %s relationship** between %s and %s (r = %.2f). The "
-                      "pattern is meaningful but not perfectly consistent — other factors also "
-                      "influence %s.", way, a, b, r, b),
-        weak=_say("There is a **weak %s tendency** between %s and %s (r = %.2f). The pattern "
-                  "exists but explains only a small fraction of the variation.", way, a, b, r),
-        very_weak=_say("There is **no meaningful linear relationship** between %s and %s "
-                       "(r = %.2f). These two columns appear largely independent of each other.",
-                       a, b, r))
-    sure = _significance(
-        p, _say("This result is **statistically significant** (p = %.4f, n = %d).", p, n),
-        _say("⚠️ This result is **not statistically significant** (p = %.4f). Treat with caution.",
-             p))
-    caveat = F.lit("Note: correlation does not imply causation. Other variables may drive this "
-                   "relationship.")
-    return _join(body, sure, caveat)
-
-
-def _cat_num(a, b):
-    p, k = _metric("anova_p_value"), _metric("group_count").cast("long")
-    body = _say("When grouped by **%s**, the **'%s'** group has the highest average **%s** (%.2f), "
-                "while **'%s'** has the lowest (%.2f). The overall mean is %.2f.", a,
-                _label("top_category"), b, _metric("top_value"), _label("low_category"),
-                _metric("low_value"), _metric("overall_mean"))
-    comment = _strength(
-        strong=_say("The differences across the %d groups are **substantial** — this is a "
-                    "meaningful segmentation.", k),
-        moderate=_say("Group differences are **moderate** across %d categories.", k),
-        weak=_say("Group differences are **minor** across %d categories.", k),
-        very_weak=_say("Group differences are **very small** across %d categories.", k))
-    sure = _significance(
-        p, _say("ANOVA test confirms group differences are statistically significant (p = %.4f).",
-                p),
-        _say("⚠️ ANOVA test suggests group differences may not be statistically significant "
-             "(p = %.4f).", p))
-    return _join(body, comment, sure)
-
-
-def _date_num(a, b, p, n):
-    fit, trend = _metric("r_squared"), _label("trend_direction")
-    body = _strength(
-        strong=_say("**%s** shows a **strong %s trend** over %s. Time explains %.1f%% of its "
-                    "variation (R² = %.2f).", b, trend, a, fit * 100, fit),
-        moderate=_say("**%s** shows a **moderate %s trend** over %s (R² = %.2f). The direction is "
-                      "clear but with notable fluctuations.", b, trend, a, fit),
-        weak=_say("**%s** has a **weak %s tendency** over %s (R² = %.2f). The trend is mild and "
-                  "may not be reliable.", b, trend, a, fit))
-    sure = _significance(
-        p, _say("Trend is statistically significant (p = %.4f, n = %d).", p, n),
-        _say("⚠️ Trend is not statistically significant (p = %.4f). Treat with caution.", p))
-    return _join(body, sure)
-
-
-def _cat_cat(a, b, p, n):
-    v = _metric("cramers_v")
-    body = _say("**%s** and **%s** show a %s association (Cramér's V = %.2f). Cramér's V ranges "
-                "from 0 (no association) to 1 (perfect association).", a, b, F.col("strength"), v)
-    combo = _say("The most common combination is '%s' in %s paired with '%s' in %s.",
-                 _label("top_a"), a, _label("top_b"), b)
-    sure = _significance(
-        p, _say("Chi-squared test confirms this association is statistically significant "
-                "(p = %.4f, n = %d).", p, n),
-        _say("⚠️ Chi-squared test does not confirm significance (p = %.4f).", p))
-    return _join(body, combo, sure)
-
-
-def _quality(a):
-    missing = _metric("missing_pct")
-    level = F.when(missing > 60, "severely").otherwise("moderately")
-    return F.when(
-        missing > 0,
-        _say("**%s** is %s affected by missing data (%.1f%% of values are null). Any analysis "
-             "involving this column may produce biased or unreliable results. Consider imputing "
-             "missing values before using this column in models or aggregations.", a, level,
-             missing),
-    ).otherwise(
-        _say("**%s** appears to be a unique identifier column. ID columns have near-100%% unique "
-             "values and should not be used in correlation or grouping analyses — they won't yield "
-             "meaningful patterns.", a))
-
-
-def _distribution(a):
-    skew, share = _metric("skewness"), _metric("outlier_pct")
-    side = F.when(skew > 0, "right").otherwise("left")
-    cause = F.when(
-        skew > 0, "a small number of very high values (e.g. extreme salaries, prices, or ages) "
-                  "pulling the tail up.",
-    ).otherwise("a small number of very low or negative values pulling the tail down.")
-    low = _metric("q1") - 1.5 * _metric("iqr")
-    high = _metric("q3") + 1.5 * _metric("iqr")
-    return F.when(
-        skew.isNotNull(),
-        _say("**%s** has a skewness of %.2f — a **%s-skewed distribution** caused by %s The mean "
-             "is higher than the median for right-skewed data, which can distort averages. "
-             "Consider log-transformation if using this column in statistical models.", a, skew,
-             side, cause),
-    ).when(
-        share.isNotNull(),
-        _say("**%s** contains %.1f%% outliers (values outside [%.1f, %.1f] by the IQR method). "
-             "Outliers can distort means and correlations. Verify whether they are genuine "
-             "extremes or data entry errors before modelling.", a, share, low, high),
-    ).otherwise(F.col("summary"))
+    """Plain-language explanation of an insight, by type; its summary where no text fits."""
+    texts = [
+        F.when(F.col("type") == kind,
+               F.array_join(F.array_compact(F.array(*map(_first, paragraphs))), "\n\n"))
+        for kind, paragraphs in TEXTS.items()
+    ]
+    said = F.coalesce(*texts, F.lit(""))
+    return F.when(said == "", F.col("summary")).otherwise(said)
 
 
 def reliability_notes() -> Column:
     """Caveats of an insight; never empty."""
-    n = _metric("sample_size").cast("long")
-    p = F.coalesce(_metric("p_value"), F.lit(0.0))
-    q = F.coalesce(_metric("anova_p_value"), F.lit(0.0))
-    worst = F.when(p > 0.05, p).when(q > 0.05, q)
-    missing = _metric("missing_pct")
-    notes = F.array_compact(F.array(
-        F.when(n < 30, _say("Small sample (%d rows) — results may not generalise.", n))
-        .when(n < 100, _say("Moderate sample (%d rows) — interpret with some caution.", n)),
-        F.when(worst.isNotNull(), _say("Not statistically significant (p = %.4f).", worst)),
-        F.when(missing > 20, _say("High missing rate (%.1f%%) may affect accuracy.", missing)),
-        F.when(F.col("type") == "numerical_numerical",
-               F.lit("Pearson r assumes linearity. Consider Spearman for non-linear patterns.")),
-    ))
-    none = F.array(F.lit("No major reliability concerns detected."))
-    return F.when(F.size(notes) > 0, notes).otherwise(none)
+    notes = F.array_compact(F.array(*[_first([note]) for note in NOTES]))
+    return F.when(F.size(notes) > 0, notes).otherwise(F.array(F.lit(NO_NOTES)))
 
 
 def explain(insights: DataFrame) -> DataFrame:
@@ -187,7 +154,7 @@ def insight_details(df: DataFrame, insights: DataFrame, insight_id: str):
     detail = explain(insights.where(F.col("insight_id") == insight_id))
     row = detail.select("chart").first()
     if row is None:
-        raise ValueError(f"Insight '{insight_id}' not found.")
+        raise ValueError(f"No insight has the id '{insight_id}'.")
     chart = row["chart"]
     if chart is None:
         return detail, None

@@ -88,33 +88,32 @@ def refine(predicted: DataFrame) -> DataFrame:
     # One ordered list of cases: condition, action, reason when the action changes.
     cases = [
         (wrong_case, F.lit("title_case"),
-         say("'%s' contains inconsistent casing — applying title case", "column_name")),
+         say("Cells of '%s' are written in mixed case", "column_name")),
         (clean_boolean, F.lit("no_change"),
-         F.lit("Boolean column is clean (native bool dtype) — no change")),
+         F.lit("All cells are booleans already")),
         (boolean, F.lit("normalize_boolean"),
-         say("Boolean column: %s unrecognised value(s), %s missing — normalising to 1/0",
+         say("Booleans to write as 1 and 0; %s unknown spelling(s), %s empty",
              "bool_unrecognised_count", "missing_count")),
         (negative, F.lit("convert_and_flag"),
-         say("%s negative value(s) in '%s' — impossible for this column type; escalated to "
-             "convert_and_flag", "negative_count", "column_name")),
+         say("%s amount(s) below zero in '%s' need review", "negative_count", "column_name")),
         (extreme, F.lit("convert_and_flag"),
-         say("%s extreme value(s) above %.0f (3×IQR threshold) in '%s' — escalated to "
-             "convert_and_flag", "extreme_count", "extreme_upper", "column_name")),
+         say("%s amount(s) beyond %.0f, three quartile ranges out, in '%s' need review",
+             "extreme_count", "extreme_upper", "column_name")),
         (beyond & credit, F.lit("convert_and_flag"),
-         say("%s value(s) outside FICO credit score range [300-850] — escalated from '%s' to "
-             "'convert_and_flag'", "range_violations", "predicted_action")),
+         say("%s credit score(s) not within 300 to 850: review takes the place of '%s'",
+             "range_violations", "predicted_action")),
         (beyond, F.lit("convert_and_flag"),
-         say("%s value(s) outside valid score range [0-100] — escalated from '%s' to "
-             "'convert_and_flag'", "range_violations", "predicted_action")),
+         say("%s score(s) not within 0 to 100: review takes the place of '%s'", "range_violations",
+             "predicted_action")),
         (aged, F.lit("convert_and_flag"),
-         say("%s value(s) outside valid age range [0-120] — escalated to 'convert_and_flag'",
+         say("%s age(s) not within 0 to 120 need review",
              "age_violations")),
         (imputing, F.when(skewed, "impute_median").otherwise("impute_mean"),
-         say("Switched '%s' => '%s' (actual skew=%.2f, outliers=%s)", "predicted_action",
+         say("'%s' became '%s': skewness %.2f, %s outlier(s)", "predicted_action",
              F.when(skewed, "impute_median").otherwise("impute_mean"), "actual_skewness",
              "actual_outliers")),
         (filling, F.when(dominant, "fill_mode").otherwise("fill_unknown"),
-         say("Switched '%s' => '%s' (mode covers %.1f%% of non-null values)", "predicted_action",
+         say("'%s' became '%s': the top value fills %.1f%% of the filled cells", "predicted_action",
              F.when(dominant, "fill_mode").otherwise("fill_unknown"),
              F.col("mode_dominance") * 100)),
     ]

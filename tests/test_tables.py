@@ -80,13 +80,47 @@ def test_two_by_two_table_gets_the_correction(spark):
     assert found["metrics"]["chi2"] == pytest.approx(chi2, abs=1e-3)
 
 
-def test_joint_table_and_rows_agree(spark, monkeypatch):
-    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+def test_no_column_or_value_is_left_out(spark):
+    """14 numbers, 9 categories, one of them with 60 values; limits are the caller's."""
+    rows = [tuple(float((i * (j + 3)) % 97 + j) for j in range(14))
+            + tuple(f"v{(i * 13 + j) % (60 if j == 0 else 3 + j)}" for j in range(9)) for i in range(600)]
+    names = [f"n{j}" for j in range(14)] + [f"c{j}" for j in range(9)]
+    df = spark.createDataFrame(rows, names)
     scan = insights.TableScan(df)
-    cats, nums = scan.categorical(), scan.numeric()
-    small = insights.detect_cat_num(scan, cats, nums), insights.detect_cat_cat(scan, cats)
-    monkeypatch.setattr(insights, "JOINT_LIMIT", 0)
-    assert (insights.detect_cat_num(scan, cats, nums), insights.detect_cat_cat(scan, cats)) == small
+    assert len(scan.numeric()) == 14 and scan.categorical() == names[14:]
+    few = insights.TableScan(df, max_columns=4, max_values=50)
+    assert len(few.numeric()) == 4 and few.categorical() == names[15:19]
+    pdf = df.toPandas()
+    for found in insights.detect_cat_num(scan, ["c0", "c4"], ["n0", "n5"]):
+        cat, num = found["columns"]
+        means = pdf.groupby(cat)[num].mean()
+        assert found["metrics"]["top_value"] == round(means.max(), 2)
+        assert found["metrics"]["low_value"] == round(means.min(), 2)
+        assert found["metrics"]["group_count"] == len(means)
+        inside = pdf[num] - pdf.groupby(cat)[num].transform("mean")
+        between = ((pdf.groupby(cat)[num].transform("mean") - pdf[num].mean()) ** 2).sum()
+        f = between / (len(means) - 1) / ((inside ** 2).sum() / (len(pdf) - len(means)))
+        assert found["metrics"]["anova_f"] == pytest.approx(f, abs=2e-3)
+    assert insights.group_means(scan, ["c0"], ["n0"]).count() == 60
+
+
+def test_box_counts_and_lists_both_sides(spark):
+    values = [float(50 + i % 10) for i in range(2000)] + [-1000.0 - i for i in range(120)] + [1000.0 + i for i in range(30)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = cw.chart_data(df, "box", "v").first()
+    assert (row["low_outliers"], row["high_outliers"]) == (120, 30)
+    sides = {r["side"]: r["count"] for r in charts.box_outliers(df, "v").groupBy("side").count().collect()}
+    assert sides == {"low": 120, "high": 30}
+    assert charts.box_outliers(df, "v", max_points=7).count() == 7
+
+
+def test_grouped_median_keeps_null_and_hot_groups(spark):
+    rows = ([("hot", float(i % 501)) for i in range(4001)] + [("one", 5.0), (None, 1.0), (None, 2.0)]
+            + [("far", v) for v in (1.0, 1e9, 2e9, 3.0)])
+    df = spark.createDataFrame(rows, "g string, y double")
+    found = {r["g"]: r["value"] for r in cw.operators.stats.grouped_median(df, ["g"]).collect()}
+    hot = sorted(float(i % 501) for i in range(4001))[2000]
+    assert found == {"hot": hot, "one": 5.0, None: 1.5, "far": (3.0 + 1e9) / 2}
 
 
 def test_ranked_insights(spark):
