@@ -2,7 +2,8 @@
 
 P(word | previous) = P(class | previous class) * P(word | class). Classes come from exchange
 clustering: a unit moves to the class that raises the likelihood of the class bigrams most, given
-the classes of all others. Units are the most frequent words, each its own, and groups of all other
+the classes of all others; moves are made in batches that raise the likelihood, until it has
+settled. Units are the most frequent words, each its own, and groups of all other
 words tied by their last three bytes, so every word, seen or not, has a class.
 
 All counts cover the whole training text. Word counts stay a table; tasks are sent only the
@@ -26,7 +27,8 @@ FREQUENT = 1 << 18  # words whose counts are sent to the tasks
 UNITS = 4096  # most frequent words, clustered one by one
 TAILS = 1024  # groups of the other words
 CLASSES = 64
-ROUNDS = 6  # exchange rounds; units of even and odd number move in turn
+SHARES = 4  # hashed shares of the units, which move in turn
+SETTLED = 1e-3  # nats a token; exchange ends when a turn of all shares gains no more
 PRIOR = 5.0  # weight of the class frequencies in the class transitions
 FLUSH = 1 << 22
 
@@ -137,78 +139,171 @@ def _g(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_class(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: int, old: int) -> int:
-    """The class to which a unit of class `old` moves for the greatest likelihood of class bigrams.
+def best_moves(joint: np.ndarray, sides: np.ndarray, selves: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, gain) of each unit: where it raises the likelihood of class bigrams most, and by how much.
 
-    joint: class bigram counts; right and left: how often the unit stands before and after each
-    class; own: how often it follows itself. The likelihood is the sum of g(joint) less g of both
-    margins, g(x) = x log x; ties go to the old class, then to the smallest.
+    joint: class bigram counts; sides: (units, 2, classes), how often a unit stands before and after
+    each class; selves: how often it follows itself; old: its class. The likelihood is the sum of
+    g(joint) less g of both margins, g(x) = x log x; ties go to the old class, then to the smallest.
     """
-    rest = joint.astype(float).copy()
-    rest[old] -= right
-    rest[:, old] -= left
-    rest[old, old] += own
-    r, l = right.astype(float).copy(), left.astype(float).copy()
-    r[old] -= own
-    l[old] -= own
-    gain = (_g(rest + r) - _g(rest)).sum(axis=1) + (_g(rest.T + l) - _g(rest.T)).sum(axis=1)
-    d = np.diag(rest)
-    gain += _g(d + r + l + own) + _g(d) - _g(d + r) - _g(d + l)
-    # The margins of the others' tokens don't depend on where the unit goes.
-    for margin, n in ((rest.sum(axis=1) + l, r.sum() + own), (rest.sum(axis=0) + r, l.sum() + own)):
-        gain -= _g(margin + n) - _g(margin)
-    gain[old] += 1e-9 * max(1.0, abs(gain[old]))
-    return int(np.argmax(gain))
-
-
-def _chooser(joint: np.ndarray, kind: np.ndarray, selves: np.ndarray):
+    joint = joint.astype(float)
+    found, gains = np.zeros(len(old), np.int64), np.zeros(len(old))
+    for first in range(0, len(old), 1024):
+        part = slice(first, first + 1024)
+        near, o, own = sides[part].astype(float), old[part], selves[part].astype(float)
+        every = np.arange(len(o))
+        gain = np.zeros((len(o), len(joint)))
+        for side, table in ((0, joint), (1, joint.T)):
+            units, classes = np.nonzero(near[:, side])
+            for k in range(0, len(units), 1 << 14):
+                i, c = units[k:k + (1 << 14)], classes[k:k + (1 << 14)]
+                n, rest = near[i, side, c], table.T[c]
+                rest[np.arange(len(i)), o[i]] -= n
+                same = np.flatnonzero(c == o[i])
+                rest[same] -= near[i[same], 1 - side]
+                rest[same, o[i[same]]] += own[i[same]]
+                n[same] -= own[i[same]]
+                starts = np.flatnonzero(np.diff(i, prepend=-1))
+                gain[i[starts]] += np.add.reduceat(_g(rest + n[:, None]) - _g(rest), starts)
+        r, l, s = near[:, 0].copy(), near[:, 1].copy(), own[:, None]
+        d = np.repeat(np.diag(joint)[None], len(o), axis=0)
+        d[every, o] -= r[every, o] + l[every, o] - own
+        r[every, o] -= own
+        l[every, o] -= own
+        gain += _g(d + r + l + s) + _g(d) - _g(d + r) - _g(d + l)
+        # The margins of the others' tokens don't depend on where the unit goes.
+        for side in (0, 1):
+            n = near[:, side].sum(axis=1)
+            margin = np.repeat(joint.sum(axis=1 - side)[None], len(o), axis=0)
+            margin[every, o] -= n
+            gain -= _g(margin + n[:, None]) - _g(margin)
+        here = gain[every, o].copy()
+        gain[every, o] += 1e-9 * np.maximum(1.0, abs(here))
+        found[part] = gain.argmax(axis=1)
+        gains[part] = np.where(found[part] == o, 0, gain[every, found[part]] - here)
+    return found, gains
+
+
+def best_class(joint: np.ndarray, right: np.ndarray, left: np.ndarray, own: int, old: int) -> int:
+    """The class to which a unit of class `old` moves; see best_moves."""
+    return int(best_moves(joint, np.stack([right, left])[None], np.array([own]), np.array([old]))[0][0])
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, without what no class changes."""
+    return float(_g(joint).sum() - _g(joint.sum(axis=0)).sum() - _g(joint.sum(axis=1)).sum())
+
+
+def _summing(run, found: DataFrame) -> DataFrame:
+    """(key, n) summed over what run makes of each batch (arrays of keys and of counts)."""
+
+    def parts(batches):
+        for batch in batches:
+            keys, n = run(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "n")))
+            names, at = np.unique(keys, return_inverse=True)
+            sums = np.bincount(at, n, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sums)], names=["key", "n"])
+
+    return found.mapInArrow(parts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _square(found: DataFrame, first: int, classes: int) -> np.ndarray:
+    rows = found.toArrow()
+    out = np.zeros(first * classes * classes, np.int64)
+    out[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(first, classes, classes)
+
+
+def _proposals(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, selves: np.ndarray, turn: int) -> tuple:
+    """(units, classes, gains) of the share of units whose turn it is and that gain by a move, most first."""
+    classes, blocks = len(joint), max(32, len(kind) // 1024)
+    sent = bigrams.sparkSession.sparkContext.broadcast((joint, kind, selves))
+
+    def near(u, v, n):
+        kind = sent.value[1]
+        before, after = (np.flatnonzero(mix(x.astype(np.uint64), 9) % np.uint64(SHARES) == turn % SHARES) for x in (u, v))
+        return (np.concatenate([2 * classes * u[before].astype(np.int64) + kind[v[before]],
+                                classes * (2 * v[after].astype(np.int64) + 1) + kind[u[after]]]),
+                np.concatenate([n[before], n[after]]))
+
     def choose(group):
-        unit, side, cls, n = (np.asarray(group.column(c)) for c in ("unit", "side", "cls", "n"))
-        names, at = np.unique(unit, return_inverse=True)
-        table = np.zeros((len(names), 2, len(joint)), np.int64)
-        table[at, side, cls] = n
-        new = [best_class(joint, t[0], t[1], int(selves[u]), int(kind[u])) for u, t in zip(names, table)]
-        return pa.table({"unit": pa.array(names, pa.int32()), "cls": pa.array(new, pa.int32())})
+        joint, kind, selves = sent.value
+        key, n = group.column("key").to_numpy(), group.column("n").to_numpy()
+        units, at = np.unique(key // (2 * classes), return_inverse=True)
+        sides = np.zeros((len(units), 2, classes), np.int64)
+        sides[at, key // classes % 2, key % classes] = n
+        new, gains = best_moves(joint, sides, selves[units], kind[units])
+        up = gains > 0
+        return pa.table({"unit": pa.array(units[up], pa.int32()), "cls": pa.array(new[up], pa.int32()), "gain": pa.array(gains[up])})
+
+    block = F.expr(f"key div {2 * classes} % {blocks}")
+    rows = _summing(near, bigrams).groupBy(block).applyInArrow(choose, "unit int, cls int, gain double").toArrow()
+    units, new, gains = (rows.column(c).to_numpy() for c in ("unit", "cls", "gain"))
+    order = np.lexsort((units, -gains))
+    sent.unpersist()
+    return units[order], new[order], gains[order]
+
+
+def _trials(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.ndarray, new: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Class bigram counts after the first moves, for each of the sizes."""
+    classes = len(joint)
+    sent = bigrams.sparkSession.sparkContext.broadcast((kind, units, new))
+
+    def change(u, v, n):
+        kind, units, new = sent.value
+        rank = np.full(len(kind), len(units), np.int32)  # place among the moves
+        rank[units] = np.arange(len(units))
+        goes = kind.copy()
+        goes[units] = new
+        touched = np.flatnonzero(np.minimum(rank[u], rank[v]) < len(units))
+        u, v, n = u[touched], v[touched], n[touched]
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, size in enumerate(sizes):
+            own = np.flatnonzero(np.minimum(rank[u], rank[v]) < size)
+            a, b, m = u[own], v[own], n[own]
+            after = np.where(rank[a] < size, goes[a], kind[a]) * classes + np.where(rank[b] < size, goes[b], kind[b])
+            keys += [i * classes ** 2 + after, i * classes ** 2 + kind[a] * classes + kind[b]]
+            counts += [m, -m]
+        return np.concatenate(keys), np.concatenate(counts)
+
+    out = joint + _square(_summing(change, bigrams), len(sizes), classes)
+    sent.unpersist()
+    return out
 
-    return choose
 
+def exchange(bigrams: DataFrame, kind: np.ndarray, classes: int = CLASSES, settled: float = SETTLED,
+             watch=None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigram counts), from the classes in kind on.
 
-def exchange(bigrams: DataFrame, rounds: int = ROUNDS, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts). Each round is a Spark job: the bigram table is
-    summed to units by classes, blocks of units choose their class, and the table of at most
-    UNITS + TAILS choices comes back."""
-    spark = bigrams.sparkSession
-    total = UNITS + TAILS
-    kind = np.arange(total) % classes
-    selves = np.zeros(total, np.int64)
-    for row in bigrams.where("u = v").collect():
-        selves[row.u] = row.n
-
-    def sides():
-        known = spark.createDataFrame([(i, int(c)) for i, c in enumerate(kind)], "unit int, cls int")
-        of = lambda c: F.broadcast(known.withColumnsRenamed({"unit": c, "cls": f"c{c}"}))
-        both = bigrams.join(of("u"), "u").join(of("v"), "v")
-        return both
-
-    def joint_of(both):
-        joint = np.zeros((classes, classes), np.int64)
-        for row in both.groupBy("cu", "cv").agg(F.sum("n").alias("n")).collect():
-            joint[row.cu, row.cv] = row.n
-        return joint
-
-    for turn in range(rounds):
-        both = sides()
-        joint = joint_of(both)
-        if not joint.any():
+    Each round is two Spark jobs. A hashed share of the units choose their best class, given those of
+    all others; then the class bigrams are counted anew for the whole batch and for ever fewer of its
+    moves of the greatest gain, down to one move, whose gain is exact. The best batch is applied, so the
+    likelihood rises in every round that moves a unit. Rounds end when all shares together gained
+    no more than `settled` nats a token (0: when no move gains). watch is called with each likelihood.
+    """
+    kind = kind.astype(np.int64)
+    selves = np.zeros(len(kind), np.int64)
+    own = bigrams.where("u = v").select("u", "n").toArrow()
+    selves[own.column("u").to_numpy()] = own.column("n").to_numpy()
+    joint = _square(_summing(lambda u, v, n, kind=kind: (kind[u] * classes + kind[v], n), bigrams), 1, classes)[0]
+    values = [likelihood(joint)]
+    while joint.any():
+        units, new, _ = _proposals(bigrams, joint, kind, selves, len(values) - 1)
+        best = values[-1]
+        if len(units):
+            sizes = sorted({max(1, len(units) >> k) for k in (0, 1, 3, 6, 9, 12, 15, 18, 99)}, reverse=True)
+            tried = _trials(bigrams, joint, kind, units, new, sizes)
+            scores = [likelihood(t) for t in tried]
+            k = int(np.argmax(scores))
+            if scores[k] > best:
+                best, joint = scores[k], tried[k]
+                kind[units[:sizes[k]]] = new[:sizes[k]]
+        values.append(best)
+        if watch:
+            watch(best)
+        if len(values) > SHARES and values[-1] - values[-1 - SHARES] <= settled * joint.sum():
             break
-        near = (both.where(f"u % 2 = {turn % 2}").groupBy(F.col("u").alias("unit"), F.lit(0).alias("side"), F.col("cv").alias("cls"))
-                .agg(F.sum("n").alias("n"))
-                .unionByName(both.where(f"v % 2 = {turn % 2}").groupBy(F.col("v").alias("unit"), F.lit(1).alias("side"),
-                                                                      F.col("cu").alias("cls")).agg(F.sum("n").alias("n"))))
-        choose = _chooser(joint, kind.copy(), selves)
-        for row in near.groupBy((F.col("unit") / 2).cast("int") % 32).applyInArrow(choose, "unit int, cls int").collect():
-            kind[row.unit] = row.cls
-    return kind, joint_of(sides())
+    return kind, joint
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -221,7 +316,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     rank = np.argsort(words[:UNITS])
     top, units = words[:UNITS][rank], rank.astype(np.int64)
     bigrams = written(unit_bigrams(docs, top, units), "bigrams")
-    kind, joint = exchange(bigrams)
+    with small_batches(docs.sparkSession, FLUSH >> 2):
+        kind, joint = exchange(bigrams, np.arange(UNITS + TAILS) % CLASSES)
     by_tail = F.broadcast(docs.sparkSession.createDataFrame(
         [(i, int(kind[UNITS + i])) for i in range(TAILS)], "tail int, tail_class int"))
     by_word = F.broadcast(docs.sparkSession.createDataFrame(

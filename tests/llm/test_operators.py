@@ -338,6 +338,30 @@ def test_exchange_gain_is_exact():
         assert tried[got] == pytest.approx(max(tried))
 
 
+def test_exchange_never_loses(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    total, classes = 60, 6
+    true = rng.integers(0, classes, total)
+    counts = rng.poisson(np.where((true[:, None] + 1) % classes == true[None, :], 9, 0.5))
+    frame = spark.createDataFrame([(u, v, int(n)) for (u, v), n in np.ndenumerate(counts) if n], "u int, v int, n bigint")
+
+    def joint_of(kind):
+        joint = np.zeros((classes, classes), np.int64)
+        np.add.at(joint, (kind[:, None], kind[None, :]), counts)
+        return joint
+
+    start, seen = np.arange(total) % classes, []
+    kind, joint = class_lm.exchange(frame, start, classes, 0, seen.append)
+    assert (joint == joint_of(kind)).all()
+    steps = [class_lm.likelihood(joint_of(start)), *seen]
+    assert all(a <= b for a, b in zip(steps, steps[1:]))
+    assert steps[-1] == class_lm.likelihood(joint) > steps[0]
+    for u in range(total):  # no move is left that gains
+        assert class_lm.best_class(joint, np.bincount(kind, counts[u], classes), np.bincount(kind, counts[:, u], classes),
+                                   int(counts[u, u]), int(kind[u])) == kind[u]
+
+
 # -- pipeline --------------------------------------------------------------------
 
 def test_pipeline(spark):
