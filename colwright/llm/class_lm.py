@@ -3,12 +3,15 @@
 P(word | previous) = P(class | previous class) * P(word | class). Classes come from exchange
 clustering: a unit moves to the class that raises the likelihood of the class bigrams most, given
 the classes of all others; moves are made in batches that raise the likelihood, until it has
-settled. Units are the most frequent words, each its own, and groups of all other
-words tied by their last three bytes, so every word, seen or not, has a class.
-
-All counts cover the whole training text. Word counts stay a table; tasks are sent only the
-FREQUENT most frequent words, and the counts of all others reach their documents by a join. The
-class model is bounded by its parameters (UNITS + TAILS units, CLASSES classes).
+settled. Units are all words of at least the count that SHARE of the tokens reach, so their number
+grows with the text, and one unit holds all rarer words meanwhile. After that each rarer word
+chooses its class by the classes of its own neighbours. Words that the training text lacks get the
+class that most of the words seen once have.
+
+All counts cover the whole training text. Bigrams, and counts and classes of words, stay tables;
+tasks are sent the digests of the units while bigrams are counted and one class number a unit in the
+exchange. In scoring they are sent the FREQUENT most frequent units only; all other words get their
+counts and classes by a join.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import small_batches, written
 from .words import END_WORD, chunks, mix
 
-FREQUENT = 1 << 18  # words whose counts are sent to the tasks
-UNITS = 4096  # most frequent words, clustered one by one
-TAILS = 1024  # groups of the other words
+FREQUENT = 1 << 18  # words whose counts and classes are sent to the tasks that score
+SHARE = 0.95  # of the tokens, held at least by the words that are units
 CLASSES = 64
 SHARES = 4  # hashed shares of the units, which move in turn
 SETTLED = 1e-3  # nats a token; exchange ends when a turn of all shares gains no more
@@ -36,11 +38,10 @@ FLUSH = 1 << 22
 class Model(NamedTuple):
     tokens: int  # in the training text, ends included
     types: int
-    words: np.ndarray  # frequent words, ascending, and their counts
+    words: np.ndarray  # frequent words, ascending, their counts and their classes
     counts: np.ndarray
-    top: np.ndarray  # the words that are units, ascending, and their units
-    units: np.ndarray
-    classes: np.ndarray  # class of each unit
+    classes: np.ndarray
+    unseen: int  # class of the words that are not in the training text
     transitions: np.ndarray  # log10 P(class | previous class)
     class_tokens: np.ndarray
     class_types: np.ndarray
@@ -51,88 +52,98 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
 
 
-def _sequence(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, tail groups, bounds) of a chunk with an end token after each text."""
+def _sequence(chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds) of a chunk with an end token after each text."""
     texts = len(chunk.bounds) - 1
     bounds = chunk.bounds + np.arange(texts + 1)
     words = np.full(int(bounds[-1]), END_WORD, np.uint64)
-    tails = np.zeros(len(words), np.int64)
     place = np.ones(len(words), bool)
     place[bounds[1:] - 1] = False
     words[place] = chunk.words
-    tails[place] = (mix(chunk.tails.astype(np.uint64), 8) % np.uint64(TAILS)).astype(np.int64)
-    return words, tails, bounds
+    return words, bounds
+
 
+def _before(words: np.ndarray) -> np.ndarray:
+    """The word before each; a text begins after an end."""
+    return np.concatenate([np.array([END_WORD], np.uint64), words[:-1]])
 
-def _summed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(keys), return_counts=True)
+
+def _found(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the ascending table, whether it is there) of each word."""
+    if not len(table):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return at, table[at] == words
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, tail, n) over the texts, ends included."""
+    """(word, n) over the texts, ends included."""
 
     def run(batches):
         held, size = [], 0
 
         def packed():
-            both = np.concatenate(held, axis=1)
-            words, first, counts = np.unique(both[0], return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words.view(np.int64)), pa.array(both[1][first].astype(np.int32)), pa.array(counts.astype(np.int64))],
-                names=["word", "tail", "n"])
+            words, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
-            for chunk in chunks(batch.column("text"), tails=True):
-                words, tails, _ = _sequence(chunk)
-                held.append(np.stack([words, tails.astype(np.uint64)]))
-                size += len(words)
+            for chunk in chunks(batch.column("text")):
+                held.append(_sequence(chunk)[0])
+                size += len(held[-1])
                 if size > FLUSH:
                     yield packed()
                     held, size = [], 0
         if size:
             yield packed()
 
-    found = docs.select("text").mapInArrow(run, "word bigint, tail int, n bigint")
-    return found.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _unit_of(words: np.ndarray, tails: np.ndarray, top: np.ndarray, units: np.ndarray) -> np.ndarray:
-    out = UNITS + tails
-    if len(top):
-        at = np.minimum(np.searchsorted(top, words), len(top) - 1)
-        hit = top[at] == words
-        out[hit] = units[at[hit]]
-    return out
+def least_count(vocabulary: DataFrame) -> int:
+    """The greatest count such that words of at least that count hold SHARE of the tokens."""
+    rows = vocabulary.groupBy("n").agg((F.count("*") * F.col("n")).alias("tokens")).orderBy(F.desc("n")).toArrow()
+    n, tokens = rows.column("n").to_numpy(), np.cumsum(rows.column("tokens").to_numpy())
+    return int(n[np.searchsorted(tokens, SHARE * tokens[-1])]) if len(n) else 1
 
 
 def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray) -> DataFrame:
-    """(u, v, n): how often unit v follows unit u; a text begins after an end."""
+    """(u, v, uw, vw, n): how often unit v follows unit u. All words without a unit of their own have
+    the last one; uw and vw are such words, else null."""
     sent = docs.sparkSession.sparkContext.broadcast((top, units))
-    total = UNITS + TAILS
+    total = len(top) + 1
 
     def run(batches):
         held, size = [], 0
 
         def packed():
-            keys, counts = _summed(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+            words = np.concatenate(held)
+            before = np.concatenate([_before(x) for x in held])
+            top, units = sent.value
+            (at, hit), (at_before, hit_before) = _found(words, top), _found(before, top)
+            v, u = np.full(len(words), total - 1), np.full(len(words), total - 1)
+            v[hit], u[hit_before] = units[at[hit]], units[at_before[hit_before]]
+            key, both = u * total + v, hit & hit_before
+            keys, counts = np.unique(key[both], return_counts=True)
+            none, one = np.zeros(len(keys), np.int64), ~both
+            rows = lambda known, x, y: pa.array(np.concatenate([known, x[one].view(np.int64)]),
+                                                mask=np.concatenate([np.ones(len(known), bool), y[one]]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([keys, key[one]])), rows(none, before, hit_before), rows(none, words, hit),
+                 pa.array(np.concatenate([counts, np.ones(one.sum(), np.int64)]))], names=["key", "uw", "vw", "n"])
 
-        end = int(_unit_of(np.array([END_WORD], np.uint64), np.zeros(1, np.int64), *sent.value)[0])
         for batch in batches:
-            for chunk in chunks(batch.column("text"), tails=True):
-                words, tails, _ = _sequence(chunk)
-                unit = _unit_of(words, tails, *sent.value)
-                held.append(np.concatenate([[end], unit[:-1]]) * total + unit)
-                size += len(unit)
+            for chunk in chunks(batch.column("text")):
+                held.append(_sequence(chunk)[0])
+                size += len(held[-1])
                 if size > FLUSH:
                     yield packed()
                     held, size = [], 0
         if size:
             yield packed()
 
-    found = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return found.select(F.expr(f"cast(key div {total} AS int)").alias("u"),
-                        F.expr(f"cast(key % {total} AS int)").alias("v"), "n")
+    found = docs.select("text").mapInArrow(run, "key bigint, uw bigint, vw bigint, n bigint")
+    return found.groupBy("key", "uw", "vw").agg(F.sum("n").alias("n")).select(
+        F.expr(f"cast(key div {total} AS int)").alias("u"), F.expr(f"cast(key % {total} AS int)").alias("v"), "uw", "vw", "n")
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -257,14 +268,15 @@ def _trials(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.n
         goes[units] = new
         touched = np.flatnonzero(np.minimum(rank[u], rank[v]) < len(units))
         u, v, n = u[touched], v[touched], n[touched]
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sums = np.zeros((len(sizes), classes ** 2), np.int64)
         for i, size in enumerate(sizes):
             own = np.flatnonzero(np.minimum(rank[u], rank[v]) < size)
             a, b, m = u[own], v[own], n[own]
             after = np.where(rank[a] < size, goes[a], kind[a]) * classes + np.where(rank[b] < size, goes[b], kind[b])
-            keys += [i * classes ** 2 + after, i * classes ** 2 + kind[a] * classes + kind[b]]
-            counts += [m, -m]
-        return np.concatenate(keys), np.concatenate(counts)
+            for keys, sign in ((after, 1), (kind[a] * classes + kind[b], -1)):
+                sums[i] += sign * np.bincount(keys, m, classes ** 2).astype(np.int64)
+        keys = np.flatnonzero(sums)
+        return keys, sums.ravel()[keys]
 
     out = joint + _square(_summing(change, bigrams), len(sizes), classes)
     sent.unpersist()
@@ -283,7 +295,8 @@ def exchange(bigrams: DataFrame, kind: np.ndarray, classes: int = CLASSES, settl
     """
     kind = kind.astype(np.int64)
     selves = np.zeros(len(kind), np.int64)
-    own = bigrams.where("u = v").select("u", "n").toArrow()
+    bigrams = bigrams.select("u", "v", "n")
+    own = bigrams.where("u = v").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
     selves[own.column("u").to_numpy()] = own.column("n").to_numpy()
     joint = _square(_summing(lambda u, v, n, kind=kind: (kind[u] * classes + kind[v], n), bigrams), 1, classes)[0]
     values = [likelihood(joint)]
@@ -306,87 +319,156 @@ def exchange(bigrams: DataFrame, kind: np.ndarray, classes: int = CLASSES, settl
     return kind, joint
 
 
+def place_rare(bigrams: DataFrame, kind: np.ndarray, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """((word, cls) of the words in the last unit, class bigram counts after that).
+
+    Each word chooses the class that the counts of its own neighbours' classes favour. Of all the
+    moves, and those of ever greater gain, the set of the greatest likelihood is made; a word that
+    doesn't move stays in the class of the last unit."""
+    spark, classes, rest = bigrams.sparkSession, len(joint), int(kind[-1])
+    sent = spark.sparkContext.broadcast((joint, kind))
+
+    def classed(batches):
+        for batch in batches:
+            cu, cv = (pa.array(sent.value[1][batch.column(c).to_numpy()], pa.int32()) for c in ("u", "v"))
+            yield pa.RecordBatch.from_arrays([batch.column("uw"), cu, batch.column("vw"), cv, batch.column("n")],
+                                             names=["uw", "cu", "vw", "cv", "n"])
+
+    edges = written(bigrams.where("uw IS NOT NULL OR vw IS NOT NULL").mapInArrow(
+        classed, "uw bigint, cu int, vw bigint, cv int, n bigint"), "edges")
+    near = (edges.where("uw IS NOT NULL").selectExpr("uw AS word", "0 AS side", "cv AS cls", "n", "if(uw <=> vw, n, 0) AS own")
+            .unionByName(edges.where("vw IS NOT NULL").selectExpr("vw AS word", "1 AS side", "cu AS cls", "n", "0L AS own"))
+            .groupBy("word", "side", "cls").agg(F.sum("n").alias("n"), F.sum("own").alias("own")))
+
+    def choose(group):
+        word, side, cls, n, own = (group.column(c).to_numpy() for c in ("word", "side", "cls", "n", "own"))
+        words, at = np.unique(word, return_inverse=True)
+        sides = np.zeros((len(words), 2, classes), np.int64)
+        sides[at, side, cls] = n
+        selves = np.bincount(at, own, len(words))
+        new, gains = best_moves(sent.value[0], sides, selves, np.full(len(words), rest))
+        return pa.table({"word": pa.array(words), "cls": pa.array(new, pa.int32()), "gain": pa.array(gains)})
+
+    blocks = max(32, edges.count() // 8192)
+    moves = written(near.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks))).applyInArrow(
+        choose, "word bigint, cls int, gain double"), "rare").where("gain > 0")
+    limits = moves.approxQuantile("gain", [0.0, 0.5, 0.75, 0.9, 0.99, 1.0], 0.005)
+    if not limits:
+        return moves.select("word", "cls"), joint
+
+    def side(rows, word, old):
+        """rows with the moves of one of their words; rows without such a word as they are."""
+        of = moves.select(F.col("word").alias(word), F.col("cls").alias(f"new_{old}"), F.col("gain").alias(f"gain_{old}"))
+        return rows.where(f"{word} IS NOT NULL").join(of, word, "left").unionByName(
+            rows.where(f"{word} IS NULL"), allowMissingColumns=True)
+
+    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("least")) for i, x in enumerate(limits)])
+    after = lambda old: F.when(F.col(f"gain_{old}") >= F.col("try.least"), F.col(f"new_{old}")).otherwise(F.col(old))
+    square = lambda cu, cv: (cu * classes + cv).cast("bigint").alias("key")
+    ahead = side(side(edges, "uw", "cu"), "vw", "cv").withColumn("try", F.explode(tries))
+    tried = _square(ahead.groupBy((F.col("try.i") * classes ** 2 + square(after("cu"), after("cv"))).alias("key"))
+                    .agg(F.sum("n").alias("n")), len(limits), classes)
+    tried = tried + joint - _square(edges.groupBy(square(F.col("cu"), F.col("cv"))).agg(F.sum("n").alias("n")), 1, classes)
+    scores = [likelihood(t) for t in tried]
+    k = int(np.argmax(scores))
+    if scores[k] <= likelihood(joint):
+        return moves.where("false").select("word", "cls"), joint
+    return moves.where(F.col("gain") >= limits[k]).select("word", "cls"), tried[k]
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the (word, tail, n) table of all its words."""
-    vocabulary = written(word_counts(docs), "words")
-    size = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    often = vocabulary.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").toArrow()
-    words = np.asarray(often.column("word").combine_chunks()).view(np.uint64)
-    counts = np.asarray(often.column("n").combine_chunks())
-    rank = np.argsort(words[:UNITS])
-    top, units = words[:UNITS][rank], rank.astype(np.int64)
-    bigrams = written(unit_bigrams(docs, top, units), "bigrams")
-    with small_batches(docs.sparkSession, FLUSH >> 2):
-        kind, joint = exchange(bigrams, np.arange(UNITS + TAILS) % CLASSES)
-    by_tail = F.broadcast(docs.sparkSession.createDataFrame(
-        [(i, int(kind[UNITS + i])) for i in range(TAILS)], "tail int, tail_class int"))
-    by_word = F.broadcast(docs.sparkSession.createDataFrame(
-        [(int(w), int(kind[u])) for w, u in zip(top.view(np.int64), units)], "word bigint, word_class int"))
-    types = np.zeros(CLASSES)
-    for row in (vocabulary.join(by_word, "word", "left").join(by_tail, "tail")
-                .groupBy(F.coalesce("word_class", "tail_class").alias("c")).count().collect()):
-        types[row.c] = row["count"]
+    """The model and the (word, n, cls) table of all its words."""
+    spark = docs.sparkSession
+    counted = written(word_counts(docs), "words")
+    size = counted.agg(F.sum("n"), F.count("*")).first()
+    least = least_count(counted)
+    often = counted.where(F.col("n") >= least).toArrow()
+    words, counts = often.column("word").to_numpy(), often.column("n").to_numpy()
+    order = np.lexsort((words, -counts))
+    words, counts = words[order].view(np.uint64), counts[order]
+    units = np.argsort(words)
+    with small_batches(spark, FLUSH >> 2):
+        with small_batches(spark, 2000):
+            bigrams = written(unit_bigrams(docs, words[units], units), "bigrams")
+        kind, joint = exchange(bigrams, np.arange(len(words) + 1) % CLASSES)
+        moved, joint = place_rare(bigrams, kind, joint)
+    known = spark.createDataFrame(pa.table({"word": words.view(np.int64), "n": counts, "cls": pa.array(kind[:-1], pa.int32())}))
+    rare = counted.where(F.col("n") < least).join(moved, "word", "left")
+    vocabulary = written(known.unionByName(rare.select("word", "n", F.coalesce("cls", F.lit(int(kind[-1]))).alias("cls"))), "classes")
+    types, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    for row in vocabulary.groupBy("cls").agg(F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once")).collect():
+        types[row.cls], once[row.cls] = row.types, row.once
+    unseen = int(np.argmax(once if once.any() else types))
     tokens = joint.sum(axis=0).astype(float)
     share = (tokens + 1) / (tokens.sum() + CLASSES)
     moves = (joint + PRIOR * share[None, :]) / (joint.sum(axis=1) + PRIOR)[:, None]
-    order = np.argsort(words)
-    return Model(size[0] or 0, size[1], words[order], counts[order], top, units, kind, np.log10(moves), tokens, types), vocabulary
+    order = np.argsort(words[:FREQUENT])
+    return Model(size[0] or 0, size[1], words[order], counts[order], kind[order], unseen, np.log10(moves), tokens, types), vocabulary
 
 
 def score_texts(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """All of docs with n_tokens, n_known, base_score and score; see class_lm_scores."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
     floor = model.tokens + 0.5 * (model.types + 1)
     room = model.class_tokens + model.class_types + 1
+    kinds = {"kind": pa.int32(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
+             "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "before": pa.int64(),
+             "before_cls": pa.int32(), "word": pa.int64(), "cls": pa.int32()}
 
     def run(batches):
         m = sent.value
-        end = int(m.classes[_unit_of(np.array([END_WORD], np.uint64), np.zeros(1, np.int64), m.top, m.units)[0]])
         part, count = TaskContext.get().partitionId() << 33, 0
 
-        def packed(kind, row, doc, held, tokens, known, base, score, word):
-            n = len(row)
-            pad = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x).cast(t)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, kind, np.int32)), pa.array(row), pad(doc, pa.int64()), pad(held, pa.bool_()),
-                 pad(tokens, pa.int64()), pad(known, pa.int64()), pad(base, pa.float64()), pad(score, pa.float64()),
-                 pad(word, pa.int64())],
-                names=["kind", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word"])
+        def packed(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c]).cast(t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()],
+                                              names=list(kinds))
 
         for batch in batches:
-            for chunk in chunks(batch.column("text"), tails=True):
-                words, tails, bounds = _sequence(chunk)
-                cls = m.classes[_unit_of(words, tails, m.top, m.units)]
-                n = np.zeros(len(words))
-                if len(m.words):
-                    at = np.minimum(np.searchsorted(m.words, words), len(m.words) - 1)
-                    hit = m.words[at] == words
-                    n[hit] = m.counts[at[hit]]
-                before = np.concatenate([[end], cls[:-1]])  # each text begins after an end
-                base = np.log10((n + 0.5) / floor)
-                score = m.transitions[before, cls] + np.log10(np.maximum(n, 1) / room[cls])
+            for chunk in chunks(batch.column("text")):
+                words, bounds = _sequence(chunk)
+                before = _before(words)
+                (at, hit), (at_before, hit_before) = _found(words, m.words), _found(before, m.words)
+                n, cls, cls_before = np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+                n[hit], cls[hit], cls_before[hit_before] = m.counts[at[hit]], m.classes[at[hit]], m.classes[at_before[hit_before]]
+                both = hit & hit_before
+                base = np.log10((n + 0.5) / floor)  # words not found are counted as unseen so far
+                score = np.where(hit, np.log10(np.maximum(n, 1) / room[cls]), 0) + np.where(both, m.transitions[cls_before, cls], 0)
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])
                 size = len(bounds) - 1
                 rows = part + count + np.arange(size)
                 count += size
-                own = slice(chunk.first, chunk.last)
-                yield packed(0, rows, batch.column("doc_id").slice(own.start, size), batch.column("held_out").slice(own.start, size),
-                             np.diff(bounds), sums((n > 0).astype(np.int64)), sums(base), sums(score), None)
-                rare = np.flatnonzero(n == 0)  # counted as unseen so far
-                if len(rare):
-                    owner = rows[np.searchsorted(bounds, rare, "right") - 1]
-                    yield packed(1, owner, None, None, None, None, None, None, words[rare].view(np.int64))
+                yield packed(size, kind=np.zeros(size, np.int32), row=rows, doc_id=batch.column("doc_id").slice(chunk.first, size),
+                             held_out=batch.column("held_out").slice(chunk.first, size), n_tokens=np.diff(bounds),
+                             n_known=sums(hit.astype(np.int64)), base_score=sums(base), score=sums(score))
+                left = np.flatnonzero(~both)
+                if len(left):
+                    unless = lambda x, null: pa.array(x[left], mask=null[left])
+                    yield packed(len(left), kind=np.ones(len(left), np.int32), row=rows[np.searchsorted(bounds, left, "right") - 1],
+                                 before=unless(before.view(np.int64), hit_before), before_cls=unless(cls_before, ~hit_before),
+                                 word=unless(words.view(np.int64), hit), cls=unless(cls, ~hit))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         held_out(F.col("doc_id")).alias("held_out"))
     found = written(texts.mapInArrow(
-        run, "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-             "base_score double, score double, word bigint"), "scores")
-    rare = found.where("kind = 1").select("row", "word")
-    more = (rare.join(vocabulary.select("word", "n"), "word").groupBy("row").agg(
-        F.count("*").alias("more_known"), F.sum(F.log10((F.col("n") + 0.5) / 0.5)).alias("more_base"),
-        F.sum(F.log10("n")).alias("more_score")))
-    return found.where("kind = 0").drop("word").join(more, "row", "left").select(
+        run, "kind int, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
+             "score double, before bigint, before_cls int, word bigint, cls int"), "scores")
+
+    def looked_up(rows, word):
+        of = vocabulary.select(F.col("word").alias(word), F.col("n").alias(f"{word}_n"), F.col("cls").alias(f"{word}_found"))
+        return rows.where(f"{word} IS NOT NULL").join(of, word, "left").unionByName(
+            rows.where(f"{word} IS NULL"), allowMissingColumns=True)
+
+    left = looked_up(looked_up(found.where("kind = 1").select("row", "before", "before_cls", "word", "cls"), "word"), "before")
+    left = left.select("row", "word", F.col("word_n").alias("n"), F.coalesce("before_cls", "before_found", F.lit(model.unseen)).alias("p"),
+                       F.coalesce("cls", "word_found", F.lit(model.unseen)).alias("c"))
+    steps = F.broadcast(spark.createDataFrame([(p, c, float(x), float(np.log10(room[c]))) for (p, c), x in np.ndenumerate(model.transitions)],
+                                              "p int, c int, move double, room double"))
+    more = left.join(steps, ["p", "c"]).groupBy("row").agg(
+        F.count("n").alias("more_known"), F.sum(F.log10((F.col("n") + 0.5) / 0.5)).alias("more_base"),
+        F.sum(F.col("move") + F.when(F.col("word").isNotNull(), F.log10(F.coalesce("n", F.lit(1))) - F.col("room"))
+              .otherwise(0.0)).alias("more_score"))
+    return found.where("kind = 0").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),

@@ -362,6 +362,44 @@ def test_exchange_never_loses(spark):
                                    int(counts[u, u]), int(kind[u])) == kind[u]
 
 
+@pytest.mark.parametrize("share,frequent", [(0.95, 1 << 18), (0.7, 4)])
+def test_words_have_classes_of_their_own(spark, monkeypatch, share, frequent):
+    import random
+    monkeypatch.setattr(class_lm, "SHARE", share)
+    monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+    rng = random.Random(2)
+    # Rare words of one ending: those with an a stand where cat stands, those with a b where dog stands.
+    word = lambda often, x: rng.choice([often, f"{x}{rng.randrange(90)}xyz"])
+    texts = [" ".join(f"the {word('cat', 'a')} of {word('dog', 'b')}" for _ in range(20)) for _ in range(15)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, vocabulary = class_lm.train(frame)
+    count = Counter(w for t in texts for w in [*t.split(), "end"])
+    assert Counter(r.n for r in vocabulary.collect()) == Counter(count.values())
+    digest = lambda w: next(class_lm.chunks(class_lm.pa.array([w]))).words.view("int64")[0]
+    cls = {r.word: r.cls for r in vocabulary.collect()}
+    kind = {w: cls[class_lm.np.uint64(class_lm.END_WORD).astype("int64") if w == "end" else digest(w)] for w in count}
+    if share == 0.7:  # those below the cut are placed by their neighbours, whatever their ending
+        least = max(m for m in count.values() if sum(k for k in count.values() if k >= m) >= share * sum(count.values()))
+        a, b = ({c for w, c in kind.items() if w.startswith(x) and w.endswith("xyz") and count[w] < least} for x in "ab")
+        assert a and b and not a & b
+    # Class counts are those of the whole texts, and scores those of the model.
+    joint = Counter((kind[x], kind[y]) for t in texts for x, y in zip(["end", *t.split()], [*t.split(), "end"]))
+    tokens = Counter()
+    for (_, c), m in joint.items():
+        tokens[c] += m
+    assert list(model.class_tokens) == [tokens[c] for c in range(class_lm.CLASSES)]
+    assert list(model.class_types) == [sum(c == k for k in kind.values()) for c in range(class_lm.CLASSES)]
+    new = "the a1xyz unheard of b2xyz b3xyz"
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, new])], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in class_lm.score_texts(asked, model, vocabulary).collect()}
+    for i, t in enumerate([*texts, new]):
+        words = [*t.split(), "end"]
+        path = [kind.get(w, model.unseen) for w in ["end", *words]]
+        want = sum(model.transitions[p, c] + math.log10(max(count[w], 1) / (tokens[c] + model.class_types[c] + 1))
+                   for w, p, c in zip(words, path, path[1:]))
+        assert found[i].score == pytest.approx(want) and found[i].n_known == sum(w in count for w in words)
+
+
 # -- pipeline --------------------------------------------------------------------
 
 def test_pipeline(spark):
