@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
 from .mixing import mix_sources, mix_sql
+from .pivots import cluster_digests, cluster_vectors
 from .quality import quality_rules
 from .token_counts import count_tokens
 from .url_filters import RULES, filter_urls
@@ -201,3 +202,31 @@ def op4_token_counts(spark, sf_dir):
 def op10_class_lm(spark, sf_dir):
     """Log probabilities of every document under unigrams and the class model."""
     return class_lm_scores(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """The rounds written out; a vector is a list of integers."""
+    gap = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    nearest = (f"SELECT vec_id, n, v, arg_min(c, d * {k} + c) AS cluster, min(d) AS distance FROM (SELECT x.vec_id, x.n, x.v, "
+               f"c.c, {gap} AS d FROM x, c{{0}} AS c) GROUP BY vec_id, n, v")
+    steps = "".join(f"""
+a{r} AS ({nearest.format(r)}),
+s{r} AS (SELECT cluster, i, floor_div FROM (SELECT cluster, i, (sum(v[i])::HUGEINT - ((sum(v[i])::HUGEINT % count(*)) + count(*)) % count(*)) // count(*)
+  AS floor_div FROM a{r}, range(1, {dim + 1}) AS g(i) GROUP BY cluster, i)),
+c{r + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN (SELECT cluster, list(floor_div::BIGINT ORDER BY i) AS v
+  FROM s{r} GROUP BY cluster) AS m ON m.cluster = c.c),""" for r in range(rounds))
+    return f"""
+WITH raw AS (SELECT vec_id, list_transform(embedding, lambda e: 64 * e::DOUBLE) AS e FROM embeddings),
+x AS (SELECT vec_id, row_number() OVER () AS n, list_transform(e, lambda y: floor(y)::BIGINT) AS v FROM raw
+  WHERE len(e) = {dim} AND len(list_filter(e, lambda y: y IS NOT NULL AND isfinite(y))) = {dim}),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1)::INT AS c, v FROM x QUALIFY c < {k}),{steps}
+f AS ({nearest.format(rounds)})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} AS c ON c.c = f.cluster"""
+
+
+@query(_op13_sql())
+def op13_centroid_clusters(spark, sf_dir):
+    """Clusters of the embeddings after three rounds from 16 seeded centroids."""
+    return cluster_digests(cluster_vectors(table(spark, sf_dir, "embeddings")))
