@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .class_lm import class_lm_scores
 from .common import table
+from .coordinates import minhash_duplicates
 from .decontaminate import find_contamination
 from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
@@ -230,3 +231,9 @@ FROM f JOIN c{rounds} AS c ON c.c = f.cluster"""
 def op13_centroid_clusters(spark, sf_dir):
     """Clusters of the embeddings after three rounds from 16 seeded centroids."""
     return cluster_digests(cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query()
+def op12_minhash_duplicates(spark, sf_dir):
+    """Components of documents whose 2-word shingle sets have a similarity of 80 % or more."""
+    return minhash_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
