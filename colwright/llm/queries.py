@@ -13,6 +13,7 @@ from .jaccard_join import near_duplicates
 from .licenses import default_rules, scan_licenses
 from .mixing import mix_sources, mix_sql
 from .pivots import cluster_digests, cluster_vectors
+from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .token_counts import count_tokens
 from .url_filters import RULES, filter_urls
@@ -237,3 +238,38 @@ def op13_centroid_clusters(spark, sf_dir):
 def op12_minhash_duplicates(spark, sf_dir):
     """Components of documents whose 2-word shingle sets have a similarity of 80 % or more."""
     return minhash_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def _op11_sql(heads: int = 4, group: int = 20) -> str:
+    """Prefixes as digests of the turns so far; a subtree's sum counts each node at its least member."""
+    bits = "CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END"
+    crc = ("xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), "
+           f"lambda s, x: list_reduce(range(8), lambda a, b: {bits}, xor(s, x)), 4294967295::BIGINT))")
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j,
+             sha256(strlen(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^ \t-\r]+')) AS words FROM t),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+c AS (SELECT n.conv_id, {crc} % {heads} AS h, n.conv_id - n.conv_id % {group} AS base FROM n),
+r AS (SELECT c.conv_id, o.j AS d, turn, words FROM c JOIN o ON o.conv_id = c.base AND o.j <= c.h
+      UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + o.j - c.h, turn, words
+      FROM c JOIN o ON o.conv_id = c.conv_id AND o.j > c.h LEFT JOIN n AS b ON b.conv_id = c.base),
+x AS (SELECT conv_id, d, words, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+y AS (SELECT *, lag(key) OVER w AS parent, lead(key) OVER w IS NULL AS final FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY d)),
+node AS (SELECT key, min(d) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256 FROM y GROUP BY key),
+kids AS (SELECT parent AS key, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY parent),
+own AS (SELECT node.key, node.conv_id, (n_convs - 1) * words AS saved, (kids.n IS NULL)::INT AS leaf FROM node LEFT JOIN kids USING (key)),
+below AS (SELECT y.key, sum(coalesce(own.saved, 0)) OVER w AS saved, sum(coalesce(own.leaf, 0)) OVER w AS leaves
+  FROM y LEFT JOIN own ON own.key = y.key AND own.conv_id = y.conv_id WINDOW w AS (PARTITION BY y.conv_id ORDER BY y.d DESC)),
+total AS (SELECT key, sum(saved) AS saved, sum(leaves) AS leaves FROM below GROUP BY key)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN total USING (key) LEFT JOIN kids USING (key) LEFT JOIN node AS up ON up.key = node.parent"""
+
+
+@query(_op11_sql())
+def op11_prefix_trie(spark, sf_dir):
+    """The nodes of the trie of rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
