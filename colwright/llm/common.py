@@ -35,7 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that written() made, once nothing will read it again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, written
+from .common import discard, small_batches, written
 from .graph import components
 from .words import chunks, distinct_sets, mix, shingles
 
@@ -97,15 +97,16 @@ def _hubs(classes: DataFrame) -> DataFrame:
     """(hub, doc_id, n): the members of every prefix list of several documents, named by the least.
 
     Lengths are counted with partial sums; a list that a third of the corpus shares is joined to its
-    length by a join that adaptive execution splits.
+    length by a join that adaptive execution splits. An id with several texts keeps all its lists.
     """
-    posts = classes.select("doc_id", "h1", "n", F.explode("posts").alias("post"))
+    posts = classes.select("doc_id", F.explode("posts").alias("post"))
     length = posts.groupBy("post").agg(F.count("*").alias("length")).where("length > 1")
-    several = posts.join(length, "post").groupBy("doc_id", "h1", "n").agg(
+    several = posts.join(length, "post").groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("length", "post"))).alias("posts"))
+    sizes = classes.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("texts"))
     # Pairs that are alone in their lists come first in the order and fill the prefix.
-    kept = F.expr(f"slice(posts, 1, greatest(0, {PREFIX} - ({COORDINATES} - size(posts))))")
-    prefix = written(several.select("doc_id", "n", F.explode(kept.getField("post")).alias("post")), "posts")
+    kept = F.expr(f"slice(posts, 1, if(texts > 1, size(posts), greatest(0, {PREFIX} - ({COORDINATES} - size(posts)))))")
+    prefix = written(several.join(sizes, "doc_id").select("doc_id", "n", F.explode(kept.getField("post")).alias("post")), "posts")
     lists = prefix.groupBy("post").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     return prefix.join(lists.drop("last"), "post").select("hub", "doc_id", "n").distinct()
 
@@ -125,23 +126,12 @@ def agreements(codes: np.ndarray, left: np.ndarray, right: np.ndarray, matches:
     return out
 
 
-def agreeing(codes: np.ndarray, allowed: np.ndarray, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray]:
-    """The allowed pairs (i < j, matrix) of rows that agree in at least matches coordinates: one must
-    lie in the first (width - matches + 1), the others are counted for the pairs that have it."""
-    met = np.zeros(allowed.shape, bool)
-    for c in range(codes.shape[1] - matches + 1):
-        met |= codes[:, c, None] == codes[None, :, c]
-    left, right = np.nonzero(np.triu(met & allowed, 1))
-    keep = agreements(codes, left, right, matches) > 0
-    return left[keep], right[keep]
-
-
 def _codes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _best_hub(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """(hub, doc_id, n): for each document the hub that its signature agrees with best, if it does."""
+def _rays(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """(hub, doc_id, n, found): the documents whose signatures agree with that of their hub."""
     own = signed.select("doc_id", F.col("codes").alias("a"))
     of_hub = signed.select(F.col("doc_id").alias("hub"), F.col("codes").alias("b"))
     pairs = members.where("hub <> doc_id").join(own, "doc_id").join(of_hub, "hub")
@@ -156,8 +146,12 @@ def _best_hub(members: DataFrame, signed: DataFrame) -> DataFrame:
             batch = batch.select(["hub", "doc_id", "n"]).append_column("found", pa.array(found, pa.int16()))
             yield batch.filter(pa.array(found > 0))
 
-    found = pairs.select("hub", "doc_id", "n", "a", "b").mapInArrow(run, "hub bigint, doc_id bigint, n bigint, found short")
-    return found.groupBy("doc_id").agg(F.max_by(F.struct("hub", "n"), F.struct("found", -F.col("hub"))).alias("best")).select(
+    return pairs.select("hub", "doc_id", "n", "a", "b").mapInArrow(run, "hub bigint, doc_id bigint, n bigint, found short")
+
+
+def _best(rays: DataFrame) -> DataFrame:
+    """(hub, doc_id, n): for each document the hub that it agrees with best."""
+    return rays.groupBy("doc_id").agg(F.max_by(F.struct("hub", "n"), F.struct("found", -F.col("hub"))).alias("best")).select(
         "best.hub", "doc_id", "best.n")
 
 
@@ -242,11 +236,11 @@ def _confirmed(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
         for chunk in chunks(group.column("text").combine_chunks()):
             values, bounds = distinct_sets(*shingles(chunk, k))
             sets[chunk.first:chunk.last] = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        if allowed.sum() > 8 * len(doc) and min(map(len, sets)):  # many pairs: those without agreement go first
+        left, right = np.nonzero(np.triu(allowed, 1))
+        if len(left) > 8 * len(doc) and min(map(len, sets)):  # many pairs: those without agreement go first
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            left, right = agreeing(signatures(np.concatenate(sets), bounds).astype(np.uint8), allowed)
-        else:
-            left, right = np.nonzero(np.triu(allowed, 1))
+            near = agreements(signatures(np.concatenate(sets), bounds).astype(np.uint8), left, right) > 0
+            left, right = left[near], right[near]
         keep = linked_sets(sets, left, right, percent)
         found = _forest(doc, list(zip(left[keep], right[keep])))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -292,18 +286,55 @@ def _across(members: DataFrame, colours: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.explode(cells)).select("hub", "cell.*", "doc_id", "colour")
 
 
+def _partners(group: np.ndarray, side: np.ndarray, inside: np.ndarray, colour: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which rows agree with a row of their cell that they are to be compared with; group is ascending.
+    Rows meet at growing distances, so all cells of a batch are compared at once."""
+    keep = np.zeros(len(group), bool)
+    left, step = np.arange(len(group)), 1
+    while True:
+        left = left[left + step < len(group)]
+        left = left[group[left] == group[left + step]]
+        if not len(left):
+            return keep
+        right = left + step
+        meet = (colour[left] != colour[right]) & (inside[left] | (side[left] != side[right]))
+        a, b = left[meet], right[meet]
+        near = agreements(codes, a, b) > 0
+        keep[a[near]] = keep[b[near]] = True
+        step += 1
+
+
 def _agreeing_rows(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """The rows of each cell that agree with a row they are to be compared with."""
+    """The rows of each cell that agree with a row they are to be compared with. A stream over sorted
+    rows: the open cell, of two blocks at most, is held between batches."""
 
-    def run(group):
-        _, allowed = _met(group)
-        left, right = agreeing(_codes(group.column("codes").combine_chunks()), allowed)
-        keep = np.zeros(group.num_rows, bool)
-        keep[left] = keep[right] = True
-        return group.drop_columns(["codes"]).filter(pa.array(keep))
+    def compare(table):
+        table = table.combine_chunks()
+        hub, i, j, side, colour = (np.asarray(table.column(c)) for c in (*CELL, "side", "colour"))
+        new = np.concatenate([[True], (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        keep = _partners(np.cumsum(new), side, i == j, colour, _codes(table.column("codes").combine_chunks()))
+        yield from table.drop_columns(["codes"]).filter(pa.array(keep)).to_batches()
 
-    wide = rows.join(signed.select("doc_id", "codes"), "doc_id").select(*CELL, "side", "doc_id", "colour", "codes")
-    return wide.groupBy(*CELL).applyInArrow(run, "hub bigint, i int, j int, side int, doc_id bigint, colour bigint").distinct()
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            hub, i, j = (np.asarray(table.column(c)) for c in CELL)
+            open_ = np.flatnonzero((hub != hub[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(open_[-1]) + 1 if len(open_) else 0
+            if cut:
+                yield from compare(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from compare(held)
+
+    wide = rows.join(signed, "doc_id").select(*CELL, "side", "doc_id", "colour", "codes")
+    wide = wide.repartition(*CELL).sortWithinPartitions(*CELL, "doc_id")
+    return wide.mapInArrow(run, "hub bigint, i int, j int, side int, doc_id bigint, colour bigint").distinct()
 
 
 def minhash_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -323,21 +354,24 @@ def minhash_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     with small_batches(spark, 2000):
-        rows = written(_signed(docs, k), "signatures")
+        wide = written(_signed(docs, k), "signatures")
+    rows = written(wide.select("doc_id", "n", "h1", "h2"), "sizes")
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     first = sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    member = written(sets.select("doc_id", "n", "h1", "h2").join(first.withColumnRenamed("doc_id", "rep"), ["n", "h1", "h2"])
-                     .select("doc_id", "rep").distinct(), "members")
+    member = written(sets.join(first.withColumnRenamed("doc_id", "rep"), ["n", "h1", "h2"]).select("doc_id", "rep").distinct(), "members")
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    classes = written(sets.join(first, ["doc_id", "n", "h1", "h2"], "left_semi"), "classes")
+    classes = written(wide.join(first, ["doc_id", "n", "h1", "h2"], "left_semi").select("doc_id", "n", "posts", "codes"), "classes")
+    discard(wide)
     signed = classes.select("doc_id", "codes").distinct()
     hubs = written(_hubs(classes), "hubs")
     with small_batches(spark, 10_000):
-        best = written(_best_hub(hubs, signed), "best")
-    links = _confirmed(docs, _stars(best), k, percent)
+        rays = written(_rays(hubs, signed), "rays")
+    links = _confirmed(docs, _stars(_best(rays)), k, percent)
     found = written(components(links.unionByName(same)), "components")
+    # A hub with one other member has met it: nothing is left to compare unless they agree.
+    alone = hubs.groupBy("hub").agg(F.count("*").alias("members")).where("members = 2").join(rays, "hub", "left_anti")
     with small_batches(spark, 10_000):
-        cells = written(_agreeing_rows(_across(hubs, found), signed), "cells")
+        cells = written(_agreeing_rows(_across(hubs.join(alone, "hub", "left_anti"), found), signed), "cells")
     if not cells.isEmpty():
         more = _confirmed(docs, cells, k, percent)
         if not more.isEmpty():
