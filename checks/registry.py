@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import colwright as cw
 from colwright.functions import exprs as X, fixed
 from colwright.operators import charts, insights, stats
+from colwright.operators.profiling import date_orders
 from colwright.plans import action_model as am
 from colwright.sources.staging import scratch_path, stage
+from colwright.sources.tables import sanitise
 from . import sqlparts as S
 
 QUERIES: dict = {}
@@ -1101,3 +1103,79 @@ def action_predict(spark, sf_dir):
     found = cw.decide(cw.profile(dirty(spark, sf_dir)), model)
     return found.select("column_name", "col_type", "rule_action", "predicted_action", "confidence",
                         "method", "action", "refined", "reason")
+
+
+# -- files without splittable lines, rows without keys, dates without an order, nested cells ------
+
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+def csv_quoted_lines(spark, sf_dir):
+    """Whole texts with line ends, commas and quotes, written as CSV and read by byte ranges."""
+    path = scratch_path(spark, "csv") + ".csv"
+    cw.write_csv(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
+    back = cw.read_csv(spark, path)
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query(_with_full(
+    "SELECT column_name, change_type, count(*) AS cells FROM ch GROUP BY ALL UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}', 'REMOVED', (SELECT count(*) FROM dirty) - (SELECT count(*) FROM pf)" for c in _COMPARED)))
+def change_by_position(spark, sf_dir):
+    """Raw against cleaned, row by row, on a table without its key; dropped rows are removed ones."""
+    raw, cleaned, _ = cw.clean_by_position(dirty(spark, sf_dir).drop("customer_id"))
+    diff = cw.compare_by_position(raw, cleaned, _COMPARED)
+    return diff.groupBy("column_name", "change_type").agg(F.count("*").alias("cells"))
+
+
+_ORDERED = (("mostly_day", "o_orderkey % 3 <> 0"), ("mostly_month", "o_orderkey % 3 = 0"), ("named", None))
+
+
+def _dates_sql():
+    parts = []
+    for name, day in _ORDERED:
+        cell = (f"CASE WHEN {day} THEN strftime(o_orderdate, '%d/%m/%Y %H:%M') ELSE strftime(o_orderdate, '%m/%d/%Y %H:%M') END"
+                if day else "strftime(o_orderdate, '%d-%b-%Y')")
+        forms = ["'%d/%m/%Y %H:%M'", "'%m/%d/%Y %H:%M'"] if day else ["'%d-%b-%Y'"] * 2
+        parts.append(
+            f"SELECT column_name, day_first, strftime(CASE WHEN day_first THEN coalesce(d, m) ELSE coalesce(m, d) END, '%Y-%m-%d') "
+            f"AS day, count(*) AS cells FROM (SELECT '{name}' AS column_name, d, m, "
+            "sum((d IS NOT NULL)::INT - (m IS NOT NULL)::INT) OVER () >= 0 AS day_first FROM "
+            f"(SELECT try_strptime(c, {forms[0]}) AS d, try_strptime(c, {forms[1]}) AS m FROM (SELECT {cell} AS c FROM orders))) GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+@query(_dates_sql())
+def date_order_vote(spark, sf_dir):
+    """Order dates as text in two orders, read in the order that most cells of a column allow."""
+    orders = table(spark, sf_dir, "orders")
+    text = lambda form: F.date_format("o_orderdate", form)
+    cells = orders.select(*[
+        (F.when(F.expr(day), text("dd/MM/yyyy HH:mm")).otherwise(text("MM/dd/yyyy HH:mm")) if day else text("dd-MMM-yyyy")).alias(name)
+        for name, day in _ORDERED])
+    first = date_orders(cells, cells.columns)
+    long = cells.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(first[c]).alias("day_first"),
+                 X.iso_date(X.to_datetime(F.col(c), "string", first[c])).alias("day")) for c in cells.columns])))
+    return long.groupBy("column_name", "day_first", "day").agg(F.count("*").alias("cells"))
+
+
+@query("""SELECT count(*) + count(*) FILTER (event_id % 10 = 0) AS total_rows, count(*) FILTER (event_id % 10 = 0) AS duplicate_rows,
+  count(*) FILTER (event_id % 5 = 0) + count(*) FILTER (event_id % 10 = 0) AS missing_in_struct,
+  count(*) FILTER (event_id % 7 = 0) + count(*) FILTER (event_id % 70 = 0) AS missing_in_map,
+  round(sum(value) FILTER (event_id % 7 <> 0) + coalesce(sum(value) FILTER (event_id % 10 = 0 AND event_id % 7 <> 0), 0), 2) AS map_sum
+  FROM events""")
+def nested_cells(spark, sf_dir):
+    """Events as structs, arrays and maps with NaN: sanitised, then duplicates counted whatever the
+    order of a map's entries."""
+    events = table(spark, sf_dir, "events")
+    odd = lambda n: F.when(F.col("event_id") % n == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    nested = lambda rows, *entries: rows.select(
+        "event_id", F.struct(odd(5).alias("x"), F.array("user_id").alias("users")).alias("s"),
+        F.map_from_entries(F.array(*entries)).alias("m"))
+    a, b = entry("a", odd(7)), entry("b", F.lit(1.0))
+    both = nested(events, a, b).unionByName(nested(events.where("event_id % 10 = 0"), b, a))
+    clean = sanitise(both)
+    total = cw.dataset_summary(clean).select("total_rows", "duplicate_rows")
+    found = clean.agg(F.count_if(F.col("s.x").isNull()).alias("missing_in_struct"),
+                      F.count_if(F.col("m")["a"].isNull()).alias("missing_in_map"), F.round(F.sum(F.col("m")["a"]), 2).alias("map_sum"))
+    return total.join(found)

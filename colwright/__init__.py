@@ -2,8 +2,8 @@
 
 from .operators.charts import chart_data, filter_rows
 from .operators.compare import (
-    change_log, change_totals, compare, missing_scorecard, problem_cells, raw_snapshot,
-    report_tables, review_rows,
+    change_log, change_totals, clean_by_position, compare, compare_by_position, missing_scorecard,
+    positioned, problem_cells, raw_snapshot, report_tables, review_rows,
 )
 from .operators.explain import explain, insight_details
 from .operators.insights import detect_insights

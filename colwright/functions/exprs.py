@@ -103,18 +103,78 @@ def word_to_number(s: Column) -> Column:
     return F.coalesce(F.try_element_at(table, words), first.try_cast("double"))
 
 
-def to_datetime(c: Column, kind: str) -> Column:
-    """Timestamp without zone. Text is matched against the known formats in order.
+def to_datetime(c: Column, kind: str, day_first: bool = True) -> Column:
+    """Timestamp without zone. Text is matched against the known formats in order, then inferred.
 
-    The shape test runs before the parser, so free text costs one length test
+    ``day_first`` says which order is tried first where numbers leave it open; see ``date_orders``.
+    The shape test runs before the parser, so free text costs one length test and one for a year,
     and no failed parses.
     """
     if kind == "datetime":
         return c.cast("timestamp_ntz")
     s = strip(text(c))
+    known = known_datetime(s)
+    orders = (True, False) if day_first else (False, True)
+    inferred = F.coalesce(*[inferred_datetime(s, order) for order in orders])
+    return F.when(F.length(s) >= 6, F.coalesce(known, F.when(may_be_inferred(s), inferred)))
+
+
+def known_datetime(s: Column) -> Column:
+    """Text in one of the known formats or an ISO date-time."""
     parsed = [_shaped(s, shape, pattern) for shape, pattern in fixed.DATE_FORMATS]
-    parsed.append(F.when(s.rlike(fixed.ISO_DATETIME), s.try_cast("timestamp_ntz")))
-    return F.when(F.length(s) >= 6, F.coalesce(*parsed))
+    return F.coalesce(*parsed, F.when(s.rlike(fixed.ISO_DATETIME), s.try_cast("timestamp_ntz")))
+
+
+def may_be_inferred(s: Column) -> Column:
+    return (F.length(s) <= 60) & s.rlike(r"(?i)^(?:[a-z]{3,9}\.?,?\s+)?[a-z0-9]{1,9}\S*[./,\s-]+[a-z0-9]{1,9}\.?[./,\s-]+\d{1,4}(?:\b|t)")
+
+
+_CLOCK = (r"(?:(?:T|[\s,]+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([ap]m)?"
+          r"\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?)?$")
+_MONTH = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6})\.?"
+_GAP = r"[./,\s-]+"
+# Shape, then its groups in the order year, month, day.
+_NUMBERS = rf"(?i)^(\d{{1,2}})[./\s-](\d{{1,2}})[./\s-](\d{{4}}|\d{{2}}){_CLOCK}"
+_INFERRED = (
+    (rf"(?i)^(\d{{4}})[./\s-](\d{{1,2}})[./\s-](\d{{1,2}}){_CLOCK}", "$1|$2|$3"),
+    (rf"(?i)^(\d{{1,2}}){_GAP}{_MONTH}{_GAP}(\d{{4}}|\d{{2}}){_CLOCK}", "$3|$2|$1"),
+    (rf"(?i)^{_MONTH}{_GAP}(\d{{1,2}}){_GAP}(\d{{4}}){_CLOCK}", "$3|$1|$2"),
+)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def inferred_datetime(s: Column, day_first: bool) -> Column:
+    """Dates beyond the known formats: other separators, named weekdays and months, ordinals, a time
+    of day. Zones are read over: the local time stays."""
+    t = F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\s+", "")
+    t = F.regexp_replace(t, r"(?i)^([a-z.]*\s*\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    shapes = ((_NUMBERS, "$3|$2|$1" if day_first else "$3|$1|$2"),) + _INFERRED
+    parts = lambda t: F.split(F.coalesce(*[
+        F.when(t.rlike(shape), F.regexp_replace(t, shape, f"{date}|$4|$5|$6|$7")) for shape, date in shapes]), r"\|")
+    return _let(t, lambda t: _let(parts(t), _from_parts))
+
+
+def _from_parts(p: Column) -> Column:
+    year, month, day, *clock = (F.get(p, i) for i in range(6))
+    name = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(month, 1, 3)))
+    number = F.when(month.rlike(r"^\d"), month).otherwise(((name + 2) / 3).cast("int").cast("string"))
+    century = F.when(F.length(year) > 2, "").when(year < "69", "20").otherwise("19")
+    date = F.try_to_date(F.concat_ws("-", F.concat(century, year), number, day), "yyyy-M-d")
+    hour, minute, second = (F.coalesce(c.try_cast("int"), F.lit(0)) for c in clock)
+    half = F.lower(F.get(p, 6))
+    shift = F.when((half == "pm") & (hour < 12), 12).when((half == "am") & (hour == 12), -12).otherwise(0)
+    fits = (hour < 24) & (minute < 60) & (second < 60)
+    return F.when(fits, date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour + shift, minute, second))
+
+
+def order_votes(s: Column) -> tuple[Column, Column]:
+    """Whether a cell that only inference can read is a date with the day first, with the month first."""
+    open_ = may_be_inferred(s) & s.rlike(r"(?i)^(?:[a-z]+[.,]?\s+)?\d{1,2}[./\s-]\d{1,2}[./\s-]\d") & known_datetime(s).isNull()
+    return tuple(F.when(open_, inferred_datetime(s, order).isNotNull()) for order in (True, False))
 
 
 def _shaped(s: Column, shape: str, pattern: str) -> Column:
@@ -195,3 +255,44 @@ def json_safe(c: Column) -> Column:
 
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def holds(data_type: T.DataType, wanted) -> bool:
+    """Whether a type is, or has somewhere inside, one of the wanted types."""
+    if isinstance(data_type, wanted):
+        return True
+    if isinstance(data_type, T.StructType):
+        return any(holds(f.dataType, wanted) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return holds(data_type.elementType, wanted)
+    return isinstance(data_type, T.MapType) and (holds(data_type.keyType, wanted) or holds(data_type.valueType, wanted))
+
+
+def _inside(c: Column, data_type: T.DataType, wanted, change) -> Column:
+    """``change`` applied to every part of a cell whose type is wanted; the cell's shape stays."""
+    if isinstance(data_type, wanted):
+        return change(c, data_type)
+    if not holds(data_type, wanted):
+        return c
+    if isinstance(data_type, T.StructType):
+        parts = [_inside(c.getField(f.name), f.dataType, wanted, change).alias(f.name) for f in data_type.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(c, lambda x: _inside(x, data_type.elementType, wanted, change))
+    # Keys identify the entries of a map and stay as they are.
+    return F.transform_values(c, lambda _, v: _inside(v, data_type.valueType, wanted, change))
+
+
+def finite_cell(c: Column, data_type: T.DataType) -> Column:
+    """NaN and infinities to null in a cell of any type, nested ones included."""
+    return _inside(c, data_type, (T.DoubleType, T.FloatType), lambda x, _: json_safe(x))
+
+
+def canonical(c: Column, data_type: T.DataType) -> Column:
+    """A cell of any type with maps as sorted arrays of their entries, so that equal cells are equal."""
+    def entries(x, map_type):
+        pair = lambda e: F.struct(
+            canonical(e.getField("key"), map_type.keyType).alias("key"),
+            canonical(e.getField("value"), map_type.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(x), pair))
+    return _inside(c, data_type, T.MapType, entries)

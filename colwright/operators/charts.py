@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as X
 from ..sources.tables import check_columns
-from .profiling import moments
+from .profiling import date_orders, moments
 from .quantiles import exact_quantiles
 from .stats import grouped
 
@@ -121,7 +121,8 @@ def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: b
     Values are aggregated per date, or shown point by point with ``raw_points``.
     """
     kind = X.kinds(df)
-    stamp = X.to_datetime(X.ref(x), kind[x])
+    orders = date_orders(df, [x]) if kind[x] == "string" else {}
+    stamp = X.to_datetime(X.ref(x), kind[x], orders.get(x, True))
     number = X.to_number(X.ref(y), kind[y])
     columns = [stamp.alias("stamp"), number.alias("y")]
     if group_by:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as X, fixed
+from ..sources.staging import stage
+from ..sources.tables import blanks_to_null
 from .melt import by_column
 from .profiling import missing_counts
 
@@ -33,13 +38,20 @@ def change_rows(df: DataFrame, key: Column, pairs: dict[str, tuple[Column, Colum
 
 
 def compare(raw: DataFrame, clean: DataFrame, key: str, columns=None) -> DataFrame:
-    """Cell diff of two tables matched on ``key``, a unique row key of both.
+    """Cell diff of two tables matched on ``key``, a unique row key of both; a repeated key is an error.
 
     Cells of rows that only one table holds are tagged REMOVED or ADDED; a null key
     matches a null key. The rows are joined before the columns are melted, so each table is shuffled
     once at its own width.
     """
     names = [c for c in (columns or raw.columns) if c != key and c in clean.columns]
+    for side, rows in (("raw", raw), ("cleaned", clean)):
+        if not rows.groupBy(X.ref(key)).count().where("count > 1").isEmpty():
+            raise ValueError(f"'{key}' is no unique key of the {side} table; compare by position instead.")
+    return _matched(raw, clean, key, names)
+
+
+def _matched(raw: DataFrame, clean: DataFrame, key: str, names: list[str]) -> DataFrame:
     left = raw.select(X.ref(key).alias("k"), F.struct(*[X.ref(c) for c in names]).alias("raw"))
     right = clean.select(X.ref(key).alias("k"), F.struct(*[X.ref(c) for c in names]).alias("clean"))
     pairs = {c: (F.col("raw").getField(c), F.col("clean").getField(c)) for c in names}
@@ -53,6 +65,52 @@ def compare(raw: DataFrame, clean: DataFrame, key: str, columns=None) -> DataFra
         F.coalesce(F.col("row.row_state"), "change_type").alias("change_type"))
 
 
+def positioned(df: DataFrame, name: str = "row_position") -> DataFrame:
+    """The rows with their position from 0, in the order of the files they are read from (file, then
+    byte range), else in the order of the partitions.
+
+    Rows are written once with their place in their range; ranges are counted, and the counts before
+    a range give its offset. No task sees all rows, and only a row per range is summed in order.
+    """
+    place = {"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start")}
+    try:
+        rows = df.select("*", *[c.alias(n) for n, c in place.items()])
+    except AnalysisException:  # no files below: the partitions are the ranges
+        rows = df.withColumns({"__file": F.lit(""), "__start": F.spark_partition_id().cast("bigint")})
+    rows = stage(rows.withColumn("__row", F.monotonically_increasing_id()), "positions")
+    ranges = rows.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__row").alias("__first"))
+    before = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("__offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    found = rows.join(offsets, ["__file", "__start"]).withColumn(name, F.expr("__offset + __row - __first"))
+    return found.select(*map(X.ref, df.columns), X.ref(name))
+
+
+def compare_by_position(raw: DataFrame, clean: DataFrame, columns=None, name: str = "row_position") -> DataFrame:
+    """Cell diff of two tables matched row by row, for tables without a key.
+
+    Rows are numbered by ``positioned`` unless a table has the column ``name`` already, as the tables
+    of ``clean_by_position`` do. Cells of rows that only one table holds are tagged REMOVED or ADDED.
+    """
+    left, right = (t if name in t.columns else positioned(t, name) for t in (raw, clean))
+    return _matched(left, right, name, [c for c in (columns or raw.columns) if c != name and c in clean.columns])
+
+
+def clean_by_position(df: DataFrame, name: str = "row_position", **options):
+    """(raw, cleaned, plan) with the row position in both tables: duplicates keep their first row's
+    position, so the rows that cleaning drops are the positions that only the raw table has."""
+    from ..plans.cleaning import CleaningPlan
+
+    columns, raw = df.columns, positioned(df, name)
+    keys = {f"__key_{i}": X.canonical(X.ref(f.name), f.dataType) for i, f in enumerate(df.schema.fields)}
+    kept = raw.groupBy(*[k.alias(n) for n, k in keys.items()]).agg(
+        F.min_by(F.struct(*map(X.ref, columns)), X.ref(name)).alias("row"), F.min(X.ref(name)).alias(name))
+    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in columns], X.ref(name))
+    some = reduce(lambda a, b: a | b, [X.ref(c).isNotNull() for c in columns])
+    source = stage(blanks_to_null(kept).where(some), "preflight")
+    plan = CleaningPlan.fit(source, columns, preflighted=True, **options)
+    return raw, plan.cleaned(), plan
+
+
 def change_log(changes: DataFrame) -> DataFrame:
     """Changed cells only."""
     return changes.where(F.col("change_type").isin("FILLED", "FIXED", "FLAGGED"))

@@ -111,6 +111,17 @@ def distinct_counts(df: DataFrame, columns, approximate: bool = False) -> dict[s
     return {c: m["distinct"] for c, m in cell_frequencies(df, columns).items()}
 
 
+def date_orders(df: DataFrame, columns) -> dict[str, bool]:
+    """Whether the day comes first in each text column: the order in which more of the cells that only
+    inference can read are dates; the day first on a tie. One pass for all columns."""
+    votes = {}
+    for c in columns:
+        day, month = X.order_votes(X.strip(X.text(X.ref(c))))
+        votes[c] = F.when(day | month, day.cast("int") - month.cast("int"))
+    found = by_column(df, votes, balance=F.sum("v"))
+    return {c: (found[c].get("balance") or 0) >= 0 for c in columns}
+
+
 def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, total: int):
     """Cleaning type of each column: name rules, then storage kind, then cell content."""
     of_kind, types, open_columns = X.kinds(df), {}, []
@@ -222,6 +233,8 @@ def profile_rows(
         modes = cell_frequencies(df, flat)
         unique = {c: m["distinct"] for c, m in modes.items()}
     types = infer_cleaning_types(df, columns, unique, missing, total)
+    if approximate_distinct and evidence:  # the mode of text decides an action; its counts are needed for the top values too
+        modes = cell_frequencies(df, [c for c in flat if types[c] in ("text", "category")])
 
     numbers = _number_measures(df, flat, of_kind, types, evidence)
     texts = _text_measures(df, flat, of_kind, types, evidence)

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import exprs as X, fixed
 from ..operators.melt import by_column, wide
 from ..operators.profiling import (
-    PROFILE_SCHEMA, fences, moments, named, profile, rows_to_df, sample_skewness,
+    PROFILE_SCHEMA, date_orders, fences, moments, named, profile, rows_to_df, sample_skewness,
 )
 from ..operators.quantiles import exact_quantiles
 from ..sources.staging import stage
-from ..sources.tables import blanks_to_null, check_columns, drop_empty
+from ..sources.tables import blanks_to_null, check_columns, distinct_rows, drop_empty, sanitise
 from .decide import decide
 
 FLAGGING = (
@@ -66,14 +66,15 @@ class CleaningPlan:
 
         ``overrides`` maps a column to an action. The table is deduplicated and
         blank cells are nulled first, once, into the shared staging folder;
-        ``preflighted`` tells that this has been done or is not wanted.
+        ``preflighted`` tells that this has been done or is not wanted; NaN and infinities are
+        missing in either case.
         """
         overrides = dict(overrides or {})
         wanted = [c for c in (columns or df.columns) if c in df.columns]
         if preflighted:
-            source, rows = df, {}
+            source, rows = sanitise(df), {}
         else:
-            staged = stage(blanks_to_null(df.dropDuplicates()), "preflight")
+            staged = stage(blanks_to_null(distinct_rows(df)), "preflight")
             source = drop_empty(staged)
             rows = _row_counts(df, staged, source)
         of_kind = X.kinds(source)
@@ -116,7 +117,7 @@ class CleaningPlan:
             cells += [
                 (notes != "").alias("review_required"), notes.alias("review_notes"),
             ]
-        return self.with_parsed(df).select(*cells)
+        return self.with_parsed(sanitise(df)).select(*cells)
 
     def with_parsed(self, df: DataFrame) -> DataFrame:
         parsed = {p.parsed_name: p.parsed for p in self.columns.values() if p.parsed is not None}
@@ -223,7 +224,7 @@ def parsed_name(column: str) -> str:
     return f"__parsed_{column}"
 
 
-def _parser(action: str, name: str, raw: Column, kind: str) -> Column | None:
+def _parser(action: str, name: str, raw: Column, kind: str, day_first: bool = True) -> Column | None:
     """The parse an action rests on."""
     if action in ("impute_mean", "impute_median", "flag_outliers"):
         return X.to_money(raw, kind)
@@ -233,7 +234,7 @@ def _parser(action: str, name: str, raw: Column, kind: str) -> Column | None:
             value = F.coalesce(value, X.word_to_number(X.text(raw)))
         return value
     if action == "parse_and_flag":
-        return X.to_datetime(raw, kind)
+        return X.to_datetime(raw, kind, day_first)
     if action == "normalize_and_flag":
         return X.normalize_email(raw)
     if action == "normalize_boolean":
@@ -247,7 +248,8 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
     """Measure everything the chosen actions need, all columns and actions per pass."""
     chosen = {d["column_name"]: d["action"] for d in decisions}
     with_action = lambda *actions: [c for c, a in chosen.items() if a in actions]
-    parsers = {c: _parser(a, c.lower(), X.ref(c), of_kind[c]) for c, a in chosen.items()}
+    orders = date_orders(source, [c for c in with_action("parse_and_flag") if of_kind[c] == "string"])
+    parsers = {c: _parser(a, c.lower(), X.ref(c), of_kind[c], orders.get(c, True)) for c, a in chosen.items()}
     parsers = {c: p for c, p in parsers.items() if p is not None}
     work = source.withColumns({parsed_name(c): p for c, p in parsers.items()}) if parsers else source
     parsed = {c: X.ref(parsed_name(c)) for c in parsers}
@@ -297,6 +299,7 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
         elif action == "parse_and_flag":
             plan.cell = X.iso_date(cell)
             plan.notes = [(cell.isNull() & raw.isNotNull(), "unparseable date")]
+            plan.details |= {"day_first": orders[c]} if c in orders else {}
             plan.changed = cell.isNotNull()
         elif action == "normalize_and_flag":
             valid = F.coalesce(X.is_email(cell), F.lit(False))

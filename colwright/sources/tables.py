@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import exprs as X, fixed
 from ..operators.melt import by_column
+from .csvsplit import split_csv
+from .staging import stage
 
 INT64 = 2.0 ** 63
 
@@ -17,15 +19,22 @@ def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
     A column is promoted to bigint, double or boolean only when every non-null cell
     of the whole file parses, which one aggregation finds out for all columns.
-    Quoted cells may hold line ends, so a file is read by one task; ``multiLine=False``
-    splits large files that hold none.
+    Quoted cells may hold line ends; large files are split all the same (``csvsplit``) and
+    each record is parsed once, into the shared staging folder. ``multiLine`` chooses Spark's own
+    reader instead: True reads a file in one task, False takes every line for a record. Options that
+    change quotes, escapes, line ends, comments or the encoding need one of these.
     """
-    options = {"header": True, "escape": '"', "multiLine": True} | options
-    raw = spark.read.options(**options).csv(path)
+    options = {"header": True, "escape": '"'} | options
+    own = not {"multiLine", "quote", "lineSep", "comment", "encoding", "charset", "charToEscapeQuoteEscaping"} & set(options)
+    if own and options["header"] is True and options["escape"] == '"':
+        schema = spark.read.options(**options, multiLine=True).csv(path).schema  # reads the first record only
+        raw = split_csv(spark, path, schema, **options)
+    else:
+        raw = spark.read.options(**{"multiLine": True} | options).csv(path)
     clean = raw.select(
         *[F.when(~X.ref(c).isin(*fixed.CSV_MISSING), X.ref(c)).alias(c) for c in raw.columns]
     )
-    return promote(clean)
+    return promote(stage(clean, "csv") if own else clean)
 
 
 def promote(df: DataFrame) -> DataFrame:
@@ -91,11 +100,8 @@ def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "errorif
 
 
 def sanitise(df: DataFrame) -> DataFrame:
-    """NaN and infinities to null in every floating-point column."""
-    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return df.select(
-        *[X.json_safe(X.ref(c)).alias(c) if c in floats else X.ref(c) for c in df.columns]
-    )
+    """NaN and infinities to null in every floating-point column, nested ones included."""
+    return df.select(*[X.finite_cell(X.ref(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def preview(df: DataFrame, rows: int = 50) -> DataFrame:
@@ -105,22 +111,24 @@ def preview(df: DataFrame, rows: int = 50) -> DataFrame:
 
 def preflight(df: DataFrame) -> DataFrame:
     """Exact duplicates dropped, then blank text to null, then empty rows dropped."""
-    return drop_empty(blanks_to_null(df.dropDuplicates()))
+    return drop_empty(blanks_to_null(distinct_rows(df)))
 
 
-def blanks_to_null(df: DataFrame) -> DataFrame:
-    """Blank text, NaN and infinities to null."""
-    of_kind, of_type = X.kinds(df), dict(df.dtypes)
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Exact duplicates dropped, whatever the types: maps with equal entries are equal."""
+    maps = {f.name: X.canonical(X.ref(f.name), f.dataType) for f in df.schema.fields if X.holds(f.dataType, T.MapType)}
+    if not maps:
+        return df.dropDuplicates()
+    keys = {c: f"__entries_{i}" for i, c in enumerate(maps)}
+    keyed = df.withColumns({keys[c]: entries for c, entries in maps.items()})
+    return keyed.dropDuplicates([keys.get(c, c) for c in df.columns]).drop(*keys.values())
 
-    def cell(c):
-        if of_kind[c] == "string":
-            return X.blank_to_null(X.ref(c)).alias(c)
-        if of_type[c] in ("double", "float"):
-            finite = ~F.isnan(X.ref(c)) & (F.abs(X.ref(c)) != F.lit(float("inf")))
-            return F.when(finite, X.ref(c)).alias(c)
-        return X.ref(c)
 
-    return df.select(*map(cell, df.columns))
+def blanks_to_null(df: DataFrame) -> DataFrame:
+    """Blank text, NaN and infinities to null."""
+    of_kind = X.kinds(df)
+    text = [X.blank_to_null(X.ref(c)).alias(c) if of_kind[c] == "string" else X.ref(c) for c in df.columns]
+    return sanitise(df.select(*text))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
