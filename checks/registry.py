@@ -1153,8 +1153,8 @@ def date_order_vote(spark, sf_dir):
         for name, day in _ORDERED])
     first = date_orders(cells, cells.columns)
     long = cells.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(first[c]).alias("day_first"),
-                 X.iso_date(X.to_datetime(F.col(c), "string", first[c])).alias("day")) for c in cells.columns])))
+        F.struct(F.lit(c).alias("column_name"), F.lit(first.get(c)).alias("day_first"),
+                 X.iso_date(X.to_datetime(F.col(c), "string", first.get(c))).alias("day")) for c in cells.columns])))
     return long.groupBy("column_name", "day_first", "day").agg(F.count("*").alias("cells"))
 
 

@@ -103,20 +103,21 @@ def word_to_number(s: Column) -> Column:
     return F.coalesce(F.try_element_at(table, words), first.try_cast("double"))
 
 
-def to_datetime(c: Column, kind: str, day_first: bool = True) -> Column:
-    """Timestamp without zone. Text is matched against the known formats in order, then inferred.
+def to_datetime(c: Column, kind: str, day_first: bool | None = None) -> Column:
+    """Timestamp without zone. Text is matched against the known formats in order.
 
-    ``day_first`` says which order is tried first where numbers leave it open; see ``date_orders``.
-    The shape test runs before the parser, so free text costs one length test and one for a year,
-    and no failed parses.
+    With ``day_first``, cells in none of them are inferred, that order being tried first where numbers
+    leave it open; ``date_orders`` tells for a column. The shape test runs before the parser, so
+    free text costs one length test and no failed parses.
     """
     if kind == "datetime":
         return c.cast("timestamp_ntz")
     s = strip(text(c))
-    known = known_datetime(s)
-    orders = (True, False) if day_first else (False, True)
-    inferred = F.coalesce(*[inferred_datetime(s, order) for order in orders])
-    return F.when(F.length(s) >= 6, F.coalesce(known, F.when(may_be_inferred(s), inferred)))
+    known = F.when(F.length(s) >= 6, known_datetime(s))
+    if day_first is None:
+        return known
+    inferred = F.coalesce(*[inferred_datetime(s, order) for order in (day_first, not day_first)])
+    return F.coalesce(known, F.when(may_be_inferred(s), inferred))
 
 
 def known_datetime(s: Column) -> Column:
@@ -126,7 +127,9 @@ def known_datetime(s: Column) -> Column:
 
 
 def may_be_inferred(s: Column) -> Column:
-    return (F.length(s) <= 60) & s.rlike(r"(?i)^(?:[a-z]{3,9}\.?,?\s+)?[a-z0-9]{1,9}\S*[./,\s-]+[a-z0-9]{1,9}\.?[./,\s-]+\d{1,4}(?:\b|t)")
+    """Three short parts of letters or digits, the last one beginning with a digit: no date lacks this."""
+    return F.length(s).between(6, 60) & s.rlike(
+        r"(?i)^(?:[a-z]{3,9}+[.,]*+\s++)?[a-z0-9]{1,9}+[./,\s-]++[a-z0-9]{1,9}+[./,\s-]++\d")
 
 
 _CLOCK = (r"(?:(?:T|[\s,]+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([ap]m)?"
@@ -171,10 +174,12 @@ def _from_parts(p: Column) -> Column:
     return F.when(fits, date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour + shift, minute, second))
 
 
-def order_votes(s: Column) -> tuple[Column, Column]:
-    """Whether a cell that only inference can read is a date with the day first, with the month first."""
-    open_ = may_be_inferred(s) & s.rlike(r"(?i)^(?:[a-z]+[.,]?\s+)?\d{1,2}[./\s-]\d{1,2}[./\s-]\d") & known_datetime(s).isNull()
-    return tuple(F.when(open_, inferred_datetime(s, order).isNotNull()) for order in (True, False))
+def order_votes(s: Column) -> Column:
+    """1 for a cell that only inference can read and only with the day first, -1 if only with the month
+    first, 0 if either way; null for other cells."""
+    day, month = (inferred_datetime(s, order).isNotNull() for order in (True, False))
+    vote = F.when(day & month, 0).when(day, 1).when(month, -1)
+    return F.when(may_be_inferred(s) & known_datetime(s).isNull(), vote)
 
 
 def _shaped(s: Column, shape: str, pattern: str) -> Column:

@@ -122,7 +122,7 @@ def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: b
     """
     kind = X.kinds(df)
     orders = date_orders(df, [x]) if kind[x] == "string" else {}
-    stamp = X.to_datetime(X.ref(x), kind[x], orders.get(x, True))
+    stamp = X.to_datetime(X.ref(x), kind[x], orders.get(x))
     number = X.to_number(X.ref(y), kind[y])
     columns = [stamp.alias("stamp"), number.alias("y")]
     if group_by:

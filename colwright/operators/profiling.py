@@ -112,14 +112,21 @@ def distinct_counts(df: DataFrame, columns, approximate: bool = False) -> dict[s
 
 
 def date_orders(df: DataFrame, columns) -> dict[str, bool]:
-    """Whether the day comes first in each text column: the order in which more of the cells that only
-    inference can read are dates; the day first on a tie. One pass for all columns."""
-    votes = {}
-    for c in columns:
-        day, month = X.order_votes(X.strip(X.text(X.ref(c))))
-        votes[c] = F.when(day | month, day.cast("int") - month.cast("int"))
+    """Whether the day comes first, for each text column with cells that only inference can read: the
+    order in which more of them are dates, the day first on a tie. Columns without such cells are left
+    out. A cheap pass over all columns finds those to vote on, a second one counts the votes."""
+    cells = {c: X.strip(X.text(X.ref(c))) for c in columns}
+    open_ = by_column(df, {c: F.when(X.may_be_inferred(s) & X.known_datetime(s).isNull(), s) for c, s in cells.items()}, n=F.count("v"))
+    votes = {c: X.order_votes(cells[c]) for c in columns if open_[c].get("n")}
     found = by_column(df, votes, balance=F.sum("v"))
-    return {c: (found[c].get("balance") or 0) >= 0 for c in columns}
+    return {c: m["balance"] >= 0 for c, m in found.items() if m}
+
+
+def _date_shares(df: DataFrame, columns) -> dict[str, float]:
+    """Share of dates among the cells of text columns, inferred ones included."""
+    found = by_column(df, {c: X.strip(X.text(X.ref(c))) for c in columns},
+                      share=F.avg(X.to_datetime(F.col("v"), "string", True).isNotNull().cast("int")))
+    return {c: m.get("share", 0.0) for c, m in found.items()}
 
 
 def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, total: int):
@@ -144,8 +151,13 @@ def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, to
         truth=F.avg(F.lower(v).isin(*tokens).cast("int")),
         email=F.avg(X.is_email(v).cast("int")),
         date=F.avg(X.to_datetime(v, "string").isNotNull().cast("int")),
+        maybe=F.avg(X.may_be_inferred(v).cast("int")),
         number=F.avg(X.parse_number(X.strip_symbols(v)).isNotNull().cast("int")),
     )
+    # Dates are inferred only where they could tip the decision.
+    near = [c for c, h in hits.items() if h["date"] <= 0.5 < h["date"] + h["maybe"]]
+    for c, share in _date_shares(df, near).items():
+        hits[c]["date"] = share
     for c in open_columns:
         h = hits[c]
         if h["truth"] >= 0.90:
@@ -360,7 +372,12 @@ def _text_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
         true=F.count_if(truth & v.isin(*fixed.TRUE_TOKENS)),
         false=F.count_if(truth & v.isin(*fixed.FALSE_TOKENS)),
     )
+    # Cells in none of the known formats are inferred in a pass of their own.
+    open_ = {c: due[c, k] for (c, k), m in found.items() if k == "date" and m.get("bad")}
+    left = by_column(df, open_, bad=F.count_if(X.to_datetime(v, "string", True).isNull()))
     for (c, kind), m in found.items():
+        if kind == "date" and c in left:
+            m = m | left[c]
         bad, yes, no = (m.get(x, 0) for x in ("bad", "true", "false"))
         if kind == "date":
             out[c]["invalid_date_count"] = bad
@@ -429,7 +446,12 @@ def _shape_types(df, columns, of_kind, total, missing, unique, mode):
     }
     if mode == "insight":
         metrics["parsed"] = F.avg(X.to_datetime(v, "string").isNotNull().cast("int"))
+        metrics["maybe"] = F.avg(X.may_be_inferred(X.strip(v)).cast("int"))
     hits = by_column(df, {c: X.ref(c) for c in strings}, **metrics)
+    if mode == "insight":
+        near = [c for c, h in hits.items() if h and h["date"] < 0.60 and h["parsed"] < 0.75 <= h["parsed"] + h["maybe"]]
+        for c, share in _date_shares(df, near).items():
+            hits[c]["parsed"] = share
     types = {}
     for c in columns:
         n = total - missing[c]

@@ -249,7 +249,7 @@ def _column_plans(source, of_kind, decisions) -> list[ColumnPlan]:
     chosen = {d["column_name"]: d["action"] for d in decisions}
     with_action = lambda *actions: [c for c, a in chosen.items() if a in actions]
     orders = date_orders(source, [c for c in with_action("parse_and_flag") if of_kind[c] == "string"])
-    parsers = {c: _parser(a, c.lower(), X.ref(c), of_kind[c], orders.get(c, True)) for c, a in chosen.items()}
+    parsers = {c: _parser(a, c.lower(), X.ref(c), of_kind[c], orders.get(c)) for c, a in chosen.items()}
     parsers = {c: p for c, p in parsers.items() if p is not None}
     work = source.withColumns({parsed_name(c): p for c, p in parsers.items()}) if parsers else source
     parsed = {c: X.ref(parsed_name(c)) for c in parsers}
