@@ -1179,3 +1179,41 @@ def nested_cells(spark, sf_dir):
     found = clean.agg(F.count_if(F.col("s.x").isNull()).alias("missing_in_struct"),
                       F.count_if(F.col("m")["a"].isNull()).alias("missing_in_map"), F.round(F.sum(F.col("m")["a"]), 2).alias("map_sum"))
     return total.join(found)
+
+
+# -- charts with notes --------------------------------------------------------------------------
+
+_NOTED = ({"column": "event_type", "operator": "!=", "value": "view"}, {"column": "value", "operator": ">", "value": 10},
+          {"column": "no_such", "operator": "==", "value": 1}, {"column": "value", "operator": "<", "value": "many"},
+          {"column": "props", "operator": "contains", "value": "("})
+
+
+@query("""WITH e AS (SELECT *, event_type IS DISTINCT FROM 'view' AS a, coalesce(value > 10, FALSE) AS b,
+  CASE WHEN event_id % 4 <> 0 THEN value END AS y FROM events), n AS (
+  SELECT 'ignored_group' AS kind, 'no_group' AS subject, NULL::BIGINT AS rows UNION ALL
+  SELECT 'kept', 'event_type != view', count(*) FILTER (a) FROM e UNION ALL
+  SELECT 'kept', 'value > 10', count(*) FILTER (a AND b) FROM e UNION ALL
+  SELECT 'ignored_filter', 'no_such == 1: no such column', NULL UNION ALL
+  SELECT 'ignored_filter', 'value < many: no number', NULL UNION ALL
+  SELECT 'ignored_filter', 'props contains (: no regular expression', NULL UNION ALL
+  SELECT 'unusable', 'y', count(*) FILTER (a AND b AND y IS NULL) FROM e UNION ALL
+  SELECT 'sampled', '100 points', count(*) FILTER (a AND b AND y IS NOT NULL) - 100 FROM e UNION ALL
+  SELECT 'data', 'event_id vs y', 100 UNION ALL
+  SELECT 'nothing: no_rows', 'Distribution of value', 0)
+SELECT * FROM n""")
+def chart_notes(spark, sf_dir):
+    """Notes, title and data size of a chart with filters, gaps and a sample, and of one without rows."""
+    events = table(spark, sf_dir, "events").withColumn("y", F.expr("CASE WHEN event_id % 4 <> 0 THEN value END"))
+    chart = cw.build_chart(events, "scatter", "event_id", "y", group_by="no_group", filters=_NOTED, max_points=100)
+    nothing = cw.build_chart(events, "histogram", "value", filters=[{"column": "value", "operator": "<", "value": -1e30}])
+    drawn = chart.data.agg(F.lit("data").alias("kind"), F.lit(chart.title).alias("subject"), F.count("*").alias("rows"))
+    assert nothing.data is None
+    empty = nothing.notes.where("kind = 'no_rows'").select(
+        F.concat(F.lit("nothing: "), "kind").alias("kind"), F.lit(nothing.title).alias("subject"), "rows")
+    return chart.notes.drop("position").unionByName(drawn).unionByName(empty)
+
+
+@query("""SELECT p_type AS name, p_brand AS series, count(*) AS value FROM part GROUP BY 1, 2""")
+def chart_grouped_long(spark, sf_dir):
+    """A grouped bar in long form, for any number of groups."""
+    return cw.chart_data(table(spark, sf_dir, "part"), "bar", "p_type", group_by="p_brand", wide=False)

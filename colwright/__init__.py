@@ -1,6 +1,6 @@
 """Spark-native data profiling, cleaning and insight."""
 
-from .operators.charts import chart_data, filter_rows
+from .operators.charts import Chart, build_chart, chart_data, filter_rows
 from .operators.compare import (
     change_log, change_totals, clean_by_position, compare, compare_by_position, missing_scorecard,
     positioned, problem_cells, raw_snapshot, report_tables, review_rows,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,19 +16,33 @@ from .stats import grouped
 
 
 def filter_rows(df: DataFrame, filters) -> DataFrame:
-    """Rows that pass every filter; filters on unknown columns are ignored.
+    """Rows that pass every filter; filters that cannot be applied are ignored (``build_chart`` notes them).
 
-    A filter is ``{"column", "operator", "value"}`` with ``== != > < >= <= contains``.
+    A filter is ``{"column", "operator", "value"}`` with ``== != > < >= <= contains``; the value of
+    ``contains`` is a regular expression.
     """
-    of_kind = X.kinds(df)
-    conditions = [
-        _condition(X.ref(f["column"]), of_kind[f["column"]], f.get("operator", "=="), f.get("value"))
-        for f in filters or [] if f.get("column") in of_kind
-    ]
-    conditions = [c for c in conditions if c is not None]
+    conditions = [c for c, _ in _conditions(df, filters) if c is not None]
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
+def _conditions(df: DataFrame, filters) -> list[tuple[Column | None, str]]:
+    """Each filter's condition and its words, or None and why it is ignored."""
+    of_kind, out = X.kinds(df), []
+    for f in filters or []:
+        column, operator, value = f.get("column"), f.get("operator", "=="), f.get("value")
+        words = f"{column} {operator} {value}"
+        if column not in of_kind:
+            out.append((None, f"{words}: no such column"))
+            continue
+        condition = _condition(X.ref(column), of_kind[column], operator, value)
+        why = {"contains": "no regular expression"}.get(operator, "no number" if operator in ORDERINGS else "no such operator")
+        out.append((condition, words if condition is not None else f"{words}: {why}"))
+    return out
+
+
+ORDERINGS = (">", "<", ">=", "<=")
+
+
 def _condition(c: Column, kind: str, operator: str, value) -> Column | None:
     if operator in ("==", "!="):
         if kind == "number" and _is_number(value):
@@ -37,7 +53,7 @@ def _condition(c: Column, kind: str, operator: str, value) -> Column | None:
             equal = X.text(c).eqNullSafe(F.lit(str(value)))
         return equal if operator == "==" else ~equal
     if operator == "contains":
-        return X.text(c).rlike(f"(?i){value}")
+        return X.text(c).rlike(f"(?i){value}") if _is_pattern(value) else None
     if not _is_number(value):
         return None
     number = X.to_number(c, kind)
@@ -45,6 +61,14 @@ def _condition(c: Column, kind: str, operator: str, value) -> Column | None:
     return compare[operator](float(value)) if operator in compare else None
 
 
+def _is_pattern(value) -> bool:
+    try:
+        re.compile(str(value))
+    except re.error:
+        return False
+    return True
+
+
 def _is_number(value) -> bool:
     try:
         float(value)
@@ -91,8 +115,8 @@ def grouped_bar(df: DataFrame, x: str, group_by: str, y=None, aggregation=None,
                 wide: bool = True) -> DataFrame:
     """One row per ``x`` with a column per group, zero where a combination is absent.
 
-    ``wide=False`` gives ``name, series, value`` rows of the combinations that occur,
-    for groups with more values than a table can have columns.
+    ``wide=False`` gives ``name, series, value`` rows of the combinations that occur, and so do
+    groups with more values than MOST_SERIES, which a table cannot have as columns.
     """
     if y is None or y == "count":
         rows = df.select(X.ref(x), X.ref(group_by)).dropna()
@@ -105,7 +129,7 @@ def grouped_bar(df: DataFrame, x: str, group_by: str, y=None, aggregation=None,
         cells = cells.join(first, x, "left_semi")
     cells = cells.select(
         X.ref(x).alias("name"), X.text(X.ref(group_by)).alias("series"), "value")
-    if not wide:
+    if not wide or _too_many(cells):
         return cells.select(X.text(F.col("name")).alias("name"), "series", "value")
     # Combinations are unique by now, so the pivot only moves small cells around.
     table = cells.groupBy("name").pivot("series").agg(F.first("value")).orderBy("name")
@@ -114,6 +138,13 @@ def grouped_bar(df: DataFrame, x: str, group_by: str, y=None, aggregation=None,
         *[F.coalesce(X.ref(c), F.lit(0)).alias(c) for c in table.columns[1:]])
 
 
+MOST_SERIES = 1000
+
+
+def _too_many(cells: DataFrame) -> bool:
+    return cells.select("series").distinct().limit(MOST_SERIES + 1).count() > MOST_SERIES
+
+
 def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: bool = True,
          raw_points: bool = False):
     """``date, value`` in date order; one column per group with ``group_by``.
@@ -131,7 +162,7 @@ def line(df: DataFrame, x: str, y: str, aggregation=None, group_by=None, wide: b
     day = F.date_format("stamp", "yyyy-MM-dd").alias("date")
     if group_by:
         cells = grouped(points.where("series is not null"), ["stamp", "series"], "y", aggregation)
-        if not wide:
+        if not wide or _too_many(cells):
             return cells.orderBy("stamp", "series").select(day, "series", "value")
         table = cells.groupBy("stamp").pivot("series").agg(F.first("value")).orderBy("stamp")
         return table.select(day, *[X.ref(c) for c in table.columns[1:]])
@@ -258,3 +289,76 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None,
     if kind == "pie":
         return pie(rows, x, y, aggregation, top_n)
     raise ValueError(f"Unknown chart type '{chart_type}'.")
+
+
+class Chart(NamedTuple):
+    """data is None where there is nothing to draw; notes then say why."""
+
+    data: DataFrame | None
+    notes: DataFrame
+    title: str
+
+
+NOTES = "position int, kind string, subject string, rows bigint"
+FEWEST_FOR_BOX = 5
+_TITLES = {"scatter": "{x} vs {y}", "line": "{y} over {x}", "histogram": "Distribution of {x}", "pie": "{x} share"}
+
+
+def build_chart(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None, group_by=None, filters=None, title=None,
+                max_points=None, **options) -> Chart:
+    """A chart with its title and notes on what did not go into it.
+
+    notes: (position, kind, subject, rows). Kinds: ``ignored_group``; ``ignored_filter``, with the reason;
+    ``kept``, the rows left after each filter; ``unusable``, rows left without a value the chart can draw;
+    ``sampled``, points left out of a sample; ``no_rows``, nothing left after the filters; ``too_few``, not
+    enough numbers for a box. All counts come from one pass with a partial row per task. A chart
+    without rows has no data, which is an answer, not an error; unknown columns and types are errors.
+    """
+    kind, of_kind = chart_type.lower(), X.kinds(df)
+    check_columns(df, [x] + ([y] if y and y != "count" else []))
+    notes: list[tuple] = []
+    if group_by and group_by not in df.columns:
+        notes.append(("ignored_group", group_by, None))
+        group_by = None
+    conditions = _conditions(df, filters)
+    passed, counts = F.lit(True), {"all": F.count("*")}
+    for i, (condition, _) in enumerate(conditions):
+        if condition is not None:
+            passed = passed & F.coalesce(condition, F.lit(False))
+            counts[f"f{i}"] = F.count_if(passed)
+    usable = _drawable(kind, x, y, of_kind)
+    counts |= {"left": F.count_if(passed), "usable": F.count_if(passed & usable)}
+    found = df.agg(*[c.alias(n) for n, c in counts.items()]).first()
+    for i, (condition, words) in enumerate(conditions):
+        notes.append(("ignored_filter", words, None) if condition is None else ("kept", words, found[f"f{i}"]))
+    drawn = found.usable
+    if not found.left:
+        notes.append(("no_rows", "", 0))
+    else:
+        if drawn < found.left:
+            notes.append(("unusable", y if kind in ("scatter", "line", "box") and y and y != "count" else x, found.left - drawn))
+        if kind == "scatter" and max_points is not None and drawn > max_points:
+            notes.append(("sampled", f"{max_points} points", drawn - max_points))
+        if kind == "box" and drawn < FEWEST_FOR_BOX:
+            notes.append(("too_few", y if y and y != "count" else x, drawn))
+    nothing = not found.left or any(n[0] == "too_few" for n in notes)
+    table = df.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(notes)], NOTES)
+    data = None if nothing else chart_data(df, chart_type, x, y, aggregation, group_by, filters, max_points=max_points, **options)
+    words = title or _TITLES.get(kind, "{x} by {y}" if y and y != "count" else "{x}").format(x=x, y=y)
+    return Chart(data, table, words)
+
+
+def _drawable(kind: str, x: str, y, of_kind: dict) -> Column:
+    """Whether a row has the values that the chart draws."""
+    there = X.ref(x).isNotNull()
+    number = lambda c: X.to_number(X.ref(c), of_kind[c]).isNotNull()
+    has_y = bool(y) and y != "count"
+    if kind == "scatter":
+        return there & X.ref(y).isNotNull()
+    if kind == "line":
+        return X.to_datetime(X.ref(x), of_kind[x], True).isNotNull() & number(y)
+    if kind == "box":
+        return number(y if has_y else x)
+    if kind == "histogram":
+        return there
+    return there & number(y) if has_y else there

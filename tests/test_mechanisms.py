@@ -141,3 +141,21 @@ def test_mode_survives_approximate_distinct(spark):
     df = spark.createDataFrame([("a",)] * 60 + [("b",)] * 20 + [(None,)] * 10, "colour string")
     found = [[(r.column_name, r.action) for r in cw.decide(cw.profile(df, approximate_distinct=a)).collect()] for a in (False, True)]
     assert found[0] == found[1] == [("colour", "fill_mode")]
+
+
+def test_chart_notes(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "v double, g string")
+    chart = cw.build_chart(df, "box", "v")
+    assert chart.data is None and [(r.kind, r.rows) for r in chart.notes.collect()] == [("unusable", 1), ("too_few", 2)]
+    assert cw.build_chart(df, "bar", "g", title="own").title == "own"
+    assert cw.build_chart(df.limit(0), "bar", "g").notes.first().kind == "no_rows"
+    with pytest.raises(ValueError):
+        cw.build_chart(df, "bar", "absent")
+
+
+def test_more_groups_than_columns(spark):
+    df = spark.range(1500).selectExpr("id % 3 AS x", "CAST(id AS STRING) AS g")
+    found = cw.chart_data(df, "bar", "x", group_by="g")
+    assert found.columns == ["name", "series", "value"] and found.count() == 1500
+    few = cw.chart_data(df.where("id < 9"), "bar", "x", group_by="g")
+    assert len(few.columns) == 10
