@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import exprs as X
 from ..sources.tables import check_columns
 from .profiling import date_orders, moments
-from .quantiles import exact_quantiles
+from .quantiles import quantiles
 from .stats import grouped
 
 
@@ -212,7 +212,7 @@ def histogram(df: DataFrame, x: str, max_values=None) -> DataFrame:
         F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def box(df: DataFrame, x: str, y=None) -> DataFrame:
+def box(df: DataFrame, x: str, y=None, rank_error: float | None = None) -> DataFrame:
     """One row: extremes, quartiles, fences, and how many values lie below and above the fences.
 
     The values themselves, which can be many, are the rows of ``box_outliers``.
@@ -224,7 +224,7 @@ def box(df: DataFrame, x: str, y=None) -> DataFrame:
               "max_value double, lower_fence double, upper_fence double, low_outliers long, high_outliers long")
     if shape["n"] < 5:
         return df.sparkSession.createDataFrame([], schema)
-    q1, q2, q3 = exact_quantiles(df, values, counts={column: shape["n"]})[column]
+    q1, q2, q3 = quantiles(df, values, counts={column: shape["n"]}, rank_error=rank_error)[column]
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     v = values[column]
     below, above = df.agg(F.count_if(v < lo), F.count_if(v > hi)).first()
@@ -264,10 +264,11 @@ def pie(df: DataFrame, x: str, y=None, aggregation=None, top_n=None) -> DataFram
 
 def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None, group_by=None,
                filters=None, sort_by=None, sort_asc=True, top_n=None, key=None, max_points=None,
-               max_values=None, raw_points=False, wide=True) -> DataFrame:
+               max_values=None, raw_points=False, wide=True, rank_error=None) -> DataFrame:
     """Data set of one chart. Unknown columns and chart types are errors.
 
-    ``wide=False`` keeps grouped bars and lines in long form, for any number of groups.
+    ``wide=False`` keeps grouped bars and lines in long form, for any number of groups;
+    ``rank_error`` takes the quartiles of a box from a sketch.
     """
     check_columns(df, [x] + ([y] if y and y != "count" else []))
     if group_by and group_by not in df.columns:
@@ -285,7 +286,7 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y=None, aggregation=None,
     if kind == "histogram":
         return histogram(rows, x, max_values)
     if kind == "box":
-        return box(rows, x, y)
+        return box(rows, x, y, rank_error)
     if kind == "pie":
         return pie(rows, x, y, aggregation, top_n)
     raise ValueError(f"Unknown chart type '{chart_type}'.")

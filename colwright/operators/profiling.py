@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions import exprs as X, fixed
 from .melt import by_column, frequencies, frequency_summary, wide
-from .quantiles import exact_quantiles
+from .quantiles import quantiles
 
 _D, _L, _S = T.DoubleType(), T.LongType(), T.StringType()
 
@@ -234,8 +234,10 @@ def _round(x, digits=4):
 
 def profile_rows(
     df: DataFrame, columns=None, evidence: bool = True, approximate_distinct: bool = False,
+    top: int = 5, rank_error: float | None = None,
 ) -> list[dict]:
-    """Profile of every column as plain rows. ``evidence`` adds the refinement measures."""
+    """Profile of every column as plain rows. ``evidence`` adds the refinement measures, ``top`` is the
+    number of top values, ``rank_error`` takes quartiles from a one-pass sketch."""
     columns = list(columns or df.columns)
     of_kind = X.kinds(df)
     total, missing = missing_counts(df, columns)
@@ -248,13 +250,13 @@ def profile_rows(
     if approximate_distinct and evidence:  # the mode of text decides an action; its counts are needed for the top values too
         modes = cell_frequencies(df, [c for c in flat if types[c] in ("text", "category")])
 
-    numbers = _number_measures(df, flat, of_kind, types, evidence)
+    numbers = _number_measures(df, flat, of_kind, types, evidence, rank_error)
     texts = _text_measures(df, flat, of_kind, types, evidence)
     words = [c for c in flat if types[c] in ("text", "category")]
-    top: dict[str, list] = {}
+    best: dict[str, list] = {}
     if words:
-        for r in top_values(df, words, 5).collect():
-            top.setdefault(r["column_name"], []).append((r["rank"], r["value"], r["count"]))
+        for r in top_values(df, words, top).collect():
+            best.setdefault(r["column_name"], []).append((r["rank"], r["value"], r["count"]))
 
     rows = []
     for position, c in enumerate(columns):
@@ -270,8 +272,8 @@ def profile_rows(
         row |= texts.get(c, {}) | numbers.get(c, {})
         if "valid_count" in row:
             row["invalid_numeric_count"] = total - missing[c] - row.pop("valid_count")
-        if c in top:
-            row["top_values"] = [(v, n) for _, v, n in sorted(top[c])]
+        if c in best:
+            row["top_values"] = [(v, n) for _, v, n in sorted(best[c])]
             row["most_common"] = row["top_values"][0][0]
         if c in modes:
             row["mode_text"] = modes[c]["mode"]
@@ -282,7 +284,7 @@ def profile_rows(
     return rows
 
 
-def _number_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
+def _number_measures(df, columns, of_kind, types, evidence, rank_error=None) -> dict[str, dict]:
     """Numeric part of the profile and the evidence for refinement.
 
     A column is measured under up to two readings: ``loose`` drops currency signs and
@@ -306,7 +308,7 @@ def _number_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
             values[plain[c]] = X.to_number(X.ref(c), of_kind[c])
     shape = moments(df, values)
     counts = {key: m["n"] for key, m in shape.items()}
-    quartiles = exact_quantiles(df, values, counts=counts)
+    quartiles = quantiles(df, values, counts=counts, rank_error=rank_error)
 
     ranges = {(key, "iqr"): bounds for key, bounds in fences(quartiles, counts).items()}
     money = [c for c in checked if named(fixed.MONEY_NAME, c) and not shape[plain[c]]["negatives"]]
@@ -395,10 +397,10 @@ def _text_measures(df, columns, of_kind, types, evidence) -> dict[str, dict]:
     return out
 
 
-def profile(df: DataFrame, columns=None, evidence: bool = True,
-            approximate_distinct: bool = False) -> DataFrame:
-    """Profile table: one row per column."""
-    rows = profile_rows(df, columns, evidence, approximate_distinct)
+def profile(df: DataFrame, columns=None, evidence: bool = True, approximate_distinct: bool = False,
+            top: int = 5, rank_error: float | None = None) -> DataFrame:
+    """Profile table: one row per column; see ``profile_rows`` for the options."""
+    rows = profile_rows(df, columns, evidence, approximate_distinct, top, rank_error)
     return rows_to_df(df.sparkSession, rows, PROFILE_SCHEMA)
 
 

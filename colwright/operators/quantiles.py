@@ -39,6 +39,24 @@ class _Target:
     value: float | None = None
 
 
+def quantiles(
+    df: DataFrame,
+    values: dict[str, Column],
+    probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
+    counts: dict[str, int] | None = None,
+    rank_error: float | None = None,
+) -> dict[str, list[float] | None]:
+    """Exact quantiles, or with ``rank_error`` values of the columns whose ranks are off by at most that
+    share of the column: one pass, a mergeable sketch of bounded size per task and column."""
+    if rank_error is None:
+        return exact_quantiles(df, values, probabilities, counts)
+    if not 0 < rank_error < 1:
+        raise ValueError("rank_error is a share of the column, between 0 and 1")
+    sketch = F.percentile_approx("v", list(probabilities), math.ceil(1 / rank_error))
+    found = by_column(df, values, q=sketch)
+    return {name: found[name].get("q") or None for name in values}
+
+
 def exact_quantiles(
     df: DataFrame,
     values: dict[str, Column],

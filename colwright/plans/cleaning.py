@@ -18,7 +18,7 @@ from ..operators.profiling import (
     PROFILE_SCHEMA, date_orders, fences, moments, named, profile, rows_to_df, sample_skewness,
 )
 from ..operators.quantiles import exact_quantiles
-from ..sources.staging import stage
+from ..sources.staging import release, stage
 from ..sources.tables import blanks_to_null, check_columns, distinct_rows, drop_empty, sanitise
 from .decide import decide
 
@@ -76,6 +76,7 @@ class CleaningPlan:
         else:
             staged = stage(blanks_to_null(distinct_rows(df)), "preflight")
             source = drop_empty(staged)
+            source.staged_at = staged.staged_at
             rows = _row_counts(df, staged, source)
         of_kind = X.kinds(source)
         wanted = [c for c in wanted if of_kind[c] != "nested"]
@@ -134,6 +135,11 @@ class CleaningPlan:
     def cleaned(self) -> DataFrame:
         return self.transform(self.source)
 
+    def release(self) -> None:
+        """Remove the staged copy of the table, after the last use of the plan's own results."""
+        if hasattr(self.source, "staged_at"):
+            release(self.source)
+
     def changes(self, key: str, columns=None) -> DataFrame:
         """Cell-level change log without a join: raw and cleaned come from the same row."""
         from ..operators.compare import change_rows

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session; only a bare local session may go without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -30,4 +31,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove a staged table that nothing will read again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 """Split CSV, positions, date orders, nested cells."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -159,3 +160,27 @@ def test_more_groups_than_columns(spark):
     assert found.columns == ["name", "series", "value"] and found.count() == 1500
     few = cw.chart_data(df.where("id < 9"), "bar", "x", group_by="g")
     assert len(few.columns) == 10
+
+
+@pytest.mark.parametrize("error", [0.05, 0.002])
+def test_rank_error_of_sketched_quartiles(spark, error):
+    df = spark.range(0, 40_000, 1, 16).selectExpr(
+        "CAST(pmod(xxhash64(id), 1000) AS DOUBLE) * IF(id % 3 = 0, 1, -7) AS x", "CAST(NULL AS DOUBLE) AS nothing")
+    data = sorted(r.x for r in df.select("x").collect())
+    row = cw.describe_numeric(df, ["x", "nothing"], rank_error=error).where("column_name = 'x'").first()
+    box = cw.chart_data(df, "box", "x", rank_error=error).first()
+    assert (row.q1, row.median, row.q3) == (box.q1, box.median, box.q3)
+    for value, p in ((row.q1, .25), (row.median, .5), (row.q3, .75)):
+        low, high = sum(x < value for x in data) / len(data), sum(x <= value for x in data) / len(data)
+        assert low - error <= p <= high + error
+    profiled = cw.profile(df, ["x"], rank_error=error).first()
+    assert profiled["median"] == pytest.approx(row.median, abs=1e-3)
+    with pytest.raises(ValueError):
+        cw.describe_numeric(df, ["x"], rank_error=0)
+
+
+def test_staged_copy_is_removed(spark):
+    _, plan = cw.clean(spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"))
+    assert os.path.isdir(plan.source.staged_at) and plan.cleaned().count() == 2
+    plan.release()
+    assert not os.path.exists(plan.source.staged_at)
