@@ -1217,3 +1217,20 @@ def chart_notes(spark, sf_dir):
 def chart_grouped_long(spark, sf_dir):
     """A grouped bar in long form, for any number of groups."""
     return cw.chart_data(table(spark, sf_dir, "part"), "bar", "p_type", group_by="p_brand", wide=False)
+
+
+# -- distance from the normal -------------------------------------------------------------------
+
+_KS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")
+_KS_SHARE = ("exp(-z * z / 2) / sqrt(2 * pi()) * ((((1.330274429 * t - 1.821255978) * t + 1.781477937) * t - 0.356563782) * t "
+             "+ 0.319381530) * t")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, n, round(max(greatest(r / n - share, share - (r - m) / n)), 4) AS ks_statistic
+  FROM (SELECT n, r, m, CASE WHEN z >= 0 THEN 1 - u ELSE u END AS share FROM (SELECT *, {_KS_SHARE} AS u FROM (
+    SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM (SELECT v, m, sum(m) OVER (ORDER BY v) AS r, n, (v - mean) / std AS z
+      FROM (SELECT {c}::DOUBLE AS v, count(*) AS m FROM lineitem GROUP BY 1),
+           (SELECT count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std FROM lineitem))))) GROUP BY n""" for c in _KS))
+def normality_distance(spark, sf_dir):
+    """Kolmogorov-Smirnov distance of columns from the normal."""
+    return rounded(cw.normality_ks(table(spark, sf_dir, "lineitem"), _KS).select("column_name", "n", "ks_statistic"), "ks_statistic")

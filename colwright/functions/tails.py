@@ -82,3 +82,12 @@ def correlation_p(r: float, n: int) -> float:
     if n <= 2 or abs(r) >= 1.0:
         return 0.0 if n > 2 else 1.0
     return t_two_sided(r * math.sqrt((n - 2) / ((1.0 - r) * (1.0 + r))), n - 2)
+
+
+def kolmogorov_tail(d: float, n: int) -> float:
+    """P that the largest gap of n draws from the compared distribution is at least d (asymptotic)."""
+    root = math.sqrt(n)
+    x = (root + 0.12 + 0.11 / root) * d
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * (j * x) ** 2) for j in range(1, 101))))

@@ -1,8 +1,10 @@
 """Split CSV, positions, date orders, nested cells."""
 
 import datetime as dt
+import math
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -184,3 +186,18 @@ def test_staged_copy_is_removed(spark):
     assert os.path.isdir(plan.source.staged_at) and plan.cleaned().count() == 2
     plan.release()
     assert not os.path.exists(plan.source.staged_at)
+
+
+def test_kolmogorov_smirnov(spark):
+    draw = random.Random(3)
+    rows = [(draw.gauss(5, 2), draw.random() ** 4, 1.0, None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "bell double, bent double, flat double, nothing double").repartition(6)
+    found = {r.column_name: r for r in cw.normality_ks(df).collect()}
+    for name, i in (("bell", 0), ("bent", 1)):
+        data = sorted(r[i] for r in rows)
+        n, mean, std = len(data), statistics.mean(data), statistics.stdev(data)
+        share = [.5 * (1 + math.erf((x - mean) / std / math.sqrt(2))) for x in data]
+        want = max(max((k + 1) / n - s, s - k / n) for k, s in enumerate(share))
+        assert found[name].ks_statistic == pytest.approx(want, abs=1e-6)
+    assert found["bell"].is_normal and not found["bent"].is_normal
+    assert found["flat"].ks_statistic is None and found["nothing"].n == 0
