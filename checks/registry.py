@@ -1234,3 +1234,25 @@ _KS_SHARE = ("exp(-z * z / 2) / sqrt(2 * pi()) * ((((1.330274429 * t - 1.8212559
 def normality_distance(spark, sf_dir):
     """Kolmogorov-Smirnov distance of columns from the normal."""
     return rounded(cw.normality_ks(table(spark, sf_dir, "lineitem"), _KS).select("column_name", "n", "ks_statistic"), "ks_statistic")
+
+
+@query("""SELECT 'mean' AS section, 'value' AS item, round(avg(value), 4) AS value FROM events UNION ALL
+  SELECT 'mean', 'user_id', round(avg(user_id), 4) FROM events UNION ALL
+  SELECT 'unique', 'event_type', count(DISTINCT event_type) FROM events UNION ALL
+  SELECT 'rows', 'all', count(*) FROM events UNION ALL
+  SELECT 'DIVIDE_BY_ZERO', 'ratio', count(*) FILTER (event_id % 1000 = 0) FROM events HAVING count(*) FILTER (event_id % 1000 = 0) > 0 UNION ALL
+  SELECT 'CAST_INVALID_INPUT', 'number', NULL FROM events HAVING count(try_cast(event_type AS BIGINT)) < count(*)""")
+def analysis_errors(spark, sf_dir):
+    """A table with two columns that cannot be computed: the others are analysed, these get their errors."""
+    events = table(spark, sf_dir, "events").select(
+        "user_id", "event_type", "value", F.expr("value / (event_id % 1000)").alias("ratio"),
+        F.col("event_type").cast("bigint").alias("number"))
+    found = cw.analyze_table(events)
+    row = lambda df, section, value: df.select(
+        section.alias("section"), F.col("column_name").alias("item"), F.round(value.cast("double"), 4).alias("value"))
+    zeros = table(spark, sf_dir, "events").where("event_id % 1000 = 0").count()
+    errors = row(found["errors"], F.col("error"), F.when(F.col("column_name") == "ratio", F.lit(zeros)))
+    return (row(found["numerical"], F.lit("mean"), F.col("mean"))
+            .unionByName(row(found["categorical"], F.lit("unique"), F.col("unique_count")))
+            .unionByName(row(found["summary"].withColumn("column_name", F.lit("all")), F.lit("rows"), F.col("total_rows")))
+            .unionByName(errors))

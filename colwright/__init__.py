@@ -10,7 +10,7 @@ from .operators.insights import detect_insights
 from .operators.profiling import profile, semantic_types, top_values
 from .operators.stats import (
     analyze_column, analyze_table, correlations, dataset_summary, describe_categorical,
-    describe_numeric, grouped, normality_ks,
+    describe_numeric, failing_columns, grouped, normality_ks,
 )
 from .plans.action_model import load_model, save_model, train_action_model, training_rows
 from .plans.cleaning import CleaningPlan, clean

@@ -201,3 +201,14 @@ def test_kolmogorov_smirnov(spark):
         assert found[name].ks_statistic == pytest.approx(want, abs=1e-6)
     assert found["bell"].is_normal and not found["bent"].is_normal
     assert found["flat"].ks_statistic is None and found["nothing"].n == 0
+
+
+def test_columns_that_cannot_be_computed(spark):
+    df = spark.range(50).selectExpr("id", "1 / (id - 7) AS a", "id % 3 AS b", "CAST(CONCAT('x', id) AS INT) AS c", "id % 2 = 0 AS d")
+    assert cw.failing_columns(df) == {"a": "DIVIDE_BY_ZERO", "c": "CAST_INVALID_INPUT"}
+    found = cw.analyze_table(df)
+    assert {r.column_name for r in found["errors"].collect()} == {"a", "c"}
+    assert {r.column_name for r in found["numerical"].collect()} == {"id", "b"} and found["summary"].first().total_columns == 3
+    assert cw.analyze_table(df.select("id", "b"))["errors"].count() == 0
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        cw.analyze_table(df.select("a"))
