@@ -185,7 +185,7 @@ def op8_decontamination(spark, sf_dir):
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
-SELECT DISTINCT page_id, payload_bytes, payload_digest,
+SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END
     AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM k""")

@@ -246,8 +246,23 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(both.withColumn("block", F.when(F.col("complete"), F.col("block"))))
 
 
-def record_id(page_id: Column, digest: Column) -> Column:
-    return F.concat_ws(":", F.lit("urn:page"), F.coalesce(page_id.cast("string"), F.lit("none")), digest)
+def record_id(page_id: Column, digest: Column, repeat: Column | None = None) -> Column:
+    """repeat, where not null, tells apart rows equal in page_id and payload."""
+    parts = [F.lit("urn:page"), F.coalesce(page_id.cast("string"), F.lit("none")), digest]
+    return F.concat_ws(":", *parts, *([] if repeat is None else [repeat.cast("string")]))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with repeat: null, or a number for all but one of the rows equal in page_id and digest. Only
+    where there are such rows are the payloads staged, so that the numbers do not depend on a rerun."""
+    if rows.groupBy("page_id", "digest").count().where("count > 1").isEmpty():
+        return rows.withColumn("repeat", F.lit(None).cast("bigint"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    first = rows.groupBy("page_id", "digest").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("page_id").alias("p"), F.col("digest").alias("d"), "least")
+    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))
+    return rows.join(first, same, "left").withColumn("repeat", F.when(F.col("row") > F.col("least"), F.col("row"))).drop(
+        "row", "p", "d", "least")
 
 
 def archive_pages(pages: DataFrame, path: str, least: int = 1000, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -255,7 +270,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = 1000, segment_bytes:
 
     Of equal payloads of at least `least` bytes, the largest page_id is the response, others revisit
     it. Null html is an empty payload; rows without page_id are archived too, never as the response of
-    others. Rows equal in page_id and payload are one record. Other columns are ignored.
+    others. Rows equal in page_id and payload are a record each, of one type. Other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -263,8 +278,8 @@ def archive_pages(pages: DataFrame, path: str, least: int = 1000, segment_bytes:
                    .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 AND kept IS NOT NULL")
                    .drop("n"), "kept")
     again = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    write_warc(rows.join(kept, "digest", "left").select(
-        record_id(F.col("page_id"), F.col("digest")).alias("record_id"),
+    write_warc(_numbered(rows).join(kept, "digest", "left").select(
+        record_id(F.col("page_id"), F.col("digest"), F.col("repeat")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("type"), F.col("url").alias("uri"),
         F.when(again, record_id(F.col("kept"), F.col("digest"))).alias("refers_to"), "payload"), path, segment_bytes)
 
@@ -275,7 +290,7 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     found = read_payloads(spark, path).select(
         "record_id", F.col("type").alias("record_type"), "refers_to",
         F.length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    found = written(found, "payloads").distinct()
+    found = written(found, "payloads")
     page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS bigint)")
     own = found.where("record_type = 'response'").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
