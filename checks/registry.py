@@ -179,16 +179,11 @@ def _numeric_sql(columns, t):
             exp(-jb / 2) > 0.05 AS is_normal,
             concat_ws(' | ',
               CASE WHEN round((m.total - m.n) / m.total * 100, 2) > 30 THEN
-                concat('High missing rate: ', round((m.total - m.n) / m.total * 100, 2),
-                  '% of values are missing.') END,
-              CASE WHEN abs(round(skew, 4)) > 2 THEN concat('High skewness (',
-                printf('%.2f', round(skew, 4)), '): distribution is heavily skewed. Consider ',
-                'log-transform or robust statistics.') END,
-              CASE WHEN round(o.n / m.n * 100, 2) > 10 THEN concat('Many outliers: ', o.n,
-                ' outliers (', round(o.n / m.n * 100, 2),
-                '% of valid values) detected via IQR method.') END,
-              CASE WHEN m.n < 30 THEN concat('Small sample size (', m.n,
-                ' values): statistical tests may be unreliable.') END) AS warnings
+                concat('missing ', round((m.total - m.n) / m.total * 100, 2), '%') END,
+              CASE WHEN abs(round(skew, 4)) > 2 THEN concat('skewness ', printf('%.2f', round(skew, 4))) END,
+              CASE WHEN round(o.n / m.n * 100, 2) > 10 THEN
+                concat('outliers ', o.n, ' (', round(o.n / m.n * 100, 2), '%)') END,
+              CASE WHEN m.n < 30 THEN concat('values ', m.n) END) AS warnings
           FROM m, j, o)""")
     return " UNION ALL ".join(parts)
 
@@ -224,14 +219,12 @@ def _categorical_sql(columns, t, label="categorical"):
             u AS unique_count, round(u / n * 100, 2) AS cardinality_pct, t.x AS mode,
             t.k AS mode_count, round(t.k / n * 100, 2) AS mode_pct, round(h, 4) AS entropy,
             concat_ws(' | ',
-              CASE WHEN round((total - n) / total * 100, 2) > 30 THEN concat('High missing rate: ',
-                round((total - n) / total * 100, 2), '% of values are missing.') END,
-              CASE WHEN round(u / n * 100, 2) > 90 AND u > 10 THEN concat('Very high cardinality: ',
-                u, ' unique values (', round(u / n * 100, 2), '% of non-null rows). This column ',
-                'may be an ID/free-text field and unsuitable for grouping.') END,
-              CASE WHEN round(t.k / n * 100, 2) > 80 AND u > 1 THEN concat('Dominant value: ''', t.x,
-                ''' accounts for ', round(t.k / n * 100, 2), '% of non-null rows. Low variance ',
-                'may limit analytical usefulness.') END) AS warnings
+              CASE WHEN round((total - n) / total * 100, 2) > 30 THEN
+                concat('missing ', round((total - n) / total * 100, 2), '%') END,
+              CASE WHEN round(u / n * 100, 2) > 90 AND u > 10 THEN
+                concat('distinct ', u, ' (', round(u / n * 100, 2), '%)') END,
+              CASE WHEN round(t.k / n * 100, 2) > 80 AND u > 1 THEN
+                concat('mode ', t.x, ' (', round(t.k / n * 100, 2), '%)') END) AS warnings
           FROM m, e, t)""")
     return " UNION ALL ".join(parts)
 
