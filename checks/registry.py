@@ -1059,37 +1059,73 @@ def template_predictions(spark, sf_dir):
     return found.select("column_name", "action", "template_action")
 
 
+def _profiled(spark, sf_dir):
+    """Profiles of blocks of customers, of the lines of each supplier and of the kinds of events."""
+    return am.training_rows({
+        "customers": (dirty(spark, sf_dir), F.floor(F.col("customer_id") / 20)),
+        "lineitem": (table(spark, sf_dir, "lineitem"), F.col("l_suppkey")),
+        "events": (table(spark, sf_dir, "events"), F.col("event_type"))})
+
+
 def _training(spark, sf_dir):
-    return am.training_rows(spark, table(spark, sf_dir, "orders").select("o_orderkey"))
+    return stage(am.with_splits(_profiled(spark, sf_dir)), "training")
+
+
+_LINEITEM_COLUMNS = tuple(
+    (f"l_{c}", "numeric", "number") for c in (
+        "orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax")) + (
+    ("l_returnflag", "boolean", "string"), ("l_linestatus", None, "string"), ("l_shipdate", "date", "datetime"))
+_EVENT_COLUMNS = (
+    ("event_id", "id", "number"), ("ts", "date", "datetime"), ("user_id", "id", "number"),
+    ("event_type", None, "string"), ("value", "numeric", "number"), ("props", None, "string"))
+_GROUPED = "profiled AS (" + "\nUNION ALL ".join((
+    S.grouped_profile("customers", S.DIRTY_COLUMNS, "dirty", "customer_id // 20"),
+    S.grouped_profile("lineitem", _LINEITEM_COLUMNS, "lineitem", "l_suppkey"),
+    S.grouped_profile("events", _EVENT_COLUMNS, "events", "event_type"))) + ")"
 
 
-_SLOTS = (("no_change", 0, 2), ("impute_mean", 2, 4), ("impute_median", 4, 6),
-          ("convert_and_flag", 6, 8), ("parse_and_flag", 8, 10), ("normalize_and_flag", 10, 12),
-          ("flag_outliers", 12, 14), ("fill_mode", 14, 16), ("fill_unknown", 16, 18),
-          ("impute_median", 18, 20), ("no_change", 20, 21), ("flag_outliers", 21, 22))
+@query(S.with_dirty(f", {_GROUPED} SELECT *, {S.rule()} AS recommended_action FROM profiled"))
+def training_profiles(spark, sf_dir):
+    return _profiled(spark, sf_dir).drop("key")
 
 
-@query("SELECT value, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM ("
-       "SELECT CASE " + " ".join(
-           f"WHEN o_orderkey % 22 >= {a} AND o_orderkey % 22 < {b} THEN '{label}'"
-           for label, a, b in _SLOTS) + " END AS value FROM orders) GROUP BY value")
+@query(S.with_dirty(
+    f", {_GROUPED} SELECT value, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 4) AS share "
+    f"FROM (SELECT {S.rule()} AS value FROM profiled) GROUP BY value"))
 def training_distribution(spark, sf_dir):
-    return am.distribution(_training(spark, sf_dir), am.LABEL)
+    return am.distribution(_profiled(spark, sf_dir), am.LABEL)
 
 
 @query()
 def action_model_eval(spark, sf_dir):
-    rows = stage(am.with_splits(_training(spark, sf_dir)), "training")
+    rows = _training(spark, sf_dir)
     return am.evaluate(am.train_action_model(rows.where(~F.col("is_test"))), rows)
 
 
 @query()
 def action_model_report(spark, sf_dir):
-    rows = stage(am.with_splits(_training(spark, sf_dir)), "training")
+    rows = _training(spark, sf_dir)
     model = am.train_action_model(rows.where(~F.col("is_test")))
     return am.class_report(am.score_rows(model, rows.where("is_test")))
 
 
+@query()
+def action_model_confusion(spark, sf_dir):
+    rows = _training(spark, sf_dir)
+    model = am.train_action_model(rows.where(~F.col("is_test")))
+    return am.confusion(am.score_rows(model, rows), "is_test")
+
+
+@query()
+def action_model_folds(spark, sf_dir):
+    return am.cross_validate(_training(spark, sf_dir))
+
+
+@query()
+def action_model_curve(spark, sf_dir):
+    return am.learning_curve(_training(spark, sf_dir))
+
+
 @query()
 def action_predict(spark, sf_dir):
     model = am.train_action_model(_training(spark, sf_dir))

@@ -212,6 +212,40 @@ def profile(columns, t):
     return "\nUNION ALL ".join(parts)
 
 
+def grouped_profile(name, columns, t, group):
+    """Profile of every group of ``t`` and column; quartiles are cells of the group."""
+    parts = []
+    for c, kind, storage in columns:
+        numeric = kind in ("numeric", "age", "score", "credit_score", "salary")
+        value = "CAST(NULL AS DOUBLE)"
+        if numeric:
+            value = f2(c) if storage == "string" else f"CAST({c} AS DOUBLE)"
+        low, zero, odd = f"lower({strip(c)})", "0", "0"
+        if numeric:
+            odd = "count(raw) - count(x)"
+        elif kind == "boolean":
+            odd = "count(raw) FILTER (fail)"
+        fail = {"boolean": f"{low} NOT IN {TRUE} AND {low} NOT IN {FALSE}",
+                "email": f"NOT regexp_matches({low}, '{EMAIL}')",
+                "date": f"{day(c)} IS NULL" if storage == "string" else "false"}.get(kind, "false")
+        label = f"'{kind}'" if kind else content_type(c, t)
+        parts.append(f"""SELECT * FROM (WITH v AS (
+            SELECT CAST({group} AS VARCHAR) AS g, {c} AS raw, {value} AS x, {fail} AS fail FROM {t}),
+          m AS (SELECT g, count(*) AS total, count(raw) AS filled, count(DISTINCT raw) AS uniq, count(x) AS n,
+            {odd} AS odd, count(raw) FILTER (fail) AS bad, skewness(x) AS skew,
+            quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM v GROUP BY g),
+          o AS (SELECT v.g, count(*) FILTER (n >= 4 AND q3 > q1 AND (x < q1 - 1.5 * (q3 - q1)
+            OR x > q3 + 1.5 * (q3 - q1))) AS outliers FROM v JOIN m ON v.g IS NOT DISTINCT FROM m.g GROUP BY v.g)
+          SELECT '{name}' AS table_name, m.g AS group_key, '{c}' AS column_name, {label} AS col_type,
+            total AS total_rows, total - filled AS missing_count, round((total - filled) / total, 4) AS missing_rate,
+            uniq AS unique_count, round(uniq / total, 4) AS unique_ratio, CAST(odd AS BIGINT) AS invalid_numeric_count,
+            outliers AS outlier_count_iqr, CAST({"bad" if kind == "date" else "0"} AS BIGINT) AS invalid_date_count,
+            CAST({"bad" if kind == "email" else "0"} AS BIGINT) AS invalid_email_count,
+            CASE WHEN n >= 3 AND isfinite(skew) THEN round(skew, 4) ELSE 0.0 END AS skewness
+          FROM m JOIN o ON m.g IS NOT DISTINCT FROM o.g)""")
+    return "\nUNION ALL ".join(parts)
+
+
 def rule(prefix=""):
     p = prefix
     return f"""CASE

@@ -6,6 +6,7 @@ from .operators.compare import (
     positioned, problem_cells, raw_snapshot, report_tables, review_rows,
 )
 from .operators.explain import explain, insight_details
+from .operators.groups import profile_groups
 from .operators.insights import detect_insights
 from .operators.profiling import profile, semantic_types, top_values
 from .operators.stats import (

@@ -1,125 +1,41 @@
-"""The learned action chooser: training rows, decision tree, evaluation.
+"""The learned action chooser: training rows from grouped profiles, decision tree, evaluation.
 
-Random draws are digests of a row key and the drawn field, so the training table
-does not depend on partitioning and can be derived from any key column.
+Splits follow digests of the key of a profile, so they do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.groups import profile_groups
+from .rules import rule_action
+
 LABEL = "recommended_action"
 FEATURES = (
     "col_type_encoded", "missing_rate", "unique_ratio", "invalid_numeric_count",
     "outlier_count_iqr", "invalid_date_count", "invalid_email_count", "skewness",
 )
-ROWS_PER_CLASS = 4000
-NOISE = 0.01
-
-# How each block of training rows is drawn. Ranges are [low, high);
-# whole-number ranges give integers; ``skewness`` may have two ranges, one drawn
-# at random. ``share`` is the number of rows in units of half a class.
-NUMERIC = ("numeric", "age", "score", "salary")
+# Types that the model tells apart; every other type counts as text.
 EVERY = ("numeric", "age", "score", "credit_score", "salary", "date", "email", "text", "category")
-BLOCKS = (
-    dict(label="no_change", types=EVERY, share=2, unique_ratio=(0.05, 1.0),
-         skewness=((-0.49, 0.49),)),
-    dict(label="impute_mean", types=("numeric", "score", "salary"), share=2,
-         missing_rate=(0.01, 0.35), unique_ratio=(0.1, 1.0), outlier_count_iqr=(0, 3),
-         skewness=((-0.49, 0.49),)),
-    dict(label="impute_median", types=NUMERIC, share=2, missing_rate=(0.01, 0.40),
-         unique_ratio=(0.05, 1.0), outlier_count_iqr=(0, 8), skewness=((0.5, 5.0), (-5.0, -0.5))),
-    dict(label="convert_and_flag", types=NUMERIC, share=2, missing_rate=(0.0, 0.3),
-         unique_ratio=(0.05, 1.0), invalid_numeric_count=(1, 25), outlier_count_iqr=(0, 10),
-         skewness=((-4.0, 5.0),)),
-    dict(label="parse_and_flag", types=("date",), share=2, missing_rate=(0.0, 0.3),
-         unique_ratio=(0.1, 1.0), invalid_date_count=(1, 30)),
-    dict(label="normalize_and_flag", types=("email",), share=2, missing_rate=(0.0, 0.25),
-         unique_ratio=(0.2, 1.0), invalid_email_count=(1, 20)),
-    dict(label="flag_outliers", types=NUMERIC, share=2, unique_ratio=(0.05, 1.0),
-         outlier_count_iqr=(5, 60), skewness=((0.5, 5.0),)),
-    dict(label="fill_mode", types=("text", "category"), share=2, missing_rate=(0.01, 0.45),
-         unique_ratio=(0.0, 0.29)),
-    dict(label="fill_unknown", types=("text", "category"), share=2, missing_rate=(0.01, 0.45),
-         unique_ratio=(0.30, 1.0)),
-    dict(label="impute_median", types=("credit_score",), share=2, missing_rate=(0.01, 0.30),
-         unique_ratio=(0.3, 1.0), outlier_count_iqr=(0, 5), skewness=((-1.5, 1.5),)),
-    dict(label="no_change", types=("credit_score",), share=1, unique_ratio=(0.3, 1.0),
-         outlier_count_iqr=(0, 3), skewness=((-1.0, 1.0),)),
-    dict(label="flag_outliers", types=("credit_score",), share=1, missing_rate=(0.0, 0.10),
-         unique_ratio=(0.3, 1.0), outlier_count_iqr=(3, 20), skewness=((0.5, 3.0),)),
-)
-SHARES = sum(b["share"] for b in BLOCKS)
-
-
-def _draw(field: str) -> Column:
-    """Uniform number in [0, 1) from the row key and the field name."""
-    digest = F.md5(F.concat_ws("|", F.lit(field), F.col("key").cast("string")))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(16 ** 12)
-
-
-def _gauss(field: str) -> Column:
-    return F.sqrt(-2 * F.ln(1 - _draw(field + "/r"))) * F.cos(2 * 3.141592653589793 * _draw(field + "/a"))
-
-
-def _between(low, high, u: Column) -> Column:
-    return F.lit(float(low)) + u * float(high - low)
 
 
-def _by_block(value) -> Column:
-    """``value(block)`` chosen by the block number of the row."""
-    slot, chain = F.col("slot"), None
-    start = 0
-    for block in BLOCKS:
-        mine = (slot >= start) & (slot < start + block["share"])
-        chain = F.when(mine, value(block)) if chain is None else chain.when(mine, value(block))
-        start += block["share"]
-    return chain
-
-
-def training_rows(spark: SparkSession, keys: DataFrame | None = None) -> DataFrame:
-    """Labelled column profiles, one per key; 44,000 by default."""
-    if keys is None:
-        keys = spark.range(SHARES * ROWS_PER_CLASS // 2).withColumnRenamed("id", "key")
-    rows = keys.select(F.col(keys.columns[0]).alias("key")).withColumn(
-        "slot", F.pmod(F.col("key").cast("bigint"), F.lit(SHARES)))
-
-    def pick(block):
-        types = F.array(*map(F.lit, block["types"]))
-        return F.element_at(types, (F.floor(_draw("type") * len(block["types"])) + 1).cast("int"))
-
-    def number(field):
-        return _by_block(lambda b: _between(*b.get(field, (0.0, 0.0)), _draw(field)))
-
-    def whole(field):
-        return _by_block(
-            lambda b: F.floor(_between(*b[field], _draw(field))) if field in b else F.lit(0)
-        ).cast("int")
-
-    def skew(block):
-        ranges = block.get("skewness", ((0.0, 0.0),))
-        first = _between(*ranges[0], _draw("skewness"))
-        if len(ranges) == 1:
-            return first
-        return F.when(_draw("side") < 0.5, first).otherwise(_between(*ranges[1], _draw("skewness")))
-
-    def noisy(c, field):
-        return F.round(F.round(c, 4) + _gauss(field) * NOISE, 4)
-
-    def share(c):
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+def training_rows(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """Labelled column profiles: one per table, column and group of rows, named by ``key``.
 
+    ``tables`` gives a table and the expression that groups its rows. The label is the action of the
+    rules for the profile, so the tree learns them from the tables that it will see.
+    """
+    parts = [
+        profile_groups(df, group).select(F.lit(name).alias("table_name"), "*")
+        for name, (df, group) in tables.items()]
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.select(
-        "key", _by_block(pick).alias("col_type"),
-        share(noisy(number("missing_rate"), "missing_rate")).alias("missing_rate"),
-        share(noisy(number("unique_ratio"), "unique_ratio")).alias("unique_ratio"),
-        *[whole(f).alias(f) for f in ("invalid_numeric_count", "outlier_count_iqr",
-                                      "invalid_date_count", "invalid_email_count")],
-        noisy(_by_block(skew), "skewness").alias("skewness"),
-        _by_block(lambda b: F.lit(b["label"])).alias(LABEL))
+        F.to_json(F.struct("table_name", "group_key", "column_name")).alias("key"), "*", rule_action().alias(LABEL))
 
 
 def model_type() -> Column:
@@ -193,32 +109,35 @@ def score_rows(model: PipelineModel, rows: DataFrame) -> DataFrame:
         *rows.columns, "predicted")
 
 
-def confusion(scored: DataFrame) -> DataFrame:
-    return scored.groupBy(LABEL, "predicted").agg(F.count("*").alias("rows"))
+def confusion(scored: DataFrame, *by: str) -> DataFrame:
+    """Rows per label and prediction, for each value of the columns ``by``."""
+    return scored.groupBy(*by, LABEL, "predicted").agg(F.count("*").alias("rows"))
 
 
-def class_report(scored: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class."""
-    cells = confusion(scored)
-    per_label = cells.groupBy(F.col(LABEL).alias("label")).agg(
-        F.sum("rows").alias("support"),
-        F.sum(F.when(F.col(LABEL) == F.col("predicted"), F.col("rows")).otherwise(0)).alias("hits"))
-    per_guess = cells.groupBy(F.col("predicted").alias("label")).agg(
-        F.sum("rows").alias("guesses"))
-    both = per_label.join(per_guess, "label", "left").fillna(0, ["guesses"])
+def class_report(scored: DataFrame, *by: str) -> DataFrame:
+    """Precision, recall, F1 and support per class, for each value of the columns ``by``."""
+    cells = confusion(scored, *by)
+    right = F.col(LABEL) == F.col("predicted")
+    sides = cells.select(*by, F.inline(F.array(
+        F.struct(F.col(LABEL).alias("label"), F.col("rows").alias("support"), F.lit(0).alias("guesses"),
+                 F.when(right, F.col("rows")).otherwise(0).alias("hits")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).alias("support"), F.col("rows").alias("guesses"),
+                 F.lit(0).alias("hits")))))
+    found = sides.groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("support", "guesses", "hits")])
     precision = F.coalesce(F.try_divide("hits", "guesses"), F.lit(0.0))
     recall = F.col("hits") / F.col("support")
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return both.select(
-        "label", "support", F.round(precision, 4).alias("precision"),
+    return found.where("support > 0").select(
+        *by, "label", "support", F.round(precision, 4).alias("precision"),
         F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
-def quality(scored: DataFrame) -> tuple[float, float]:
-    """Accuracy and macro F1."""
-    report = class_report(scored)
-    hits = scored.agg(F.avg((F.col(LABEL) == F.col("predicted")).cast("double"))).first()[0]
-    return hits, report.agg(F.avg("f1")).first()[0]
+def quality_by(scored: DataFrame, *by: str) -> DataFrame:
+    """``by..., scored_rows, accuracy, macro_f1``."""
+    report = class_report(scored, *by).groupBy(*by).agg(
+        F.sum("support").alias("scored_rows"), F.sum(F.col("support") * F.col("recall")).alias("hits"), F.avg("f1").alias("f1"))
+    return report.select(*by, "scored_rows", F.round(F.col("hits") / F.col("scored_rows"), 4).alias("accuracy"),
+                         F.round("f1", 4).alias("macro_f1"))
 
 
 def gap_verdict(gap: float) -> str:
@@ -228,36 +147,35 @@ def gap_verdict(gap: float) -> str:
 
 
 def cross_validate(rows: DataFrame, folds: int = 10) -> DataFrame:
-    """``fold, accuracy, macro_f1`` of stratified folds."""
-    out = []
-    for fold in range(folds):
-        model = train_action_model(rows.where(F.col("fold") != fold))
-        accuracy, f1 = quality(score_rows(model, rows.where(F.col("fold") == fold)))
-        out.append((fold, round(accuracy, 4), round(f1, 4)))
-    return rows.sparkSession.createDataFrame(out, "fold int, accuracy double, macro_f1 double")
+    """``fold, scored_rows, accuracy, macro_f1``: every row scored by the tree that has not seen its fold."""
+    scored = [
+        score_rows(train_action_model(rows.where(F.col("fold") != fold)), rows.where(F.col("fold") == fold))
+        for fold in range(folds)]
+    return quality_by(reduce(DataFrame.unionByName, scored), "fold")
 
 
 def learning_curve(rows: DataFrame, steps=tuple(i / 10 for i in range(1, 11))) -> DataFrame:
     """Train and test accuracy for growing shares of the training rows."""
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    out = []
+    scored = []
     for step in steps:
         part = train.where(F.col("place") < 0.20 + 0.80 * step)
         model = train_action_model(part)
-        (a, _), (b, _) = quality(score_rows(model, part)), quality(score_rows(model, test))
-        out.append((step, part.count(), round(a, 4), round(b, 4), round(a - b, 4)))
-    return rows.sparkSession.createDataFrame(
-        out, "share double, train_rows long, train_accuracy double, test_accuracy double, "
-             "gap double")
+        scored += [score_rows(model, side).withColumn("share", F.lit(step)) for side in (part, test)]
+    found = quality_by(reduce(DataFrame.unionByName, scored), "share", "is_test")
+    side = lambda test, c: F.max(F.when(F.col("is_test") == test, F.col(c)))
+    out = found.groupBy("share").agg(
+        side(False, "scored_rows").alias("train_rows"), side(False, "accuracy").alias("train_accuracy"),
+        side(True, "accuracy").alias("test_accuracy"))
+    return out.withColumn("gap", F.round(F.col("train_accuracy") - F.col("test_accuracy"), 4))
 
 
 def evaluate(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """One row: accuracies, macro F1, gap verdict, depth and leaf count."""
-    (a, _), (b, f1) = (
-        quality(score_rows(model, rows.where(c))) for c in (~F.col("is_test"), F.col("is_test")))
+    found = {r["is_test"]: r for r in quality_by(score_rows(model, rows), "is_test").collect()}
+    a, b, f1 = found[False]["accuracy"], found[True]["accuracy"], found[True]["macro_f1"]
     tree = tree_of(model)
-    row = (round(a, 4), round(b, 4), round(f1, 4), round(a - b, 4), gap_verdict(a - b),
-           tree.depth, (tree.numNodes + 1) // 2)
+    row = (a, b, f1, round(a - b, 4), gap_verdict(a - b), tree.depth, (tree.numNodes + 1) // 2)
     return rows.sparkSession.createDataFrame(
         [row], "train_accuracy double, test_accuracy double, macro_f1 double, gap double, "
                "verdict string, depth int, leaves int")
@@ -285,7 +203,7 @@ def model_status(model: PipelineModel | None) -> dict:
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """Row count and share per value of a training column."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
-    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    total = counts.agg(F.sum("rows")).scalar()
     return counts.select("value", "rows", F.round(F.col("rows") / total, 4).alias("share"))
 
 

@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import colwright as cw
-from checks.registry import dirty
+from checks.registry import QUERIES, dirty
 from colwright.functions import exprs as X, fixed
 from colwright.operators import charts, insights
+from colwright.operators.groups import profile_groups
+from colwright.operators.profiling import profile_rows
 from colwright.plans import action_model as am
+from colwright.sources.staging import stage
 from colwright.sources.tables import blanks_to_null
 
 SF = "/root/testdata/sf0.001"
@@ -174,22 +177,55 @@ def test_domains(spark):
     assert advice == {"product price": "impute_median", "order_date": "parse_and_flag"}
 
 
+def test_grouped_profile_matches_the_profile_of_each_group(spark):
+    """Every group against the profile of its rows alone, under the types of the whole table."""
+    rows = [(g, float(i * i % 17) if i % 5 else float("nan"), "x" if i == 3 else (None if i % 7 == 0 else str(i % 4)),
+             ["a@b.com", "bad@@", None][i % 3], ["2024-01-0%d" % (i % 8 + 1), "never", None][i % 3], i)
+            for g in ("a", "b", None) for i in range(24)] + [("a", 900.0, "7", None, None, 99)]
+    df = spark.createDataFrame(rows, "g string, amount double, age string, email string, joined_date string, k int")
+    types = {"amount": "numeric", "age": "age", "email": "email", "joined_date": "date", "k": "numeric"}
+    found = {(r["group_key"], r["column_name"]): r for r in profile_groups(df, F.col("g"), types).collect()}
+    assert len(found) == 3 * len(types)
+    for g in ("a", "b", None):
+        part = df.where(F.col("g").eqNullSafe(F.lit(g)))
+        for one in profile_rows(part, list(types)):
+            many = found[g, one["column_name"]]
+            for field in ("total_rows", "missing_count", "missing_rate", "unique_count", "unique_ratio", "invalid_numeric_count",
+                          "invalid_date_count", "invalid_email_count", "skewness"):
+                assert many[field] == pytest.approx(one[field]), (g, one["column_name"], field)
+    assert found["a", "amount"]["outlier_count_iqr"] == 1
+    assert profile_groups(df.limit(0), F.col("g"), types).count() == 0
+
+
 def test_action_model(spark, tmp_path):
-    rows = am.with_splits(am.training_rows(spark, spark.range(8800))).cache()
-    assert rows.count() == 8800
+    rows = QUERIES["training_profiles"](spark, SF).withColumn(
+        "key", F.concat_ws("|", "table_name", "group_key", "column_name"))
+    rows = stage(am.with_splits(rows, 3))
+    total = rows.count()
     share = rows.agg(F.avg(F.col("is_test").cast("int"))).first()[0]
-    assert share == pytest.approx(0.2, abs=0.005)
+    assert share == pytest.approx(0.2, abs=0.05)
     model = am.train_action_model(rows.where(~F.col("is_test")))
-    report = am.evaluate(model, rows).first()
-    assert report["macro_f1"] > 0.9 and report["verdict"] in ("GOOD", "OK")
+    assert am.evaluate(model, rows).first()["train_accuracy"] > 0.95
+    folds = am.cross_validate(rows, 3).collect()
+    assert sum(r["scored_rows"] for r in folds) == total and all(r["accuracy"] > 0.8 for r in folds)
+    curve = {r["share"]: r for r in am.learning_curve(rows, (0.5, 1.0)).collect()}
+    assert curve[0.5]["train_rows"] < curve[1.0]["train_rows"]
     cw.save_model(model, str(tmp_path / "model"))
     again = cw.load_model(str(tmp_path / "model"))
-    assert am.model_status(again)["action_classes"] == sorted({b["label"] for b in am.BLOCKS})
     decided = cw.decide(cw.profile(dirty(spark, SF)), again).collect()
     assert {r["method"] for r in decided} <= {"ml", "fallback_low_confidence"}
     assert all(r["action"] in fixed.ACTIONS for r in decided)
 
 
+def test_class_report_counts_by_hand(spark):
+    pairs = [(0, "a", "a"), (0, "a", "b"), (0, "b", "b"), (0, "c", "a"), (1, "a", "a"), (1, "b", "a")]
+    scored = spark.createDataFrame(pairs, f"fold int, {am.LABEL} string, predicted string")
+    report = {(r["fold"], r["label"]): tuple(r[2:]) for r in am.class_report(scored, "fold").collect()}
+    assert report == {(0, "a"): (2, 0.5, 0.5, 0.5), (0, "b"): (1, 0.5, 1.0, 0.6667), (0, "c"): (1, 0.0, 0.0, 0.0),
+                      (1, "a"): (1, 0.5, 1.0, 0.6667), (1, "b"): (1, 0.0, 0.0, 0.0)}
+    assert {r["fold"]: r["accuracy"] for r in am.quality_by(scored, "fold").collect()} == {0: 0.5, 1: 0.5}
+
+
 def test_correlation_matrix_is_symmetric(spark):
     df = spark.createDataFrame([(float(i), float(i * i), 1.0, None if i % 2 else float(-i))
                                 for i in range(50)], "a double, b double, c double, d double")
