@@ -393,18 +393,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without those near duplicates that have a
-    smaller doc_id in their group; rows that repeat a kept doc_id are reduced to one, the text that
-    sorts first. Rows with a null doc_id stay as they are."""
-    found = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
-    gone = written(found.distinct(), "gone")
-    again = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = (kept.join(again, "doc_id", "left_semi").groupBy("doc_id")
-             .agg(F.min(F.struct("text", *rest)).alias("first")).select("doc_id", "first.*"))
-    return once.select(*names).unionByName(first.select(*names))
+    smaller doc_id in their group.
+
+    Rows are told apart by doc_id and text: different texts under one doc_id stay unless they have near
+    duplicates themselves, and of rows that repeat both, one stays. A text without words and a row with
+    a null doc_id are near duplicates of nothing; an empty table stays empty.
+    """
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    # Own names, since docs may have columns of any name.
+    row, ids = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), repeated.withColumnRenamed("doc_id", "shared")
+    rows = docs.select(row.alias("row")).join(ids, F.col("row.doc_id") == F.col("shared"), "left").select(
+        "row", F.col("shared").isNotNull().alias("again"),
+        F.when(F.col("shared").isNull(), F.col("row.doc_id").cast("bigint")).otherwise(F.xxhash64("row.doc_id", "row.text")).alias("own"))
+    found = near_duplicates(rows.select(F.col("own").alias("doc_id"), F.col("row.text").alias("text")), k, percent)
+    moved = written(found.where("doc_id <> component_id").select("doc_id", "component_id").distinct(), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    named = members.join(rows.select(F.col("own").alias("doc_id"), F.col("row.doc_id").alias("id")).distinct(), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("first"))
+    gone = written(named.join(first, "component_id").where("doc_id <> first.doc_id").select(F.col("doc_id").alias("own")), "gone")
+    kept = rows.join(gone, "own", "left_anti")
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    single = kept.where("again").groupBy("own").agg(F.min_by("row", least).alias("row"))
+    return kept.where("NOT again").select("row.*").unionByName(single.select("row.*"))
 
 
 def _groups(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ from .pivots import cluster_digests, cluster_vectors
 from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .token_counts import count_tokens
-from .url_filters import RULES, filter_urls
+from .url_filters import ENTITIES, HREF, RULES, filter_urls
 from .warc import round_trip
 
 QUERIES: dict = {}
@@ -139,17 +139,36 @@ def _op6_sql() -> str:
         f"SELECT * FROM (VALUES ('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}'))" for r, v in RULES)
     tags = {"CANON": r"""<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>""",
             "REFRESH": r"""<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>"""}
+    quoted = HREF[5:].replace("'", "''")
+    href = " || ".join(f"regexp_extract(t, '{quoted}', {i}, 'is')" for i in (1, 2, 3))
+    decoded = "dst"
+    for mark, reference in ENTITIES:
+        mark = mark.replace("'", "''")
+        decoded = f"regexp_replace({decoded}, '{reference[4:]}', '{mark}', 'gi')"
     return f"""
 WITH RECURSIVE rules(rule, rhost, rpath, rverdict) AS ({fits}),
 p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) AS host,
              regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, {key.format('url')} AS key FROM p),
-link AS (SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '{tags["CANON"]}', 0, 'is'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '{tags["REFRESH"]}', 0, 'is'), '\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1, 'is')]) AS dst
+raw AS (SELECT url, unnest(list_transform(regexp_extract_all(html, '{tags["CANON"]}', 0, 'is'),
+      lambda t: {href}) || list_transform(regexp_extract_all(html, '{tags["REFRESH"]}', 0, 'is'),
+      lambda t: regexp_extract(t, '\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1, 'is'))) AS dst
   FROM p WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
-target AS (SELECT {key.format('url')} AS a, CASE WHEN starts_with(dst, '/') THEN
-             {key.format("url")} ELSE {key.format('dst')} END AS b FROM link WHERE dst <> ''),
+link AS (SELECT url, trim({decoded}) AS dst, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS site,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM raw),
+whole AS (SELECT url, CASE WHEN dst = '' OR dst[1] = '#' THEN NULL
+    WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst
+    WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(dst, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || dst
+    WHEN dst[1] = '/' THEN site || dst WHEN dst[1] = '?' THEN site || path || dst
+    ELSE site || '/' || regexp_extract(path, '^/(.*/)', 1, 's') || dst END AS dst FROM link),
+target AS (SELECT {key.format("url")} AS a, {key.format("dst")} AS b FROM (
+    SELECT url, regexp_extract(dst, '^(.*?://[^/?#]*)', 1, 's') || array_to_string(list_reduce(list_transform(
+      string_split(path, '/') || CASE WHEN regexp_matches(path, '/\\.\\.?$') THEN [''] ELSE []::VARCHAR[] END, lambda x: [x]),
+      lambda done, x: CASE x[1] WHEN '.' THEN done WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE done || x END), '/')
+      || regexp_extract(dst, '^.*?://[^?#]*(.*)$', 1, 's') AS dst
+    FROM (SELECT *, regexp_extract(dst, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM whole WHERE dst LIKE '%://%'))
+  WHERE contains(url, '://')),
 edge AS (SELECT a, b FROM target UNION SELECT b, a FROM target),
 node AS (SELECT key FROM h UNION SELECT a FROM edge),
 judged AS (SELECT key, arg_max(rverdict, length(rule)) AS verdict FROM node JOIN rules ON

@@ -20,6 +20,9 @@ CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)"""
+# Marks and the character references of them that urls hold; the ampersand last.
+ENTITIES = (("'", "(?i)&(?:#39|#x27|apos);"), ('"', "(?i)&(?:#34|#x22|quot);"), ("/", "(?i)&(?:#47|#x2f|sol);"),
+            ("=", "(?i)&(?:#61|#x3d|equals);"), ("&", "(?i)&(?:#38|#x26|amp);"))
 
 
 def host_of(url: Column) -> Column:
@@ -53,27 +56,52 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its segments ``.`` and ``..`` carried out."""
+    steps = F.split(path, "/")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, step: (
+        F.when(step == ".", done).when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(step)))))
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.array_join(closed, "/")
+
+
 def _resolved(base: Column, link: Column) -> Column:
-    """A link as an absolute url, seen from the url that holds it."""
-    link = F.trim(link)
+    """A link as an absolute url, seen from the url that holds it; null for an empty link, a fragment or
+    a scheme without ``//``."""
     site = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, "(?s)^(.*?:)//", 1)
     folder = F.regexp_extract(base, "(?s)^.*?://[^/?#]*([^?#]*/)?", 1)
-    return (F.when((link == "") | link.startswith("#"), None)
-            .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, link))
-            .when(link.startswith("/"), F.concat(site, link))
-            .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link)))
+    url = (F.when((link == "") | link.startswith("#"), None)
+           .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+           .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+           .when(link.startswith("//"), F.concat(scheme, link))
+           .when(link.startswith("/"), F.concat(site, link))
+           .when(link.startswith("?"), F.concat(site, path_of(base), link))
+           .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link)))
+    head = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, "(?s)^.*?://[^?#]*(.*)$", 1)
+    return F.concat(head, _without_dots(path_of(url)), tail)
+
+
+def _link_text(link: Column) -> Column:
+    """An attribute's value: character references decoded, blanks around it dropped."""
+    for mark, reference in ENTITIES:
+        link = F.regexp_replace(link, reference, mark)
+    return F.trim(link)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): keys of urls and of the canonical links and refresh targets in their html."""
+    """(src, dst): keys of urls and of all canonical links and refresh targets in their html."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
     tagged = pages.where(html.rlike(r"(?i)<link\b|<meta\b[^>]*refresh")).select(
-        url, F.regexp_extract(html, CANONICAL, 0).alias("link"), F.regexp_extract(html, REFRESH, 0).alias("meta"))
-    href = F.concat(*[F.regexp_extract("link", HREF, i) for i in (1, 2, 3)])
-    targets = tagged.select("url", F.explode(F.array(href, F.regexp_extract("meta", REFRESH_URL, 1))).alias("to"))
-    return targets.select(key_of(url).alias("src"), key_of(_resolved(url, F.col("to"))).alias("dst")).dropna()
+        url, F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)).alias("links"),
+        F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)).alias("metas"))
+    targets = tagged.select("url", F.explode(F.concat(
+        F.transform("links", lambda tag: F.concat(*[F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)])),
+        F.transform("metas", lambda tag: F.regexp_extract(tag, REFRESH_URL, 1)))).alias("to"))
+    absolute = _resolved(url, _link_text(F.col("to")))
+    return targets.select(key_of(url).alias("src"), key_of(absolute).alias("dst")).dropna()
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, default: str = "allow") -> DataFrame:
