@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
-Every window of a document that is as long as some benchmark item may hold that item. A window's
-64-bit SimHash is looked up in a multi-index of the items' fingerprints: eight blocks of eight bits,
-each listing items whose block differs in at most two bits. Two fingerprints within RADIUS = 23 bits
-differ in at most two bits in one of eight blocks, so none within the radius is missed. Candidates
-are verified by the exact weighted Jaccard similarity of their five-word shingles.
+Every window of a document that is as long as some benchmark item may hold that item. A shingle votes
+on a window's 64-bit SimHash with the root of its weight, so the angle between two windows is that of
+their weighted shingle bags: at a similarity of 0.8 about 10 bits differ, in RADIUS = 17 lie 99 %. Six
+blocks of 11 or 10 bits list the items whose block differs in at most two bits; two fingerprints within
+the radius differ in at most two bits in one of six blocks, so none is missed. Only listed pairs of a
+window and an item are compared, and those within the radius verified by the exact weighted Jaccard
+similarity of their five-word shingles.
 
 Shingles weigh 1 / (number of distinct item texts that hold them), all others 1. A window of n
 shingles can only reach similarity t if t n of them occur in some item, since each shingle outside
@@ -22,12 +24,16 @@ from pyspark.sql import DataFrame, functions as F
 from .words import chunks, mix, shingles
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
-RADIUS = 23
+RADIUS = 17
 ITEMS_PER_BLOCK = 20_000  # items that a task is sent at once; larger benchmarks take several scans
 FILTER_BITS = 22
 _BITS = np.arange(64, dtype=np.uint64)
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_NEAR = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= RADIUS // 8
+_WIDTHS = (11, 11, 11, 11, 10, 10)  # bits of the blocks
+_SHIFTS = np.cumsum((0,) + _WIDTHS[:-1]).astype(np.uint64)
+_MASKS = np.array([(1 << w) - 1 for w in _WIDTHS], np.uint64)
+_FLIPS = [np.array([x for x in range(1 << w) if x.bit_count() <= RADIUS // len(_WIDTHS)]) for w in _WIDTHS]
+UNIT = 1024  # the vote of a shingle of weight 1
+STRETCH, PAIRS = 4096, 1 << 20  # words whose windows, and listed pairs that, are worked on at once
 
 
 class Group(NamedTuple):
@@ -36,39 +42,63 @@ class Group(NamedTuple):
     size: int
     items: list[int]
     prints: np.ndarray
-    listed: np.ndarray  # [block, block value, item]: the multi-index
+    keys: np.ndarray  # the multi-index: block values near to some item's, ascending,
+    listed: np.ndarray  # and the items that they belong to
 
 
 class Index(NamedTuple):
     ids: list
     known: np.ndarray  # all items' shingles, ascending
     weights: np.ndarray
+    votes: np.ndarray
     maybe: np.ndarray  # bit table over the shingles
     bags: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]  # shingles, counts, weights, total
     groups: list[Group]
 
 
-def fingerprints(run: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows run[s:s+size]: a bit is set if most of the shingles have it set."""
+def fingerprints(run: np.ndarray, starts: np.ndarray, size: int, votes: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of the windows run[s:s+size]: a bit is set if most of the shingles' votes have it set."""
     lo, hi = int(starts.min()), int(starts.max()) + size
-    votes = np.zeros((hi - lo + 1, 64), np.int32)
-    np.cumsum(((mix(run[lo:hi], 9)[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1, axis=0, out=votes[1:])
-    win = votes[starts - lo + size] - votes[starts - lo]
+    sides = ((mix(run[lo:hi], 9)[:, None] >> _BITS) & np.uint64(1)).astype(np.int64) * 2 - 1
+    sums = np.zeros((hi - lo + 1, 64), np.int64)
+    np.cumsum(sides if votes is None else sides * votes[lo:hi, None], axis=0, out=sums[1:])
+    win = sums[starts - lo + size] - sums[starts - lo]
     return np.bitwise_or.reduce((win > 0).astype(np.uint64) << _BITS, axis=1)
 
 
 def _blocks(prints: np.ndarray) -> np.ndarray:
-    return ((prints[:, None] >> (np.arange(8, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)).astype(np.int64)
+    """[print, block]: the block's value, with its number above."""
+    return ((prints[:, None] >> _SHIFTS) & _MASKS).astype(np.int64) + (np.arange(len(_WIDTHS)) << max(_WIDTHS))
 
 
-def within(group: Group, prints: np.ndarray) -> list[tuple[int, int]]:
-    """(print, item of the group) for all fingerprints within the radius."""
+def _listed(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block value within the distance of an item's block, ascending, and the item's place."""
     at = _blocks(prints)
-    listed = np.zeros((len(prints), len(group.items)), bool)
-    for k in range(8):
-        listed |= group.listed[k][at[:, k]]
-    near = np.bitwise_count(prints[:, None] ^ group.prints[None, :]) <= RADIUS
-    return [tuple(map(int, x)) for x in np.argwhere(listed & near)]
+    keys = np.concatenate([(at[:, k, None] ^ flips).ravel() for k, flips in enumerate(_FLIPS)])
+    places = np.concatenate([np.repeat(np.arange(len(prints), dtype=np.int32), len(flips)) for flips in _FLIPS])
+    order = np.argsort(keys, kind="stable")
+    return keys[order].astype(np.int32), places[order]
+
+
+def within(group: Group, prints: np.ndarray) -> list[tuple[int, int]]:
+    """(print, item of the group) for all fingerprints within the radius; only listed pairs are compared."""
+    at = _blocks(prints).ravel().astype(np.int32)
+    first = np.searchsorted(group.keys, at, "left")
+    count = np.searchsorted(group.keys, at, "right") - first
+    ends = np.cumsum(count.reshape(len(prints), -1).sum(axis=1))
+    found, start = [], 0
+    while start < len(prints):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        cells = slice(start * len(_WIDTHS), stop * len(_WIDTHS))
+        n = count[cells]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        items = group.listed[np.repeat(first[cells], n) + inside]
+        windows = start + np.repeat(np.arange(len(n)) // len(_WIDTHS), n)
+        near = np.bitwise_count(prints[windows] ^ group.prints[items]) <= RADIUS
+        found.append(np.unique(windows[near] * len(group.items) + items[near]))
+        start = stop
+    return [divmod(int(x), len(group.items)) for part in found for x in part]
 
 
 def build_index(items: list[tuple[object, np.ndarray]], frequency: dict[int, int]) -> Index:
@@ -76,6 +106,7 @@ def build_index(items: list[tuple[object, np.ndarray]], frequency: dict[int, int
     items = [(i, s) for i, s in items if len(s)]
     known = np.unique(np.concatenate([s for _, s in items])) if items else np.zeros(0, np.uint64)
     weights = np.array([1.0 / frequency.get(int(k), 1) for k in known])
+    votes = np.rint(np.sqrt(weights) * UNIT).astype(np.int64)
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[(known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     bags, sizes = [], {}
@@ -86,9 +117,10 @@ def build_index(items: list[tuple[object, np.ndarray]], frequency: dict[int, int
         sizes.setdefault(len(s), []).append(place)
     groups = []
     for size, places in sorted(sizes.items()):
-        prints = np.concatenate([fingerprints(items[p][1], np.zeros(1, np.int64), size) for p in places])
-        groups.append(Group(size, places, prints, _NEAR[:, _blocks(prints)].transpose(2, 0, 1)))
-    return Index([i for i, _ in items], known, weights, maybe, bags, groups)
+        prints = np.concatenate([
+            fingerprints(items[p][1], np.zeros(1, np.int64), size, votes[np.searchsorted(known, items[p][1])]) for p in places])
+        groups.append(Group(size, places, prints, *_listed(prints)))
+    return Index([i for i, _ in items], known, weights, votes, maybe, bags, groups)
 
 
 def similarity(index: Index, item: int, window: np.ndarray) -> float:
@@ -107,14 +139,16 @@ def matches(index: Index, run: np.ndarray, hit: np.ndarray, percent: int = PERCE
     shingles in order, hit: whether some item holds the shingle."""
     n, total = len(run), np.concatenate([[0], np.cumsum(hit)])
     best: dict[int, tuple[float, int]] = {}
+    votes = np.full(n, UNIT, np.int32)
+    votes[hit] = index.votes[np.searchsorted(index.known, run[hit])]
     for group in index.groups:
         size = min(group.size, n)
         starts = np.flatnonzero(100 * (total[size:] - total[:-size]) >= percent * size)
         if not len(starts):
             continue
-        for block in range(0, len(starts), 4096):
-            part = starts[block:block + 4096]
-            for p, i in within(group, fingerprints(run, part, size)):
+        # A stretch of the text at a time: windows that lie far apart share no sums.
+        for part in np.split(starts, np.flatnonzero(np.diff(starts // STRETCH)) + 1):
+            for p, i in within(group, fingerprints(run, part, size, votes)):
                 item, start = group.items[i], int(part[p])
                 value = similarity(index, item, run[start:start + size])
                 if 100 * value >= percent - 1e-9 and value > best.get(item, (0.0, 0))[0]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -321,6 +322,71 @@ def test_hamming_index_finds_all_within_radius():
         assert ((0, 40) in want) == (flips <= decontaminate.RADIUS)
 
 
+def test_contamination_against_all_windows(spark):
+    """Recall against every window and item: edits spread or in one place, boilerplate that items share,
+    and an item's passage followed by the boilerplate of another one."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    frames = [words(40) for _ in range(4)]
+    items = [words(rng.choice((30, 60, 61))) + frames[i % 4][:rng.choice((20, 40))] for i in range(40)]
+    texts = []
+    for i in range(240):
+        text = list(rng.choice(items))
+        if i % 3 == 0:  # boilerplate of another item behind the unique passage
+            text = text[:-20] + rng.choice(frames)[-20:]
+        for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            text[rng.randrange(len(text))] = "edited"
+        texts.append(words(rng.randrange(30)) + text + words(rng.randrange(30)))
+    bags = [[tuple(t[i:i + 5]) for i in range(len(t) - 4)] for t in items]
+    held = Counter(s for b in bags for s in set(b))
+    weigh = lambda c: sum(n / held.get(s, 1) for s, n in c.items())
+    want = {}
+    for d, text in enumerate(texts):
+        run = [tuple(text[i:i + 5]) for i in range(len(text) - 4)]
+        for i, bag in enumerate(bags):
+            for at in range(max(1, len(run) - len(bag) + 1)):
+                a, b = Counter(run[at:at + len(bag)]), Counter(bag)
+                if a.keys() & b.keys():
+                    value = weigh(a & b) / weigh(a | b)
+                    if value >= 0.8 and value > want.get((d, i), (0, 0))[0] + 1e-12:
+                        want[d, i] = (value, at)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], "doc_id bigint, text string, item_id string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found.keys() <= want.keys() and len(found) >= 0.97 * len(want) and len(want) > 100
+    near = [k for k, (value, _) in want.items() if value < 0.9]
+    assert len(near) >= 20 and sum(k in found for k in near) >= 0.9 * len(near)
+    assert sum(abs(found[k] - want[k][0]) < 1e-9 for k in found) >= 0.97 * len(found)
+
+
+def test_index_compares_few_pairs():
+    import numpy as np
+    rng = np.random.default_rng(7)
+    prints = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    group = decontaminate.Group(9, list(range(3000)), prints, *decontaminate._listed(prints))
+    others = np.concatenate([prints[:50] ^ np.uint64(0b1011 << 30), rng.integers(0, 2**64, 400, dtype=np.uint64)])
+    near = np.bitwise_count(others[:, None] ^ prints[None, :]) <= decontaminate.RADIUS
+    assert decontaminate.within(group, others) == [tuple(map(int, x)) for x in np.argwhere(near)]
+    at = decontaminate._blocks(others).ravel()
+    listed = np.searchsorted(group.keys, at, "right") - np.searchsorted(group.keys, at, "left")
+    assert listed.sum() < 0.25 * len(others) * len(prints)
+
+
+def test_item_at_both_ends_of_a_long_text():
+    """The sums of a stretch, not of the whole text, are held."""
+    import numpy as np
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    item = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    run = np.concatenate([item, rng.integers(0, 2**63, 2_000_000, dtype=np.uint64), item])
+    index = decontaminate.build_index([(1, item)], {})
+    hit = decontaminate._hits(index, run)
+    tracemalloc.start()
+    assert decontaminate.matches(index, run, hit) == [(0, 1.0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+
+
 # -- op9 -------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
