@@ -1,15 +1,19 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets with Jaccard similarity of at least t, of sizes n <= m, share a token among the first
-n - ceil(t n) + 1 tokens of each set, whatever total order sorts the tokens. So a pair that shares
-no prefix token under any one of the orders is no link. The first order puts frequent tokens last
-and makes the candidates by one shuffle of the prefixes; the others (plain mixed digests) test them
-before sets are intersected in full: one by longer prefixes, of which linked sets must share many and
-which travel in place of the sets, the last one where two whole sets meet.
+n - ceil(t n) + 1 tokens of each set, whatever total order sorts the tokens; of prefixes longer by e tokens
+they share e + 1. So a pair that shares too few prefix tokens under any one of the orders is no link.
+The first order puts frequent tokens last and makes the candidates by one shuffle of the prefixes; a
+set that shares fewer of its tokens with all others together than a link takes has no link and leaves.
+The other orders (plain mixed digests) test candidates before sets are intersected in full: one by
+longer prefixes in 32-bit digests, which travel in place of the sets, the last one where two whole
+sets meet.
 
 No group is written out as pairs. Texts with equal sets are one class. The list of a prefix token is
-named by its least set, its hub; lists with one hub are joined and cut into groups of neighbouring
-size bands, so two sets that share a prefix token and can link by their sizes share a group. A first
+named by its least set, its hub, and lists with one hub are joined. A set needs its hubs, in one order
+of all hubs, only as long as those from there on hold as many of its tokens as a link shares: the first
+hub that two linked sets have in common is among them for both. The sets of a hub are cut into groups of
+neighbouring size bands, so two sets that can link share a group. A first
 turn compares every set with the centres of its groups, and the links found merge classes into
 components. A second turn compares, in groups that still span several
 components, only sets of different components: the group is cut into blocks of bounded size, each
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import small_batches, written
 from .graph import components
@@ -42,6 +46,17 @@ def _prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _extra(n, percent: int):
+    """Tokens by which the prefixes of the first order are longer than those that share one token."""
+    return percent * n // 2000
+
+
+def _least_shared(n: str, percent: int):
+    """Prefix tokens that a set of size n shares with each set that it links with: one more than the
+    extra tokens of the smallest set that may link."""
+    return F.expr(f"1 + {percent}L * (({percent}L * {n} + 99) div 100) div 2000")
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct digests, bounds) chunk by chunk."""
     for chunk in chunks(batch.column("text")):
@@ -128,7 +143,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataF
                     seen.add(mark)
                     a, b = bounds[i], bounds[i + 1]
                     n = int(b - a)
-                    p = _prefix_size(n, percent)
+                    p = _prefix_size(n, percent) + _extra(n, percent)
                     part = values[a:b] if p >= n else values[a:b][np.argpartition(key[a:b], p - 1)[:p]]
                     out.append(part)
                     owner.append(known[i])
@@ -143,7 +158,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataF
 
 
 def _lists(prefixes: DataFrame) -> DataFrame:
-    """Tokens with several sets: (hub, doc_id, n), hub being the list's least set.
+    """Tokens with several sets: (hub, doc_id, n, tokens), hub being the list's least set; to be summed.
     A stream over sorted rows: only the current list's hub is held between batches."""
 
     def run(batches):
@@ -163,11 +178,12 @@ def _lists(prefixes: DataFrame) -> DataFrame:
                 keep[0] = False
             last = (token[hub[-1]], doc[hub[-1]], n[hub[-1]], bool(length[-1] > 1))
             if keep.any():
-                rows = np.unique(np.stack([doc[hub[keep]], doc[keep], n[keep]]), axis=1)
-                yield _batch({"hub": rows[0], "doc_id": rows[1], "n": rows[2].astype(np.int32)})
+                rows, tokens = np.unique(np.stack([doc[hub[keep]], doc[keep], n[keep]]), axis=1, return_counts=True)
+                yield _batch({"hub": rows[0], "doc_id": rows[1], "n": rows[2].astype(np.int32), "tokens": tokens})
 
     by_token = prefixes.repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return by_token.mapInArrow(run, "hub bigint, doc_id bigint, n int")
+    return by_token.mapInArrow(run, "hub bigint, doc_id bigint, n int, tokens bigint").groupBy("hub", "doc_id", "n").agg(
+        F.sum("tokens").alias("tokens"))
 
 
 def _id_bits(ids: DataFrame) -> np.ndarray:
@@ -188,7 +204,7 @@ def _light_size(n, percent: int):
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int, light: int = 0) -> DataFrame:
     """(doc_id, items): the sets of the documents named by ids, as packed ascending digests; with
-    light, a percentage, only their longer prefixes under the light order."""
+    light, a percentage, only their longer prefixes under the light order, in 32 bits."""
     sent = docs.sparkSession.sparkContext.broadcast(_id_bits(ids))
 
     def run(batches):  # sets of other documents may pass too; the join that follows drops them
@@ -199,9 +215,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int, light: int = 0) -> DataFra
             for first, values, bounds in _sets(batch, k):
                 if light:
                     values, bounds = _longer_prefixes(values, bounds, light)
-                raw = values.tobytes()
+                raw, size = values.tobytes(), values.itemsize
                 known = batch.column("doc_id").slice(first, len(bounds) - 1)
-                items = pa.array([raw[8 * a:8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+                items = pa.array([raw[size * a:size * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([known, items], names=["doc_id", "items"])
 
     found = (docs.where("doc_id IS NOT NULL")
@@ -213,8 +229,17 @@ def _longer_prefixes(values: np.ndarray, bounds: np.ndarray, percent: int) -> tu
     parts, mixed = [], mix(values, LIGHT_ORDER)
     for a, b in zip(bounds[:-1], bounds[1:]):
         size = int(_light_size(b - a, percent))
-        parts.append(np.sort(np.partition(mixed[a:b], size - 1)[:size] if 0 < size < b - a else mixed[a:b]))
-    return (np.concatenate(parts) if parts else values), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        part = np.partition(mixed[a:b], size - 1)[:size] if 0 < size < b - a else mixed[a:b]
+        parts.append(np.sort(part.astype(np.uint32)))
+    return (np.concatenate(parts) if parts else values.astype(np.uint32)), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Ascending 32-bit digests made distinct by numbering equal ones: two sets then share at least as
+    many as before they were cut to 32 bits."""
+    first = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    return (values.astype(np.uint64) << np.uint64(32)) + (np.arange(len(values)) - begin[np.cumsum(first) - 1]).astype(np.uint64)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -285,15 +310,15 @@ def _meeting(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
     those of different sides are compared, or all where j is i, unless their colours are equal. Longer
     prefixes meet first; only sets with a possible partner are sent whole."""
 
-    def seen(group):
+    def seen(group, kind=np.uint64):
         colour, side = (np.asarray(group.column(c)) for c in ("colour", "side"))
         inside = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+        items = [np.frombuffer(x.as_buffer(), kind) for x in group.column("items")]
         return items, (colour[:, None] != colour[None, :]) & (inside | (side[:, None] != side[None, :]))
 
     def light(group):
-        items, allowed = seen(group)
-        left = light_pairs(items, np.asarray(group.column("n")).astype(np.int64), allowed, percent)
+        items, allowed = seen(group, np.uint32)
+        left = light_pairs([_numbered(x) for x in items], np.asarray(group.column("n")).astype(np.int64), allowed, percent)
         return group.select(["hub", "band", "doc_id"]).filter(pa.array(left.any(axis=0) | left.any(axis=1)))
 
     def exact(group):
@@ -378,8 +403,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with small_batches(spark, 2000):
         found = _prefixes(docs, k, percent, heavy)
     with small_batches(spark, 50_000):
-        lists = written(_lists(found).select("hub", "doc_id", "n").distinct(), "lists")
-    groups = written(_groups(lists, member, percent), "groups")
+        lists = written(_lists(found), "lists")
+    groups = written(_groups(_needed(lists, member, percent), percent), "groups")
     with small_batches(spark):
         links = written(_meeting(docs, _with_centres(groups, percent), k, percent), "links")
     first = written(components(links.unionByName(same)), "components")
@@ -418,18 +443,37 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return kept.where("NOT again").select("row.*").unionByName(single.select("row.*"))
 
 
-def _groups(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(hub, band, doc_id, n, centre) with classes' least ids; groups of a single class are left out.
+def _needed(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(hub, doc_id, n): the rows of lists, by the classes' least ids, that a link may need.
+
+    First sets go whose hubs hold fewer of their tokens than a link shares, twice, since hubs with one
+    set left go with them. Then a set keeps its hubs, small ones first, up to the last one from which on
+    they hold enough of its tokens.
+    """
+    hubs = member.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep"))
+    # Equal sets have the same tokens in a hub, so they count once.
+    rows = (lists.join(member, "doc_id").join(hubs, "hub").groupBy("hub_rep", "hub", "rep", "n").agg(F.max("tokens").alias("tokens"))
+            .groupBy(F.col("hub_rep").alias("hub"), F.col("rep").alias("doc_id"), "n").agg(F.sum("tokens").alias("tokens")))
+    rows = written(rows, "shared")
+    for _ in range(2):
+        several = rows.groupBy("hub").agg(F.count("*").alias("sets"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        rows = rows.drop("sets").join(several.where("least <> most").select("hub", "sets"), "hub")
+        enough = rows.groupBy("doc_id", "n").agg(F.sum("tokens").alias("all")).where(F.col("all") >= _least_shared("n", percent))
+        rows = written(rows.join(enough.select("doc_id", "n"), ["doc_id", "n"]), "shared")
+    onwards = Window.partitionBy("doc_id", "n").orderBy(F.desc("sets"), F.desc("hub"))
+    return rows.withColumn("onwards", F.sum("tokens").over(onwards)).where(
+        F.col("onwards") >= _least_shared("n", percent)).select("hub", "doc_id", "n")
+
+
+def _groups(rows: DataFrame, percent: int) -> DataFrame:
+    """(hub, band, doc_id, n, centre) from rows (hub, doc_id, n); groups of a single class are left out.
 
     Sets whose sizes allow a link lie in the same size band or in neighbouring ones. A set goes to its
     own band and to the next one, as far as the hub has sets there; centre is the least set's
     struct (doc_id, n).
     """
-    hubs = member.select(F.col("doc_id").alias("hub"), F.col("rep").alias("hub_rep"))
     width = 1.0001 * math.log(100 / percent) if percent < 100 else 1e-9
-    rows = lists.join(member, "doc_id").join(hubs, "hub").select(
-        F.col("hub_rep").alias("hub"), F.col("rep").alias("doc_id"), "n").distinct().withColumn(
-        "own", F.floor(F.log(F.col("n")) / width))
+    rows = rows.withColumn("own", F.floor(F.log(F.col("n")) / width))
     bands = rows.groupBy("hub").agg(F.collect_set("own").alias("bands"))
     up, down = (F.array_contains("bands", F.col("own") + d) for d in (1, -1))
     placed = rows.join(bands, "hub").withColumn("band", F.explode(F.filter(F.array(
