@@ -147,6 +147,28 @@ def test_jaccard_join(spark, rows, docs, none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
 
+def test_jaccard_bounds_lose_no_link(spark):
+    """Linked sets share the least number of prefix tokens, and equal 32-bit digests hide none."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 85, 100):
+        for n in (1, 2, 19, 25, 60, 300):
+            for m in range(n, 100 * n // percent + 1):
+                least = -(-percent * (n + m) // (100 + percent))  # tokens that a link shares
+                for shared in {least, n}:
+                    x, y = np.arange(n), np.concatenate([np.arange(shared), n + np.arange(m - shared)])
+                    order = rng.permutation(n + m)
+                    size = lambda z: jaccard_join._prefix_size(z, percent) + jaccard_join._extra(z, percent)
+                    first = [set(z[np.argsort(order[z])][:size(len(z))].tolist()) for z in (x, y)]
+                    fewest = max(1 + percent * ((percent * z + 99) // 100) // 2000 for z in (n, m))
+                    assert len(first[0] & first[1]) >= fewest
+    sizes = spark.range(1, 400).select("id", jaccard_join._least_shared("id", 85).alias("least")).collect()
+    assert all(r.least == 1 + 85 * ((85 * r.id + 99) // 100) // 2000 for r in sizes)
+    a, b = np.array([3, 3, 3, 7, 9], np.uint32), np.array([3, 3, 7, 7], np.uint32)
+    assert jaccard_join._common(jaccard_join._numbered(a), jaccard_join._numbered(b)) == 3
+    assert len(jaccard_join._numbered(a[:0])) == 0
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """A group of many blocks gives the links of one."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
