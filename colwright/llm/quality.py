@@ -14,16 +14,17 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, settings, text_of, written
 
 BUCKETS = 10_000
-TRUSTED = 1 << 16  # documents that the target is fitted on: those of least digest; bounds the broadcast
 KEEP_TRUSTED = 0.995  # share of the trusted documents that must pass
 SCALE = 1_000_000  # ratios are whole millionths, so that sums don't depend on their order
 BIN = 1_000  # width of the bins in which trusted scores are counted, in millionths
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "[^#*$%&|<>]+"
 DIRECT = 512  # repeated windows up to which membership is tested in the list itself
+BLOOM = {"spark__sql__optimizer__runtime__bloomFilter__" + k: v for k, v in {  # whatever the sizes; 4 MB
+    "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t", "expectedNumItems": "4000000", "numBits": "33554432"}.items()}
 _W = "__quality_"
 
 
@@ -100,24 +101,28 @@ def with_score(docs: DataFrame, ratios: list[int]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts over all documents; the target over at most TRUSTED labelled documents (least digest of
-    doc_id first), which alone are broadcast. Without trusted documents nothing is rejected."""
-    trusted = (labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL")
-               .select(F.col("doc_id").alias(f"{_W}id")).distinct()
-               .orderBy(F.xxhash64(f"{_W}id"), f"{_W}id").limit(TRUSTED).withColumn(f"{_W}good", F.lit(1)))
-    flagged = docs.select("doc_id", "text").join(
-        F.broadcast(trusted), F.col("doc_id") == F.col(f"{_W}id"), "left")
-    counted = (with_words(flagged).select(F.explode(_buckets()).alias("bucket"), f"{_W}good")
-               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count(f"{_W}good").alias("good")).collect())
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for row in counted:
-        raw[row.bucket], good[row.bucket] = row.raw, row.good
-    raw_all, good_all = sum(raw) + 0.5 * BUCKETS, sum(good) + 0.5 * BUCKETS
-    ratios = [round(SCALE * math.log((g + 0.5) / good_all * raw_all / (r + 0.5))) for g, r in zip(good, raw)]
+    """Counts over all documents and over all trusted ones. Without trusted documents nothing is rejected.
+
+    The texts of the trusted documents are written once. Unless their ids are few enough to be sent to
+    the tasks, texts are shuffled, most others being dropped before that by Spark's Bloom filter."""
+    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id")
+    texts = docs.select("doc_id", "text")
+    with settings(docs.sparkSession, **BLOOM):
+        good_texts = written(texts.join(trusted, "doc_id", "left_semi").select("text"), "trusted")
+
+    def counts(of: DataFrame) -> list[int]:
+        found = [0] * BUCKETS
+        for row in with_words(of).select(F.explode(_buckets()).alias("bucket")).groupBy("bucket").count().collect():
+            found[row["bucket"]] = row["count"]
+        return found
+
+    good = counts(good_texts)
     if not sum(good):
         return Model([0] * BUCKETS, -(1 << 62))
-    only = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col(f"{_W}id"))
-    bins = (with_score(with_words(only), ratios).where(f"size({_W}h) >= {MIN_WORDS}")
+    raw = counts(texts)
+    raw_all, good_all = sum(raw) + 0.5 * BUCKETS, sum(good) + 0.5 * BUCKETS
+    ratios = [round(SCALE * math.log((g + 0.5) / good_all * raw_all / (r + 0.5))) for g, r in zip(good, raw)]
+    bins = (with_score(with_words(good_texts), ratios).where(f"size({_W}h) >= {MIN_WORDS}")
             .groupBy(F.floor(F.col(f"{_W}score") / BIN).alias("bin")).count().orderBy("bin").collect())
     spare = math.floor((1 - KEEP_TRUSTED) * sum(r["count"] for r in bins))
     threshold = -(1 << 62)

@@ -13,6 +13,7 @@ import pytest
 from checks.compare import check, connect
 from colwright.llm import (chat, class_lm, decontaminate, graph, jaccard_join, licenses, mixing, quality, token_counts,
                            url_filters, warc)
+from colwright.llm.common import settings
 from colwright.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -246,6 +247,18 @@ def test_quality_rules(spark, rows, docs, none, monkeypatch):
     assert {r.kept for r in quality.quality_rules(docs, labels.limit(0)).collect() if not r.base_failed} == {True}
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_quality_target_is_all_trusted_documents(spark, broadcast):
+    # All of 70,000 documents are trusted, so target and raw are the same and no bucket has a ratio.
+    docs = spark.range(70_000).selectExpr("id AS doc_id", "concat('word ', id % 7) AS text")
+    labels = spark.range(70_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=broadcast):
+        assert quality.fit(docs, labels).ratios == [0] * quality.BUCKETS
+        # Half of them: a bucket of the others only has less than its share, one of these only more.
+        ratios = quality.fit(docs.withColumn("text", docs.doc_id.cast("string")), labels.where("doc_id % 2 = 0")).ratios
+    assert min(ratios) < -500_000 and max(ratios) > 500_000
+
+
 # -- op6 -------------------------------------------------------------------------
 
 def test_url_aliases(spark):
