@@ -20,10 +20,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, written
+from .common import discard, new_path, small_batches, written
 from .words import END_WORD, chunks, mix
 
 FREQUENT = 1 << 18  # words whose counts and classes are sent to the tasks that score
@@ -32,6 +33,14 @@ CLASSES = 64
 SHARES = 4  # hashed shares of the units, which move in turn
 SETTLED = 1e-3  # nats a token; exchange ends when a turn of all shares gains no more
 PRIOR = 5.0  # weight of the class frequencies in the class transitions
+FIRST, STEP = 4096, 16  # most frequent units that exchange first, among themselves; steps to all units
+EARLIER = 1e-2  # nats a token, at which the exchange among these gives way to the next step
+SMALL = 16  # counts whose rises are tabulated
+PACK = 1 << 18  # about so many pairs begin, and end, with the units of a packed row
+PACKED = ("ru", "rv", "rn", "lv", "lu", "ln")
+PAIRS = "share int, " + ", ".join(f"{c} binary" for c in PACKED)
+DEALT = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+NUMBERS = (np.int32, np.int32, np.int64)  # of packed units, units and counts
 FLUSH = 1 << 22
 
 
@@ -106,9 +115,12 @@ def least_count(vocabulary: DataFrame) -> int:
     return int(n[np.searchsorted(tokens, SHARE * tokens[-1])]) if len(n) else 1
 
 
-def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray) -> DataFrame:
-    """(u, v, uw, vw, n): how often unit v follows unit u. All words without a unit of their own have
-    the last one; uw and vw are such words, else null."""
+def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray, blocks: int) -> DataFrame:
+    """What stands side by side, as two kinds of rows, counted in parts that are yet to be summed.
+
+    Rows with a block are packed pairs of units for packed_pairs; all words without a unit of their own
+    have the last one. Rows without are (u, v, uw, vw, count) for pairs with such words: uw and vw are
+    these, else null."""
     sent = docs.sparkSession.sparkContext.broadcast((top, units))
     total = len(top) + 1
 
@@ -122,28 +134,42 @@ def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray) -> DataFra
             (at, hit), (at_before, hit_before) = _found(words, top), _found(before, top)
             v, u = np.full(len(words), total - 1), np.full(len(words), total - 1)
             v[hit], u[hit_before] = units[at[hit]], units[at_before[hit_before]]
-            key, both = u * total + v, hit & hit_before
-            keys, counts = np.unique(key[both], return_counts=True)
-            none, one = np.zeros(len(keys), np.int64), ~both
-            rows = lambda known, x, y: pa.array(np.concatenate([known, x[one].view(np.int64)]),
-                                                mask=np.concatenate([np.ones(len(known), bool), y[one]]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([keys, key[one]])), rows(none, before, hit_before), rows(none, words, hit),
-                 pa.array(np.concatenate([counts, np.ones(one.sum(), np.int64)]))], names=["key", "uw", "vw", "n"])
+            keys, counts = np.unique(u * total + v, return_counts=True)
+            rows = _dealt(keys // total, keys % total, counts, blocks)
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), t) for t in kinds)], names=names)
+            one = np.flatnonzero(~(hit & hit_before))
+            rows = [pa.array(u[one], pa.int32()), pa.array(v[one], pa.int32()), pa.array(before[one].view(np.int64), mask=hit_before[one]),
+                    pa.array(words[one].view(np.int64), mask=hit[one]), pa.array(np.ones(len(one), np.int64))]
+            for first in range(0, len(one), FLUSH >> 4):
+                part = [x.slice(first, FLUSH >> 4) for x in rows]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part[0]), t) for t in DEALT), *part], names=names)
 
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 held.append(_sequence(chunk)[0])
                 size += len(held[-1])
                 if size > FLUSH:
-                    yield packed()
+                    yield from packed()
                     held, size = [], 0
         if size:
-            yield packed()
+            yield from packed()
 
-    found = docs.select("text").mapInArrow(run, "key bigint, uw bigint, vw bigint, n bigint")
-    return found.groupBy("key", "uw", "vw").agg(F.sum("n").alias("n")).select(
-        F.expr(f"cast(key div {total} AS int)").alias("u"), F.expr(f"cast(key % {total} AS int)").alias("v"), "uw", "vw", "n")
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    names = ["block", "side", "x", "y", "n", "u", "v", "uw", "vw", "count"]
+    return docs.select("text").mapInArrow(
+        run, "block bigint, side int, x binary, y binary, n binary, u int, v int, uw bigint, vw bigint, count bigint")
+
+
+def _dealt(u: np.ndarray, v: np.ndarray, n: np.ndarray, blocks: int) -> list:
+    """Packed rows (block, side, x, y, n) of pairs: side 0 by the block of u, side 1 (v, u) by that of v."""
+    rows = []
+    for side, (x, y) in enumerate(((u, v), (v, u))):
+        block = (mix(x.astype(np.uint64), 9) % np.uint64(SHARES * blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        for at in np.split(order, starts[1:]) if len(order) else []:
+            rows.append((block[at[0]], side, *(z[at].astype(t).tobytes() for z, t in zip((x, y, n), NUMBERS))))
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(DEALT)]
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -156,38 +182,50 @@ def best_moves(joint: np.ndarray, sides: np.ndarray, selves: np.ndarray, old: np
     joint: class bigram counts; sides: (units, 2, classes), how often a unit stands before and after
     each class; selves: how often it follows itself; old: its class. The likelihood is the sum of
     g(joint) less g of both margins, g(x) = x log x; ties go to the old class, then to the smallest.
+    Rises of g by small counts come from a table.
     """
     joint = joint.astype(float)
+    few = np.arange(1, SMALL + 1, dtype=float)[None, :, None]
+    tables = [(t, _g(t), _g(t[:, None] + few) - _g(t)[:, None]) for t in (np.ascontiguousarray(joint.T), joint)]
     found, gains = np.zeros(len(old), np.int64), np.zeros(len(old))
-    for first in range(0, len(old), 1024):
-        part = slice(first, first + 1024)
+    for first in range(0, len(old), 4096):
+        part = slice(first, first + 4096)
         near, o, own = sides[part].astype(float), old[part], selves[part].astype(float)
         every = np.arange(len(o))
         gain = np.zeros((len(o), len(joint)))
-        for side, table in ((0, joint), (1, joint.T)):
+        for side, (table, g, rises) in enumerate(tables):
             units, classes = np.nonzero(near[:, side])
-            for k in range(0, len(units), 1 << 14):
-                i, c = units[k:k + (1 << 14)], classes[k:k + (1 << 14)]
-                n, rest = near[i, side, c], table.T[c]
-                rest[np.arange(len(i)), o[i]] -= n
+            for k in range(0, len(units), 1 << 15):
+                i, c = units[k:k + (1 << 15)], classes[k:k + (1 << 15)]
+                n = near[i, side, c]
+                rise = rises[c, np.minimum(n, SMALL).astype(np.int64) - 1]
+                many = np.flatnonzero(n > SMALL)
+                rise[many] = _g(table[c[many]] + n[many, None]) - g[c[many]]
+                here = table[c, o[i]]  # the unit itself is no longer in its old class
+                rise[np.arange(len(i)), o[i]] = _g(here) - _g(here - n)
                 same = np.flatnonzero(c == o[i])
-                rest[same] -= near[i[same], 1 - side]
-                rest[same, o[i[same]]] += own[i[same]]
-                n[same] -= own[i[same]]
+                rest, m = table[c[same]] - near[i[same], 1 - side], n[same] - own[i[same]]
+                rest[np.arange(len(same)), o[i[same]]] += own[i[same]] - n[same]
+                rise[same] = _g(rest + m[:, None]) - _g(rest)
                 starts = np.flatnonzero(np.diff(i, prepend=-1))
-                gain[i[starts]] += np.add.reduceat(_g(rest + n[:, None]) - _g(rest), starts)
-        r, l, s = near[:, 0].copy(), near[:, 1].copy(), own[:, None]
-        d = np.repeat(np.diag(joint)[None], len(o), axis=0)
-        d[every, o] -= r[every, o] + l[every, o] - own
+                length = np.diff(starts, append=len(i))
+                while len(starts):  # the next class of all units that have one
+                    gain[i[starts]] += rise[starts]
+                    starts, length = starts[length > 1] + 1, length[length > 1] - 1
+        r, l = near[:, 0].copy(), near[:, 1].copy()
         r[every, o] -= own
         l[every, o] -= own
-        gain += _g(d + r + l + s) + _g(d) - _g(d + r) - _g(d + l)
+        i, c = np.nonzero((r != 0) & (l != 0) | (own != 0)[:, None])  # elsewhere these terms cancel
+        d = np.diag(joint)[c] - np.where(c == o[i], near[i, 0, c] + near[i, 1, c] - own[i], 0)
+        x, y = r[i, c], l[i, c]
+        gain[i, c] += _g(d + x + y + own[i]) + _g(d) - _g(d + x) - _g(d + y)
         # The margins of the others' tokens don't depend on where the unit goes.
         for side in (0, 1):
-            n = near[:, side].sum(axis=1)
-            margin = np.repeat(joint.sum(axis=1 - side)[None], len(o), axis=0)
-            margin[every, o] -= n
-            gain -= _g(margin + n[:, None]) - _g(margin)
+            margin = joint.sum(axis=1 - side)
+            n, at = np.unique(near[:, side].sum(axis=1), return_inverse=True)
+            rise = (_g(margin + n[:, None]) - _g(margin))[at]
+            rise[every, o] = _g(margin[o]) - _g(margin[o] - n[at])
+            gain -= rise
         here = gain[every, o].copy()
         gain[every, o] += 1e-9 * np.maximum(1.0, abs(here))
         found[part] = gain.argmax(axis=1)
@@ -205,19 +243,6 @@ def likelihood(joint: np.ndarray) -> float:
     return float(_g(joint).sum() - _g(joint.sum(axis=0)).sum() - _g(joint.sum(axis=1)).sum())
 
 
-def _summing(run, found: DataFrame) -> DataFrame:
-    """(key, n) summed over what run makes of each batch (arrays of keys and of counts)."""
-
-    def parts(batches):
-        for batch in batches:
-            keys, n = run(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "n")))
-            names, at = np.unique(keys, return_inverse=True)
-            sums = np.bincount(at, n, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sums)], names=["key", "n"])
-
-    return found.mapInArrow(parts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 def _square(found: DataFrame, first: int, classes: int) -> np.ndarray:
     rows = found.toArrow()
     out = np.zeros(first * classes * classes, np.int64)
@@ -225,40 +250,116 @@ def _square(found: DataFrame, first: int, classes: int) -> np.ndarray:
     return out.reshape(first, classes, classes)
 
 
-def _proposals(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, selves: np.ndarray, turn: int) -> tuple:
-    """(units, classes, gains) of the share of units whose turn it is and that gain by a move, most first."""
-    classes, blocks = len(joint), max(32, len(kind) // 1024)
-    sent = bigrams.sparkSession.sparkContext.broadcast((joint, kind, selves))
+def packed_pairs(dealt: DataFrame, total: int) -> DataFrame:
+    """The summed pairs of what _dealt made, a row for each block, written by share of the units: a row has
+    all pairs that begin with its units (ru, rv, rn) and all that end with them (lv, lu, ln)."""
 
-    def near(u, v, n):
-        kind = sent.value[1]
-        before, after = (np.flatnonzero(mix(x.astype(np.uint64), 9) % np.uint64(SHARES) == turn % SHARES) for x in (u, v))
-        return (np.concatenate([2 * classes * u[before].astype(np.int64) + kind[v[before]],
-                                classes * (2 * v[after].astype(np.int64) + 1) + kind[u[after]]]),
-                np.concatenate([n[before], n[after]]))
+    def merge(group):
+        out = {"share": pa.array([group.column("block")[0].as_py() % SHARES], pa.int32())}
+        for side, names in enumerate((("ru", "rv", "rn"), ("lv", "lu", "ln"))):
+            own = group.filter(pa.compute.equal(group.column("side"), side))
+            x, y, n = (np.frombuffer(b"".join(own.column(c).to_pylist()), t) for c, t in zip(("x", "y", "n"), NUMBERS))
+            keys, at = np.unique(x.astype(np.int64) * total + y, return_inverse=True)
+            for name, z, t in zip(names, (keys // total, keys % total, np.bincount(at, n, len(keys))), NUMBERS):
+                out[name] = pa.array([z.astype(t).tobytes()], pa.binary())
+        return pa.table(out)
 
-    def choose(group):
+    rows = dealt.select("block", "side", "x", "y", "n").groupBy("block").applyInArrow(merge, PAIRS)
+    return _by_share(rows)
+
+
+def _by_share(rows: DataFrame) -> DataFrame:
+    path = new_path(rows.sparkSession, "pairs")
+    rows.write.partitionBy("share").parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def pairs_among(pairs: DataFrame, top: int) -> DataFrame:
+    """The packed pairs of which both units are below top."""
+
+    def run(batches):
+        for batch in batches:
+            for share, row in zip(batch.column("share").to_pylist(), _arrays(batch, PACKED)):
+                columns = [pa.array([share], pa.int32())]
+                for side in (row[:3], row[3:]):
+                    own = np.flatnonzero(np.maximum(side[0], side[1]) < top)
+                    columns += [pa.array([x[own].tobytes()], pa.binary()) for x in side]
+                yield pa.RecordBatch.from_arrays(columns, names=["share", *PACKED])
+
+    return _by_share(pairs.select("share", *PACKED).mapInArrow(run, PAIRS))
+
+
+def pairs_of(bigrams: DataFrame, total: int) -> DataFrame:
+    """Packed pairs of a table (u, v, n)."""
+    blocks = max(1, -(-bigrams.count() // (SHARES * PACK)))
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "n"))
+            yield pa.RecordBatch.from_arrays(_dealt(*columns, blocks), names=["block", "side", "x", "y", "n"])
+
+    return packed_pairs(bigrams.select("u", "v", "n").mapInArrow(run, "block bigint, side int, x binary, y binary, n binary"), total)
+
+
+def _arrays(batch, names):
+    """The numbers of each row of a batch of packed_pairs."""
+    for row in range(batch.num_rows):
+        yield [np.frombuffer(batch.column(c)[row].as_buffer(), np.int64 if c.endswith("n") else np.int32) for c in names]
+
+
+def _own_pairs(batches):
+    """(u, n) of the units that follow themselves."""
+    for batch in batches:
+        for u, v, n in _arrays(batch, PACKED[:3]):
+            same = np.flatnonzero(u == v)
+            yield pa.RecordBatch.from_arrays([pa.array(u[same]), pa.array(n[same])], names=["u", "n"])
+
+
+def _summing(run, pairs: DataFrame) -> DataFrame:
+    """(key, n) summed over what run makes of the pairs of each row (an array of sums by key)."""
+
+    def parts(batches):
+        sums = 0
+        for batch in batches:
+            for u, v, n in _arrays(batch, PACKED[:3]):
+                sums = sums + run(u, v, n)
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.ravel(sums)[keys].astype(np.int64))], names=["key", "n"])
+
+    return pairs.select(*PACKED[:3]).mapInArrow(parts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _proposals(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, selves: np.ndarray, turn: int) -> tuple:
+    """(units, classes, gains) of the share of units whose turn it is and that gain by a move, most first."""
+    classes = len(joint)
+    sent = pairs.sparkSession.sparkContext.broadcast((joint, kind, selves))
+
+    def choose(batches):
         joint, kind, selves = sent.value
-        key, n = group.column("key").to_numpy(), group.column("n").to_numpy()
-        units, at = np.unique(key // (2 * classes), return_inverse=True)
-        sides = np.zeros((len(units), 2, classes), np.int64)
-        sides[at, key // classes % 2, key % classes] = n
-        new, gains = best_moves(joint, sides, selves[units], kind[units])
-        up = gains > 0
-        return pa.table({"unit": pa.array(units[up], pa.int32()), "cls": pa.array(new[up], pa.int32()), "gain": pa.array(gains[up])})
-
-    block = F.expr(f"key div {2 * classes} % {blocks}")
-    rows = _summing(near, bigrams).groupBy(block).applyInArrow(choose, "unit int, cls int, gain double").toArrow()
+        for batch in batches:
+            for ru, rv, rn, lv, lu, ln in _arrays(batch, PACKED):
+                units, at = np.unique(np.concatenate([ru, lv]), return_inverse=True)
+                side = np.repeat([0, classes], [len(ru), len(lv)])
+                sides = np.bincount(2 * classes * at + side + kind[np.concatenate([rv, lu])], np.concatenate([rn, ln]),
+                                    2 * classes * len(units)).reshape(-1, 2, classes)
+                new, gains = best_moves(joint, sides, selves[units], kind[units])
+                up = gains > 0
+                yield pa.RecordBatch.from_arrays([pa.array(units[up], pa.int32()), pa.array(new[up], pa.int32()), pa.array(gains[up])],
+                                                 names=["unit", "cls", "gain"])
+
+    rows = pairs.where(F.col("share") == turn % SHARES).select(*PACKED).mapInArrow(choose, "unit int, cls int, gain double").toArrow()
     units, new, gains = (rows.column(c).to_numpy() for c in ("unit", "cls", "gain"))
     order = np.lexsort((units, -gains))
     sent.unpersist()
     return units[order], new[order], gains[order]
 
 
-def _trials(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.ndarray, new: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Class bigram counts after the first moves, for each of the sizes."""
+def _trials(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.ndarray, new: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Class bigram counts after the first moves, for each of the sizes (the greatest first)."""
     classes = len(joint)
-    sent = bigrams.sparkSession.sparkContext.broadcast((kind, units, new))
+    sent = pairs.sparkSession.sparkContext.broadcast((kind, units, new))
 
     def change(u, v, n):
         kind, units, new = sent.value
@@ -266,19 +367,20 @@ def _trials(bigrams: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.n
         rank[units] = np.arange(len(units))
         goes = kind.copy()
         goes[units] = new
-        touched = np.flatnonzero(np.minimum(rank[u], rank[v]) < len(units))
-        u, v, n = u[touched], v[touched], n[touched]
-        sums = np.zeros((len(sizes), classes ** 2), np.int64)
+        sums = np.zeros((len(sizes), classes ** 2))
+        u_rank, v_rank = rank[u], rank[v]
+        own = np.flatnonzero(np.minimum(u_rank, v_rank) < len(units))
+        u, v, n, u_rank, v_rank = u[own], v[own], n[own], u_rank[own], v_rank[own]
+        ku, kv, gu, gv = kind[u], kind[v], goes[u], goes[v]
         for i, size in enumerate(sizes):
-            own = np.flatnonzero(np.minimum(rank[u], rank[v]) < size)
-            a, b, m = u[own], v[own], n[own]
-            after = np.where(rank[a] < size, goes[a], kind[a]) * classes + np.where(rank[b] < size, goes[b], kind[b])
-            for keys, sign in ((after, 1), (kind[a] * classes + kind[b], -1)):
-                sums[i] += sign * np.bincount(keys, m, classes ** 2).astype(np.int64)
-        keys = np.flatnonzero(sums)
-        return keys, sums.ravel()[keys]
-
-    out = joint + _square(_summing(change, bigrams), len(sizes), classes)
+            if i:
+                own = np.flatnonzero(np.minimum(u_rank, v_rank) < size)
+                n, u_rank, v_rank, ku, kv, gu, gv = (x[own] for x in (n, u_rank, v_rank, ku, kv, gu, gv))
+            after = np.where(u_rank < size, gu, ku) * classes + np.where(v_rank < size, gv, kv)
+            sums[i] = np.bincount(after, n, classes ** 2) - np.bincount(ku * classes + kv, n, classes ** 2)
+        return sums
+
+    out = joint + _square(_summing(change, pairs), len(sizes), classes)
     sent.unpersist()
     return out
 
@@ -287,35 +389,46 @@ def exchange(bigrams: DataFrame, kind: np.ndarray, classes: int = CLASSES, settl
              watch=None) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class bigram counts), from the classes in kind on.
 
-    Each round is two Spark jobs. A hashed share of the units choose their best class, given those of
-    all others; then the class bigrams are counted anew for the whole batch and for ever fewer of its
+    The pairs of units are summed and packed once, all pairs of a unit in one row, so that no round
+    shuffles them. Each round is two Spark jobs. A hashed share of the units choose their best class, given
+    those of all others; then the class bigrams are counted anew for the whole batch and for ever fewer of its
     moves of the greatest gain, down to one move, whose gain is exact. The best batch is applied, so the
     likelihood rises in every round that moves a unit. Rounds end when all shares together gained
     no more than `settled` nats a token (0: when no move gains). watch is called with each likelihood.
     """
+    pairs = pairs_of(bigrams, len(kind))
+    try:
+        return exchange_packed(pairs, kind, classes, settled, watch)
+    finally:
+        discard(pairs)
+
+
+def exchange_packed(pairs: DataFrame, kind: np.ndarray, classes: int = CLASSES, settled: float = SETTLED,
+                    watch=None) -> tuple[np.ndarray, np.ndarray]:
+    """exchange over packed pairs."""
     kind = kind.astype(np.int64)
     selves = np.zeros(len(kind), np.int64)
-    bigrams = bigrams.select("u", "v", "n")
-    own = bigrams.where("u = v").groupBy("u").agg(F.sum("n").alias("n")).toArrow()
-    selves[own.column("u").to_numpy()] = own.column("n").to_numpy()
-    joint = _square(_summing(lambda u, v, n, kind=kind: (kind[u] * classes + kind[v], n), bigrams), 1, classes)[0]
-    values = [likelihood(joint)]
-    while joint.any():
-        units, new, _ = _proposals(bigrams, joint, kind, selves, len(values) - 1)
-        best = values[-1]
-        if len(units):
-            sizes = sorted({max(1, len(units) >> k) for k in (0, 1, 3, 6, 9, 12, 15, 18, 99)}, reverse=True)
-            tried = _trials(bigrams, joint, kind, units, new, sizes)
-            scores = [likelihood(t) for t in tried]
-            k = int(np.argmax(scores))
-            if scores[k] > best:
-                best, joint = scores[k], tried[k]
-                kind[units[:sizes[k]]] = new[:sizes[k]]
-        values.append(best)
-        if watch:
-            watch(best)
-        if len(values) > SHARES and values[-1] - values[-1 - SHARES] <= settled * joint.sum():
-            break
+    with small_batches(pairs.sparkSession, 1):
+        own = pairs.select(*PACKED[:3]).mapInArrow(_own_pairs, "u int, n bigint").toArrow()
+        selves[own.column("u").to_numpy()] = own.column("n").to_numpy()
+        joint = _square(_summing(lambda u, v, n, kind=kind: np.bincount(kind[u] * classes + kind[v], n, classes ** 2), pairs), 1, classes)[0]
+        values = [likelihood(joint)]
+        while joint.any():
+            units, new, _ = _proposals(pairs, joint, kind, selves, len(values) - 1)
+            best = values[-1]
+            if len(units):
+                sizes = sorted({max(1, len(units) >> k) for k in (0, 1, 3, 6, 9, 12, 15, 18, 99)}, reverse=True)
+                tried = _trials(pairs, joint, kind, units, new, sizes)
+                scores = [likelihood(t) for t in tried]
+                k = int(np.argmax(scores))
+                if scores[k] > best:
+                    best, joint = scores[k], tried[k]
+                    kind[units[:sizes[k]]] = new[:sizes[k]]
+            values.append(best)
+            if watch:
+                watch(best)
+            if len(values) > SHARES and values[-1] - values[-1 - SHARES] <= settled * joint.sum():
+                break
     return kind, joint
 
 
@@ -354,6 +467,7 @@ def place_rare(bigrams: DataFrame, kind: np.ndarray, joint: np.ndarray) -> tuple
         choose, "word bigint, cls int, gain double"), "rare").where("gain > 0")
     limits = moves.approxQuantile("gain", [0.0, 0.5, 0.75, 0.9, 0.99, 1.0], 0.005)
     if not limits:
+        discard(edges)
         return moves.select("word", "cls"), joint
 
     def side(rows, word, old):
@@ -369,6 +483,7 @@ def place_rare(bigrams: DataFrame, kind: np.ndarray, joint: np.ndarray) -> tuple
     tried = _square(ahead.groupBy((F.col("try.i") * classes ** 2 + square(after("cu"), after("cv"))).alias("key"))
                     .agg(F.sum("n").alias("n")), len(limits), classes)
     tried = tried + joint - _square(edges.groupBy(square(F.col("cu"), F.col("cv"))).agg(F.sum("n").alias("n")), 1, classes)
+    discard(edges)
     scores = [likelihood(t) for t in tried]
     k = int(np.argmax(scores))
     if scores[k] <= likelihood(joint):
@@ -389,12 +504,26 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     units = np.argsort(words)
     with small_batches(spark, FLUSH >> 2):
         with small_batches(spark, 2000):
-            bigrams = written(unit_bigrams(docs, words[units], units), "bigrams")
-        kind, joint = exchange(bigrams, np.arange(len(words) + 1) % CLASSES)
+            blocks = max(1, -(-(size[0] or 0) // (2 * SHARES * PACK)))  # a pair stands about twice in the text
+            found = written(unit_bigrams(docs, words[units], units, blocks), "bigrams")
+        with small_batches(spark, 16):
+            pairs = packed_pairs(found.where("block IS NOT NULL"), len(words) + 1)
+        kind, top = np.arange(len(words) + 1) % CLASSES, FIRST
+        while top < len(kind):
+            with small_batches(spark, 1):
+                among = pairs_among(pairs, top)
+            kind[:top] = exchange_packed(among, kind[:top], settled=EARLIER)[0]
+            discard(among)
+            top *= STEP
+        kind, joint = exchange_packed(pairs, kind)
+        discard(pairs)
+        bigrams = found.where("block IS NULL").select("u", "v", "uw", "vw", F.col("count").alias("n"))
         moved, joint = place_rare(bigrams, kind, joint)
+        discard(found)
     known = spark.createDataFrame(pa.table({"word": words.view(np.int64), "n": counts, "cls": pa.array(kind[:-1], pa.int32())}))
     rare = counted.where(F.col("n") < least).join(moved, "word", "left")
     vocabulary = written(known.unionByName(rare.select("word", "n", F.coalesce("cls", F.lit(int(kind[-1]))).alias("cls"))), "classes")
+    discard(counted)
     types, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for row in vocabulary.groupBy("cls").agg(F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once")).collect():
         types[row.cls], once[row.cls] = row.types, row.once

@@ -13,7 +13,7 @@ import pytest
 from checks.compare import check, connect
 from colwright.llm import (chat, class_lm, decontaminate, graph, jaccard_join, licenses, mixing, quality, token_counts,
                            url_filters, warc)
-from colwright.llm.common import settings
+from colwright.llm.common import settings, small_batches
 from colwright.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -505,6 +505,40 @@ def test_exchange_never_loses(spark):
                                    int(counts[u, u]), int(kind[u])) == kind[u]
 
 
+def test_exchange_packs_pairs_once(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    total, first = 60, 20
+    counts = rng.poisson(0.4, (total, total)) * rng.integers(1, 40, (total, total))
+    rows = [(u, v, int(n)) for (u, v), n in np.ndenumerate(counts) if n]
+    frame = spark.createDataFrame([*rows, *rows], "u int, v int, n bigint")  # in two parts each
+    monkeypatch.setattr(class_lm, "PACK", 100)
+
+    def unpacked(pairs):
+        right, left, blocks = Counter(), Counter(), []
+        for r in pairs.collect():
+            ru, rv, rn, lv, lu, ln = (np.frombuffer(r[c], np.int64 if c.endswith("n") else np.int32) for c in class_lm.PACKED)
+            right.update({(int(a), int(b)): int(n) for a, b, n in zip(ru, rv, rn)})
+            left.update({(int(a), int(b)): int(n) for a, b, n in zip(lu, lv, ln)})
+            blocks.append({*ru.tolist(), *lv.tolist()})
+        assert len(blocks) > class_lm.SHARES and sum(map(len, blocks)) == len(set().union(*blocks))  # a unit is in one row
+        assert right == left
+        return right
+
+    pairs = class_lm.pairs_of(frame, total)
+    with small_batches(spark, 1):
+        among = class_lm.pairs_among(pairs, first)
+    assert unpacked(pairs) == {(u, v): 2 * n for u, v, n in rows}
+    assert unpacked(among) == {(u, v): 2 * n for u, v, n in rows if max(u, v) < first}
+    # No round deals rows by unit: whatever the rounds, the pairs are shuffled once, before them.
+    dealt = []
+    monkeypatch.setattr(class_lm, "packed_pairs", lambda *a, f=class_lm.packed_pairs: dealt.append(a) or f(*a))
+    kind, joint = class_lm.exchange(frame, np.arange(total) % 5, 5, 0.05)
+    want = np.zeros((5, 5), np.int64)
+    np.add.at(want, (kind[:, None], kind[None, :]), 2 * counts)
+    assert len(dealt) == 1 and (joint == want).all()
+
+
 @pytest.mark.parametrize("share,frequent", [(0.95, 1 << 18), (0.7, 4)])
 def test_words_have_classes_of_their_own(spark, monkeypatch, share, frequent):
     import random
