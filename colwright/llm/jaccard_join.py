@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import small_batches, written
+from .common import discard, release, small_batches, written
 from .graph import components
 from .words import chunks, distinct_sets, mix, shingles
 
@@ -112,6 +112,23 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, h1 bigint, h2 bigint")
 
 
+def frequent_tokens(counts: DataFrame, most: int) -> np.ndarray:
+    """The most frequent tokens of (token, n), most first, equal counts by token; about `most` at most.
+
+    A histogram of the counts tells which to take, so the driver is sent no others; of the tokens of
+    the last count, the share that there is room for goes by the digest."""
+    rows = counts.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toArrow()
+    n, tokens = (rows.column(c).to_numpy() for c in ("n", "tokens"))
+    whole = int(np.searchsorted(np.cumsum(tokens), most, "right"))
+    taken = F.col("n") > int(n[whole]) if whole < len(n) else F.lit(True)
+    if whole < len(n):
+        room = most - int(tokens[:whole].sum())
+        taken |= (F.col("n") == int(n[whole])) & (F.col("token") < (room << 64) // int(tokens[whole]) - (1 << 63))
+    found = counts.where(taken).toArrow()
+    token, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, -n))].view(np.uint64)
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFrame:
     """(token, doc_id, n) of each set's prefix under the order: rare before frequent, then digest.
     Equal sets in one task send one prefix."""
@@ -332,6 +349,7 @@ def _meeting(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
     near = rows.join(_sets_of(docs, rows.select("doc_id"), k, percent), "doc_id").groupBy(*cell).applyInArrow(
         light, "hub bigint, band bigint, doc_id bigint").distinct()
     near = written(near, "near")
+    release(docs.sparkSession)  # of the longer prefixes
     rows = rows.join(near, ["hub", "band", "doc_id"], "left_semi")
     return rows.join(_sets_of(docs, near.select("doc_id"), k), "doc_id").groupBy(*cell).applyInArrow(
         exact, "a bigint, b bigint").distinct()
@@ -391,9 +409,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with small_batches(spark, 2000):
         described = written(_describe(docs, k), "sets")
     rows = described.where("kind = 0").select("doc_id", "n", "h1", "h2")
-    heavy = (described.where("kind = 1").groupBy(F.col("h1").alias("token")).agg(F.sum("n").alias("n"))
-             .where("n >= 8").orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).select("token").collect())
-    heavy = np.array([r.token for r in heavy], np.int64).view(np.uint64)
+    counts = written(described.where("kind = 1").groupBy(F.col("h1").alias("token")).agg(F.sum("n").alias("n")).where("n >= 8"), "counts")
+    heavy = frequent_tokens(counts, HEAVY_TOKENS)
+    discard(counts)
 
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -404,14 +422,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = _prefixes(docs, k, percent, heavy)
     with small_batches(spark, 50_000):
         lists = written(_lists(found), "lists")
+    release(spark)  # of the prefixes
     groups = written(_groups(_needed(lists, member, percent), percent), "groups")
     with small_batches(spark):
         links = written(_meeting(docs, _with_centres(groups, percent), k, percent), "links")
+    release(spark)  # of the sets
     first = written(components(links.unionByName(same)), "components")
     with small_batches(spark):
         more = written(_meeting(docs, _across(groups, first), k, percent), "links")
+    release(spark)
     final = first if more.isEmpty() else written(
         components(links.unionByName(more).unionByName(same)), "components")
+    release(spark)
     return rows.join(final, rows.doc_id == final.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

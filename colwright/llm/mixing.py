@@ -92,7 +92,8 @@ def mix_sources(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None) -
     counts = written(docs.select("doc_id", (domain_of(F.col("source")) if domain is None else domain).alias("domain"),
                                  "lang", "source", words.alias("n_tokens")).where("n_tokens > 0"), "counts")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    budgets = leaf_budgets(counts, mix).select(
+    # Written, since its windows would stand in the plan once for each use below.
+    budgets = written(leaf_budgets(counts, mix), "budgets").select(
         *LEVELS, F.expr("budget div supply").alias("copies"), F.expr("budget % supply").alias("rest"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
     order = F.md5(F.concat_ws("|", F.lit(mix.seed).cast("string"), F.col("copies").cast("string"),
@@ -101,16 +102,16 @@ def mix_sources(docs: DataFrame, mix: Mix = MIX, domain: Column | None = None) -
               .withColumn("at", order).withColumn("bucket", F.substring("at", 1, HEX)))
     leaf = Window.partitionBy(*LEVELS)
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("held"))
-    sums = sums.withColumn("before", F.sum("held").over(leaf.orderBy("bucket")) - F.col("held"))
+    sums = written(sums.withColumn("before", F.sum("held").over(leaf.orderBy("bucket")) - F.col("held")), "buckets")
     placed = placed.join(sums, [*LEVELS, "bucket"])
-    whole = placed.where("before + held <= rest").withColumn("part_tokens", F.col("n_tokens"))
-    none = placed.where("before >= rest").withColumn("part_tokens", F.lit(0).cast("bigint"))
+    clear = placed.where("before + held <= rest OR before >= rest").withColumn(
+        "part_tokens", F.when(F.col("before") + F.col("held") <= F.col("rest"), F.col("n_tokens")).otherwise(F.lit(0).cast("bigint")))
     inside = leaf.orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     edge = (placed.where("before < rest AND before + held > rest")
             .withColumn("run", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
             .withColumn("part_tokens", F.greatest(F.lit(0).cast("bigint"), F.least("n_tokens", F.col("rest") - F.col("run"))))
             .drop("run"))
-    return whole.unionByName(none).unionByName(edge).where("copies > 0 OR part_tokens > 0").select(
+    return clear.unionByName(edge).where("copies > 0 OR part_tokens > 0").select(
         "doc_id", *LEVELS, "n_tokens", "copies", "part_tokens")
 
 

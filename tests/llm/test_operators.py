@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -593,3 +595,35 @@ def test_pipeline(spark):
     clean = corpus_pipeline.benchmark_decontamination(spark, one, SF)
     final = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert final and final <= {r.doc_id for r in clean.collect()}
+
+
+def test_frequent_tokens_of_join_are_bounded(spark):
+    drawn = random.Random(3)
+    count = {drawn.randrange(-1 << 63, 1 << 63): n for n in [100, 90, 90, 50, *[8] * 4000]}
+    counts = spark.createDataFrame(list(count.items()), "token bigint, n bigint").repartition(3)
+    order = sorted(count, key=lambda t: (-count[t], t))
+    for most in (0, 2, 3, 4, 1004, 4003, 4004, 9999):
+        found = jaccard_join.frequent_tokens(counts, most).astype("int64").tolist()
+        assert found == order[:len(found)]
+        assert len(found) == {0: 0, 2: 1, 3: 3, 4: 4, 4004: 4004, 9999: 4004}.get(most, len(found))
+        assert abs(len(found) - min(most, len(order))) <= 150
+    assert len(jaccard_join.frequent_tokens(counts.where("false"), 10)) == 0
+
+
+def test_join_leaves_no_shuffle_files(spark, docs):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {str(f) for d in folders for f in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+    before = files()
+    found = jaccard_join.near_duplicates(docs)
+    for _ in range(40):  # Spark's cleaner removes them on a thread of its own
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
+    assert found.count() == docs.count()
+
+
+def test_mixing_plans_budgets_once(docs):
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= len(re.findall(r"\bWindow \[", plan)) <= 3
