@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, new_path, small_batches, written
+from .common import discard, new_path, release, small_batches, written
 from .words import END_WORD, chunks, mix
 
 FREQUENT = 1 << 18  # words whose counts and classes are sent to the tasks that score
@@ -41,7 +41,10 @@ PACKED = ("ru", "rv", "rn", "lv", "lu", "ln")
 PAIRS = "share int, " + ", ".join(f"{c} binary" for c in PACKED)
 DEALT = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 NUMBERS = (np.int32, np.int32, np.int64)  # of packed units, units and counts
+END = np.array([END_WORD], np.uint64)
 FLUSH = 1 << 22
+HELD = 1 << 20  # tokens whose pairs a task packs at once
+SLICE = 512  # class bigram counts that are summed together
 
 
 class Model(NamedTuple):
@@ -72,11 +75,6 @@ def _sequence(chunk) -> tuple[np.ndarray, np.ndarray]:
     return words, bounds
 
 
-def _before(words: np.ndarray) -> np.ndarray:
-    """The word before each; a text begins after an end."""
-    return np.concatenate([np.array([END_WORD], np.uint64), words[:-1]])
-
-
 def _found(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the ascending table, whether it is there) of each word."""
     if not len(table):
@@ -128,12 +126,13 @@ def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray, blocks: in
         held, size = [], 0
 
         def packed():
-            words = np.concatenate(held)
-            before = np.concatenate([_before(x) for x in held])
+            every = np.concatenate([END, *held])  # all parts end with an end, so each word's predecessor stands before it
+            before, words = every[:-1], every[1:]
             top, units = sent.value
-            (at, hit), (at_before, hit_before) = _found(words, top), _found(before, top)
-            v, u = np.full(len(words), total - 1), np.full(len(words), total - 1)
-            v[hit], u[hit_before] = units[at[hit]], units[at_before[hit_before]]
+            at, hit = _found(every, top)
+            unit = np.full(len(every), total - 1)
+            unit[hit] = units[at[hit]]
+            u, v, hit_before, hit = unit[:-1], unit[1:], hit[:-1], hit[1:]
             keys, counts = np.unique(u * total + v, return_counts=True)
             rows = _dealt(keys // total, keys % total, counts, blocks)
             yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), t) for t in kinds)], names=names)
@@ -148,7 +147,7 @@ def unit_bigrams(docs: DataFrame, top: np.ndarray, units: np.ndarray, blocks: in
             for chunk in chunks(batch.column("text")):
                 held.append(_sequence(chunk)[0])
                 size += len(held[-1])
-                if size > FLUSH:
+                if size > HELD:
                     yield from packed()
                     held, size = [], 0
         if size:
@@ -317,34 +316,48 @@ def _own_pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u[same]), pa.array(n[same])], names=["u", "n"])
 
 
-def _summing(run, pairs: DataFrame) -> DataFrame:
-    """(key, n) summed over what run makes of the pairs of each row (an array of sums by key)."""
+def _summing(begin, pairs: DataFrame, shape: tuple) -> np.ndarray:
+    """The sums over all rows of pairs of what run = begin() makes of their six arrays, an array of this
+    shape. Tasks send some numbers to a row, as a frame of one row for each number would be large."""
 
     def parts(batches):
-        sums = 0
+        run, sums = begin(), np.zeros(shape)
         for batch in batches:
-            for u, v, n in _arrays(batch, PACKED[:3]):
-                sums = sums + run(u, v, n)
-        keys = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.ravel(sums)[keys].astype(np.int64))], names=["key", "n"])
-
-    return pairs.select(*PACKED[:3]).mapInArrow(parts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _proposals(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, selves: np.ndarray, turn: int) -> tuple:
-    """(units, classes, gains) of the share of units whose turn it is and that gain by a move, most first."""
+            for row in _arrays(batch, PACKED):
+                sums += run(*row)
+        flat = sums.ravel().astype(np.int64)
+        keys = [k for k in range(0, len(flat), SLICE) if flat[k:k + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([flat[k:k + SLICE].tobytes() for k in keys], pa.binary())],
+                                         names=["key", "sums"])
+
+    def add(group):
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("sums"))
+        return pa.table({"key": pa.array([group.column("key")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kinds = "key int, sums binary"
+    rows = pairs.select(*PACKED).mapInArrow(parts, kinds).groupBy("key").applyInArrow(add, kinds).toArrow()
+    out = np.zeros(int(np.prod(shape)), np.int64)
+    for key, sums in zip(rows.column("key").to_pylist(), rows.column("sums").to_pylist()):
+        part = np.frombuffer(sums, np.int64)
+        out[key:key + len(part)] = part
+    return out.reshape(shape)
+
+
+def _proposals(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, selves, turn: int) -> tuple:
+    """(units, classes, gains) of the share of units whose turn it is and that gain by a move, most first;
+    selves is a broadcast."""
     classes = len(joint)
-    sent = pairs.sparkSession.sparkContext.broadcast((joint, kind, selves))
+    sent = pairs.sparkSession.sparkContext.broadcast((joint, kind.astype(np.int32)))
 
     def choose(batches):
-        joint, kind, selves = sent.value
+        joint, kind = sent.value
         for batch in batches:
             for ru, rv, rn, lv, lu, ln in _arrays(batch, PACKED):
                 units, at = np.unique(np.concatenate([ru, lv]), return_inverse=True)
                 side = np.repeat([0, classes], [len(ru), len(lv)])
                 sides = np.bincount(2 * classes * at + side + kind[np.concatenate([rv, lu])], np.concatenate([rn, ln]),
                                     2 * classes * len(units)).reshape(-1, 2, classes)
-                new, gains = best_moves(joint, sides, selves[units], kind[units])
+                new, gains = best_moves(joint, sides, selves.value[units], kind[units])
                 up = gains > 0
                 yield pa.RecordBatch.from_arrays([pa.array(units[up], pa.int32()), pa.array(new[up], pa.int32()), pa.array(gains[up])],
                                                  names=["unit", "cls", "gain"])
@@ -352,36 +365,43 @@ def _proposals(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, selves: np
     rows = pairs.where(F.col("share") == turn % SHARES).select(*PACKED).mapInArrow(choose, "unit int, cls int, gain double").toArrow()
     units, new, gains = (rows.column(c).to_numpy() for c in ("unit", "cls", "gain"))
     order = np.lexsort((units, -gains))
-    sent.unpersist()
+    sent.destroy()  # its file too, which unpersist() leaves
     return units[order], new[order], gains[order]
 
 
-def _trials(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.ndarray, new: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Class bigram counts after the first moves, for each of the sizes (the greatest first)."""
+def _trials(pairs: DataFrame, joint: np.ndarray, kind: np.ndarray, units: np.ndarray, new: np.ndarray, sizes: list[int],
+            turn: int) -> np.ndarray:
+    """Class bigram counts after the first moves, for each of the sizes (the greatest first). The units
+    are of the share whose turn it is, whose rows hold all pairs that change."""
     classes = len(joint)
-    sent = pairs.sparkSession.sparkContext.broadcast((kind, units, new))
+    sent = pairs.sparkSession.sparkContext.broadcast((kind.astype(np.int32), units, new))
 
-    def change(u, v, n):
+    def begin():
         kind, units, new = sent.value
         rank = np.full(len(kind), len(units), np.int32)  # place among the moves
         rank[units] = np.arange(len(units))
         goes = kind.copy()
         goes[units] = new
-        sums = np.zeros((len(sizes), classes ** 2))
-        u_rank, v_rank = rank[u], rank[v]
-        own = np.flatnonzero(np.minimum(u_rank, v_rank) < len(units))
-        u, v, n, u_rank, v_rank = u[own], v[own], n[own], u_rank[own], v_rank[own]
-        ku, kv, gu, gv = kind[u], kind[v], goes[u], goes[v]
-        for i, size in enumerate(sizes):
-            if i:
-                own = np.flatnonzero(np.minimum(u_rank, v_rank) < size)
-                n, u_rank, v_rank, ku, kv, gu, gv = (x[own] for x in (n, u_rank, v_rank, ku, kv, gu, gv))
-            after = np.where(u_rank < size, gu, ku) * classes + np.where(v_rank < size, gv, kv)
-            sums[i] = np.bincount(after, n, classes ** 2) - np.bincount(ku * classes + kv, n, classes ** 2)
-        return sums
-
-    out = joint + _square(_summing(change, pairs), len(sizes), classes)
-    sent.unpersist()
+
+        def change(ru, rv, rn, lv, lu, ln):
+            sums = np.zeros((len(sizes), classes ** 2))
+            right = np.flatnonzero(rank[ru] < len(units))
+            left = np.flatnonzero((rank[lv] < len(units)) & (rank[lu] == len(units)))  # both moved: among the first
+            u, v, n = (np.concatenate(x) for x in ((ru[right], lu[left]), (rv[right], lv[left]), (rn[right], ln[left])))
+            u_rank, v_rank, ku, kv, gu, gv = rank[u], rank[v], kind[u], kind[v], goes[u], goes[v]
+            for i, size in enumerate(sizes):
+                if i:
+                    own = np.flatnonzero(np.minimum(u_rank, v_rank) < size)
+                    n, u_rank, v_rank, ku, kv, gu, gv = (x[own] for x in (n, u_rank, v_rank, ku, kv, gu, gv))
+                after = np.where(u_rank < size, gu, ku) * classes + np.where(v_rank < size, gv, kv)
+                sums[i] = np.bincount(after, n, classes ** 2) - np.bincount(ku * classes + kv, n, classes ** 2)
+            return sums
+
+        return change
+
+    mine = pairs.where(F.col("share") == turn % SHARES)
+    out = joint + _summing(begin, mine, (len(sizes), classes ** 2)).reshape(-1, classes, classes)
+    sent.destroy()
     return out
 
 
@@ -411,14 +431,18 @@ def exchange_packed(pairs: DataFrame, kind: np.ndarray, classes: int = CLASSES,
     with small_batches(pairs.sparkSession, 1):
         own = pairs.select(*PACKED[:3]).mapInArrow(_own_pairs, "u int, n bigint").toArrow()
         selves[own.column("u").to_numpy()] = own.column("n").to_numpy()
-        joint = _square(_summing(lambda u, v, n, kind=kind: np.bincount(kind[u] * classes + kind[v], n, classes ** 2), pairs), 1, classes)[0]
+        sent = pairs.sparkSession.sparkContext.broadcast(kind.copy())
+        joint = _summing(lambda: lambda u, v, n, *_: np.bincount(sent.value[u] * classes + sent.value[v], n, classes ** 2),
+                         pairs, (classes ** 2,)).reshape(classes, classes)
+        sent.destroy()
+        sent = pairs.sparkSession.sparkContext.broadcast(selves)
         values = [likelihood(joint)]
         while joint.any():
-            units, new, _ = _proposals(pairs, joint, kind, selves, len(values) - 1)
+            units, new, _ = _proposals(pairs, joint, kind, sent, len(values) - 1)
             best = values[-1]
             if len(units):
                 sizes = sorted({max(1, len(units) >> k) for k in (0, 1, 3, 6, 9, 12, 15, 18, 99)}, reverse=True)
-                tried = _trials(pairs, joint, kind, units, new, sizes)
+                tried = _trials(pairs, joint, kind, units, new, sizes, len(values) - 1)
                 scores = [likelihood(t) for t in tried]
                 k = int(np.argmax(scores))
                 if scores[k] > best:
@@ -429,6 +453,8 @@ def exchange_packed(pairs: DataFrame, kind: np.ndarray, classes: int = CLASSES,
                 watch(best)
             if len(values) > SHARES and values[-1] - values[-1 - SHARES] <= settled * joint.sum():
                 break
+        sent.destroy()
+    release(pairs.sparkSession)
     return kind, joint
 
 
@@ -508,6 +534,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             found = written(unit_bigrams(docs, words[units], units, blocks), "bigrams")
         with small_batches(spark, 16):
             pairs = packed_pairs(found.where("block IS NOT NULL"), len(words) + 1)
+        release(spark)
         kind, top = np.arange(len(words) + 1) % CLASSES, FIRST
         while top < len(kind):
             with small_batches(spark, 1):
@@ -520,6 +547,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         bigrams = found.where("block IS NULL").select("u", "v", "uw", "vw", F.col("count").alias("n"))
         moved, joint = place_rare(bigrams, kind, joint)
         discard(found)
+    release(spark)
     known = spark.createDataFrame(pa.table({"word": words.view(np.int64), "n": counts, "cls": pa.array(kind[:-1], pa.int32())}))
     rare = counted.where(F.col("n") < least).join(moved, "word", "left")
     vocabulary = written(known.unionByName(rare.select("word", "n", F.coalesce("cls", F.lit(int(kind[-1]))).alias("cls"))), "classes")
@@ -556,8 +584,9 @@ def score_texts(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFra
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 words, bounds = _sequence(chunk)
-                before = _before(words)
-                (at, hit), (at_before, hit_before) = _found(words, m.words), _found(before, m.words)
+                every = np.concatenate([END, words])
+                at, hit = _found(every, m.words)
+                before, at_before, hit_before, at, hit = every[:-1], at[:-1], hit[:-1], at[1:], hit[1:]
                 n, cls, cls_before = np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
                 n[hit], cls[hit], cls_before[hit_before] = m.counts[at[hit]], m.classes[at[hit]], m.classes[at_before[hit_before]]
                 both = hit & hit_before
@@ -585,7 +614,7 @@ def score_texts(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFra
 
     def looked_up(rows, word):
         of = vocabulary.select(F.col("word").alias(word), F.col("n").alias(f"{word}_n"), F.col("cls").alias(f"{word}_found"))
-        return rows.where(f"{word} IS NOT NULL").join(of, word, "left").unionByName(
+        return rows.where(f"{word} IS NOT NULL").join(of.hint("shuffle_hash"), word, "left").unionByName(
             rows.where(f"{word} IS NULL"), allowMissingColumns=True)
 
     left = looked_up(looked_up(found.where("kind = 1").select("row", "before", "before_cls", "word", "cls"), "word"), "before")

@@ -627,3 +627,13 @@ def test_join_leaves_no_shuffle_files(spark, docs):
 def test_mixing_plans_budgets_once(docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= len(re.findall(r"\bWindow \[", plan)) <= 3
+
+
+def test_class_lm_holds_few_tokens_while_pairs_are_packed(spark, monkeypatch):
+    np = class_lm.np
+    monkeypatch.setattr(class_lm, "HELD", 100)
+    frame = spark.createDataFrame([(varied(60, i),) for i in range(40)], "text string").coalesce(1)
+    with small_batches(spark, 1):
+        rows = class_lm.unit_bigrams(frame, np.zeros(0, np.uint64), np.zeros(0, np.int64), 1).where("side = 0").collect()
+    tokens = [int(np.frombuffer(r.n, np.int64).sum()) for r in rows]
+    assert sum(tokens) == 40 * 61 and max(tokens) <= 2 * 61
