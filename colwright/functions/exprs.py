@@ -116,14 +116,21 @@ def to_datetime(c: Column, kind: str, day_first: bool | None = None) -> Column:
     known = F.when(F.length(s) >= 6, known_datetime(s))
     if day_first is None:
         return known
-    inferred = F.coalesce(*[inferred_datetime(s, order) for order in (day_first, not day_first)])
+    inferred = _inferred(s, lambda n: F.coalesce(*[_from_numbers(n, order) for order in (day_first, not day_first)]))
     return F.coalesce(known, F.when(may_be_inferred(s), inferred))
 
 
+# Covers the shapes of DATE_FORMATS and ISO_DATETIME, those that begin alike taken together.
+_KNOWN = (r"^(?:\d{4}(?:-\d{1,2}-\d{1,2}(?:$|[T ]\d{1,2}:\d{2})|/\d{1,2}/\d{1,2}$|\d{4}$)"
+          r"|\d{1,2}(?:[-/]\d{1,2}[-/](?:\d{4}|\d{2})|\.\d{1,2}\.\d{4}| [A-Za-z]+ \d{4})$|[A-Za-z]+ \d{1,2},? \d{4}$)")
+
+
 def known_datetime(s: Column) -> Column:
-    """Text in one of the known formats or an ISO date-time."""
+    """Text in one of the known formats or an ISO date-time. One pattern that covers all shapes goes
+    first, so that other text is not tested for each of them."""
     parsed = [_shaped(s, shape, pattern) for shape, pattern in fixed.DATE_FORMATS]
-    return F.coalesce(*parsed, F.when(s.rlike(fixed.ISO_DATETIME), s.try_cast("timestamp_ntz")))
+    return F.when(s.rlike(_KNOWN), F.coalesce(
+        *parsed, F.when(s.rlike(fixed.ISO_DATETIME), s.try_cast("timestamp_ntz"))))
 
 
 def may_be_inferred(s: Column) -> Column:
@@ -136,12 +143,12 @@ _CLOCK = (r"(?:(?:T|[\s,]+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*([ap]m)?
           r"\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?)?$")
 _MONTH = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6})\.?"
 _GAP = r"[./,\s-]+"
-# Shape, then its groups in the order year, month, day.
-_NUMBERS = rf"(?i)^(\d{{1,2}})[./\s-](\d{{1,2}})[./\s-](\d{{4}}|\d{{2}}){_CLOCK}"
+# Shape, then its groups in the order year, month, day; the first shape leaves day and month open.
 _INFERRED = (
-    (rf"(?i)^(\d{{4}})[./\s-](\d{{1,2}})[./\s-](\d{{1,2}}){_CLOCK}", "$1|$2|$3"),
-    (rf"(?i)^(\d{{1,2}}){_GAP}{_MONTH}{_GAP}(\d{{4}}|\d{{2}}){_CLOCK}", "$3|$2|$1"),
-    (rf"(?i)^{_MONTH}{_GAP}(\d{{1,2}}){_GAP}(\d{{4}}){_CLOCK}", "$3|$1|$2"),
+    (rf"(?i)^(\d{{1,2}})[./\s-](\d{{1,2}})[./\s-](\d{{4}}|\d{{2}}){_CLOCK}", "$3|$2|$1|open"),
+    (rf"(?i)^(\d{{4}})[./\s-](\d{{1,2}})[./\s-](\d{{1,2}}){_CLOCK}", "$1|$2|$3|"),
+    (rf"(?i)^(\d{{1,2}}){_GAP}{_MONTH}{_GAP}(\d{{4}}|\d{{2}}){_CLOCK}", "$3|$2|$1|"),
+    (rf"(?i)^{_MONTH}{_GAP}(\d{{1,2}}){_GAP}(\d{{4}}){_CLOCK}", "$3|$1|$2|"),
 )
 
 
@@ -150,36 +157,61 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def inferred_datetime(s: Column, day_first: bool) -> Column:
-    """Dates beyond the known formats: other separators, named weekdays and months, ordinals, a time
-    of day. Zones are read over: the local time stays."""
+def _inferred(s: Column, use) -> Column:
+    """``use(numbers)`` for dates beyond the known formats: other separators, named weekdays and months,
+    ordinals, a time of day. Zones are read over: the local time stays. A cell is taken apart once, for
+    whatever orders of day and month are asked for."""
     t = F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\s+", "")
     t = F.regexp_replace(t, r"(?i)^([a-z.]*\s*\d{1,2})(?:st|nd|rd|th)\b", "$1")
-    shapes = ((_NUMBERS, "$3|$2|$1" if day_first else "$3|$1|$2"),) + _INFERRED
     parts = lambda t: F.split(F.coalesce(*[
-        F.when(t.rlike(shape), F.regexp_replace(t, shape, f"{date}|$4|$5|$6|$7")) for shape, date in shapes]), r"\|")
-    return _let(t, lambda t: _let(parts(t), _from_parts))
+        F.when(t.rlike(shape), F.regexp_replace(t, shape, f"{date}|$4|$5|$6|$7")) for shape, date in _INFERRED]), r"\|")
+    return _let(t, lambda t: _let(parts(t), lambda p: _let(_numbers(p), use)))
+
 
+def _whole(digits: Column) -> Column:
+    """Digits as a number, none as 0. Empty text never reaches the cast: a failed one is many times dearer."""
+    return F.when(F.length(digits) > 0, digits.cast("int")).otherwise(0)
 
-def _from_parts(p: Column) -> Column:
-    year, month, day, *clock = (F.get(p, i) for i in range(6))
+
+def _numbers(p: Column) -> Column:
+    """Year, month, day, 1 where day and month are open, hour, minute, second and hours to add, as numbers;
+    null without parts."""
+    year, month = F.get(p, 0), F.get(p, 1)
+    century = F.when(F.length(year) > 2, 0).when(year < "69", 2000).otherwise(1900)
     name = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(month, 1, 3)))
-    number = F.when(month.rlike(r"^\d"), month).otherwise(((name + 2) / 3).cast("int").cast("string"))
-    century = F.when(F.length(year) > 2, "").when(year < "69", "20").otherwise("19")
-    date = F.try_to_date(F.concat_ws("-", F.concat(century, year), number, day), "yyyy-M-d")
-    hour, minute, second = (F.coalesce(c.try_cast("int"), F.lit(0)) for c in clock)
-    half = F.lower(F.get(p, 6))
+    number = F.when(month < ":", month.cast("int")).otherwise(((name + 2) / 3).cast("int"))
+    hour, half = _whole(F.get(p, 4)), F.lower(F.get(p, 7))
     shift = F.when((half == "pm") & (hour < 12), 12).when((half == "am") & (hour == 12), -12).otherwise(0)
-    fits = (hour < 24) & (minute < 60) & (second < 60)
-    return F.when(fits, date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour + shift, minute, second))
+    return F.when(p.isNotNull(), F.array(
+        century + _whole(year), number, _whole(F.get(p, 2)), F.length(F.get(p, 3)), hour, _whole(F.get(p, 5)),
+        _whole(F.get(p, 6)), shift))
+
+
+def _date_of(n: Column, day_first: bool) -> Column:
+    """The date in the numbers of a cell, where the calendar has it; nothing is parsed that could fail."""
+    year, month, day, open_ = (F.get(n, i) for i in range(4))
+    if not day_first:
+        month, day = F.when(open_ > 0, day).otherwise(month), F.when(open_ > 0, month).otherwise(day)
+    first = F.when(month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return F.when((day >= 1) & (day <= F.day(F.last_day(first))), F.date_add(first, day - 1))
+
+
+def _on_clock(n: Column) -> Column:
+    return (F.get(n, 4) < 24) & (F.get(n, 5) < 60) & (F.get(n, 6) < 60)
+
+
+def _from_numbers(n: Column, day_first: bool) -> Column:
+    clock = F.make_dt_interval(F.lit(0), F.get(n, 4) + F.get(n, 7), F.get(n, 5), F.get(n, 6))
+    return F.when(_on_clock(n), _date_of(n, day_first).cast("timestamp_ntz") + clock)
 
 
 def order_votes(s: Column) -> Column:
     """1 for a cell that only inference can read and only with the day first, -1 if only with the month
     first, 0 if either way; null for other cells."""
-    day, month = (inferred_datetime(s, order).isNotNull() for order in (True, False))
-    vote = F.when(day & month, 0).when(day, 1).when(month, -1)
-    return F.when(may_be_inferred(s) & known_datetime(s).isNull(), vote)
+    def vote(n):
+        day, month = (_date_of(n, order).isNotNull() for order in (True, False))
+        return F.when(_on_clock(n), F.when(day & month, 0).when(day, 1).when(month, -1))
+    return F.when(may_be_inferred(s) & known_datetime(s).isNull(), _inferred(s, vote))
 
 
 def _shaped(s: Column, shape: str, pattern: str) -> Column:

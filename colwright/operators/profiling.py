@@ -114,12 +114,9 @@ def distinct_counts(df: DataFrame, columns, approximate: bool = False) -> dict[s
 def date_orders(df: DataFrame, columns) -> dict[str, bool]:
     """Whether the day comes first, for each text column with cells that only inference can read: the
     order in which more of them are dates, the day first on a tie. Columns without such cells are left
-    out. A cheap pass over all columns finds those to vote on, a second one counts the votes."""
-    cells = {c: X.strip(X.text(X.ref(c))) for c in columns}
-    open_ = by_column(df, {c: F.when(X.may_be_inferred(s) & X.known_datetime(s).isNull(), s) for c, s in cells.items()}, n=F.count("v"))
-    votes = {c: X.order_votes(cells[c]) for c in columns if open_[c].get("n")}
-    found = by_column(df, votes, balance=F.sum("v"))
-    return {c: m["balance"] >= 0 for c, m in found.items() if m}
+    out. One pass counts the votes of all columns."""
+    found = by_column(df, {c: X.strip(X.text(X.ref(c))) for c in columns}, balance=F.sum(X.order_votes(F.col("v"))))
+    return {c: m["balance"] >= 0 for c, m in found.items() if m.get("balance") is not None}
 
 
 def _date_shares(df: DataFrame, columns) -> dict[str, float]:

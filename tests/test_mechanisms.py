@@ -4,13 +4,14 @@ import datetime as dt
 import math
 import os
 import random
+import re
 import statistics
 
 import pytest
 from pyspark.sql import Row, functions as F
 
 import colwright as cw
-from colwright.functions import exprs as X
+from colwright.functions import exprs as X, fixed
 from colwright.operators.profiling import date_orders
 from colwright.sources import csvsplit
 from colwright.sources.tables import distinct_rows, sanitise
@@ -98,6 +99,29 @@ def test_inferred_dates(spark):
     assert {r.c: r.t for r in frame.collect()} == cells
 
 
+def test_known_shapes_pass_the_common_one():
+    samples = ("2020-1-5", "2020-12-31", "2020/1/5", "20200105", "5-1-2020", "05/11/2020", "5.1.2020", "5-1-20", "15/01/20",
+               "January 5 2020", "Jan 15 2020", "Jan 15, 2020", "5 January 2020", "15 Jan 2020", "2020-1-5T1:02", "2020-01-05 10:11:12")
+    shapes = [*(shape for shape, _ in fixed.DATE_FORMATS), fixed.ISO_DATETIME]
+    assert all(any(re.search(shape, c) for c in samples) for shape in shapes)
+    assert all(re.search(X._KNOWN, c) for c in samples)
+    assert not any(re.search(X._KNOWN, c) for c in ("5/1/2020 10:00", "5-Jan-2020", "1.2.20", "text", ""))
+
+
+def test_date_inference_parses_nothing_that_fails(spark):
+    """A cell is taken apart once for both orders; casts and parsers that throw on odd cells are not reached."""
+    df = spark.createDataFrame([("31/04/2020 10:00",)], "c string")
+    for used in (X.order_votes(F.col("c")), X._inferred(F.col("c"), lambda n: X._from_numbers(n, True))):
+        plan = df.select(used.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+        inferred = plan[plan.index("transform("):]
+        assert not re.search(r"try_cast|try_to|gettimestamp", inferred, re.IGNORECASE)
+    rows = [(c,) for c in ("31/04/2020 10:00", "29/02/2023 10:00", "02/29/2024 10:00", "30/02/2024 1:00", "00/01/2020 1:00", "13/05/2020 24:00")]
+    read = spark.createDataFrame(rows, "c string").select(X.order_votes(F.col("c")).alias("v"), X.to_datetime(F.col("c"), "string", True).alias("t"))
+    assert [tuple(r) for r in read.collect()] == [
+        (None, None), (None, None), (-1, dt.datetime(2024, 2, 29, 10)), (None, None), (None, None), (None, None)]
+
+
 def test_date_order_by_vote(spark):
     rows = [("05/03/2020 10:00", "05/03/2020 10:00", "x")] * 5 + [("25/03/2020 10:00", "03/25/2020 10:00", "2020-01-05")] * 2
     rows += [("03/25/2020 10:00", None, None)]
