@@ -1,37 +1,206 @@
 """Profiles of every column within every group of rows.
 
-One melt serves all columns and groups. Counts, shape and quartiles are combined inside the tasks, so a
-group that holds a third of all rows is one row per task and column in their shuffle; distinct cells and
-outliers are counted on cells combined by value, which meet the fences of their group by key and salt.
-Nothing but the types of the columns reaches the driver.
+The rows of a group meet once, in one task, as typed cells: numbers and times in eight bytes, long text as its
+digest. There they lie side by side, so each column of a group is sorted on its own, and counts, quartiles,
+outliers and shape are exact; a task holds the groups of one batch at a time. Groups with too many cells for
+that (``CELLS``) are melted instead: their counts and quartiles are combined inside the tasks, so a group that
+holds a third of all rows is one row per task and column in their shuffle; their distinct cells are shuffled
+once, combined by value, and meet the fences of their group by broadcast. Only the types of the columns, the
+number of rows and the names of those large groups reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X, fixed
 from .profiling import type_rows
 
-ACCURACY = 10_000  # quartiles are exact up to half as many cells of a group, then within 1 / ACCURACY in rank
-SALTS = 16
+ACCURACY = 10_000  # quartiles of melted groups are exact up to half as many cells, then within 1 / ACCURACY in rank
+CELLS = 2_000_000  # cells that one task measures side by side, those of one group included
+MEASURES = ("g string, k int, total bigint, filled bigint, n bigint, bad bigint, skew double, "
+            "unique bigint, out bigint")
 
 
-def _cell(position: int, name: str, kind: str, col_type: str) -> Column:
-    """Text, number and readability of one cell, as the type of its column asks for."""
-    cell = X.finite(X.ref(name)) if kind == "number" else X.ref(name)
-    text, number, bad = X.text(cell), F.lit(None).cast("double"), F.lit(False)
-    if col_type in fixed.NUMERIC_TYPES:
-        number = X.to_profile_number(X.ref(name), kind)
-        bad = number.isNull()
-    elif col_type == "date" and kind != "datetime":
+def _cells(position: int, name: str, kind: str, col_type: str) -> list[Column]:
+    """One cell as ``v``, the value that counts as distinct, and where they need a column of their own
+    ``x``, its number, and ``b``, whether it is unreadable as the type of its column."""
+    numeric = col_type in fixed.NUMERIC_TYPES
+    cell = value = X.finite(X.ref(name)) if kind == "number" else X.ref(name)
+    if kind not in ("number", "datetime"):
+        value = X.text(value)
+        # Text of 64 characters and more never equals a digest of 64 from shorter text.
+        value = F.when(F.octet_length(value) < 64, value).otherwise(F.sha2(value, 256))
+    out = [value.alias(f"v{position}")]
+    if numeric and kind != "number":
+        out.append(X.to_profile_number(X.ref(name), kind).alias(f"x{position}"))
+    bad = None
+    if col_type == "date" and kind != "datetime":
         bad = X.to_datetime(X.ref(name), kind, True).isNull()
     elif col_type == "email":
         bad = ~X.is_email(X.lower_strip(X.ref(name)))
     elif col_type == "boolean":
         bad = ~X.lower_strip(X.ref(name)).isin(*fixed.TRUE_TOKENS, *fixed.FALSE_TOKENS)
-    return F.struct(F.lit(position).alias("k"), text.alias("v"), number.alias("x"),
-                    (text.isNotNull() & bad).alias("bad"))
+    if bad is not None:
+        out.append((cell.isNotNull() & bad).alias(f"b{position}"))
+    return out
+
+
+def _side_by_side(columns: list[str], numeric: list[bool], batch_rows: int):
+    """Arrow function over rows that come group by group; complete groups are measured together."""
+    place = {c: i for i, c in enumerate(columns)}
+
+    def codes(column):
+        """Cells as numbers that sort with the missing ones last, and from which number on they are missing."""
+        if pa.types.is_floating(column.type):
+            return column.to_numpy(zero_copy_only=False) + 0.0, np.inf
+        found = column.dictionary_encode()
+        size = len(found.dictionary)
+        return found.indices.fill_null(size).to_numpy(zero_copy_only=False).astype("int32"), size
+
+    def sums(of, starts):
+        return np.add.reduceat(of.astype("int64"), starts)
+
+    def ordered(values, starts, ends):
+        values = values.copy()
+        for a, z in zip(starts.tolist(), ends.tolist()):
+            values[a:z].sort()
+        return values
+
+    def distinct(values, there, starts):
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        new[starts] = True
+        return sums(new & there, starts)
+
+    def shape(x, starts, lengths):
+        """Numbers, fences, outliers and skewness of each group; ``x`` is sorted, gaps last."""
+        there = ~np.isnan(x)
+        n = sums(there, starts)
+        at = lambda share: x[starts + np.maximum(np.ceil(share * n).astype("int64") - 1, 0)]
+        low, high = at(0.25), at(0.75)
+        reach = np.where((n >= 4) & (high > low), 1.5 * (high - low), np.nan)
+        out = sums((x < np.repeat(low - reach, lengths)) | (x > np.repeat(high + reach, lengths)), starts)
+        mean = np.add.reduceat(np.where(there, x, 0.0), starts) / np.maximum(n, 1)
+        off = np.where(there, x - np.repeat(mean, lengths), 0.0)
+        square, cube = np.add.reduceat(off * off, starts), np.add.reduceat(off * off * off, starts)
+        flat = (n == 0) | (x[starts] == x[starts + np.maximum(n - 1, 0)])
+        skew = np.where(flat, np.nan, np.sqrt(n) * cube / np.where(flat, 1.0, square ** 1.5))
+        return n, out, skew
+
+    def measured(rows, starts):
+        ends = np.append(starts[1:], len(rows))
+        lengths, zeros = ends - starts, np.zeros(len(starts), "int64")
+        keys = rows.column(0).take(pa.array(starts))
+        for k in range(len(numeric)):
+            cells, gap = codes(rows.column(place[f"v{k}"]))
+            cells = ordered(cells, starts, ends)
+            there = cells < gap
+            filled, unique = sums(there, starts), distinct(cells, there, starts)
+            n, out, skew, bad = zeros, zeros, np.full(len(starts), np.nan), zeros
+            if numeric[k]:
+                x = cells
+                if f"x{k}" in place:
+                    x = ordered(codes(rows.column(place[f"x{k}"]))[0], starts, ends)
+                n, out, skew = shape(x, starts, lengths)
+                bad = filled - n
+            elif f"b{k}" in place:
+                bad = sums(rows.column(place[f"b{k}"]).fill_null(False).to_numpy(zero_copy_only=False), starts)
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.full(len(starts), k, "int32")), *map(pa.array, (lengths, filled, n, bad, skew, unique, out))],
+                names=["g", "k", "total", "filled", "n", "bad", "skew", "unique", "out"])
+
+    def whole(parts):
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def beginnings(rows):
+        group = rows.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        return np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1)
+
+    def run(batches):
+        held, count, due = [], 0, batch_rows
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                held.append(batch)
+                count += len(batch)
+                if count < due:
+                    continue
+                rows = whole(held)
+                starts = beginnings(rows)
+                if len(starts) > 1:  # the last group may go on
+                    yield from measured(rows.slice(0, starts[-1]), starts[:-1])
+                    rows = rows.slice(starts[-1])
+                held, count = [rows], len(rows)
+                due = count + batch_rows
+            if held:
+                rows = whole(held)
+                yield from measured(rows, beginnings(rows))
+
+    return run
+
+
+def _melted(rows: DataFrame, numeric: list[bool]) -> DataFrame:
+    """The measures of few, large groups."""
+    typed = {f.name: X.kind_of(f.dataType) for f in rows.schema.fields}
+
+    def cell(k):
+        number = typed[f"v{k}"] == "number"
+        v, nothing = F.col(f"v{k}"), F.lit(None)
+        x = F.col(f"x{k}") if f"x{k}" in typed else (v if numeric[k] else nothing.cast("double"))
+        # Numbers are kept as such; other cells as text.
+        text, value = (nothing.cast("string"), v) if number else (v.cast("string"), nothing.cast("double"))
+        bad = v.isNotNull() & x.isNull() if numeric[k] else F.coalesce(
+            F.col(f"b{k}") if f"b{k}" in typed else F.lit(False), F.lit(False))
+        return F.struct(F.lit(k).alias("k"), text.alias("s"), value.alias("d"), x.alias("x"), bad.alias("bad"))
+
+    cells = rows.select("g", F.inline(F.array(*map(cell, range(len(numeric))))))
+    there = F.col("s").isNotNull() | F.col("d").isNotNull()
+    shape = cells.groupBy("g", "k").agg(
+        F.count("*").alias("total"), F.count_if(there).alias("filled"), F.count("x").alias("n"),
+        F.count_if("bad").alias("bad"), F.skewness("x").alias("skew"),
+        F.percentile_approx("x", [0.25, 0.75], ACCURACY).alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    reach = F.when((F.col("n") >= 4) & (high > low), 1.5 * (high - low))
+    shape = shape.withColumns({"lo": low - reach, "hi": high + reach}).drop("q")
+    values = cells.where(there).groupBy("g", "k", "s", "d").agg(F.count("*").alias("rows"), F.first("x").alias("x"))
+    # One row per large group and column.
+    met = values.alias("a").join(
+        F.broadcast(shape.select("g", "k", "lo", "hi")).alias("b"),
+        F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.k") == F.col("b.k")))
+    spread = met.groupBy(F.col("a.g").alias("g2"), F.col("a.k").alias("k2")).agg(
+        F.count("*").alias("unique"), F.sum(F.when((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.col("rows"))).alias("out"))
+    return shape.join(spread, F.col("g").eqNullSafe(F.col("g2")) & (F.col("k") == F.col("k2")), "left").select(
+        "g", "k", "total", "filled", "n", "bad", "skew", F.coalesce("unique", F.lit(0)).alias("unique"),
+        F.coalesce("out", F.lit(0)).alias("out"))
+
+
+def _measures(df: DataFrame, group: Column, names: list[str], of_kind: dict, types: dict) -> DataFrame:
+    numeric = [types[c] in fixed.NUMERIC_TYPES for c in names]
+    limit = max(CELLS // len(names), 1)
+    large = F.col("count") > limit
+    sizes = df.groupBy(group.cast("string").alias("g")).count().agg(
+        F.sum(F.when(~large, F.col("count"))).alias("rows"), F.collect_list(F.when(large, F.struct("g"))).alias("large")).first()
+    rows = df.select(group.cast("string").alias("g"), *[
+        cell for i, c in enumerate(names) for cell in _cells(i, c, of_kind[c], types[c])])
+
+    def side(kind):  # as such a join filters, Spark has it below the projection
+        hot = df.sparkSession.createDataFrame([(r["g"],) for r in sizes["large"]], "hot string")
+        return rows.join(F.broadcast(hot), F.col("g").eqNullSafe(F.col("hot")), kind) if sizes["large"] else rows
+
+    parts = []
+    if sizes["rows"] or not sizes["large"]:
+        tasks = max(math.ceil((sizes["rows"] or 0) / (2 * limit)), 1)
+        run = _side_by_side(rows.columns, numeric, max(limit // 8, 1))
+        parts.append(side("left_anti").repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(run, MEASURES))
+    if sizes["large"]:
+        parts.append(_melted(side("left_semi"), numeric))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
 def profile_groups(df: DataFrame, group: Column, types: dict[str, str] | None = None) -> DataFrame:
@@ -45,40 +214,23 @@ def profile_groups(df: DataFrame, group: Column, types: dict[str, str] | None =
     """
     of_kind = X.kinds(df)
     if types is None:
-        types = {r["column_name"]: r["semantic_type"] for r in type_rows(df, "cleaning")}
+        types = {r["column_name"]: r["semantic_type"] for r in type_rows(df, "cleaning", False)}
     names = list(types)
-    flat = df.select(group.cast("string").alias("g"),
-                     *[_cell(i, c, of_kind[c], types[c]).alias(f"c{i}") for i, c in enumerate(names)])
-    cells = flat.select("g", F.inline(F.array(*[f"c{i}" for i in range(len(names))])))
-    shape = cells.groupBy("g", "k").agg(
-        F.count("*").alias("total"), F.count("v").alias("filled"), F.count("x").alias("n"),
-        F.count_if("bad").alias("bad"), F.skewness("x").alias("skew"),
-        F.percentile_approx("x", [0.25, 0.75], ACCURACY).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    reach = F.when((F.col("n") >= 4) & (high > low), 1.5 * (high - low))
-    fences = shape.withColumns({"lo": low - reach, "hi": high + reach, "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
-    values = cells.where("v is not null").groupBy("g", "k", "v").agg(
-        F.count("*").alias("rows"), F.first("x").alias("x")).withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
-    met = values.alias("a").join(
-        fences.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.salt") == F.col("b.salt")))
-    spread = met.groupBy(F.col("a.g").alias("g2"), F.col("a.k").alias("k2")).agg(
-        F.count("*").alias("unique"), F.sum(F.when((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.col("rows"))).alias("out"))
-    joined = shape.join(spread, F.col("g").eqNullSafe(F.col("g2")) & (F.col("k") == F.col("k2")), "left")
+    measures = _measures(df, group, names, of_kind, types)
 
     def of(values):
         return F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
 
     kind, n = of(types.values()), F.col("n")
     skew = F.when(n >= 3, F.coalesce(F.nanvl("skew", F.lit(0.0)), F.lit(0.0)) * F.sqrt(n * (n - 1.0)) / (n - 2))
-    unique = F.coalesce("unique", F.lit(0))
     missing = F.col("total") - F.col("filled")
     invalid = lambda *kinds: F.when(kind.isin(*kinds), F.col("bad")).otherwise(F.lit(0))
-    return joined.select(
+    return measures.select(
         F.col("g").alias("group_key"), of(names).alias("column_name"), kind.alias("col_type"),
         F.col("total").alias("total_rows"), missing.alias("missing_count"),
-        F.round(missing / F.col("total"), 4).alias("missing_rate"), unique.alias("unique_count"),
-        F.round(unique / F.col("total"), 4).alias("unique_ratio"),
+        F.round(missing / F.col("total"), 4).alias("missing_rate"), F.col("unique").alias("unique_count"),
+        F.round(F.col("unique") / F.col("total"), 4).alias("unique_ratio"),
         invalid(*fixed.NUMERIC_TYPES, "boolean").alias("invalid_numeric_count"),
-        F.coalesce("out", F.lit(0)).alias("outlier_count_iqr"), invalid("date").alias("invalid_date_count"),
+        F.col("out").alias("outlier_count_iqr"), invalid("date").alias("invalid_date_count"),
         invalid("email").alias("invalid_email_count"),
         F.coalesce(F.round(skew, 4), F.lit(0.0)).alias("skewness"))

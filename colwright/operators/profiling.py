@@ -126,8 +126,9 @@ def _date_shares(df: DataFrame, columns) -> dict[str, float]:
     return {c: m.get("share", 0.0) for c, m in found.items()}
 
 
-def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, total: int):
-    """Cleaning type of each column: name rules, then storage kind, then cell content."""
+def infer_cleaning_types(df: DataFrame, columns, unique: dict | None, missing: dict, total: int):
+    """Cleaning type of each column: name rules, then storage kind, then cell content. Without distinct
+    counts, those of the columns that hang on them are taken here."""
     of_kind, types, open_columns = X.kinds(df), {}, []
     for c in columns:
         named_type = name_type(c)
@@ -165,8 +166,11 @@ def infer_cleaning_types(df: DataFrame, columns, unique: dict, missing: dict, to
             types[c] = "date"
         elif h["number"] > 0.7:
             types[c] = "numeric"
-        else:
-            types[c] = "category" if unique[c] / (total - missing[c]) < 0.15 else "text"
+    words = [c for c in open_columns if c not in types]
+    if unique is None:
+        unique = distinct_counts(df, words)
+    for c in words:
+        types[c] = "category" if unique[c] / (total - missing[c]) < 0.15 else "text"
     return {c: types[c] for c in columns}
 
 
@@ -415,14 +419,15 @@ TYPE_SCHEMA = T.StructType(
 def type_rows(df: DataFrame, mode: str = "insight", count_distinct: bool = True) -> list[dict]:
     """Semantic type per column for ``cleaning``, ``statistics`` or ``insight`` use.
 
-    Only the ``statistics`` types can do without distinct counts.
+    Without ``count_distinct``, distinct cells are counted only of the columns whose type hangs on them:
+    none for ``statistics``, text in no other type for ``cleaning``, all for ``insight``.
     """
     of_kind = X.kinds(df)
     columns = [c for c in df.columns if of_kind[c] != "nested"]
     total, missing = missing_counts(df, columns)
-    unique = distinct_counts(df, columns) if count_distinct or mode != "statistics" else {}
+    unique = distinct_counts(df, columns) if count_distinct or mode == "insight" else {}
     if mode == "cleaning":
-        types = infer_cleaning_types(df, columns, unique, missing, total)
+        types = infer_cleaning_types(df, columns, unique if count_distinct else None, missing, total)
     elif mode in ("statistics", "insight"):
         types = _shape_types(df, columns, of_kind, total, missing, unique, mode)
     else:

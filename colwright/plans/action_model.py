@@ -13,6 +13,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.groups import profile_groups
+from ..sources.staging import drop_shuffles, stage
 from .rules import rule_action
 
 LABEL = "recommended_action"
@@ -28,11 +29,14 @@ def training_rows(tables: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """Labelled column profiles: one per table, column and group of rows, named by ``key``.
 
     ``tables`` gives a table and the expression that groups its rows. The label is the action of the
-    rules for the profile, so the tree learns them from the tables that it will see.
+    rules for the profile, so the tree learns them from the tables that it will see. The profiles of a
+    table are written and its shuffles dropped before the next table is read, so the disk holds the
+    cells of one table at a time.
     """
-    parts = [
-        profile_groups(df, group).select(F.lit(name).alias("table_name"), "*")
-        for name, (df, group) in tables.items()]
+    parts = []
+    for name, (df, group) in tables.items():
+        parts.append(stage(profile_groups(df, group).select(F.lit(name).alias("table_name"), "*"), "profiles"))
+        drop_shuffles(df.sparkSession)
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(
         F.to_json(F.struct("table_name", "group_key", "column_name")).alias("key"), "*", rule_action().alias(LABEL))

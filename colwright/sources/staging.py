@@ -7,6 +7,7 @@ they need.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,10 @@ def release(table: DataFrame) -> None:
     context = table.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(table.staged_at)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of ended jobs removed. Spark does so once the driver's JVM has collected the
+    plans that refer to them, which with little going on in the driver may take until long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

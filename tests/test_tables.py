@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import colwright as cw
 from checks.registry import QUERIES, dirty
 from colwright.functions import exprs as X, fixed
-from colwright.operators import charts, insights
+from colwright.operators import charts, groups, insights, profiling
 from colwright.operators.groups import profile_groups
 from colwright.operators.profiling import profile_rows
 from colwright.plans import action_model as am
@@ -197,6 +197,52 @@ def test_grouped_profile_matches_the_profile_of_each_group(spark):
     assert profile_groups(df.limit(0), F.col("g"), types).count() == 0
 
 
+def _grouped(spark):
+    return spark.range(0, 6000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 100 = 1 THEN NULL ELSE CAST(pmod(xxhash64(id), 40) AS STRING) END AS g",
+        "CAST(pmod(xxhash64(id, 1), 700) AS DOUBLE) * IF(id % 50 = 0, 90, 1) AS amount",
+        "IF(id % 9 = 0, NULL, CONCAT(CAST(pmod(xxhash64(id, 2), 60) AS STRING), IF(id % 13 = 0, 'x', ''))) AS age",
+        "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 'bad@@' ELSE CONCAT('a', CAST(id % 50 AS STRING), '@b.com') END AS email",
+        "REPEAT(CONCAT('w', CAST(id % 30 AS STRING)), 40) AS words", "timestamp_seconds(CAST(id % 100 AS BIGINT)) AS at", "1882 / 7 AS one",
+        "IF(id % 11 = 0, CAST('NaN' AS DOUBLE), IF(id % 2 = 0, 0.0D, -0.0D)) AS zero", "id % 4 = 0 AS is_it")
+
+
+_GROUPED_TYPES = {"amount": "numeric", "age": "age", "email": "email", "words": "text", "at": "date", "one": "numeric",
+                  "zero": "numeric", "is_it": "boolean"}
+
+
+def test_large_groups_are_measured_like_others(spark, monkeypatch):
+    """Side by side in one task, in small batches, or melted where a group has too many cells."""
+    def found():
+        return {(r.group_key, r.column_name): r.asDict() for r in profile_groups(_grouped(spark), F.col("g"), _GROUPED_TYPES).collect()}
+    whole = found()
+    assert len(whole) == 42 * len(_GROUPED_TYPES)
+    hot = whole["hot", "zero"]
+    assert (hot["total_rows"], hot["unique_count"], hot["missing_count"]) == (2000, 1, 182)
+    assert whole["hot", "words"]["unique_count"] == 10 and whole["hot", "at"]["unique_count"] == 100
+    assert whole["hot", "amount"]["outlier_count_iqr"] > 0 and whole["hot", "age"]["invalid_numeric_count"] > 0
+    for cells in (8 * 400, 8 * 2):  # one large group, then all of them
+        monkeypatch.setattr(groups, "CELLS", cells)
+        assert {k: r for k, r in found().items() if k[1] != "one"} == {k: r for k, r in whole.items() if k[1] != "one"}
+
+
+def test_grouped_profile_shuffles_cells_once(spark):
+    df = _grouped(spark)
+    made = profile_groups(df, F.col("g"), _GROUPED_TYPES)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    # Many tasks hold parts of a constant column: no rounding may turn into shape.
+    assert {r.skewness for r in made.where("column_name = 'one'").collect()} == {0.0}
+    # Distinct cells decide no type here but that of words and of g.
+    counted = []
+    wanted = profiling.frequency_summary
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(profiling, "frequency_summary", lambda df, values, *a: counted.extend(values) or wanted(df, values, *a))
+        found = {r["column_name"]: r["semantic_type"] for r in profiling.type_rows(df, "cleaning", False)}
+    assert sorted(counted) == ["g", "words"]
+    assert found == {r["column_name"]: r["semantic_type"] for r in profiling.type_rows(df, "cleaning")}
+
+
 def test_action_model(spark, tmp_path):
     rows = QUERIES["training_profiles"](spark, SF).withColumn(
         "key", F.concat_ws("|", "table_name", "group_key", "column_name"))
