@@ -226,6 +226,16 @@ def test_large_groups_are_measured_like_others(spark, monkeypatch):
         assert {k: r for k, r in found().items() if k[1] != "one"} == {k: r for k, r in whole.items() if k[1] != "one"}
 
 
+def test_training_rows_are_profiled_once(spark):
+    """Whoever reads the rows twice, as shares and splits do, reads the written profiles."""
+    made = am.training_rows({"t": (_grouped(spark).drop("words"), F.col("g"))})
+    for used in (made, am.distribution(made, am.LABEL), am.with_splits(made)):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "Range" not in plan and "Generate" not in plan
+    shares = am.distribution(made, am.LABEL).collect()
+    assert sum(r.rows for r in shares) == 42 * 8 and sum(r.share for r in shares) == pytest.approx(1, abs=1e-3)
+
+
 def test_grouped_profile_shuffles_cells_once(spark):
     df = _grouped(spark)
     made = profile_groups(df, F.col("g"), _GROUPED_TYPES)
