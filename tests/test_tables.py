@@ -1,11 +1,14 @@
 """Profiles, cleaning, insights and charts on small tables."""
 
 import math
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import colwright as cw
+from checks import registry
 from checks.registry import QUERIES, dirty
 from colwright.functions import exprs as X, fixed
 from colwright.operators import charts, groups, insights, profiling
@@ -236,6 +239,24 @@ def test_training_rows_are_profiled_once(spark):
     assert sum(r.rows for r in shares) == 42 * 8 and sum(r.share for r in shares) == pytest.approx(1, abs=1e-3)
 
 
+def _shuffled(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(p.stat().st_size for f in folders for p in Path(str(f)).rglob("shuffle_*.data") if p.exists())
+
+
+def test_training_leaves_no_cells_on_disk(spark):
+    """What the profiles shuffled is gone when models are trained; a fold finds the rows of the splits only."""
+    sf = "/root/testdata/sf0.01"
+    given = sum(Path(sf, f"{t}.parquet").stat().st_size for t in ("customer", "lineitem", "events"))
+    before = _shuffled(spark)
+    rows = registry._training(spark, sf)
+    deadline = time.time() + 10  # Spark removes files in the background
+    while _shuffled(spark) - before > 2 * given and time.time() < deadline:
+        time.sleep(0.2)
+    assert _shuffled(spark) - before <= 2 * given
+    assert rows.count() == 2042
+
+
 def test_grouped_profile_shuffles_cells_once(spark):
     df = _grouped(spark)
     made = profile_groups(df, F.col("g"), _GROUPED_TYPES)
