@@ -3,10 +3,10 @@
 The rows of a group meet once, in one task, as typed cells: numbers and times in eight bytes, long text as its
 digest. There they lie side by side, so each column of a group is sorted on its own, and counts, quartiles,
 outliers and shape are exact; a task holds the groups of one batch at a time. Groups with too many cells for
-that (``CELLS``) are melted instead: their counts and quartiles are combined inside the tasks, so a group that
-holds a third of all rows is one row per task and column in their shuffle; their distinct cells are shuffled
-once, combined by value, and meet the fences of their group by broadcast. Only the types of the columns, the
-number of rows and the names of those large groups reach the driver.
+that (``CELLS``) are melted instead: their counts are combined inside the tasks, so a group that holds a third
+of all rows is one row per task and column in their shuffle; a sketch says where their quartiles lie, the cells
+there are ranked exactly, and their distinct cells, combined by value, meet the fences of their group by
+broadcast. Only the types of the columns, the number of rows and the names of those large groups reach the driver.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import exprs as X, fixed
 from .profiling import type_rows
 
-ACCURACY = 10_000  # quartiles of melted groups are exact up to half as many cells, then within 1 / ACCURACY in rank
+ACCURACY = 10_000  # of the sketch that says where to look for the quartiles of a melted group
 CELLS = 2_000_000  # cells that one task measures side by side, those of one group included
 MEASURES = ("g string, k int, total bigint, filled bigint, n bigint, bad bigint, skew double, "
             "unique bigint, out bigint")
@@ -145,6 +145,29 @@ def _side_by_side(columns: list[str], numeric: list[bool], batch_rows: int):
     return run
 
 
+def _with_fences(shape: DataFrame, values: DataFrame) -> DataFrame:
+    """Adds the fences ``lo`` and ``hi`` of each large group and column. The cells between the neighbours of a
+    quartile, one in 2,500, are gathered; those below are counted, so the quartile is found exactly."""
+    x, near = F.col("x"), shape.select(F.col("g").alias("g1"), F.col("k").alias("k1"), "q").where("q is not null")
+    sides = values.where("x is not null").join(  # one row per large group and column
+        F.broadcast(near), F.col("g").eqNullSafe(F.col("g1")) & (F.col("k") == F.col("k1")))
+    found = sides.groupBy("g1", "k1").agg(*[
+        c for i, name in ((0, "low"), (2, "high")) for c in (
+            F.sum(F.when(x < F.col("q")[i], F.col("rows")).otherwise(0)).alias(f"below_{name}"),
+            F.collect_list(F.when(x.between(F.col("q")[i], F.col("q")[i + 1]), F.struct("x", "rows"))).alias(f"near_{name}"))])
+
+    def at(share, name):
+        rank = F.greatest(F.ceil(F.col("n") * share), F.lit(1))
+        begin = F.struct(F.col(f"below_{name}").cast("bigint").alias("rows"), F.lit(None).cast("double").alias("x"))
+        return F.aggregate(F.array_sort(f"near_{name}"), begin, lambda seen, e: F.when(seen["rows"] >= rank, seen).otherwise(
+            F.struct((seen["rows"] + e["rows"]).alias("rows"), e["x"].alias("x"))))["x"]
+
+    shape = shape.join(F.broadcast(found), F.col("g").eqNullSafe(F.col("g1")) & (F.col("k") == F.col("k1")), "left")
+    shape = shape.withColumns({"low": at(0.25, "low"), "high": at(0.75, "high")})
+    reach = F.when((F.col("n") >= 4) & (F.col("high") > F.col("low")), 1.5 * (F.col("high") - F.col("low")))
+    return shape.select("g", "k", "total", "filled", "n", "bad", "skew", (F.col("low") - reach).alias("lo"), (F.col("high") + reach).alias("hi"))
+
+
 def _melted(rows: DataFrame, numeric: list[bool]) -> DataFrame:
     """The measures of few, large groups."""
     typed = {f.name: X.kind_of(f.dataType) for f in rows.schema.fields}
@@ -161,14 +184,13 @@ def _melted(rows: DataFrame, numeric: list[bool]) -> DataFrame:
 
     cells = rows.select("g", F.inline(F.array(*map(cell, range(len(numeric))))))
     there = F.col("s").isNotNull() | F.col("d").isNotNull()
+    step = 2 / ACCURACY  # the sketch is off by half of it at most, so a quartile lies between its two neighbours
     shape = cells.groupBy("g", "k").agg(
         F.count("*").alias("total"), F.count_if(there).alias("filled"), F.count("x").alias("n"),
         F.count_if("bad").alias("bad"), F.skewness("x").alias("skew"),
-        F.percentile_approx("x", [0.25, 0.75], ACCURACY).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    reach = F.when((F.col("n") >= 4) & (high > low), 1.5 * (high - low))
-    shape = shape.withColumns({"lo": low - reach, "hi": high + reach}).drop("q")
+        F.percentile_approx("x", [0.25 - step, 0.25 + step, 0.75 - step, 0.75 + step], ACCURACY).alias("q"))
     values = cells.where(there).groupBy("g", "k", "s", "d").agg(F.count("*").alias("rows"), F.first("x").alias("x"))
+    shape = _with_fences(shape, values)
     # One row per large group and column.
     met = values.alias("a").join(
         F.broadcast(shape.select("g", "k", "lo", "hi")).alias("b"),
